@@ -84,7 +84,8 @@ def pivot(mass: list[float], size: list[float], draws: list[float]) -> tuple[lis
 
 
 def _round_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["draw", "doc", "size", "row"], kind="stable", na_position="last", ignore_index=True)
+    # Of two documents the smaller one is mostly settled; going from large to small, what stays is small.
+    pdf = pdf.sort_values(["size", "draw", "doc", "row"], ascending=[False, True, True, True], kind="stable", na_position="last", ignore_index=True)
     seeds = pdf["draw"].to_numpy(np.int64).view(np.uint64) + pdf["row"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     u = _uniform(seeds + np.uint64(pdf["level"].iloc[0]) * np.uint64(0xD1B54A32D192ED03))
     mass, keep = pivot(pdf["mass"].tolist(), pdf["size"].astype(float).tolist(), u.tolist())
