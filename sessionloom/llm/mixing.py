@@ -83,12 +83,30 @@ def pivot(mass: list[float], size: list[float], draws: list[float]) -> tuple[lis
     return out, keep
 
 
+def settle_large(mass: np.ndarray, size: np.ndarray, u: np.ndarray, share: float = 0.02) -> None:
+    """Pair each document that holds a good share of the words (sizes descend) with all after it
+    together: it becomes whole, and they take or give its words evenly, if they can."""
+    for i in range(len(mass) - 1):
+        rest, a = slice(i + 1, None), mass[i]
+        if size[i] < share * size[rest].sum():
+            break
+        down, up = float((size[rest] * mass[rest]).sum()), float((size[rest] * (1 - mass[rest])).sum())
+        if not 1e-12 < a < 1 - 1e-12 or a * size[i] > up or (1 - a) * size[i] > down:
+            continue
+        if u[i] < a:
+            mass[i], mass[rest] = 1.0, mass[rest] * (1 - (1 - a) * size[i] / down)
+        else:
+            mass[i], mass[rest] = 0.0, mass[rest] + (1 - mass[rest]) * (a * size[i] / up)
+
+
 def _round_block(pdf: pd.DataFrame) -> pd.DataFrame:
     # Of two documents the smaller one is mostly settled; going from large to small, what stays is small.
     pdf = pdf.sort_values(["size", "draw", "doc", "row"], ascending=[False, True, True, True], kind="stable", na_position="last", ignore_index=True)
     seeds = pdf["draw"].to_numpy(np.int64).view(np.uint64) + pdf["row"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     u = _uniform(seeds + np.uint64(pdf["level"].iloc[0]) * np.uint64(0xD1B54A32D192ED03))
-    mass, keep = pivot(pdf["mass"].tolist(), pdf["size"].astype(float).tolist(), u.tolist())
+    start, size = pdf["mass"].to_numpy(copy=True), pdf["size"].to_numpy(np.float64)
+    settle_large(start, size, u)
+    mass, keep = pivot(start.tolist(), size.tolist(), _uniform(seeds + np.uint64(1)).tolist())
     if keep >= 0 and pdf["n_blocks"].iloc[0] == 1:  # the last residual of its source
         mass[keep] = float(u[0] < mass[keep])
         keep = -1
