@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dup, secret_scan, token_files
+from . import embedding_dup, mixing, near_dup, secret_scan, token_files
 from .common import read
 
 
@@ -22,6 +22,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dup.near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -30,5 +34,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op6_near_duplicates, op9_token_files, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op6_near_duplicates, op8_embedding_duplicates, op9_token_files, op10_source_mixing)}
 ORACLE_SQL: dict[str, str] = {}
