@@ -58,8 +58,8 @@ def crc_of(doc_id: int | None) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about STEP_BYTES of text (one row at least)."""
+def slices(batches: Iterable[pa.RecordBatch], text: int = 1, step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds about ``step`` bytes of text (one row at least)."""
     for b in batches:
         if not b.num_rows:
             continue
@@ -67,7 +67,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: int = 1) -> Iterator[pa.Reco
         at = 0
         while at < b.num_rows:
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + STEP_BYTES, side="right")))
+            to = max(at + 1, int(np.searchsorted(ends, base + step, side="right")))
             yield b.slice(at, to - at)
             at = to
 
