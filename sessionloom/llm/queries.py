@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dup, mixing, near_dup, secret_scan, substring_dedup, token_files, warc
+from . import embedding_dup, mixing, near_dup, secret_scan, substring_dedup, token_files, toxicity, warc
 from .common import read
 
 
@@ -22,6 +22,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256", "spans")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", "n_toxic_words")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_table(read(spark, sf_dir, "pages"))
 
@@ -42,7 +47,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_substring_dedup, op5_warc, op6_near_duplicates, op8_embedding_duplicates, op9_token_files, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_substring_dedup, op4_toxicity, op5_warc, op6_near_duplicates, op8_embedding_duplicates, op9_token_files, op10_source_mixing)}
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
