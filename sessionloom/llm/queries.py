@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dup, mixing, near_dup, secret_scan, substring_dedup, token_files, toxicity, warc
-from .common import read
+from . import context_tree, embedding_dup, mixing, near_dup, secret_scan, substring_dedup, token_files, toxicity, warc
+from .common import crc_mod, read
 
 
 def tokenizer_path() -> str:
@@ -35,6 +35,12 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = context_tree.score_documents(docs, context_tree.in_training())
+    return scored.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op8_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dup.near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
 
@@ -47,7 +53,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_substring_dedup, op4_toxicity, op5_warc, op6_near_duplicates, op8_embedding_duplicates, op9_token_files, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_substring_dedup, op4_toxicity, op5_warc, op6_near_duplicates, op7_context_tree, op8_embedding_duplicates, op9_token_files, op10_source_mixing)}
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
