@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_tree, embedding_dup, mixing, near_dup, secret_scan, substring_dedup, token_files, toxicity, warc
+from . import context_tree, decontaminate, embedding_dup, mixing, near_dup, secret_scan, substring_dedup, token_files, toxicity, warc
 from .common import crc_mod, read
 
 
@@ -18,6 +18,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(read(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return leaks.drop("row_id")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256", "spans")
 
@@ -53,7 +58,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_substring_dedup, op4_toxicity, op5_warc, op6_near_duplicates, op7_context_tree, op8_embedding_duplicates, op9_token_files, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_substring_dedup, op4_toxicity, op5_warc, op6_near_duplicates, op7_context_tree, op8_embedding_duplicates, op9_token_files, op10_source_mixing)}
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
