@@ -15,14 +15,17 @@ and ``codes``, the bytes below (all integers little-endian):
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,8 +37,10 @@ END_ID = 2
 #: Tokens after which a segment is closed (a document is never cut).
 SEGMENT_TOKENS = 1 << 18
 RANK_BITS = 512
-#: Pieces of text that a worker's cache holds.
-CACHE_PIECES = 300_000
+#: Words that a worker remembers; a full cache starts afresh.
+CACHE_WORDS = 600_000
+# Fixed value: the words of byte-level BPE's pre-tokenizer.
+PRE_WORD = regex.compile(r" ?\p{L}+| ?\p{N}+|'(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
 def encode_codes(ids: np.ndarray) -> bytes:
@@ -110,70 +115,58 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class _Pieces(dict):
-    """A piece of text that can be encoded alone -> its ids as little-endian 32-bit bytes.
+def _byte_letters() -> list[str]:
+    """The letter that byte-level BPE writes for each byte: itself if it can be seen, else 256 + its rank."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    unseen = [b for b in range(256) if b not in seen]
+    return [chr(b) if b in seen else chr(256 + unseen.index(b)) for b in range(256)]
 
-    A piece starts at a single space or newline between two characters that aren't white space.
-    The byte-level pre-tokenizer always starts a new word there, and merges never cross words,
-    so a text's ids are those of its pieces. New pieces are cut into the pre-tokenizer's words,
-    and the library encodes the words that aren't in the cache.
-    """
+
+class _Words(dict):
+    """word of the pre-tokenizer -> its ids as little-endian 32-bit bytes; the library encodes new words."""
 
     def __init__(self, path: str):
         super().__init__()
         self.lib = tokenizer(path)
-        self.words: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.letters = _byte_letters()
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_PIECES:
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
             self.clear()
-        text = piece if piece[:1] == "\n" else " " + piece
-        out = []
-        for word, _ in self.lib.pre_tokenizer.pre_tokenize_str(text):
-            ids = self.words.get(word)
-            if ids is None:
-                if len(self.words) >= CACHE_PIECES:
-                    self.words.clear()
-                ids = self.words[word] = np.array([t.id for t in self.lib.model.tokenize(word)], "<u4").tobytes()
-            out.append(ids)
-        got = self[piece] = b"".join(out)
-        return got
+        shown = "".join(map(self.letters.__getitem__, word.encode()))
+        ids = self[word] = array("I", [t.id for t in self.lib.model.tokenize(shown)]).tobytes()
+        return ids
 
 
 @lru_cache(maxsize=2)
-def _pieces(path: str) -> _Pieces:
-    return _Pieces(path)
+def _words(path: str) -> _Words:
+    return _Words(path)
 
 
-def _cuttable(path: str) -> bool:
-    """Whether the tokenizer is plain byte-level BPE, for which cutting into pieces is exact."""
-    import json
-
+@lru_cache(maxsize=2)
+def _cut(path: str) -> tuple[bool, tuple[str, ...]]:
+    """Whether the tokenizer is plain byte-level BPE, whose merges never cross a word of
+    ``PRE_WORD``, and the strings that it would read as special tokens."""
     with open(path, encoding="utf-8") as f:
         conf = json.load(f)
-    pre = conf.get("pre_tokenizer") or {}
-    return conf["model"]["type"] == "BPE" and not conf.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not conf["model"].get("dropout")
+    pre, model = conf.get("pre_tokenizer") or {}, conf["model"]
+    plain = model["type"] == "BPE" and not conf.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not model.get("dropout")
+    return plain, tuple(t["content"] for t in conf.get("added_tokens", []))
 
 
-def encode_text(text: str, path: str, special: tuple[str, ...], cut: bool) -> bytes:
-    """Ids of a whole text as little-endian 32-bit bytes, the same as one library call gives."""
-    import re
+def encode_text(text: str, path: str) -> bytes:
+    """Ids of a whole text as little-endian 32-bit bytes, the same as one library call gives.
 
-    pieces = _pieces(path)
-    if not text:
-        return b""
-    if not cut or any(s in text for s in special) or re.search(r"\s\s", text):
-        return pieces.encode(text)
-    first, *rest = text.replace("\n", " \n").split(" ")
-    if text[-1:].isspace() or text[:1].isspace():
-        return pieces.encode(text)
-    return pieces.encode(first) + b"".join(map(pieces.__getitem__, rest))
+    A byte-level tokenizer encodes each pre-tokenizer word alone, so ids of words met before are
+    reused. Other tokenizers, and texts with a special token's string, take one library call.
+    """
+    plain, special = _cut(path)
+    if not plain or any(s in text for s in special):
+        return array("I", tokenizer(path).encode(text, add_special_tokens=False).ids).tobytes()
+    return b"".join(map(_words(path).__getitem__, PRE_WORD.findall(text)))
 
 
-def _write(path: str, end_id: int, special: tuple[str, ...], cut: bool):
+def _write(path: str, end_id: int):
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("codes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +180,7 @@ def _write(path: str, end_id: int, special: tuple[str, ...], cut: bool):
 
         for b in slices(batches):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encode_text(text or "", path, special, cut) + end
+                ids = encode_text(text or "", path) + end
                 docs.append(doc)
                 held.append(ids)
                 starts.append(starts[-1] + len(ids) // 4)
@@ -207,11 +200,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = E
     Null text counts as empty: the document is its end id alone. The text is ranged by
     (doc_id, hash), so a repeated id doesn't pile up in one task.
     """
-    special = tuple(t.content for t in tokenizer(tokenizer_path).get_added_tokens_decoder().values())
     key = F.xxhash64("text")
     ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(shuffle_partitions(docs.sparkSession), F.col("doc_id"), key).sortWithinPartitions(F.col("doc_id"), key)
     schema = "part int, seq long, n_tokens long, doc_ids array<long>, starts array<long>, codes binary"
-    ranged.mapInArrow(_write(tokenizer_path, end_id, special, _cuttable(tokenizer_path)), schema).write.option("compression", "none").parquet(out)
+    ranged.mapInArrow(_write(tokenizer_path, end_id), schema).write.option("compression", "none").parquet(out)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
