@@ -1,14 +1,16 @@
 """Operator 6: near-duplicate documents by HyperMinHash.
 
-A document's set of word shingles becomes 128 registers: the hash's first 7 bits choose the
-register, and of the smallest remaining hash the register keeps the number of leading zeros
-(6 bits) and the 10 bits after the leading one. Bands of four registers are the search keys: at
-a similarity of 0.8 a pair shares none of 32 bands with probability (1 - 0.8^4)^32 < 1e-7.
+A document's set of word shingles becomes 512 registers of one byte: the hash's first 9 bits
+choose the register, and of the smallest remaining hash the register keeps the number of leading
+zeros (4 bits) and the 4 bits after the leading one. Bands of six registers are the search keys:
+at a similarity of 0.8 a pair shares none of 42 bands with probability (1 - 0.8^6)^42 < 3e-6.
 
 Equal sets collapse into classes first; only their representatives go on. Within a key,
 documents are compared with a hub (the member that shares most keys with others) in rounds,
 and a pair is only compared while its two documents are in different components, so that groups
 of thousands of copies cost a few comparisons for each document. Small keys compare all pairs.
+What then is in other components than most of its key is compared with all of these, in blocks
+of signatures: a task estimates the pairs of two blocks and returns only likely ones.
 Pairs pass the collision-corrected estimate of the similarity, then the exact test on full sets.
 """
 
@@ -24,14 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import WordCodes, components, slices, stored, window_codes, word_codes
+from .common import WordCodes, components, discard, slices, stored, window_codes, word_codes
 
-REGISTERS, BAND = 128, 4
-EMPTY = 0xFFFF
+REGISTERS, BAND, BANDS = 512, 6, 42
+EMPTY = 0xFF
+ZEROS, MANTISSA = 15, 16  # most leading zeros that are told apart, values of the mantissa
 #: Keys with at most so many classes compare all their pairs at once.
 SMALL_KEY = 6
-#: Estimates below the wanted similarity by this much are dropped: six standard deviations at 128 registers.
-SLACK = 0.22
+#: Estimates below the wanted similarity by this much are dropped: 4.5 standard deviations at 512 registers.
+SLACK = 0.08
+#: Classes of a key that one task compares with as many others.
+BLOCK = 256
 
 
 def shingles(codes: np.ndarray, sizes: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -46,20 +51,37 @@ def shingles(codes: np.ndarray, sizes: np.ndarray, k: int) -> Iterator[np.ndarra
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
-    """128 registers of sorted distinct hashes."""
-    bounds = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(57)
+    """Registers of sorted distinct hashes."""
+    bounds = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(55)
     first = np.searchsorted(hashes, bounds)
     end = np.append(first[1:], len(hashes))
-    rest = hashes[np.minimum(first, len(hashes) - 1)] << np.uint64(7)
+    rest = hashes[np.minimum(first, len(hashes) - 1)] << np.uint64(9)
     mantissa, exponent = np.frexp(np.maximum(rest.astype(np.float64), 1.0))
-    value = (np.minimum(64 - exponent, 62).astype(np.uint16) << np.uint16(10)) | np.minimum((mantissa * 2 - 1) * 1024, 1023).astype(np.uint16)
-    return np.where(first < end, value, np.uint16(EMPTY)).astype(np.uint16)
+    value = np.minimum(64 - exponent, ZEROS) * MANTISSA + np.minimum((mantissa * 2 - 1) * MANTISSA, MANTISSA - 1).astype(np.int64)
+    return np.where(first < end, np.minimum(value, EMPTY - 1), EMPTY).astype(np.uint8)
+
+
+#: Where an empty register looks for a value, one row of places after another.
+LOOK = np.random.default_rng(5).integers(0, REGISTERS, (256, REGISTERS))
+
+
+def filled(regs: np.ndarray) -> np.ndarray:
+    """Registers with the empty ones filled from others, each along its own fixed random places,
+    so that every register of a short document is a sample of its set as well."""
+    out, empty = regs.copy(), np.flatnonzero(regs == EMPTY)
+    for look in LOOK:
+        if not len(empty):
+            return out
+        out[empty] = regs[look[empty]]
+        empty = empty[out[empty] == EMPTY]
+    out[empty] = regs[regs != EMPTY].min()
+    return out
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band that isn't all empty."""
-    bands = regs.reshape(-1, BAND)
-    return np.array([xxhash.xxh3_64_intdigest(b.tobytes(), seed=i) for i, b in enumerate(bands) if (b != EMPTY).any()], np.uint64).view(np.int64)
+    """A 64-bit key for each band."""
+    bands = filled(regs)[: BANDS * BAND].reshape(BANDS, BAND)
+    return np.array([xxhash.xxh3_64_intdigest(b.tobytes(), seed=i) for i, b in enumerate(bands)], np.uint64).view(np.int64)
 
 
 def _sketch(k: int):
@@ -90,25 +112,27 @@ def _sets(k: int):
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys = [band_keys(np.frombuffer(s, np.uint16)) for s in b.column(1).to_pylist()]
+        keys = [band_keys(np.frombuffer(s, np.uint8)) for s in b.column(2).to_pylist()]
         if keys:
-            n = [len(x) for x in keys]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), n)), pa.array(np.concatenate(keys))], names=["cls", "key"])
+            n = BANDS
+            cls, size = (np.repeat(b.column(i).to_numpy(zero_copy_only=False), n) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(size), pa.array(np.concatenate(keys))], names=["cls", "size", "key"])
 
 
 def collision_rate(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Chance that a register of two disjoint sets of these sizes agrees by accident."""
     la, lb = n_a[:, None] / REGISTERS, n_b[:, None] / REGISTERS
-    z = np.arange(0, 50)[None, :]
+    z = np.arange(ZEROS + 1)[None, :]
 
-    def level(lam):  # P(the smallest hash has z leading zeros)
-        return np.exp(-lam * 2.0 ** -(z + 1)) - np.exp(-lam * 2.0**-z)
+    def level(lam):  # P(the smallest hash has z leading zeros, or at least the most told apart)
+        below = np.where(z < ZEROS, np.exp(-lam * 2.0 ** -(z + 1)), 1.0)
+        return below - np.exp(-lam * 2.0**-z)
 
-    return (level(la) * level(lb)).sum(1) / 1024
+    return (level(la) * level(lb)).sum(1) / MANTISSA
 
 
 def estimate(sig_a: np.ndarray, sig_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Collision-corrected Jaccard estimate from registers (rows of 128)."""
+    """Collision-corrected Jaccard estimate from registers (a row of registers each)."""
     used = ((sig_a != EMPTY) | (sig_b != EMPTY)).sum(1)
     same = ((sig_a == sig_b) & (sig_a != EMPTY)).sum(1)
     by_chance = collision_rate(n_a, n_b) * used
@@ -117,7 +141,7 @@ def estimate(sig_a: np.ndarray, sig_b: np.ndarray, n_a: np.ndarray, n_b: np.ndar
 
 @F.pandas_udf(DoubleType())
 def _estimate(sig_a: pd.Series, sig_b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
-    a, b = (np.frombuffer(b"".join(x), np.uint16).reshape(-1, REGISTERS) for x in (sig_a, sig_b))
+    a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, REGISTERS) for x in (sig_a, sig_b))
     return pd.Series(estimate(a, b, n_a.to_numpy(float), n_b.to_numpy(float)))
 
 
@@ -151,36 +175,72 @@ def _ordered(x: str, y: str) -> tuple:
 
 def _search(docs: DataFrame, classes: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
     """Verified links between classes, enough to give the right components."""
-    bands = stored(classes.select("cls", "sig").mapInArrow(_bands, "cls long, key long"), "near-bands")
+    bands = stored(classes.select("cls", "n_shingles", "sig").mapInArrow(_bands, "cls long, size long, key long"), "near-bands")
     counts = bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    bands = stored(bands.join(counts, "key"), "near-shared")
+    was, bands = bands, stored(bands.join(counts, "key"), "near-shared")
+    discard(was)
     small = bands.where(F.col("members") <= SMALL_KEY)
     large = bands.where(F.col("members") > SMALL_KEY)
     scores = large.groupBy("cls").agg(F.sum("members").alias("score"))
     large = stored(large.join(scores, "cls"), "near-large")
-    hubs = large.groupBy("key").agg(F.max_by("cls", F.struct("score", "cls")).alias("hub"))
-    star = large.join(hubs, "key").where("cls <> hub").select(*_ordered("cls", "hub"))
-    every = small.select("key", F.col("cls").alias("a")).join(small.select("key", F.col("cls").alias("b")), "key").where("a < b").select("a", "b")
+    hubs = large.groupBy("key").agg(F.max_by(F.struct(F.col("cls").alias("hub"), F.col("size").alias("hub_size")), F.struct("score", "cls")).alias("h")).select("key", "h.*")
+    star = large.join(hubs, "key").where((F.col("cls") != F.col("hub")) & _sizes("size", "hub_size", similarity)).select(*_ordered("cls", "hub"))
+    every = small.select("key", F.col("cls").alias("a"), "size").join(small.select("key", F.col("cls").alias("b"), F.col("size").alias("size_b")), "key")
+    every = every.where((F.col("a") < F.col("b")) & _sizes("size", "size_b", similarity)).select("a", "b")
     fresh = stored(every.unionByName(star).distinct(), "near-pairs")
+    discard(bands)
     tested, links = fresh, stored(_verified(docs, fresh, classes, k, similarity), "near-links")
     while True:
         part = components(links, "near-round").withColumnRenamed("node", "cls").withColumnRenamed("component", "comp")
         now = stored(large.join(part, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "near-now")
-        fresh = stored(_next_pairs(now).join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        fresh = stored(_next_pairs(now, classes, similarity).join(tested, ["a", "b"], "left_anti"), "near-pairs")
         if fresh.isEmpty():
             return links
         links = links.unionByName(stored(_verified(docs, fresh, classes, k, similarity), "near-links"))
         tested = tested.unionByName(fresh)
 
 
-def _next_pairs(now: DataFrame) -> DataFrame:
-    """Pairs of one key that are in different components: those outside the key's largest
-    component are compared with each member of another component."""
-    sizes = now.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    rows = stored(now.join(main, "key").select("key", "cls", "comp", "main"), "near-split")
-    outside = rows.where("comp <> main").select("key", F.col("cls").alias("x"), F.col("comp").alias("cx"))
-    return outside.join(rows.select("key", F.col("cls").alias("y"), F.col("comp").alias("cy")), "key").where("cx <> cy").select(*_ordered("x", "y")).distinct()
+def _sizes(x: str, y: str, similarity: tuple[int, int]):
+    """Whether sets of these sizes can be similar: |A and B| <= the smaller, |A or B| >= the larger."""
+    return F.least(x, y) * similarity[1] >= F.greatest(x, y) * similarity[0]
+
+
+def _compare(similarity: tuple[int, int]):
+    """Likely pairs of two blocks of one key that are in different components."""
+    num, den = similarity
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        cls, comp, size, side = (pdf[c].to_numpy() for c in ("cls", "comp", "size", "side"))
+        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(-1, REGISTERS)
+        differ = (comp[:, None] != comp[None, :]) & (cls[:, None] < cls[None, :])
+        if (side != side[0]).any():  # two blocks: pairs within one are another task's
+            differ &= side[:, None] != side[None, :]
+        differ &= np.minimum(size[:, None], size[None, :]) * den >= np.maximum(size[:, None], size[None, :]) * num
+        a, b = np.nonzero(differ)
+        keep = []
+        for i in range(0, len(a), 20_000):
+            x, y = a[i : i + 20_000], b[i : i + 20_000]
+            keep.append(estimate(sig[x], sig[y], size[x].astype(float), size[y].astype(float)) >= num / den - SLACK)
+        keep = np.concatenate(keep) if keep else np.zeros(0, bool)
+        a, b = a[keep], b[keep]
+        if len(a):  # the pair is another key's if an earlier band is common
+            bands = np.stack([filled(r)[: BANDS * BAND] for r in sig]).reshape(-1, BANDS, BAND)
+            own = pdf["key"].iloc[0]
+            first = (bands[a] == bands[b]).all(2).argmax(1)
+            mine = np.array([band_keys(sig[i])[f] == own for i, f in zip(a, first, strict=True)], bool)
+            a, b = a[mine], b[mine]
+        return pd.DataFrame({"a": cls[a], "b": cls[b]})
+
+    return run
+
+
+def _next_pairs(now: DataFrame, classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Likely pairs of one key that are in different components."""
+    parts = now.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "n")
+    rows = now.join(parts, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), F.col("mine").alias("side"), "cls", "size", "comp")
+    return rows.join(classes.select("cls", "sig"), "cls").groupBy("key", "lo", "hi").applyInPandas(_compare(similarity), "a long, b long").distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
@@ -188,8 +248,6 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, sim
     num, den = similarity
     side = lambda c: classes.select(F.col("cls").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}"))
     wide = pairs.join(side("a"), "a").join(side("b"), "b")
-    # The sizes alone bound the similarity: |A and B| <= the smaller, |A or B| >= the larger.
-    wide = wide.where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
     likely = wide.withColumn("j", _estimate("sig_a", "sig_b", "n_a", "n_b")).where(F.col("j") >= num / den - SLACK)
     likely = stored(likely.select("a", "b", "n_a", "n_b"), "near-likely")
     nodes = likely.select(F.col("a").alias("cls")).union(likely.select("b")).distinct()
@@ -200,3 +258,18 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, sim
     both = likely.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("s_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("s_b")), "b")
     inter = F.size(F.array_intersect("s_a", "s_b"))
     return both.where(inter * den >= (F.col("n_a") + F.col("n_b") - inter) * num).select("a", "b")
+
+
+def keep_one(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that with the smallest doc_id (of
+    rows that share it, one). Rows without words, and rows with a null doc_id, all stay."""
+    found = near_duplicates(docs, k, similarity)
+    linked = stored(found.where("n_shingles > 0 and doc_id is not null").select("doc_id", "component_id").distinct(), "near-groups")
+    gone = linked.groupBy("doc_id").agg(F.max((F.col("component_id") == F.col("doc_id")).cast("int")).alias("first")).where("first = 0")
+    key = ["doc_id", F.xxhash64("text").alias("text_hash")]
+    twice = docs.where("doc_id is not null").select(*key).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    rest = docs.join(gone.select("doc_id"), "doc_id", "left_anti")
+    single = rest.join(twice, "doc_id", "left_anti")
+    again = rest.join(twice, "doc_id", "left_semi")
+    again = again.dropDuplicates(["doc_id", "text"])
+    return single.unionByName(again).select(*docs.columns)
