@@ -279,3 +279,23 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_score(*model), "doc_id long, text string, score double, n_toxic_words long")
     return rows.select("doc_id", "text", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_toxic_words")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose score is 0.5 or more (columns unchanged)."""
+    model = train(docs, labels)
+    schema = docs.schema
+    cols = ["doc_id", "text", *(c for c in docs.columns if c not in ("doc_id", "text"))]
+    scored = docs.select(*cols).mapInArrow(_keep(*model), docs.select(*cols).schema)
+    return scored.select(*schema.names)
+
+
+def _keep(lm: np.ndarray, weights: dict[str, float], logistic: np.ndarray):
+    score = _score(lm, weights, logistic)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in score(batches):
+            keep = pa.array(b.column(b.num_columns - 2).to_numpy() < 0.5)
+            yield pa.RecordBatch.from_arrays(b.columns[:-2], names=b.schema.names[:-2]).filter(keep)
+
+    return run
