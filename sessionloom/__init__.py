@@ -1,0 +1 @@
+"""Session recommendation jobs and training-text operators on Spark."""

@@ -1,0 +1 @@
+"""Session, candidate, feature, ranking and metric operators: DataFrame in, DataFrame out."""

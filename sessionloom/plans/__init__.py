@@ -1,0 +1 @@
+"""Fixture views, registered queries and their SQL."""

@@ -2,5 +2,605 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sessionloom.functions.exprs import ts_parts
+from sessionloom.operators import candidates, covisit, ensemble, events, features, metrics, neighbours, popular, ranking
+
+from .fixtures import covisit_tables, embeddings, events_a, events_b, split, with_ctes
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+SQL_TYPES = {"long": "BIGINT", "int": "INTEGER", "string": "VARCHAR"}
+
+
+def register(name: str, schema: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query with its result columns ("a long, b double"): both sides are cast to these
+    and doubles are rounded to nine and then six decimals; lists ("list") become comma-joined strings."""
+    cols = [c.strip().split(" ") for c in schema.split(", ")]
+
+    def add(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            df = f(spark, sf_dir)
+            cast = {"double": lambda c: F.round(F.round(F.col(c).cast("double"), 9).cast("decimal(38,9)"), 6).cast("double"), "list": lambda c: F.array_join(F.col(c).cast("array<string>"), ",")}
+            return df.select(*(cast.get(t, lambda c, t=t: F.col(c).cast(t))(c).alias(c) for c, t in cols))
+
+        QUERIES[name] = run
+        if sql:
+            shown = {"double": "CAST(CAST(round(CAST({c} AS DOUBLE), 9) AS DECIMAL(38, 6)) AS DOUBLE)", "list": "array_to_string({c}, ',')"} | {k: f"CAST({{c}} AS {v})" for k, v in SQL_TYPES.items()}
+            picked = ", ".join(f"{shown[t].format(c=c)} AS {c}" for c, t in cols)
+            ORACLE_SQL[name] = with_ctes(f"SELECT {picked} FROM ({sql})")
+        return f
+
+    return add
+
+
+EVENT = "session long, aid int, ts long, type int"
+NAME = "CASE type WHEN 0 THEN 'clicks' WHEN 1 THEN 'carts' ELSE 'orders' END"
+
+
+# Splits, labels, prepared events.
+
+
+@register("last_days", EVENT, "SELECT * FROM ea WHERE ts > (SELECT max(ts) FROM ea) - 7 * 86400")
+def _(spark, d):
+    return events.last_days(events_a(spark, d))
+
+
+@register("sample_sessions", EVENT, "SELECT * FROM eb WHERE CAST(('0x' || substr(md5(session || '_3'), 1, 15)) AS BIGINT) / 1152921504606846976.0 < 0.3")
+def _(spark, d):
+    return events.sample_sessions(events_b(spark, d), 0.3, seed=3)
+
+
+@register("cutoff_features", EVENT, "SELECT * FROM ef")
+def _(spark, d):
+    return events.random_cutoff_split(events_b(spark, d), seed=7)[0]
+
+
+@register("ground_truth", "session long, type string, ground_truth list", "SELECT * FROM truth")
+def _(spark, d):
+    return split(events_b(spark, d))[1]
+
+
+@register("stratified_folds", "class string, fold int, sessions long", """
+    SELECT class, CAST(h % 30 AS INTEGER) AS fold, count(*) AS sessions FROM (
+        SELECT session, CAST(('0x' || substr(md5(session || '_0'), 1, 15)) AS BIGINT) AS h, sum(DISTINCT type) || '_' || count(DISTINCT type) AS class FROM ea GROUP BY session)
+    GROUP BY ALL""")
+def _(spark, d):
+    return events.assign_stratified_folds(events_a(spark, d), 30).groupBy("class", "fold").agg(F.count("*").alias("sessions"))
+
+
+@register("stratified_folds_exact", "session long, class string, fold int", """
+    SELECT session, class, (row_number() OVER (PARTITION BY class ORDER BY h, session) - 1) % 5 AS fold FROM (
+        SELECT session, CAST(('0x' || substr(md5(session || '_0'), 1, 15)) AS BIGINT) AS h, sum(DISTINCT type) || '_' || count(DISTINCT type) AS class FROM ea GROUP BY session)""")
+def _(spark, d):
+    return events.assign_stratified_folds(events_a(spark, d), 5, exact=True)
+
+
+@register("ts_parts", "session long, ts long, hour int, weekday int, date string, datehour string, datetime string", """
+    SELECT session, ts, ((ts + 7200) // 3600) % 24 AS hour, ((ts + 7200) // 86400 + 3) % 7 AS weekday,
+        strftime(make_timestamp((ts + 7200) * 1000000), '%Y-%m-%d') AS date, strftime(make_timestamp((ts + 7200) * 1000000), '%Y-%m-%d %H:00:00') AS datehour,
+        strftime(make_timestamp((ts + 7200) * 1000000), '%Y-%m-%d %H:%M:%S') AS datetime FROM ea""")
+def _(spark, d):
+    return ts_parts(events_a(spark, d))
+
+
+PREPARED = "session long, aid int, ts long, type int, pos long, action_num_reverse_chrono int, duration_second long, oneday_session int, hour int, weekday int, log_recency_score double, type_weighted_log_recency_score double, log_duration_second double, type_weighted_log_duration_second double"
+
+
+@register("prepare_events", PREPARED, "SELECT * FROM prepa")
+def _(spark, d):
+    return events.prepare_events(events_a(spark, d))
+
+
+@register("prepare_events_orders", PREPARED, "SELECT * FROM prepb")
+def _(spark, d):
+    return events.prepare_events(events_b(spark, d))
+
+
+for _mode, _flag in (("reference", "coalesce(lead(ts) OVER w - ts, ts - lag(ts) OVER w)"), ("gap", "ts - lag(ts) OVER w")):
+
+    @register(f"real_sessions_{_mode}", "session long, aid int, ts long, real_session string, real_session_size long", f"""
+        SELECT *, count(*) OVER (PARTITION BY real_session) AS real_session_size FROM (
+            SELECT session, aid, ts, session || '_' || sum(opens) OVER (PARTITION BY session ORDER BY ts, type, aid ROWS UNBOUNDED PRECEDING) AS real_session
+            FROM (SELECT *, CASE WHEN {_flag} > 7200 THEN 1 ELSE 0 END AS opens FROM ea WINDOW w AS (PARTITION BY session ORDER BY ts, type, aid)))""")
+    def _(spark, d, mode=_mode):
+        return events.real_sessions(events_a(spark, d), boundary=mode)
+
+
+# Popularity.
+
+for _key in (None, "date", "datehour", "hour"):
+    _k = f", {_key}" if _key else ""
+    _expr = {None: "", "date": ", strftime(make_timestamp((ts + 7200) * 1000000), '%Y-%m-%d') AS date", "datehour": ", strftime(make_timestamp((ts + 7200) * 1000000), '%Y-%m-%d %H:00:00') AS datehour", "hour": ", ((ts + 7200) // 3600) % 24 AS hour"}[_key]
+
+    @register(f"popular_{_key or 'week'}", f"event string{_k + (' int' if _key == 'hour' else ' string') if _key else ''}, labels list, ranks list", f"""
+        SELECT event{_k}, list(aid ORDER BY r) AS labels, list(r ORDER BY r) AS ranks FROM (
+            SELECT *, row_number() OVER (PARTITION BY event{_k} ORDER BY cnt DESC, aid) AS r FROM (
+                SELECT aid{_k}, event, cnt FROM (SELECT aid{_k}, count(*) FILTER (type = 0) AS clicks, count(*) FILTER (type = 1) AS carts, count(*) FILTER (type = 2) AS orders FROM (SELECT aid, type{_expr} FROM ea) GROUP BY ALL)
+                UNPIVOT (cnt FOR event IN (clicks, carts, orders)))) WHERE r <= 20 GROUP BY ALL""")
+    def _(spark, d, key=_key):
+        return popular.popular(events_a(spark, d), key)
+
+
+@register("attach_popular_date", "event string, n long, first_aid long")
+def _(spark, d):
+    e = events_a(spark, d)
+    got = popular.attach_popular(e, popular.popular(e, "date"), "date")
+    return got.groupBy("event").agg(F.count("*").alias("n"), F.sum(F.col("labels")[0]).alias("first_aid"))
+
+
+# History and co-visitation.
+
+CAND = "session long, candidate_aid int, rank int"
+
+
+@register("unique_recent_aids", "session long, aid int, recent_rank int", "SELECT session, aid, recent_rank FROM uniq")
+def _(spark, d):
+    return covisit.unique_recent_aids(split(events_b(spark, d))[0])
+
+
+@register("past_aids", CAND, "SELECT * FROM past")
+def _(spark, d):
+    return covisit.past_aids(split(events_b(spark, d))[0])
+
+
+for _t in ("clicks", "carts_orders", "buy2buy"):
+
+    @register(f"covisitation_{_t}", "aid_x int, aid_y int, wgt double", f"SELECT * FROM cv_{_t}")
+    def _(spark, d, t=_t):
+        return covisit_tables(split(events_b(spark, d))[0])[t]
+
+
+def _covisit_sql(parts: list[tuple[str, str]]) -> str:
+    hits = " UNION ALL ".join(
+        f"SELECT s.session, c.aid_y AS candidate_aid, ({i} * 1000000 + s.recent_rank) * 1000 + c.nb AS met FROM ({src}) s JOIN (SELECT *, row_number() OVER (PARTITION BY aid_x ORDER BY wgt DESC, aid_y) - 1 AS nb FROM cv_{t}) c ON s.aid = c.aid_x" for i, (src, t) in enumerate(parts)
+    )
+    return f"""
+        SELECT session, candidate_aid, row_number() OVER (PARTITION BY session ORDER BY source, place) - 1 AS rank FROM (
+            SELECT session, candidate_aid, 0 AS source, rank AS place FROM past_more
+            UNION ALL SELECT session, candidate_aid, 1, place FROM (
+                SELECT *, row_number() OVER (PARTITION BY session ORDER BY hits DESC, met, candidate_aid) AS place FROM (SELECT session, candidate_aid, count(*) AS hits, min(met) AS met FROM ({hits}) GROUP BY ALL)) p
+            WHERE place <= 60 AND NOT EXISTS (SELECT 1 FROM uniq u WHERE u.session = p.session AND u.aid = p.candidate_aid))"""
+
+
+_LIGHT = "SELECT * FROM (SELECT u.*, count(*) OVER (PARTITION BY u.session) AS m, k.light FROM uniq u JOIN (SELECT session, aid, max(CASE WHEN type IN (0, 1) THEN 1 ELSE 0 END) AS light FROM ef GROUP BY ALL) k USING (session, aid)) WHERE m < 20 OR light = 1"
+_BOUGHT = "SELECT * FROM uniq u WHERE EXISTS (SELECT 1 FROM ef WHERE type IN (1, 2) AND ef.session = u.session AND ef.aid = u.aid)"
+
+
+@register("covisit_clicks", CAND, _covisit_sql([("SELECT * FROM uniq", "clicks")]))
+def _(spark, d):
+    e = split(events_b(spark, d))[0]
+    return covisit.covisit_clicks(e, covisit_tables(e)["clicks"])
+
+
+@register("covisit_carts", CAND, _covisit_sql([("SELECT * FROM uniq", "clicks"), (_LIGHT, "carts_orders")]))
+def _(spark, d):
+    e = split(events_b(spark, d))[0]
+    t = covisit_tables(e)
+    return covisit.covisit_carts(e, t["clicks"], t["carts_orders"])
+
+
+@register("covisit_orders", CAND, _covisit_sql([("SELECT * FROM uniq", "carts_orders"), (_BOUGHT, "buy2buy")]))
+def _(spark, d):
+    e = split(events_b(spark, d))[0]
+    t = covisit_tables(e)
+    return covisit.covisit_orders(e, t["carts_orders"], t["buy2buy"])
+
+
+for _e in ("clicks", "carts", "orders"):
+
+    @register(f"suggest_with_backfill_{_e}", CAND)
+    def _(spark, d, event=_e):
+        e = split(events_b(spark, d))[0]
+        return covisit.suggest_with_backfill(e, event, covisit_tables(e), popular.popular(e))
+
+
+# Query items and neighbours.
+
+_BEST = {"last_aid": "pos", "max_recency_aid": "lr", "max_weighted_recency_aid": "wr", "max_duration_aid": "ld", "max_weighted_duration_aid": "wd"}
+
+
+@register("query_items", "session long, " + ", ".join(f"{c} int" for c in _BEST), f"""
+    SELECT session, {', '.join(f'arg_max(aid, row({m}, aid)) AS {c}' for c, m in _BEST.items())} FROM (
+        SELECT session, aid, max(pos) AS pos, round(sum(log_recency_score), 9) AS lr, round(sum(type_weighted_log_recency_score), 9) AS wr, round(sum(log_duration_second), 9) AS ld, round(sum(type_weighted_log_duration_second), 9) AS wd
+        FROM prepa GROUP BY ALL) GROUP BY session""")
+def _(spark, d):
+    return neighbours.query_items(events.prepare_events(events_a(spark, d)))
+
+
+def _knn_sql(metric: str, n: int) -> str:
+    dist = "list_distance(q.v, e.v)" if metric == "euclidean" else "1 - list_cosine_similarity(q.v, e.v)"
+    return f"""
+        WITH emb AS (SELECT CAST(vec_id AS INTEGER) AS aid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        lastaid AS (SELECT session, arg_max(aid, pos) AS aid FROM posa GROUP BY session),
+        near AS (SELECT query, aid, row_number() OVER (PARTITION BY query ORDER BY distance, aid) - 1 AS rank FROM (
+            SELECT q.aid AS query, e.aid, round({dist}, 9) AS distance FROM (SELECT * FROM emb WHERE aid IN (SELECT aid FROM lastaid)) q, emb e WHERE e.aid <> q.aid))
+        SELECT session, near.aid AS candidate_aid, rank FROM lastaid JOIN near ON lastaid.aid = query WHERE rank < {n}"""
+
+
+for _metric, _n in (("euclidean", 20), ("cosine", 10)):
+
+    @register(f"knn_{_metric}", CAND, _knn_sql(_metric, _n))
+    def _(spark, d, metric=_metric, n=_n):
+        q = neighbours.query_items(events.prepare_events(events_a(spark, d))).select("session", F.col("last_aid").alias("aid"))
+        return neighbours.knn_by_item(q, embeddings(spark, d), n, metric)
+
+
+@register("knn_last_carted", CAND)
+def _(spark, d):
+    return neighbours.knn_by_item(neighbours.last_carted_query(events_a(spark, d)), embeddings(spark, d), 20, drop_self=False)
+
+
+@register("knn_mean_cart_vector", "query long, aid long, rank int")
+def _(spark, d):
+    e = embeddings(spark, d)
+    return neighbours.knn_by_vector(neighbours.mean_cart_vector(events_a(spark, d), e), e, 20)
+
+
+@register("knn_budget", CAND)
+def _(spark, d):
+    return neighbours.knn_budget(events_a(spark, d), embeddings(spark, d), 40)
+
+
+# Candidate rows.
+
+
+def _long(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(session events, truth, long candidates of history and co-visits for the three events)."""
+    e, truth = split(events_b(spark, d))
+    t = covisit_tables(e)
+    names = F.explode(F.array(*map(F.lit, ("clicks", "carts", "orders")))).alias("event")
+    part = lambda df, s: df.select("session", names, F.lit(s).alias("strategy"), "candidate_aid", "rank")
+    return e, truth, part(covisit.past_aids(e), "past_aids").unionByName(part(covisit.covisit_clicks(e, t["clicks"], with_history=False), "covisit"))
+
+
+def _rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    e, truth, long = _long(spark, d)
+    rows = candidates.candidate_rows(long, ["past_aids", "covisit"])
+    return e, truth, candidates.label_candidates(rows, truth)
+
+
+_CV = f"""SELECT session, candidate_aid, row_number() OVER (PARTITION BY session ORDER BY rank) - 1 AS rank FROM ({_covisit_sql([('SELECT * FROM uniq', 'clicks')])}) c
+    WHERE NOT EXISTS (SELECT 1 FROM uniq u WHERE u.session = c.session AND u.aid = c.candidate_aid)"""
+_LONG = f"""SELECT session, event, strategy, candidate_aid, rank FROM (SELECT session, 'past_aids' AS strategy, candidate_aid, rank FROM past UNION ALL SELECT session, 'covisit', candidate_aid, rank FROM ({_CV})) x,
+    (VALUES ('clicks'), ('carts'), ('orders')) AS t(event)"""
+_ROWS = f"""
+    SELECT r.*, CASE WHEN t.session IS NULL THEN 0 ELSE 1 END AS label FROM (
+        SELECT event, session, candidate_aid, rp AS retrieval_past_aids, rc AS retrieval_covisit,
+            coalesce(kp, sum(rp) OVER (PARTITION BY event, session)) AS rank_past_aids, coalesce(kc, sum(rc) OVER (PARTITION BY event, session)) AS rank_covisit
+        FROM (SELECT event, session, candidate_aid, max(CASE WHEN strategy = 'past_aids' THEN 1 ELSE 0 END) AS rp, max(CASE WHEN strategy = 'covisit' THEN 1 ELSE 0 END) AS rc,
+                min(rank) FILTER (strategy = 'past_aids') AS kp, min(rank) FILTER (strategy = 'covisit') AS kc FROM ({_LONG}) GROUP BY ALL)) r
+    LEFT JOIN (SELECT DISTINCT session, type, unnest(ground_truth) AS aid FROM truth) t ON t.session = r.session AND t.type = r.event AND t.aid = r.candidate_aid"""
+ROWS = "event string, session long, candidate_aid int, retrieval_past_aids int, retrieval_covisit int, rank_past_aids int, rank_covisit int, label int"
+
+
+@register("candidate_rows", ROWS, _ROWS)
+def _(spark, d):
+    return _rows(spark, d)[2]
+
+
+@register("training_rows", ROWS, f"SELECT * FROM (SELECT *, max(label) OVER (PARTITION BY event, session) AS any_hit FROM ({_ROWS})) WHERE any_hit = 1")
+def _(spark, d):
+    _, truth, rows = _rows(spark, d)
+    return candidates.drop_zero_hit_sessions(candidates.drop_unlabelled_sessions(rows, truth))
+
+
+@register("combined_ranks", "event string, session long, candidate_aid int, retrieval_combined int, rank_combined int, label int", f"SELECT event, session, candidate_aid, retrieval_past_aids + retrieval_covisit AS retrieval_combined, least(rank_past_aids, rank_covisit) AS rank_combined, label FROM ({_ROWS})")
+def _(spark, d):
+    return candidates.combine_ranks(_rows(spark, d)[2], ["past_aids", "covisit"], ["past_aids", "covisit"])
+
+
+@register("downsampled_negatives", ROWS)
+def _(spark, d):
+    return candidates.downsample_negatives(_rows(spark, d)[2], ratio=10, seed=3, exact=True)
+
+
+@register("negatives_per_session", ROWS)
+def _(spark, d):
+    _, truth, rows = _rows(spark, d)
+    return candidates.sample_negatives_per_session(rows, 2, seed=3)
+
+
+@register("candidate_recall", "type string, k int, hits long, gt long, recall double, mean_recall double, n_mean double, n_median double")
+def _(spark, d):
+    _, truth, long = _long(spark, d)
+    return metrics.candidate_recall(long, truth, strategy_order=("past_aids", "covisit"))
+
+
+# Recall of the history: the flagship.
+
+_RECALL_ROWS = """SELECT t.type, k.k, len(list_intersect(list_distinct(coalesce(p.aids, [])[1:k.k]), t.ground_truth)) AS h, least(len(t.ground_truth), 20) AS g
+    FROM truth t LEFT JOIN (SELECT session, list(candidate_aid ORDER BY rank) AS aids FROM past GROUP BY session) p USING (session), (VALUES (10), (20)) AS k(k)"""
+_BY = f"SELECT type, k, sum(h) AS hits, sum(g) AS gt, sum(h) / sum(g) AS recall, avg(h / g) AS mean_recall FROM ({_RECALL_ROWS}) GROUP BY ALL"
+
+
+@register("recall_past_aids", "type string, k int, hits long, gt long, recall double, mean_recall double", f"""
+    WITH by_event AS ({_BY}) SELECT * FROM by_event UNION ALL
+    SELECT 'overall', k, sum(hits), sum(gt), sum(recall * w), sum(mean_recall * w) FROM (SELECT *, CASE type WHEN 'clicks' THEN 0.1 WHEN 'carts' THEN 0.3 ELSE 0.6 END AS w FROM by_event) GROUP BY k""")
+def _(spark, d):
+    e, truth = split(events_b(spark, d))
+    past = covisit.past_aids(e).withColumn("score", -F.col("rank"))
+    pred = ranking.make_submission(*(ranking.top_k(past, 20, event) for event in ("clicks", "carts", "orders")))
+    return metrics.recall_at_k(pred, truth, (10, 20))
+
+
+@register("top_k", "session_type string, labels string", "SELECT session || '_orders' AS session_type, string_agg(candidate_aid, ' ' ORDER BY rank) AS labels FROM past GROUP BY session")
+def _(spark, d):
+    return ranking.top_k(covisit.past_aids(split(events_b(spark, d))[0]).withColumn("score", -F.col("rank")), 20, "orders")
+
+
+# Features.
+
+
+def _feature_query(name: str, schema: str, table: str, sql: str | None) -> None:
+    """A feature table of the prepared order lines."""
+    make = {
+        "session": features.session_features,
+        "session_item": features.session_item_features,
+        "item": features.item_features,
+        "item_hour": features.item_hour_features,
+        "item_weekday": features.item_weekday_features,
+    }[table.removesuffix("_wide")]
+
+    @register(name, schema, sql)
+    def _(spark, d):
+        return make(events.prepare_events(events_a(spark, d)), wide=table.endswith("_wide"))
+
+
+def _div(x: str, y: str) -> str:
+    return f"CASE WHEN {y} = 0 THEN 0 ELSE ({x}) / ({y})::DOUBLE END"
+
+
+_N = {0: "click", 1: "cart", 2: "order"}
+_D = {0: "clicked", 1: "carted", 2: "ordered"}
+_CNT = {t: f"count(*) FILTER (type = {t})" for t in _N}
+_DST = {t: f"count(DISTINCT aid) FILTER (type = {t})" for t in _N}
+_DIFF = lambda c, t: f"coalesce(abs(arg_max({c}, pos) - avg({c}) FILTER (type = {t})), 99)"
+_SESSION = {
+    "sess_all_events_count": ("long", "count(*)"),
+    "sess_cart_count": ("long", _CNT[1]),
+    **{f"sess_{_D[t]}_aid_dcount": ("long", _DST[t]) for t in _N},
+    "sess_duration_mins": ("double", "(max(ts) - min(ts)) / 60.0"),
+    "sess_avg_cart_dur_sec": ("double", "coalesce(avg(duration_second) FILTER (type = 1), 0)"),
+    "sess_last_type_in_session": ("int", "arg_max(type, pos)"),
+    "sess_hour": ("int", "arg_max(hour, pos)"),
+    "sess_weekday": ("int", "arg_max(weekday, pos)"),
+    "sess_carted_to_ordered_aid_cvr": ("double", _div(_DST[2], _DST[1])),
+    "sess_abs_diff_avg_hour_cart": ("double", _DIFF("hour", 1)),
+    "sess_abs_diff_avg_weekday_cart": ("double", _DIFF("weekday", 1)),
+    "sess_binned_aid_dcount": ("int", "CASE WHEN count(DISTINCT aid) <= 4 THEN count(DISTINCT aid) WHEN count(DISTINCT aid) <= 8 THEN 5 WHEN count(DISTINCT aid) <= 12 THEN 6 WHEN count(DISTINCT aid) <= 15 THEN 7 WHEN count(DISTINCT aid) <= 20 THEN 8 WHEN count(DISTINCT aid) <= 30 THEN 9 ELSE 10 END"),
+}
+_SESSION_WIDE = _SESSION | {
+    **{f"sess_avg_{a}_dur_sec": ("double", f"coalesce(avg(duration_second) FILTER (type = {t}), 0)") for t, a in _N.items()},
+    **{f"sess_fraction_{a}_to_all": ("double", _div(_CNT[t], "count(*)")) for t, a in _N.items()},
+    **{f"sess_abs_diff_avg_hour_{a}": ("double", _DIFF("hour", t)) for t, a in _N.items()},
+    "sess_num_real_session": ("long", "sum(oneday_session) + 1"),
+    "sess_type_dcount": ("long", "count(DISTINCT type)"),
+    "sess_click_to_cart_cvr": ("double", _div(_CNT[1], _CNT[0])),
+    "sess_clicked_to_carted_aid_cvr": ("double", _div(_DST[1], _DST[0])),
+}
+
+
+def _grouped(key: str, src: str, cols: dict[str, tuple[str, str]]) -> tuple[str, str]:
+    return ", ".join([key, *(f"{c} {t}" for c, (t, _) in cols.items())]), f"SELECT {key.split(' ')[0]}, {', '.join(f'{x} AS {c}' for c, (_, x) in cols.items())} FROM {src} GROUP BY {key.split(' ')[0]}"
+
+
+for _name, _cols in (("session_features", _SESSION), ("session_features_wide", _SESSION_WIDE)):
+    _feature_query(_name, *(lambda x: (x[0], _name.removesuffix("_features").replace("session_features", "session"), x[1]))(_grouped("session long", "prepa", _cols)))
+
+_ITEM = {
+    "item_all_events_count": ("long", "count(*)"),
+    **{f"item_{a}_count": ("long", _CNT[t]) for t, a in _N.items()},
+    **{f"item_avg_hour_{a}": ("double", f"avg(hour) FILTER (type = {t})") for t, a in _N.items()},
+    **{f"item_avg_weekday_{a}": ("double", f"avg(weekday) FILTER (type = {t})") for t, a in _N.items() if t != 1},
+}
+_ITEM_WIDE = _ITEM | {"item_avg_weekday_cart": ("double", "avg(weekday) FILTER (type = 1)"), "item_click_to_cart_cvr": ("double", _div(_CNT[1], _CNT[0])), "item_cart_to_order_cvr": ("double", _div(_CNT[2], _CNT[1]))}
+_feature_query("item_features", _grouped("aid int", "prepa", _ITEM)[0], "item", _grouped("aid int", "prepa", _ITEM)[1])
+_feature_query("item_features_wide", _grouped("aid int", "prepa", _ITEM_WIDE)[0], "item_wide", _grouped("aid int", "prepa", _ITEM_WIDE)[1])
+
+_TIME = "SELECT aid, {k}, count(*) AS all_n, count(*) FILTER (type = 0) AS click, count(*) FILTER (type = 1) AS cart, count(*) FILTER (type = 2) AS ord FROM prepa GROUP BY ALL"
+_feature_query("item_hour_features", "aid int, hour int, itemXhour_all_events_count long, itemXhour_click_count long, itemXhour_click_to_cart_cvr double, itemXhour_frac_click_all_click double, itemXhour_frac_click_all_hour_click double", "item_hour", f"""
+    SELECT aid, hour, all_n AS itemXhour_all_events_count, click AS itemXhour_click_count, {_div('cart', 'click')} AS itemXhour_click_to_cart_cvr,
+        {_div('click', 'sum(click) OVER (PARTITION BY aid)')} AS itemXhour_frac_click_all_click, {_div('click', 'sum(click) OVER (PARTITION BY hour)')} AS itemXhour_frac_click_all_hour_click FROM ({_TIME.format(k='hour')})""")
+_feature_query("item_weekday_features", "aid int, weekday int, itemXweekday_all_events_count long, itemXweekday_cart_count long, itemXweekday_order_count long, itemXweekday_click_to_cart_cvr double, itemXweekday_cart_to_order_cvr double, itemXweekday_frac_click_all_click double, itemXweekday_frac_cart_all_cart double, itemXweekday_frac_cart_all_weekday_cart double", "item_weekday", f"""
+    SELECT aid, weekday, all_n AS itemXweekday_all_events_count, cart AS itemXweekday_cart_count, ord AS itemXweekday_order_count, {_div('cart', 'click')} AS itemXweekday_click_to_cart_cvr, {_div('ord', 'cart')} AS itemXweekday_cart_to_order_cvr,
+        {_div('click', 'sum(click) OVER (PARTITION BY aid)')} AS itemXweekday_frac_click_all_click, {_div('cart', 'sum(cart) OVER (PARTITION BY aid)')} AS itemXweekday_frac_cart_all_cart, {_div('cart', 'sum(cart) OVER (PARTITION BY weekday)')} AS itemXweekday_frac_cart_all_weekday_cart FROM ({_TIME.format(k='weekday')})""")
+
+_SI = {
+    "sesXaid_all_events_count": ("long", "all_n"),
+    **{f"sesXaid_{a}_count": ("long", f"n_{a}") for a in _N.values()},
+    **{f"sesXaid_sum_{a}_dur_sec": ("long", f"d_{a}") for a in _N.values()},
+    "sesXaid_type_dcount": ("long", "types"),
+    "sesXaid_log_recency_score": ("double", "lr"),
+    "sesXaid_type_weighted_log_recency_score": ("double", "wr"),
+    "sesXaid_action_num_reverse_chrono": ("int", "rev"),
+    "sesXaid_last_type_in_session": ("int", "last_type"),
+    "sesXaid_mins_from_last_event": ("double", "mins"),
+    "sesXaid_frac_log_recency_to_all": ("double", _div("lr", "sum(lr) OVER s")),
+    "sesXaid_frac_type_weighted_log_recency_to_all": ("double", _div("wr", "sum(wr) OVER s")),
+    **{f"sesXaid_frac_{a}_all_{a}": ("double", _div(f"n_{a}", f"sum(n_{a}) OVER s")) for a in ("click", "cart")},
+    **{f"sesXaid_frac_{a}_all_{a}_dur_sec_of_all": ("double", _div(f"d_{a}", "sum(d_all) OVER s")) for a in ("click", "cart")},
+    **{f"sesXaid_frac_{a}_all_{a}_dur_sec": ("double", _div(f"d_{a}", f"sum(d_{a}) OVER s")) for a in ("click", "cart")},
+    **{f"sesXaid_frac_{a}_of_own_events": ("double", _div(f"n_{a}", "all_n")) for a in _N.values()},
+}
+_feature_query("session_item_features", "session long, candidate_aid int, " + ", ".join(f"{c} {t}" for c, (t, _) in _SI.items()), "session_item", f"""
+    SELECT session, aid AS candidate_aid, {', '.join(f'{x} AS {c}' for c, (_, x) in _SI.items())} FROM (
+        SELECT session, aid, count(*) AS all_n, {', '.join(f'count(*) FILTER (type = {t}) AS n_{a}, coalesce(sum(duration_second) FILTER (type = {t}), 0) AS d_{a}' for t, a in _N.items())}, sum(duration_second) AS d_all,
+            count(DISTINCT type) AS types, sum(log_recency_score) AS lr, sum(type_weighted_log_recency_score) AS wr, min(action_num_reverse_chrono) AS rev, arg_max(type, pos) AS last_type, avg((last_ts - ts) / 60.0) AS mins
+        FROM (SELECT *, max(ts) OVER (PARTITION BY session) AS last_ts FROM prepa) GROUP BY ALL) WINDOW s AS (PARTITION BY session)""")
+
+
+_F7 = {t: f"coalesce(sum(times) FILTER (tab = '{t}'), 0)" for t in ("clicks", "carts_orders", "buy2buy")}
+_TAGGED = " UNION ALL ".join(f"SELECT aid_x, aid_y, CAST(wgt AS DOUBLE) AS wgt, '{t}' AS tab FROM cv_{t}" for t in _F7)
+
+
+@register("session_covisit_counts", "session long, candidate_aid int, sess_covisit_clicks_count long, sess_covisit_carts_orders_count long, sess_covisit_buy2buy_count long", f"""
+    SELECT session, aid_y AS candidate_aid, {', '.join(f'{x} AS sess_covisit_{t}_count' for t, x in _F7.items())}
+    FROM (SELECT session, aid, count(*) AS times FROM ef GROUP BY ALL) JOIN ({_TAGGED}) ON aid = aid_x GROUP BY ALL""")
+def _(spark, d):
+    e = split(events_b(spark, d))[0]
+    return features.session_covisit_counts(e, **covisit_tables(e))
+
+
+def _represented(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    e, truth = split(events_b(spark, d))
+    rows = covisit.past_aids(e).select("session", "candidate_aid", F.col("rank").alias("rank_past_aids"))
+    hits = truth.where("type = 'orders'").select("session", F.explode("ground_truth").alias("candidate_aid")).distinct().withColumn("label", F.lit(1))
+    rows = rows.join(hits, ["session", "candidate_aid"], "left").fillna(0, ["label"])
+    prepared = events.prepare_events(e)
+    return features.session_representation(rows, prepared), prepared, covisit_tables(e)
+
+
+@register("covisit_weights", "session long, candidate_aid int, clicks_weight_last_event double, carts_orders_weight_last_event double, buy2buy_weight_max_recency_event double, clicks_weight_max_duration_event double")
+def _(spark, d):
+    rows, _, tables = _represented(spark, d)
+    return features.covisit_weights(rows, **tables)
+
+
+_PAIRS = """SELECT p.session, p.candidate_aid, l.aid AS x FROM past p JOIN (SELECT session, arg_max(aid, pos) AS aid FROM posf GROUP BY session) l USING (session)"""
+
+
+@register("embedding_distances", "session long, candidate_aid int, word2vec_last_event_cosine_distance double, word2vec_last_event_euclidean_distance double", f"""
+    SELECT session, candidate_aid, CASE WHEN a.v IS NULL OR b.v IS NULL THEN NULL ELSE round(list_cosine_similarity(a.v, b.v), 3) END AS word2vec_last_event_cosine_distance,
+        CASE WHEN a.v IS NULL AND b.v IS NULL THEN NULL WHEN a.v IS NULL THEN round(sqrt(list_dot_product(b.v, b.v)), 3) WHEN b.v IS NULL THEN round(sqrt(list_dot_product(a.v, a.v)), 3) ELSE round(list_distance(a.v, b.v), 3) END AS word2vec_last_event_euclidean_distance
+    FROM ({_PAIRS}) LEFT JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) a ON a.vec_id = x LEFT JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) b ON b.vec_id = candidate_aid""")
+def _(spark, d):
+    return features.embedding_distances(_represented(spark, d)[0], embeddings(spark, d))
+
+
+@register("rank_score", "session long, candidate_aid int, log_rank_past_aids_score double, frac_log_rank_past_aids_score_to_all double", """
+    SELECT *, s / sum(s) OVER (PARTITION BY session) AS frac_log_rank_past_aids_score_to_all, s AS log_rank_past_aids_score FROM (
+        SELECT session, candidate_aid, CASE WHEN max(rank) OVER w = 1 THEN 1.0 ELSE pow(2.0, 0.1 + 0.9 * CASE WHEN max(rank) OVER w = 1 THEN 0 ELSE (max(rank) OVER w - rank) / (max(rank) OVER w - 1)::DOUBLE END) - 1 END AS s
+        FROM past WINDOW w AS (PARTITION BY session))""")
+def _(spark, d):
+    return features.rank_score(_represented(spark, d)[0], "rank_past_aids")
+
+
+@register("combined_features", "session long, candidate_aid int, label int, sess_all_events_count long, sesXaid_all_events_count long, sesXaid_action_num_reverse_chrono int, item_all_events_count long, itemXhour_click_count long, itemXweekday_cart_count long, clicks_weight_mean double, clicks_weight_max_min_diff double, word2vec_last_event_cosine_distance double, sessXitem_abs_diff_hour_order int, rank_past_aids_mean_diff double, log_rank_past_aids_score double, rank_past_aids_min_sess_aid_dcount int")
+def _(spark, d):
+    rows, prepared, tables = _represented(spark, d)
+    out = features.combine_features(
+        rows,
+        features.session_features(prepared),
+        features.covisit_weights(rows, **tables),
+        features.embedding_distances(rows, embeddings(spark, d)),
+        features.session_item_features(prepared),
+        features.item_features(prepared),
+        features.item_hour_features(prepared),
+        features.item_weekday_features(prepared),
+    )
+    out = features.rank_score(features.relative_diff(out, ["rank_past_aids"]), "rank_past_aids")
+    return features.past_rank_or_minus_one(out)
+
+
+def _combos(spark: SparkSession, d: str) -> DataFrame:
+    rows, prepared, _ = _represented(spark, d)
+    return features.category_combos(rows.withColumnRenamed("rank_past_aids", "rank_combined"), features.session_features(prepared))
+
+
+@register("category_combos", "session long, candidate_aid int, label int, rank_x_last_type string, rank_x_hour string, rank_x_weekday string, rank_x_weekday_x_hour string, rank_x_aid_dcount string")
+def _(spark, d):
+    return _combos(spark, d)
+
+
+@register("target_encoding", "session long, candidate_aid int, rank_x_last_type_te double")
+def _(spark, d):
+    rows = ranking.group_folds(_combos(spark, d), 5)
+    return features.apply_target_encoding(rows, features.target_encoding(rows, "rank_x_last_type", "fold"), "rank_x_last_type", "fold")
+
+
+# Scores, blends, exploration.
+
+MODELS = (1, 2, 3)
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    """Three deterministic stand-ins for models' scores of the history candidates."""
+    rows, _, _ = _represented(spark, d)
+    parts = F.explode(F.array(*map(F.lit, MODELS))).alias("m")
+    s = F.pmod(F.col("session") * 31 + F.col("candidate_aid") * 17 * F.col("m") + F.col("label") * 97, F.lit(1000)) / 1000
+    return rows.select("session", "candidate_aid", "label", parts).select(F.concat(F.lit("m"), F.col("m").cast("string")).alias("model"), "session", "candidate_aid", "label", s.alias("score"))
+
+
+_SCORES = """SELECT 'm' || m AS model, p.session, p.candidate_aid, CASE WHEN t.aid IS NULL THEN 0 ELSE 1 END AS label,
+        ((p.session * 31 + p.candidate_aid * 17 * m + CASE WHEN t.aid IS NULL THEN 0 ELSE 97 END) % 1000) / 1000.0::DOUBLE AS score
+    FROM past p LEFT JOIN (SELECT DISTINCT session, unnest(ground_truth) AS aid FROM truth WHERE type = 'orders') t ON t.session = p.session AND t.aid = p.candidate_aid, (VALUES (1), (2), (3)) AS v(m)"""
+_SCALED = f"SELECT s.* REPLACE ((score - lo) / (hi - lo) AS score) FROM ({_SCORES}) s JOIN (SELECT model, min(score) AS lo, max(score) AS hi FROM ({_SCORES}) GROUP BY model) USING (model)"
+PAIR = "session long, candidate_aid int, label int, score double"
+
+
+@register("ensemble_weighted", PAIR, f"SELECT session, candidate_aid, label, sum(pow(score, 2) * CASE model WHEN 'm1' THEN 0.5 WHEN 'm2' THEN 0.3 ELSE 0.2 END) AS score FROM ({_SCALED}) GROUP BY ALL")
+def _(spark, d):
+    return ensemble.ensemble_weighted(_scores(spark, d), {"m1": 0.5, "m2": 0.3, "m3": 0.2}, 2)
+
+
+@register("ensemble_raw", PAIR, f"SELECT session, candidate_aid, label, sum(score * CASE model WHEN 'm1' THEN 0.6 ELSE 0.4 END) AS score FROM ({_SCORES}) WHERE model IN ('m1', 'm2') GROUP BY ALL")
+def _(spark, d):
+    return ensemble.ensemble_weighted(_scores(spark, d), {"m1": 0.6, "m2": 0.4}, scale=False)
+
+
+@register("ensemble_mean", PAIR, f"SELECT session, candidate_aid, max(label) AS label, avg(score) AS score FROM (SELECT *, row_number() OVER (PARTITION BY model, session ORDER BY score DESC, candidate_aid) AS r FROM ({_SCORES})) WHERE r <= 10 GROUP BY ALL")
+def _(spark, d):
+    return ensemble.ensemble_mean(_scores(spark, d), 10)
+
+
+@register("ensemble_vote", "session_type string, labels string")
+def _(spark, d):
+    s = _scores(spark, d)
+    subs = [ranking.top_k(s.where(F.col("model") == m), 10, "orders").withColumn("model", F.lit(m)) for m in ("m1", "m2", "m3")]
+    return ensemble.ensemble_vote(ranking.make_submission(*subs), {"m1": 1.0, "m2": 0.8, "m3": 0.5}, 10)
+
+
+@register("stacking_dataset", "session long, candidate_aid int, label int, m1 double, m2 double, m3 double", f"SELECT session, candidate_aid, max(label) AS label, {', '.join(f'max(score) FILTER (model = {chr(39)}m{i}{chr(39)}) AS m{i}' for i in MODELS)} FROM ({_SCALED}) GROUP BY ALL")
+def _(spark, d):
+    return ensemble.stacking_dataset(_scores(spark, d), ["m1", "m2", "m3"])
+
+
+@register("stack_preprocess", "session long, candidate_aid int, label int, m1 double, m2 double, m3 double")
+def _(spark, d):
+    return ensemble.stack_preprocess(ensemble.stacking_dataset(_scores(spark, d), ["m1", "m2", "m3"]), ["m1", "m2", "m3"])
+
+
+@register("tune_ensemble_weights", "point int, recall double")
+def _(spark, d):
+    grid = [({"m1": a, "m2": 1 - a}, p) for a in (0.25, 0.5, 0.75) for p in (1, 2)]
+    return ensemble.tune_ensemble_weights(_scores(spark, d), split(events_b(spark, d))[1], grid, "orders")
+
+
+@register("auc", "roc_auc double, pr_auc double", f"""
+    SELECT sum(n * (pc - p / 2.0)) / (sum(p) * sum(n)) AS roc_auc, sum(p * pc / (pc + nc)::DOUBLE) / sum(p) AS pr_auc FROM (
+        SELECT *, sum(p) OVER w AS pc, sum(n) OVER w AS nc FROM (SELECT score, sum(label) AS p, sum(1 - label) AS n FROM ({_SCORES}) WHERE model = 'm1' GROUP BY score) WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))""")
+def _(spark, d):
+    return metrics.auc(_scores(spark, d).where("model = 'm1'"))
+
+
+@register("point_biserial", "feature string, r double, n long", f"SELECT 'm' || i AS feature, CASE i WHEN 1 THEN r1 WHEN 2 THEN r2 ELSE r3 END AS r, n FROM (SELECT corr(m1, label) AS r1, corr(m2, label) AS r2, corr(m3, label) AS r3, count(*) AS n FROM (SELECT session, candidate_aid, max(label) AS label, {', '.join(f'max(score) FILTER (model = {chr(39)}m{i}{chr(39)}) AS m{i}' for i in MODELS)} FROM ({_SCALED}) GROUP BY ALL)), (VALUES (1), (2), (3)) AS v(i)")
+def _(spark, d):
+    return metrics.point_biserial(ensemble.stacking_dataset(_scores(spark, d), ["m1", "m2", "m3"]), cols=["m1", "m2", "m3"])
+
+
+@register("feature_histograms", "feature string, group string, bin int, n long, density double")
+def _(spark, d):
+    return metrics.feature_histograms(ensemble.stacking_dataset(_scores(spark, d), ["m1", "m2", "m3"]), ["m1", "m2"])
+
+
+@register("importance_summary", "feature string, min double, median double, max double, std double")
+def _(spark, d):
+    return ranking.importance_summary(_scores(spark, d).select(F.col("model").alias("feature"), F.col("score").alias("importance")))
+
+
+@register("active_sessions", "session long, candidate_aid int, label int", "SELECT session, candidate_aid, label FROM (SELECT *, sum(label) OVER (PARTITION BY session) AS h FROM (" + _SCORES + ") WHERE model = 'm1') WHERE h > 1")
+def _(spark, d):
+    return ranking.active_sessions(_scores(spark, d).where("model = 'm1'"), 1)
+
+
+@register("one_ranker_dataset", "session long, candidate_aid int, label int, rank_past_aids int")
+def _(spark, d):
+    rows = _represented(spark, d)[0].select("session", "candidate_aid", "label", "rank_past_aids")
+    return features.one_ranker_dataset(rows, rows, rows)

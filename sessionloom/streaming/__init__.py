@@ -1,0 +1 @@
+"""No operators: all session jobs of this library are batch jobs over stored tables."""
