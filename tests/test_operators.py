@@ -24,7 +24,7 @@ def test_prepare_events_worked_example(spark):
     assert [r["duration_second"] for r in got] == [60, 0, 0]
     assert [r["oneday_session"] for r in got] == [0, 1, 1]
     assert [round(r["log_recency_score"], 4) for r in got] == [0.0718, 0.4641, 1.0]
-    assert [round(r["type_weighted_log_recency_score"], 4) for r in got] == [0.0718, 2.7846, 3.0]
+    assert [round(r["type_weighted_log_recency_score"], 4) for r in got] == [0.0718, 2.7845, 3.0]
 
 
 def test_single_event_session(small):
