@@ -345,7 +345,7 @@ def test_context_tree_is_a_distribution(spark):
     n = Counter(codes.tolist())
     grams = spark.createDataFrame([(int(k), v) for k, v in n.items()], "code long, n long")
     nodes = context_tree.context_tree(grams).toPandas()
-    key = context_tree.node_key(0, nodes["ctx"].to_numpy(), nodes["m"].to_numpy()) | (nodes["d"].to_numpy(np.int64) << 40)
+    key = context_tree.node_key(0, nodes["ctx"].to_numpy(), nodes["m"].to_numpy()) | (nodes["d"].to_numpy(np.int64) << 56)
     nodes = nodes.assign(key=key).sort_values("key")
     m = context_tree.Model(nodes["key"].to_numpy(np.int64), ((nodes.n1 + 0.5) / (nodes.n0 + nodes.n1 + 1)).to_numpy(), (1 / (1 + np.exp(-nodes.log_beta))).to_numpy())
     for context in (0x616272, 0, 0x7A7A7A):
