@@ -6,8 +6,8 @@ zeros (4 bits) and the 4 bits after the leading one. Bands of six registers are
 at a similarity of 0.8 a pair shares none of 42 bands with probability (1 - 0.8^6)^42 < 3e-6.
 
 Equal sets collapse into classes first; only their representatives go on. Within a key,
-documents are compared with a hub (the member that shares most keys with others) in rounds,
-and a pair is only compared while its two documents are in different components, so that groups
+documents are compared with a hub (the member that shares most keys with others),
+and a later pair is only compared while its two documents are in different components, so that groups
 of thousands of copies cost a few comparisons for each document. Small keys compare all pairs.
 What then is in other components than most of its key is compared with all of these, in blocks
 of signatures: a task estimates the pairs of two blocks and returns only likely ones.
@@ -36,7 +36,7 @@ SMALL_KEY = 6
 #: Estimates below the wanted similarity by this much are dropped: 4.5 standard deviations at 512 registers.
 SLACK = 0.08
 #: Classes of a key that one task compares with as many others.
-BLOCK = 256
+BLOCK = 512
 
 
 def shingles(codes: np.ndarray, sizes: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -174,7 +174,8 @@ def _ordered(x: str, y: str) -> tuple:
 
 
 def _search(docs: DataFrame, classes: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
-    """Verified links between classes, enough to give the right components."""
+    """Links between classes that give the right components: of each class to its component after
+    the hub comparisons, and the verified links that join such components."""
     bands = stored(classes.select("cls", "n_shingles", "sig").mapInArrow(_bands, "cls long, size long, key long"), "near-bands")
     counts = bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     was, bands = bands, stored(bands.join(counts, "key"), "near-shared")
@@ -190,14 +191,12 @@ def _search(docs: DataFrame, classes: DataFrame, k: int, similarity: tuple[int,
     fresh = stored(every.unionByName(star).distinct(), "near-pairs")
     discard(bands)
     tested, links = fresh, stored(_verified(docs, fresh, classes, k, similarity), "near-links")
-    while True:
-        part = components(links, "near-round").withColumnRenamed("node", "cls").withColumnRenamed("component", "comp")
-        now = stored(large.join(part, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "near-now")
-        fresh = stored(_next_pairs(now, classes, similarity).join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        if fresh.isEmpty():
-            return links
-        links = links.unionByName(stored(_verified(docs, fresh, classes, k, similarity), "near-links"))
-        tested = tested.unionByName(fresh)
+    part = stored(components(links, "near-first"), "near-parts")
+    now = large.join(part.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    # All likely pairs between components: one round is enough, as components only merge afterwards.
+    fresh = stored(_next_pairs(stored(now, "near-now"), classes, similarity).join(tested, ["a", "b"], "left_anti"), "near-pairs")
+    stars = part.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return stars.unionByName(stored(_verified(docs, fresh, classes, k, similarity), "near-links"))
 
 
 def _sizes(x: str, y: str, similarity: tuple[int, int]):
