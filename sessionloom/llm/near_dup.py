@@ -196,7 +196,7 @@ def _search(docs: DataFrame, classes: DataFrame, k: int, similarity: tuple[int,
     # All likely pairs between components: one round is enough, as components only merge afterwards.
     fresh = stored(_next_pairs(stored(now, "near-now"), classes, similarity).join(tested, ["a", "b"], "left_anti"), "near-pairs")
     stars = part.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return stars.unionByName(stored(_verified(docs, fresh, classes, k, similarity), "near-links"))
+    return stars.unionByName(stored(_exact(docs, fresh, classes, k, similarity), "near-links"))
 
 
 def _sizes(x: str, y: str, similarity: tuple[int, int]):
@@ -228,7 +228,7 @@ def _compare(similarity: tuple[int, int]):
             first = (bands[a] == bands[b]).all(2).argmax(1)
             mine = np.array([band_keys(sig[i])[f] == own for i, f in zip(a, first, strict=True)], bool)
             a, b = a[mine], b[mine]
-        return pd.DataFrame({"a": cls[a], "b": cls[b]})
+        return pd.DataFrame({"a": cls[a], "b": cls[b], "n_a": size[a], "n_b": size[b]})
 
     return run
 
@@ -239,16 +239,20 @@ def _next_pairs(now: DataFrame, classes: DataFrame, similarity: tuple[int, int])
     rows = now.join(parts, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), F.col("mine").alias("side"), "cls", "size", "comp")
-    return rows.join(classes.select("cls", "sig"), "cls").groupBy("key", "lo", "hi").applyInPandas(_compare(similarity), "a long, b long").distinct()
+    return rows.join(classes.select("cls", "sig"), "cls").groupBy("key", "lo", "hi").applyInPandas(_compare(similarity), "a long, b long, n_a long, n_b long").distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
     """Pairs that pass the estimate, then the exact test."""
-    num, den = similarity
     side = lambda c: classes.select(F.col("cls").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}"))
     wide = pairs.join(side("a"), "a").join(side("b"), "b")
-    likely = wide.withColumn("j", _estimate("sig_a", "sig_b", "n_a", "n_b")).where(F.col("j") >= num / den - SLACK)
-    likely = stored(likely.select("a", "b", "n_a", "n_b"), "near-likely")
+    likely = wide.withColumn("j", _estimate("sig_a", "sig_b", "n_a", "n_b")).where(F.col("j") >= similarity[0] / similarity[1] - SLACK)
+    return _exact(docs, stored(likely.select("a", "b", "n_a", "n_b"), "near-likely"), classes, k, similarity)
+
+
+def _exact(docs: DataFrame, likely: DataFrame, classes: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs (with their set sizes) that pass the exact test on full sets."""
+    num, den = similarity
     nodes = likely.select(F.col("a").alias("cls")).union(likely.select("b")).distinct()
     wanted = classes.join(nodes, "cls").select("cls", "rep", "digest")
     texts = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
