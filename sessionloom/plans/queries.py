@@ -32,7 +32,7 @@ def register(name: str, schema: str, sql: str | None = None) -> Callable[[Query]
 
         QUERIES[name] = run
         if sql:
-            shown = {"double": "CAST(CAST(round(CAST({c} AS DOUBLE), 9) AS DECIMAL(38, 6)) AS DOUBLE)", "list": "array_to_string({c}, ',')"} | {k: f"CAST({{c}} AS {v})" for k, v in SQL_TYPES.items()}
+            shown = {"double": "CAST(CAST(CAST(CAST({c} AS DOUBLE) AS DECIMAL(38, 9)) AS DECIMAL(38, 6)) AS DOUBLE)", "list": "array_to_string({c}, ',')"} | {k: f"CAST({{c}} AS {v})" for k, v in SQL_TYPES.items()}
             picked = ", ".join(f"{shown[t].format(c=c)} AS {c}" for c, t in cols)
             ORACLE_SQL[name] = with_ctes(f"SELECT {picked} FROM ({sql})")
         return f
