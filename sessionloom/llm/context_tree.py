@@ -7,13 +7,17 @@ training text (log P_w = log(P_e / 2 + prod P_w(children) / 2), bottom-up), and
 probability mixes the estimates of all depths along its context. Texts end with a zero byte and
 start after DEPTH zero bytes, so the probabilities of all texts sum to one.
 
-Counts cover all training documents. The scoring tables that are broadcast have fixed bounds:
-the most frequent words and nodes. Rarer words are looked up by a join; where a node isn't in
-the table, the mix ends at its parent.
+Counts cover all training documents, and the whole tree stays in Spark. Grams of the scored texts
+that training lacks are in it with a count of 0: they add no evidence, and a decision's mix ends
+at the last node with a count. Each node's mixed probability comes from its parent's, level by
+level, and eight nodes give the log10 probability of a byte gram, once for every distinct gram.
+The most frequent words and grams are broadcast as a cache of fixed size; the others are looked
+up by a join, so the size of the cache changes no result.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import WordCodes, crc_mod, slices, stored, word_codes
+from .common import WordCodes, crc_mod, shuffle_partitions, slices, stored, word_codes
 
 DEPTH = 4
-#: Entries of the broadcast tables at most (8 and 16 bytes each).
-WORDS, NODES = 500_000, 1_500_000
+#: Entries of the broadcast caches at most (16 bytes each).
+WORDS, GRAMS = 500_000, 1_500_000
 COUNT_BYTES = 12_000_000
 CACHE_BITS = 22
 WORD_KIND, GRAM_KIND = 0, 1
@@ -49,19 +53,30 @@ def byte_grams(texts: list[str | None], depth: int = DEPTH) -> tuple[np.ndarray,
     return codes, starts, lengths
 
 
+def _real(codes: np.ndarray, starts: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """Which places of ``byte_grams`` belong to a text, not to the zeros before it."""
+    real = np.ones(len(codes), bool)
+    for j in range(1, depth + 1):
+        real[starts - j] = False
+    return real
+
+
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Training counts of words, and of the grams of all texts (0 where training lacks one)."""
     cache = WordCodes()
     for b in slices(batches, 0, COUNT_BYTES):
-        texts = b.column(0).to_pylist()
-        words, n = np.unique(word_codes(texts, cache, True)[0], return_counts=True)
+        texts, chosen = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False)
+        train = [t for t, x in zip(texts, chosen, strict=True) if x]
+        words, n = np.unique(word_codes(train, cache, True)[0], return_counts=True)
         codes, starts, lengths = byte_grams(texts)
-        real = np.ones(len(codes), bool)
-        for j in range(1, DEPTH + 1):
-            real[starts - j] = False
-        grams, m = np.unique(codes[real], return_counts=True)
-        kind = np.concatenate([np.full(len(words) + 1, WORD_KIND), np.full(len(grams), GRAM_KIND)]).astype(np.int32)
-        code = np.concatenate([words, [END_WORD], grams]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(code), pa.array(np.concatenate([n, [len(texts)], m]).astype(np.int64))], names=["kind", "code", "n"])
+        codes = codes[_real(codes, starts)]
+        grams, at, m = np.unique(codes, return_inverse=True, return_counts=True)
+        if not chosen.all():
+            m = np.bincount(at[np.repeat(chosen, lengths)], minlength=len(grams))
+        ends = [END_WORD] if train else []
+        kind = np.concatenate([np.full(len(words) + len(ends), WORD_KIND), np.full(len(grams), GRAM_KIND)]).astype(np.int32)
+        code = np.concatenate([words, np.array(ends, np.uint64), grams]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(code), pa.array(np.concatenate([n, [len(train)] * len(ends), m]).astype(np.int64))], names=["kind", "code", "n"])
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -78,30 +93,106 @@ def log_kt(n0: pd.Series, n1: pd.Series) -> pd.Series:
     return pd.Series(_lgamma(a + 0.5) + _lgamma(b + 0.5) - np.log(np.pi) - _lgamma(a + b + 1))
 
 
-def context_tree(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``d, ctx, m, n0, n1, log_beta`` of all nodes from ``code, n``: depth, context, decision
-    (a 1 and the bits decided before), counts, log of own evidence over the children's."""
+def _levels(grams: DataFrame, depth: int) -> list[DataFrame]:
+    """Node tables by depth, 0 first, each stored. ``has``: bit 0 and 1 are set if the decision's
+    zero and one occur (as counts may be 0); only in the deepest level."""
     byte, bit = F.col("code").bitwiseAND(255), F.explode(F.sequence(F.lit(0), F.lit(7)))
     bits = grams.select(F.shiftright("code", 8).alias("ctx"), byte.cast("int").alias("byte"), "n", bit.alias("i"))
     m = F.expr("shiftleft(1, i) | shiftright(byte, 8 - i)")
     one = F.expr("shiftright(byte, 7 - i) & 1")
-    level = bits.groupBy("ctx", m.alias("m")).agg(F.sum(F.when(one == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(one == 1, F.col("n")).otherwise(0)).alias("n1"))
+    level = bits.groupBy("ctx", m.alias("m")).agg(F.sum(F.when(one == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(one == 1, F.col("n")).otherwise(0)).alias("n1"), F.bit_or(one + 1).alias("has"))
     level = level.withColumn("log_pe", log_kt("n0", "n1")).withColumn("log_pw", F.col("log_pe")).withColumn("log_beta", F.lit(0.0))
     levels = []
     for d in range(depth, -1, -1):
         level = stored(level, f"tree-{d}")
-        levels.append(level.select(F.lit(d).alias("d"), "ctx", "m", "n0", "n1", "log_beta"))
+        levels.append(level)
         if d:
             up = level.groupBy(F.col("ctx").bitwiseAND((1 << (8 * (d - 1))) - 1).alias("ctx"), "m").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log_pw").alias("below"))
             up = up.withColumn("log_pe", log_kt("n0", "n1")).withColumn("log_beta", F.col("log_pe") - F.col("below"))
             both = F.greatest("log_pe", "below") + F.log1p(F.exp(-F.abs(F.col("log_beta")))) - F.log(F.lit(2.0))
             level = up.withColumn("log_pw", both).drop("below")
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
+    return levels[::-1]
+
+
+def context_tree(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``d, ctx, m, n0, n1, log_beta`` of all nodes from ``code, n``: depth, context, decision
+    (a 1 and the bits decided before), counts, log of own evidence over the children's."""
+    out = None
+    for d, x in reversed(list(enumerate(_levels(grams, depth)))):
+        x = x.select(F.lit(d).alias("d"), "ctx", "m", "n0", "n1", "log_beta")
+        out = x if out is None else out.unionByName(x)
     return out
 
 
+def _mixed(levels: list[DataFrame]) -> DataFrame:
+    """The deepest level with ``q``, each decision's mixed probability of a one.
+
+    Along a context the mix is the sum of the depths' estimates, each times its own weight and
+    the rests of the depths above; the last node with a count gets all that is left. ``acc`` and
+    ``rest`` are what a node hands to its children (at most 256 for each, so no key is hot).
+    """
+    odds = F.greatest(F.least(F.col("log_beta"), F.lit(700.0)), F.lit(-700.0))
+    own, rest = 1 / (1 + F.exp(-odds)), 1 / (1 + F.exp(odds))
+    n = F.col("n0") + F.col("n1")
+    p1 = (F.col("n1") + 0.5) / (n + 1)
+    above = None
+    for d, level in enumerate(levels):
+        if above is None:
+            level = level.withColumns({"up_acc": F.lit(0.0), "up_rest": F.lit(1.0), "up_q": F.lit(0.5)})
+        else:
+            level = level.withColumn("up", F.col("ctx").bitwiseAND((1 << (8 * (d - 1))) - 1))
+            above = above.select(F.col("ctx").alias("up"), "m", F.col("acc").alias("up_acc"), F.col("rest").alias("up_rest"), F.col("q").alias("up_q"))
+            level = level.join(F.broadcast(above) if d <= 2 else above, ["up", "m"])  # 256 x 255 rows at most above depth 2
+        known = n > 0
+        above = level.select(
+            "ctx", "m", "n0", "n1", *(["has"] if d == len(levels) - 1 else []),
+            F.when(known, F.col("up_acc") + F.col("up_rest") * p1).otherwise(F.col("up_q")).alias("q"),
+            F.when(known, F.col("up_acc") + F.col("up_rest") * own * p1).otherwise(F.col("up_q")).alias("acc"),
+            F.when(known, F.col("up_rest") * rest).otherwise(0.0).alias("rest"),
+        )
+    return above.select("ctx", "m", "n0", "n1", "has", "q")
+
+
+def _gram_logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """log10 P of each gram from the decisions of its context; rows come sorted by context and decision."""
+
+    def logs(ctx, m, n0, n1, has, q):
+        key = (ctx << 8) | m
+        with np.errstate(divide="ignore"):
+            step = np.log10(np.stack([1 - q, q]))
+        total = np.zeros(len(m))
+        for i in range(1, 8):
+            at = np.flatnonzero((m >> i) == 1)
+            up = np.searchsorted(key, (ctx[at] << 8) | (m[at] >> 1))
+            total[at] = total[up] + step[m[at] & 1, up]
+        cols = []
+        for bit, n in enumerate((n0, n1)):
+            at = np.flatnonzero((m >= 128) & ((has >> bit) & 1 == 1))
+            cols.append((((ctx[at] << 8) | ((m[at] << 1 | bit) & 255)), n[at], total[at] + step[bit, at]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)], names=["code", "n", "log_p"])
+
+    left = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(i).to_numpy() for i in range(6)]
+        cols[1], cols[4] = cols[1].astype(np.int64), cols[4].astype(np.int64)
+        if left is not None:
+            cols = [np.concatenate(x) for x in zip(left, cols, strict=True)]
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last context may go on in the next batch
+        left = [c[cut:] for c in cols]
+        if cut:
+            yield logs(*(c[:cut] for c in cols))
+    if left is not None:
+        yield logs(*left)
+
+
+def gram_table(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``code, n, log_p``: log10 P(last byte | bytes before) of all grams of ``code, n``."""
+    nodes = _mixed(_levels(grams, depth)).repartition(shuffle_partitions(grams.sparkSession), "ctx").sortWithinPartitions("ctx", "m")
+    return nodes.mapInArrow(_gram_logs, "code long, n long, log_p double")
+
+
 def _frequent(df: DataFrame, n: str, most: int) -> int:
     """The least power of two so that at most ``most`` rows have a larger or equal count."""
     powers = range(40)
@@ -114,13 +205,11 @@ def node_key(d: int, ctx: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Node table: sorted keys, KT estimates of a one, weights of the own estimate; with a cache
-    of the log10 probabilities of byte grams."""
+    """A whole node table in memory: sorted keys, KT estimates of a one, weights of the own
+    estimate. The tables in Spark must agree with it."""
 
     def __init__(self, keys: np.ndarray, p1: np.ndarray, own: np.ndarray, depth: int = DEPTH):
         self.keys, self.p1, self.own, self.depth = keys, p1, own, depth
-        self.seen = np.zeros(1 << CACHE_BITS, np.uint64)
-        self.value = np.full(1 << CACHE_BITS, np.nan, np.float32)
 
     def log10_p(self, codes: np.ndarray) -> np.ndarray:
         """log10 P(last byte | bytes before) of distinct grams."""
@@ -145,41 +234,57 @@ class Model:
             out += np.log10(np.where(bit == 1, q, 1 - q))
         return out
 
+
+class Cache:
+    """log10 probabilities of frequent grams: sorted codes, before them a table with one slot a hash."""
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray, logs: np.ndarray):
+        order = np.argsort(codes)
+        self.codes, self.logs = codes[order], logs[order]
+        self.seen, self.value = np.full(1 << CACHE_BITS, np.iinfo(np.uint64).max), np.zeros(1 << CACHE_BITS)
+        order = np.argsort(n, kind="stable")  # the most frequent gram of a slot stays
+        s = self._slots(codes[order])
+        self.seen[s] = codes[order]
+        at = np.flatnonzero(self.seen != np.iinfo(np.uint64).max)
+        self.value[at] = self.logs[np.searchsorted(self.codes, self.seen[at])]
+
     def _slots(self, codes: np.ndarray) -> np.ndarray:
         return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CACHE_BITS)
 
-    def score(self, codes: np.ndarray) -> np.ndarray:
+    def look(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, which codes have one)."""
         slots = self._slots(codes)
-        value = self.value[slots]
-        miss = (self.seen[slots] != codes) | np.isnan(value)
-        if miss.any():
-            at = np.flatnonzero(miss)
-            new = np.unique(codes[at])
-            p = self.log10_p(new).astype(np.float32)
-            s = self._slots(new)
-            self.seen[s], self.value[s] = new, p
-            value[at] = p[np.searchsorted(new, codes[at])]
-        return value
+        value, hit = self.value[slots], self.seen[slots] == codes
+        miss = np.flatnonzero(~hit)
+        if len(miss) and len(self.codes):
+            at = np.minimum(np.searchsorted(self.codes, codes[miss]), len(self.codes) - 1)
+            hit[miss] = self.codes[at] == codes[miss]
+            value[miss] = self.logs[at]
+        return np.where(hit, value, 0.0), hit
+
+
+_caches: dict[str, Cache] = {}
 
 
-_models: dict[int, Model] = {}
+def _cache(shared) -> Cache:
+    """The gram cache of a broadcast, built once in a worker."""
+    v = shared.value
+    if v["id"] not in _caches:
+        _caches.clear()
+        _caches[v["id"]] = Cache(v["grams"], v["times"], v["gram_logs"])
+    return _caches[v["id"]]
 
 
-def _model(shared) -> Model:
-    """The model of a broadcast, built once in a worker."""
-    if shared.value["id"] not in _models:
-        _models.clear()
-        v = shared.value
-        _models[v["id"]] = Model(v["keys"], v["p1"], v["own"])
-    return _models[shared.value["id"]]
+SCORED = "doc_id long, n_tokens long, hits long, log_sum double, score double, bytes long, rare array<long>, rare_grams array<long>"
 
 
-SCORED = "doc_id long, n_tokens long, hits long, log_sum double, score double, bytes long, rare array<long>"
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = _model(shared), WordCodes()
+        known, cache = _cache(shared), WordCodes()
         table, logs = shared.value["words"], shared.value["logs"]
         for b in slices(batches):
             texts = b.column(1).to_pylist()
@@ -197,11 +302,13 @@ def _score(shared):
             hits = np.bincount(of, hit, len(n)).astype(np.int64)
             rare, counts = tokens[~hit].view(np.int64), n - hits
             codes, starts, lengths = byte_grams(texts)
-            sums = np.cumsum(model.score(codes).astype(np.float64))
-            score = sums[starts + lengths - 1] - np.where(starts > 0, sums[starts - 1], 0.0)
+            codes, text = codes[_real(codes, starts)], np.repeat(np.arange(len(lengths)), lengths)
+            value, found = known.look(codes)
+            score = np.bincount(text, value, len(lengths))
+            others, rare_grams = np.bincount(text[~found], minlength=len(lengths)), codes[~found].view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.int64()), pa.array(n), pa.array(hits), pa.array(log_sum), pa.array(score), pa.array(lengths - 1), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(rare))],
-                names=["doc_id", "n_tokens", "hits", "log_sum", "score", "bytes", "rare"],
+                [b.column(0).cast(pa.int64()), pa.array(n), pa.array(hits), pa.array(log_sum), pa.array(score), pa.array(lengths - 1), _lists(rare, counts), _lists(rare_grams, others)],
+                names=["doc_id", "n_tokens", "hits", "log_sum", "score", "bytes", "rare", "rare_grams"],
             )
 
     return run
@@ -216,32 +323,31 @@ def score_documents(docs: DataFrame, training) -> DataFrame:
     code length by the model over the bytes and the end.
     """
     spark = docs.sparkSession
-    tally = docs.where(training).select("text").mapInArrow(_tally, "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
+    tally = docs.select("text", F.coalesce(training, F.lit(False)).alias("training")).mapInArrow(_tally, "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
     tally = stored(tally, "lm-counts")
     words, grams = tally.where(F.col("kind") == WORD_KIND).select("code", "n"), tally.where(F.col("kind") == GRAM_KIND).select("code", "n")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     often = _frequent(words, "n", WORDS)
     top = words.where(F.col("n") >= often).toArrow()  # WORDS rows at most
-    nodes = context_tree(grams).withColumn("n", F.col("n0") + F.col("n1"))
-    nodes = stored(nodes, "lm-nodes")
-    key = F.expr(f"shiftleft(cast(d as bigint), 56) | shiftleft(ctx, 8) | m")
-    own = 1 / (1 + F.exp(-F.greatest(F.least(F.col("log_beta"), F.lit(700.0)), F.lit(-700.0))))
-    kept = nodes.where(F.col("n") >= _frequent(nodes, "n", NODES))
-    tree = kept.select(key.alias("key"), ((F.col("n1") + 0.5) / (F.col("n") + 1)).cast("float").alias("p1"), own.cast("float").alias("own")).toArrow()  # NODES rows at most
+    table = stored(gram_table(grams), "lm-grams")
+    near = table.where(F.col("n") >= _frequent(table, "n", GRAMS)).toArrow()  # GRAMS rows at most
     codes = top["code"].to_numpy().view(np.uint64)
-    order, place = np.argsort(codes), np.argsort(tree["key"].to_numpy())
+    order = np.argsort(codes)
     shared = spark.sparkContext.broadcast(
-        {"id": hash((total["n"], total["v"], tree.num_rows, id(tree))), "words": codes[order], "logs": np.log10(top["n"].to_numpy()[order] + 1.0), "keys": tree["key"].to_numpy()[place], "p1": tree["p1"].to_numpy()[place], "own": tree["own"].to_numpy()[place]}
+        {"id": uuid.uuid4().hex, "words": codes[order], "logs": np.log10(top["n"].to_numpy()[order] + 1.0), "grams": near["code"].to_numpy().view(np.uint64), "times": near["n"].to_numpy(), "gram_logs": near["log_p"].to_numpy()}
     )
     rows = docs.select("doc_id", "text").mapInArrow(_score(shared), SCORED).withColumn("row", F.monotonically_increasing_id())
     rows = stored(rows, "lm-rows")
     seldom = words.where(F.col("n") < often)
     rare = rows.select("row", F.explode("rare").alias("code")).groupBy("row", "code").agg(F.count("*").alias("times"))
     found = rare.join(seldom, "code").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_sum"))
+    others = rows.select("row", F.explode("rare_grams").alias("code")).groupBy("row", "code").agg(F.count("*").alias("times"))
+    rest = others.join(table.select("code", "log_p"), "code").groupBy("row").agg(F.sum(F.col("times") * F.col("log_p")).alias("rest"))
     base = F.col("log_sum") + F.coalesce("rare_sum", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(total["n"] + total["v"] + 1)))
-    bits = -F.col("score") * float(np.log2(10)) / (F.col("bytes") + 1)
-    out = rows.drop("rare").join(found, "row", "left")
-    return out.select("doc_id", "n_tokens", (F.col("hits") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total["n"]).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))
+    score = F.col("score") + F.coalesce("rest", F.lit(0.0))
+    bits = -score * float(np.log2(10)) / (F.col("bytes") + 1)
+    out = rows.drop("rare", "rare_grams").join(found, "row", "left").join(rest, "row", "left")
+    return out.select("doc_id", "n_tokens", (F.col("hits") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total["n"]).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"), bits.alias("bits_per_byte"))
 
 
 def in_training():

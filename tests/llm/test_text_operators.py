@@ -353,6 +353,25 @@ def test_context_tree_is_a_distribution(spark):
     assert df.count() == 4
 
 
+def test_context_tree_scores_whole_tree(docs, corpus, monkeypatch):
+    """Scores don't depend on the size of the caches, and agree with the tree held in memory."""
+    train = [t for i, t, *_ in corpus if zlib.crc32((str(i) if i is not None else "").encode()) % 7 != 2]
+
+    def grams(t):
+        codes, starts, lengths = context_tree.byte_grams([t])
+        return codes[starts[0] : starts[0] + lengths[0]]
+
+    n = Counter(c for t in train for c in grams(t).tolist())
+    nodes = context_tree.context_tree(docs.sparkSession.createDataFrame(list(n.items()), "code long, n long")).toPandas()
+    nodes = nodes.assign(key=context_tree.node_key(0, nodes["ctx"].to_numpy(), nodes["m"].to_numpy()) | (nodes["d"].to_numpy(np.int64) << 56)).sort_values("key")
+    model = context_tree.Model(nodes["key"].to_numpy(np.int64), ((nodes.n1 + 0.5) / (nodes.n0 + nodes.n1 + 1)).to_numpy(), (1 / (1 + np.exp(-nodes.log_beta))).to_numpy())
+    want = Counter((i, round(float(model.log10_p(grams(t)).sum()), 4)) for i, t, *_ in corpus)
+    for most in (context_tree.GRAMS, 40):
+        monkeypatch.setattr(context_tree, "GRAMS", most)
+        got = context_tree.score_documents(docs, context_tree.in_training()).collect()
+        assert Counter((r["doc_id"], round(r["score"], 4)) for r in got) == want
+
+
 # Decontamination.
 
 
