@@ -4,7 +4,9 @@ A character trigram model is counted over the words of all documents. Tokens tha
 (signs or digits among letters, letters repeated three times or more, single letters with
 spaces or signs between) become lattices: each sign stands for letters it may replace or for
 nothing, a repeated letter for itself or nothing. Viterbi decoding under the model, with a cost
-for each channel step, restores the word. Words and their first letters, restored, are weighed
+for each channel step, restores the word. Runs of short tokens (single letters, signs, chunks of
+up to three) are decoded as one lattice, in which each separator is a word bound or nothing.
+Words and their first letters, restored, are weighed
 by log-odds learned from labelled documents, and a logistic curve turns a document's evidence
 into a score.
 """
@@ -36,7 +38,12 @@ SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t",
 DROPPED = set(".-_*~'`,:;/\\^")
 SWAP_COST, DROP_COST, REPEAT_COST = 1.0, 0.5, 0.3
 BOUND, OTHER, SIZE = 26, 27, 28
-SPACED = re.compile(r"(?<!\S)\w(?:[ .\-_*]\w){2,}(?!\w)")
+#: Cost of reading a separator as nothing, between single characters and between longer chunks.
+JOIN_COST, CHUNK_COST = 0.5, 2.0
+_SHORT = r"(?:\w(?:[.\-_*]\w)+|\S{1,3})[.,;:!?\"')\]]*(?!\S)"
+#: Two or more short tokens one after another, with any blanks between.
+SHORT_RUN = re.compile(rf"(?<!\S){_SHORT}(?:\s+{_SHORT})+")
+TRAILING = re.compile(r"(?<=\w)[.,;:!?\"')\]]+$")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 
 
@@ -82,12 +89,16 @@ def _letter(c: str) -> int:
 
 
 def viterbi(token: str, lm: np.ndarray) -> str:
-    """The likeliest word behind a lower-case token."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(BOUND, BOUND): (0.0, "")}
+    """The likeliest word behind a lower-case token; words, with spaces, where the token has
+    separators (a space between single characters, a tab between longer chunks)."""
+    # (letter, letter) -> score, number of letters, letters as a chain (its front, the last one)
+    states: dict[tuple[int, int], tuple[float, int, tuple | None]] = {(BOUND, BOUND): (0.0, 0, None)}
     before = ""
     for ch in token:
         ways: list[tuple[str, float]] = []
-        if ch.isalpha():
+        if ch in " \t":
+            ways += [(" ", 0.0), ("", JOIN_COST if ch == " " else CHUNK_COST)]
+        elif ch.isalpha():
             ways.append((ch, 0.0))
             if ch == before:
                 ways.append(("", REPEAT_COST))
@@ -95,23 +106,38 @@ def viterbi(token: str, lm: np.ndarray) -> str:
             ways += [(x, SWAP_COST) for x in SIGNS.get(ch, "")]
             if ch in DROPPED or not ways or ch == before:
                 ways.append(("", DROP_COST))
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (p, q), (score, word) in states.items():
+        after: dict[tuple[int, int], tuple[float, int, tuple | None]] = {}
+        for (p, q), (score, n, word) in states.items():
             for x, cost in ways:
-                if x:
-                    c = _letter(x)
-                    key, value = (q, c), (score - cost + lm[p, q, c], word + x)
+                if x == " " and q == BOUND:
+                    key, value = (p, q), (score, n, word)
+                elif x:
+                    c = BOUND if x == " " else _letter(x)
+                    key, value = (q, c), (score - cost + lm[p, q, c], n + (x != " "), (word, x))
                 else:
-                    key, value = (p, q), (score - cost, word)
-                if key not in after or value > after[key]:
+                    key, value = (p, q), (score - cost, n, word)
+                if key not in after or value[0] > after[key][0]:
                     after[key] = value
         states, before = after, ch
 
-    def mean(item) -> tuple[float, str]:  # per letter: a short path isn't better for being short
-        (p, q), (score, word) = item
-        return ((score + lm[p, q, BOUND]) / (len(word) + 1) if word else -math.inf, word)
+    def mean(item) -> float:  # per letter: a short path isn't better for being short
+        (p, q), (score, n, _) = item
+        return (score + (lm[p, q, BOUND] if q != BOUND else 0.0)) / (n + 1) if n else -math.inf
 
-    return max(states.items(), key=mean)[1][1]
+    out, word = [], max(states.items(), key=mean)[1][2]
+    while word:
+        word, x = word
+        out.append(x)
+    return "".join(reversed(out)).strip()
+
+
+def restore_run(run: str, lm: np.ndarray) -> list[str]:
+    """The words behind a run of short tokens."""
+    tokens = [TRAILING.sub("", t) for t in run.lower().split()]
+    parts = tokens[:1]
+    for x, y in zip(tokens, tokens[1:]):
+        parts += [" " if len(x) == len(y) == 1 else "\t", y]
+    return viterbi("".join(parts), lm).split() if any(c.isalpha() for c in run) else []
 
 
 def restore_token(token: str, lm: np.ndarray) -> str:
@@ -137,6 +163,7 @@ class _Restorer(dict):
     def __init__(self, lm: np.ndarray):
         super().__init__()
         self.lm = lm
+        self.runs: dict[str, list[str]] = {}
 
     def __missing__(self, token: str) -> str:
         if len(self) >= CACHE:
@@ -147,11 +174,19 @@ class _Restorer(dict):
     def words(self, text: str | None) -> set[str]:
         text = text or ""
         found = set(map(self.__getitem__, set(text.split())))
-        for m in SPACED.finditer(text):
-            found.add(viterbi(m.group()[::2].lower(), self.lm))
+        found.update(self.run_words(text))
         found.discard("")
         return found
 
+    def run_words(self, text: str) -> Iterator[str]:
+        """Words behind the text's runs of short tokens, remembered for the runs met last."""
+        for run in set(SHORT_RUN.findall(text)):
+            if run not in self.runs:
+                if len(self.runs) >= CACHE:
+                    self.runs.clear()
+                self.runs[run] = restore_run(run, self.lm)
+            yield from self.runs[run]
+
 
 def features(words: set[str]) -> set[str]:
     """Words, and the first letters of longer ones (with a trailing star)."""
@@ -198,8 +233,7 @@ class _Scorer(_Restorer):
         tokens = set(text.split())
         hits = [(t, w) for t, w in zip(tokens, map(self.__getitem__, tokens), strict=True) if w > 0]
         best = {restore_token(t, self.lm): w for t, w in hits}  # a word counts once
-        for m in SPACED.finditer(text):
-            word = viterbi(m.group()[::2].lower(), self.lm)
+        for word in self.run_words(text):
             if word not in best and (w := evidence({word}, self.weights)[0]) > 0:
                 best[word] = w
         return sum(best.values()), len(best), len(tokens)

@@ -417,6 +417,26 @@ def test_restores_disguised_words(spark):
     assert "idiot" in toxicity.restore_text("you i d i o t you", lm)
 
 
+@pytest.fixture(scope="module")
+def letters():
+    rng = random.Random(5)
+    text = " ".join(rng.choice(["idiot", "the", "stupid", "a", "you", "are", "bastard", "and", "fool", "is", "better"]) for _ in range(6000))
+    tri = toxicity.count_trigrams([text]).reshape((toxicity.SIZE,) * 3)
+    uni = (tri.sum((0, 1)) + 1) / (tri.sum() + toxicity.SIZE)
+    bi = (tri.sum(0) + 5 * uni) / (tri.sum((0, 2))[:, None] + 5)
+    return np.log((tri + 5 * bi[None]) / (tri.sum(2, keepdims=True) + 5))
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [("you are a s t u p i d fool", "stupid"), ("s t u p i d i d i o t", "stupid idiot"), ("s  t  u  p  i  d", "stupid"), ("s\nt\tu p\n\ni d", "stupid"), ("b @ s t a r d", "bastard"), ("a stu pid fool", "stupid"), ("you i d 1 o t!", "idiot"), ("i.d i.o.t", "idiot")],
+)
+def test_restores_spaced_words(letters, text, found):
+    got = toxicity.restore_text(text, letters)
+    assert set(found.split()) <= set(got), got
+    assert set(toxicity.restore_text("you and the fool is a fool", letters)) == {"you", "and", "the", "fool", "is", "a"}
+
+
 def test_toxicity_held_out(spark, empty):
     rng = random.Random(8)
     rows, labels = [], []
