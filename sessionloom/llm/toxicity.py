@@ -29,8 +29,10 @@ from .common import crc_mod, slices, stored
 TRAIN_ROWS, FEATURES = 20_000, 5_000
 LEAST_DOCS, LEAST_ODDS = 4, 8.0
 PREFIXES = (4, 5, 6)
-#: Letters of a word at most: longer tokens (keys, encoded data) are no disguised words.
+#: Letters of a word at most: longer tokens are several words, glued by signs or by nothing.
 LONGEST = 48
+#: Doubled letters with a less likely trigram (log P) about them are decoded.
+UNLIKELY = -5.5
 CACHE = 250_000
 
 # What a sign may stand for.
@@ -44,7 +46,8 @@ _SHORT = r"(?:\w(?:[.\-_*]\w)+|\S{1,3})[.,;:!?\"')\]]*(?!\S)"
 #: Two or more short tokens one after another, with any blanks between.
 SHORT_RUN = re.compile(rf"(?<!\S){_SHORT}(?:\s+{_SHORT})+")
 TRAILING = re.compile(r"(?<=\w)[.,;:!?\"')\]]+$")
-REPEATED = re.compile(r"([^\W\d_])\1\1")
+DOUBLED, STRETCHED = re.compile(r"([^\W\d_])\1"), re.compile(r"(.)\1{2,}")
+GLUE = re.compile(r"[.\-_*~`,:;/\\^=&?#%]+")
 
 
 def _codes() -> np.ndarray:
@@ -113,7 +116,7 @@ def viterbi(token: str, lm: np.ndarray) -> str:
                     key, value = (p, q), (score, n, word)
                 elif x:
                     c = BOUND if x == " " else _letter(x)
-                    key, value = (q, c), (score - cost + lm[p, q, c], n + (x != " "), (word, x))
+                    key, value = (q, c), (score - cost + lm[p][q][c], n + (x != " "), (word, x))
                 else:
                     key, value = (p, q), (score - cost, n, word)
                 if key not in after or value[0] > after[key][0]:
@@ -122,7 +125,7 @@ def viterbi(token: str, lm: np.ndarray) -> str:
 
     def mean(item) -> float:  # per letter: a short path isn't better for being short
         (p, q), (score, n, _) = item
-        return (score + (lm[p, q, BOUND] if q != BOUND else 0.0)) / (n + 1) if n else -math.inf
+        return (score + (lm[p][q][BOUND] if q != BOUND else 0.0)) / (n + 1) if n else -math.inf
 
     out, word = [], max(states.items(), key=mean)[1][2]
     while word:
@@ -140,16 +143,28 @@ def restore_run(run: str, lm: np.ndarray) -> list[str]:
     return viterbi("".join(parts), lm).split() if any(c.isalpha() for c in run) else []
 
 
+def _odd_double(word: str, lm: np.ndarray) -> bool:
+    """Whether the model finds the letters about a doubled one unlikely."""
+    for m in DOUBLED.finditer(word):
+        c = [_letter(x) for x in word[max(m.start() - 2, 0) : m.end() + 2]]
+        c = [BOUND] * max(2 - m.start(), 0) + c + [BOUND] * (m.end() >= len(word))
+        if any(lm[x][y][z] < UNLIKELY for x, y, z in zip(c, c[1:], c[2:])):
+            return True
+    return False
+
+
 def restore_token(token: str, lm: np.ndarray) -> str:
-    """A lower-case word for a token; empty if there is none in it."""
+    """A lower-case word for a token, several with spaces between for a long one; empty if there
+    is none in it. A character more than twice in a row says no more than twice."""
     low = token.lower()
     core = low.strip("\"'.,;:!?()[]{}<>#%&*=|~`$^_-/\\+")
-    if core.isalpha() and not REPEATED.search(core):
+    short = STRETCHED.sub(r"\1\1", core)
+    if core.isalpha() and short == core and not _odd_double(core, lm):
         return core
-    whole = low.strip("\"',;:?()[]{}<>#%&*=~`^_-/\\.") if not core or not core.isalpha() else core
-    if len(whole) > LONGEST or not any(c.isalpha() for c in whole):
+    whole = STRETCHED.sub(r"\1\1", low).strip("\"',;:?()[]{}<>#%&*=~`^_-/\\.") if not core or not core.isalpha() else short
+    if not any(c.isalpha() for c in whole):
         return ""
-    return viterbi(whole, lm)
+    return viterbi(GLUE.sub(" ", whole) if len(whole) > LONGEST else whole, lm)
 
 
 def restore_text(text: str | None, lm: np.ndarray) -> list[str]:
@@ -162,7 +177,7 @@ class _Restorer(dict):
 
     def __init__(self, lm: np.ndarray):
         super().__init__()
-        self.lm = lm
+        self.lm = lm.tolist()  # plain lists: quicker to index
         self.runs: dict[str, list[str]] = {}
 
     def __missing__(self, token: str) -> str:
@@ -173,7 +188,7 @@ class _Restorer(dict):
 
     def words(self, text: str | None) -> set[str]:
         text = text or ""
-        found = set(map(self.__getitem__, set(text.split())))
+        found = {w for x in map(self.__getitem__, set(text.split())) for w in x.split()}
         found.update(self.run_words(text))
         found.discard("")
         return found
@@ -223,8 +238,8 @@ class _Scorer(_Restorer):
     def __missing__(self, token: str) -> float:
         if len(self) >= CACHE:
             self.clear()
-        word = restore_token(token, self.lm)
-        weight = self[token] = evidence({word}, self.weights)[0] if word else 0.0
+        words = set(restore_token(token, self.lm).split())
+        weight = self[token] = evidence(words, self.weights)[0]
         return weight
 
     def of(self, text: str | None) -> tuple[float, int, int]:
@@ -232,7 +247,9 @@ class _Scorer(_Restorer):
         text = text or ""
         tokens = set(text.split())
         hits = [(t, w) for t, w in zip(tokens, map(self.__getitem__, tokens), strict=True) if w > 0]
-        best = {restore_token(t, self.lm): w for t, w in hits}  # a word counts once
+        best: dict[str, float] = {}  # a word counts once
+        for t, _ in hits:
+            best |= {x: w for x in restore_token(t, self.lm).split() if (w := evidence({x}, self.weights)[0]) > 0}
         for word in self.run_words(text):
             if word not in best and (w := evidence({word}, self.weights)[0]) > 0:
                 best[word] = w

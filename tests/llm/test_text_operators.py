@@ -437,6 +437,12 @@ def test_restores_spaced_words(letters, text, found):
     assert set(toxicity.restore_text("you and the fool is a fool", letters)) == {"you", "and", "the", "fool", "is", "a"}
 
 
+def test_restores_long_and_doubled_tokens(letters):
+    glued = ".".join(["the", "idiot", "and"] * 6)
+    for token, word in (("idi" + "o" * 60 + "t", "idiot"), ("i" + "." * 30 + "di" + "-" * 30 + "ot", "idiot"), (glued, "idiot"), ("iiddiioott", "idiot"), ("stuupid", "stupid"), ("better", "better"), ("fool", "fool")):
+        assert word in toxicity.restore_token(token, letters).split(), (token, toxicity.restore_token(token, letters))
+
+
 def test_toxicity_held_out(spark, empty):
     rng = random.Random(8)
     rows, labels = [], []
