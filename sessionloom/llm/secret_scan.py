@@ -3,8 +3,8 @@
 Three fixed patterns give the base spans. The method adds spans: over candidate strings of a
 character class a window slides, its character counts change by one in and one out, and with
 them the sum of c*log2(c), so that the Shannon entropy of each window costs O(1). Windows at
-or above the class's threshold merge into spans; an allow-list suppresses well-known harmless
-strings.
+or above the class's threshold merge into spans; an allow-list of well-known harmless strings
+suppresses the spans of which too little is left outside its matches.
 """
 
 from __future__ import annotations
@@ -54,11 +54,13 @@ ALLOW = (
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
     re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}"),
     re.compile(r"0123456789|abcdefghij|ABCDEFGHIJ"),
-    re.compile(r"(?i)example|placeholder|dummy|changeme|your[_-]|xxxxxx|test[_-]?key"),
-    re.compile(r"^sha(?:1|256|384|512)-"),
+    re.compile(r"^sha(?:1|256|384|512)-[A-Za-z0-9+/]+=*"),
     re.compile(r"^/?(?:[A-Za-z]+|[0-9]{1,6})(?:[/_=-]+(?:[A-Za-z]+|[0-9]{1,6}))*[/_=-]*$"),
 )
 
+#: A placeholder stands for all of its part between slashes and equals signs.
+PLACEHOLDER, PARTS = re.compile(r"(?i)example|placeholder|dummy|changeme|your[_-]|xxxxxx|test[_-]?key"), re.compile(r"[^/=]+")
+
 
 def high_windows(s: str, window: int, bits: float) -> list[tuple[int, int]]:
     """Merged spans of the windows of ``s`` whose Shannon entropy is at least ``bits``."""
@@ -96,18 +98,41 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
+def _allowed(s: str) -> list[tuple[int, int]]:
+    """Where the allow-list matches in a candidate, in order."""
+    out = [m.span() for p in ALLOW for m in p.finditer(s)]
+    if PLACEHOLDER.search(s):
+        out += [m.span() for m in PARTS.finditer(s) if PLACEHOLDER.search(m.group())]
+    return sorted(out)
+
+
+def _rest(s: str, a: int, b: int, allowed: list[tuple[int, int]]) -> str:
+    """``s[a:b]`` without the allowed places."""
+    out = []
+    for x, y in allowed:
+        if a < y and x < b:
+            out.append(s[a:x] if x > a else "")
+            a = max(a, min(y, b))
+    return "".join(out) + s[a:b]
+
+
 def entropy_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans that the entropy windows find, first class first; a span inside another is dropped."""
     out: list[tuple[int, int, str]] = []
     for cand in CANDIDATE.finditer(text):
         s = cand.group()
-        if not _DIGIT.search(s) or any(p.search(s) for p in ALLOW):
+        if not _DIGIT.search(s):
             continue
+        allowed = _allowed(s)
         for kind in CLASSES:
             for run in kind.run.finditer(s):
                 for a, b in high_windows(run.group(), kind.window, kind.bits):
-                    a, b = cand.start() + run.start() + a, cand.start() + run.start() + b
-                    if all(p.search(text, a, b) for p in kind.needs) and not any(x[0] <= a and b <= x[1] for x in out):
+                    a, b = run.start() + a, run.start() + b
+                    rest = _rest(s, a, b, allowed)
+                    if len(rest) < kind.window and 2 * len(rest) <= b - a:
+                        continue
+                    a, b = cand.start() + a, cand.start() + b
+                    if all(p.search(rest) for p in kind.needs) and not any(x[0] <= a and b <= x[1] for x in out):
                         out.append((a, b, kind.name))
     return out
 

@@ -69,6 +69,15 @@ def test_secret_base_spans_and_entropy():
     assert [text[2]for text in secret_scan.scan_text(f"use {key} now")[1]] == ["entropy_base64"]
 
 
+def test_allowed_strings_spare_only_themselves():
+    for before, key in (("store/2024-05-01/", "aB3dE5fG7hI9jK1lM3nO5pQ7rS9"), ("//cdn/example/v1/", "Zx9Kq2Lm8Pw4Rt6Yb1Nc3Vd5"), ("run=550e8400-e29b-41d4-a716-446655440000/", "Zx9Kq2Lm8Pw4Rt6Yb1Nc3Vd5")):
+        text = before + key
+        added = secret_scan.scan_text(text)[1]
+        assert any(a <= len(before) and b == len(text) for a, b, _ in added), (text, added)
+    for text in ("job/550e8400-e29b-41d4-a716-446655440000/Step-Name", "sha256-47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU=", "your_api_key_Example_1234567890ab", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "logs/2024-05-01/2024-05-02/Some-Words"):
+        assert secret_scan.scan_text(text)[1] == []
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_incremental_entropy_equals_direct(seed):
     rng = random.Random(seed)
