@@ -20,10 +20,10 @@ def safe_div(x: Column | str, y: Column | str) -> Column:
     return F.when(y == 0, F.when(x.isNotNull(), F.lit(0.0))).otherwise(F.try_divide(x, y))
 
 
-def recency_weight(position: Column | str, n: Column | str) -> Column:
-    """2^(0.1 + 0.9 (i-1) / (n-1)) - 1 for position i of n; 1 for n = 1."""
+def recency_weight(position: Column | str, n: Column | str, start: float = 0.1) -> Column:
+    """2^(s + (1-s) (i-1) / (n-1)) - 1 for position i of n and start s; 1 for n = 1."""
     i, n = col(position), col(n)
-    return F.when(n <= 1, F.lit(1.0)).otherwise(F.pow(F.lit(2.0), 0.1 + 0.9 * F.try_divide((i - 1).cast("double"), (n - 1).cast("double"))) - 1)
+    return F.when(n <= 1, F.lit(1.0)).otherwise(F.pow(F.lit(2.0), start + (1 - start) * F.try_divide((i - 1).cast("double"), (n - 1).cast("double"))) - 1)
 
 
 def stable_hash(*cols: Column | str, seed: int = 0) -> Column:

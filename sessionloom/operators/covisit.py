@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions.exprs import recency_weight, type_weight
 
-from .events import RERANK_WEIGHTS, TIE, session_order, with_position
+from .events import PREPARED_WEIGHTS, RERANK_WEIGHTS, TIE, session_order, with_position
 
 
 def unique_recent_aids(events: DataFrame, tie: tuple[str, ...] = TIE) -> DataFrame:
@@ -16,11 +16,12 @@ def unique_recent_aids(events: DataFrame, tie: tuple[str, ...] = TIE) -> DataFra
     return last.withColumn("recent_rank", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("last_pos"))) - 1)
 
 
-def past_aids(events: DataFrame, n: int = 20, type_weights: dict[int, float] = RERANK_WEIGHTS, threshold: int = 20, inclusive: bool = True, tie: tuple[str, ...] = TIE) -> DataFrame:
+def past_aids(events: DataFrame, n: int = 20, type_weights: dict[int, float] = PREPARED_WEIGHTS, threshold: int = 20, inclusive: bool = True, tie: tuple[str, ...] = TIE) -> DataFrame:
     """``session, candidate_aid, rank``, ranks from 0, n at most.
 
     Sessions of ``threshold`` distinct aids or more (``inclusive=False``: of more) rank them by
-    the sum of recency times type weight, then by first position; others by recency.
+    the sum of recency times type weight, then by first position; others by recency. The defaults
+    are those of history as a strategy of its own; co-visitation jobs rank it by RERANK_WEIGHTS.
     """
     pos = with_position(events, tie).withColumn("w", recency_weight("pos", "n") * type_weight(type_weights))
     per = pos.groupBy("session", "aid").agg(F.round(F.sum("w"), 9).alias("score"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
@@ -32,7 +33,10 @@ def past_aids(events: DataFrame, n: int = 20, type_weights: dict[int, float] = R
 
 
 def numbered(table: DataFrame) -> DataFrame:
-    """A co-visitation table with ``nb``, the place of aid_y among the neighbours of aid_x (from 0)."""
+    """A co-visitation table with ``nb``, the place of aid_y among the neighbours of aid_x (from 0);
+    tables of ``build_covisitation`` have it already."""
+    if "nb" in table.columns:
+        return table.select("aid_x", "aid_y", "wgt", "nb")
     w = Window.partitionBy("aid_x").orderBy(F.desc("wgt"), "aid_y")
     return table.select("aid_x", "aid_y", "wgt", (F.row_number().over(w) - 1).alias("nb"))
 
@@ -56,7 +60,7 @@ def _expand(parts: list[tuple[DataFrame, DataFrame]], seen: DataFrame, n: int) -
 def _with_history(events: DataFrame, found: DataFrame, with_history: bool, tie: tuple[str, ...]) -> DataFrame:
     rows = found.select("session", "candidate_aid", F.lit(1).alias("source"), "place")
     if with_history:
-        past = past_aids(events, threshold=20, inclusive=False, tie=tie)
+        past = past_aids(events, type_weights=RERANK_WEIGHTS, threshold=20, inclusive=False, tie=tie)
         rows = rows.unionByName(past.select("session", "candidate_aid", F.lit(0).alias("source"), F.col("rank").alias("place")))
     w = Window.partitionBy("session").orderBy("source", "place")
     return rows.withColumn("rank", F.row_number().over(w) - 1).select("session", "candidate_aid", "rank")
@@ -85,31 +89,41 @@ def covisit_orders(events: DataFrame, carts_orders: DataFrame, buy2buy: DataFram
 
 
 def suggest_with_backfill(events: DataFrame, event: str, tables: dict[str, DataFrame], popular: DataFrame, n: int = 100, dedup: bool = True, tie: tuple[str, ...] = TIE) -> DataFrame:
-    """C11: one-shot suggestions of a target event, filled up with the event's popular aids.
+    """C11: one-shot suggestions of a target event, n at most for a session.
 
-    Sessions of 20 distinct aids or more rerank their history by recency and type weights (carts
-    and orders add 0.1 for each co-visit hit); others list history, then co-visits. ``popular``
-    as from ``popular()``. ``dedup=False`` lets popular aids repeat listed ones.
+    Sessions of 20 distinct aids or more rank aids by the sum of recency times type weight; for
+    carts and orders each co-visit hit of a light (clicked or carted) or bought (carted or ordered)
+    aid adds 0.1, also to aids that the session hasn't seen. Other sessions list their history, the
+    most recent first, then co-visits, then the event's popular aids (from ``popular()``);
+    ``dedup=False`` lets popular aids repeat listed ones.
     """
+    kinds = {"clicks": (), "carts": (0, 1), "orders": (1, 2)}[event]
     parts = {"clicks": ["clicks"], "carts": ["clicks", "carts_orders"], "orders": ["carts_orders", "buy2buy"]}[event]
-    pos = with_position(events, tie).withColumn("w", recency_weight("pos", "n") * type_weight(RERANK_WEIGHTS))
+    start = 0.1 if event == "clicks" else 0.5
     u = unique_recent_aids(events, tie).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("session")))
     few, many = u.where("m < 20"), u.where("m >= 20")
-    light = lambda rows, name: rows if name != "buy2buy" else rows.join(events.where("type in (1, 2)").select("session", "aid").distinct(), ["session", "aid"], "left_semi")
-    listed = _expand([(light(few, p).select("session", "aid", "recent_rank"), tables[p]) for p in parts], u, n)
-    rows = few.select("session", F.col("aid").alias("candidate_aid"), F.lit(0).alias("source"), F.col("recent_rank").cast("double").alias("place"))
-    rows = rows.unionByName(listed.select("session", "candidate_aid", F.lit(1).alias("source"), F.col("place").cast("double").alias("place")))
-    score = pos.groupBy("session", "aid").agg(F.sum("w").alias("w"), F.min("pos").alias("first_pos")).join(many.select("session", "aid"), ["session", "aid"])
-    if event != "clicks":
-        bought = many.join(events.where("type in (1, 2)").select("session", "aid").distinct(), ["session", "aid"], "left_semi")
-        hits = bought.join(tables[parts[-1]], F.col("aid") == F.col("aid_x")).groupBy("session", F.col("aid_y").alias("aid")).agg((F.count("*") * 0.1).alias("bonus"))
-        score = score.join(hits, ["session", "aid"], "left").withColumn("w", F.col("w") + F.coalesce("bonus", F.lit(0.0)))
-    reranked = score.withColumn("place", F.row_number().over(Window.partitionBy("session").orderBy(F.desc(F.round("w", 9)), "first_pos")).cast("double"))
-    rows = rows.unionByName(reranked.select("session", F.col("aid").alias("candidate_aid"), F.lit(0).alias("source"), "place"))
-    fill = popular.where(F.col("event") == event).select(F.posexplode("labels").alias("place", "candidate_aid"))
-    sessions = events.select("session").distinct().withColumn("one", F.lit(1))
-    fill = sessions.join(F.broadcast(fill.withColumn("one", F.lit(1))), "one")  # the k rows of one list
-    rows = rows.unionByName(fill.select("session", "candidate_aid", F.lit(2).alias("source"), F.col("place").cast("double").alias("place")))
+    chosen = events.where(F.col("type").isin(*kinds)).select("session", "aid").distinct() if kinds else None
+    # Few distinct aids: history, co-visits, popular aids.
+    sources = lambda name: few.join(chosen, ["session", "aid"], "left_semi") if name == "buy2buy" else few
+    listed = _expand([(sources(p).select("session", "aid", "recent_rank"), tables[p]) for p in parts], few, n)
+    row = lambda df, c, source, place: df.select("session", F.col(c).alias("candidate_aid"), F.lit(source).alias("source"), F.col(place).cast("long").alias("place"))
+    rows = row(few, "aid", 0, "recent_rank").unionByName(row(listed, "candidate_aid", 1, "place"))
+    top = popular.where(F.col("event") == event).select("labels").first()  # one list of k aids
+    if top:
+        fill = few.select("session").distinct().select("session", F.posexplode(F.array(*map(F.lit, top["labels"]))).alias("place", "aid"))
+        rows = rows.unionByName(row(fill, "aid", 2, "place"))
+    # Many: reranked history.
+    w = recency_weight("pos", "n", start) * type_weight(PREPARED_WEIGHTS)
+    score = with_position(events, tie).withColumn("w", w).groupBy("session", "aid").agg(F.sum("w").alias("w"), F.min("pos").alias("first_pos")).join(many.select("session", "aid"), ["session", "aid"])
+    if chosen is not None:
+        bonus = many.join(chosen, ["session", "aid"], "left_semi").join(numbered(tables[parts[-1]]), F.col("aid") == F.col("aid_x"))
+        bonus = bonus.groupBy("session", F.col("aid_y").alias("aid")).agg((F.count("*") * 0.1).alias("bonus"), F.min(F.struct("recent_rank", "nb")).alias("met"))
+        score = score.join(bonus, ["session", "aid"], "full").withColumn("w", F.coalesce("w", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0)))
+    else:
+        score = score.withColumn("met", F.lit(0))
+    order = [F.desc(F.round("w", 9)), F.asc_nulls_last("first_pos"), F.col("met"), F.col("aid")]
+    reranked = score.withColumn("place", F.row_number().over(Window.partitionBy("session").orderBy(*order)))
+    rows = rows.unionByName(row(reranked, "aid", 0, "place"))
     if dedup:
         rows = rows.groupBy("session", "candidate_aid").agg(F.min(F.struct("source", "place")).alias("x")).select("session", "candidate_aid", "x.*")
     w = Window.partitionBy("session").orderBy("source", "place", "candidate_aid")
@@ -117,9 +131,9 @@ def suggest_with_backfill(events: DataFrame, event: str, tables: dict[str, DataF
 
 
 def build_covisitation(events: DataFrame, types: tuple[int, ...] = (0, 1, 2), window_s: int = 86_400, top_n: int = 20, weights: dict[int, float] | None = None, last: int = 30, tie: tuple[str, ...] = TIE) -> DataFrame:
-    """``aid_x, aid_y, wgt``: aids within ``window_s`` of each other among a session's last
+    """``aid_x, aid_y, wgt, nb``: aids within ``window_s`` of each other among a session's last
     events (``last`` of them, so a session adds at most last^2 pairs); a pair counts once per session
-    with the type weight of aid_y, and each aid_x keeps its ``top_n``."""
+    with the type weight of aid_y, and each aid_x keeps its ``top_n``, numbered from 0 in ``nb``."""
     w = Window.partitionBy("session").orderBy(*(F.desc(c) for c in session_order(tie)))
     recent = events.where(F.col("type").isin(*types)).withColumn("r", F.row_number().over(w)).where(F.col("r") <= last)
     x = recent.select("session", F.col("aid").alias("aid_x"), F.col("ts").alias("ts_x"))
@@ -127,4 +141,4 @@ def build_covisitation(events: DataFrame, types: tuple[int, ...] = (0, 1, 2), wi
     pairs = x.join(y, "session").where((F.col("aid_x") != F.col("aid_y")) & (F.abs(F.col("ts_x") - F.col("ts_y")) <= window_s))
     once = pairs.groupBy("session", "aid_x", "aid_y").agg(F.max("w").alias("w"))
     sums = once.groupBy("aid_x", "aid_y").agg(F.sum("w").alias("wgt"))
-    return numbered(sums).where(F.col("nb") < top_n).select("aid_x", "aid_y", F.col("wgt").cast("float").alias("wgt"))
+    return numbered(sums).where(F.col("nb") < top_n).select("aid_x", "aid_y", F.col("wgt").cast("float").alias("wgt"), "nb")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions.exprs import safe_div
+from sessionloom.functions.ranges import exact_medians
 
 from .ranking import group_folds, top_k
 
@@ -40,7 +41,7 @@ def ensemble_mean(runs: DataFrame, per_session: int | None = 30) -> DataFrame:
 def ensemble_vote(submissions: DataFrame, weights: dict[str, float], k: int = 20) -> DataFrame:
     """``session_type, labels`` from ``model, session_type, labels``: votes summed by weight."""
     weight = F.create_map(*(F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))))[F.col("model")]
-    votes = submissions.select("session_type", weight.alias("w"), F.explode(F.split("labels", " ")).alias("aid")).groupBy("session_type", F.col("aid").cast("int").alias("candidate_aid")).agg(F.sum("w").alias("score"))
+    votes = submissions.select("session_type", weight.alias("w"), F.explode(F.split("labels", " ")).alias("aid")).groupBy("session_type", F.col("aid").cast("int").alias("candidate_aid")).agg(F.round(F.sum("w"), 9).alias("score"))
     parts = F.split("session_type", "_")
     return top_k(votes.select(parts[0].cast("long").alias("session"), parts[1].alias("event"), "candidate_aid", "score"), k, key=("session", "event"))
 
@@ -53,7 +54,7 @@ def stacking_dataset(scores: DataFrame, models: list[str]) -> DataFrame:
 
 def stack_preprocess(df: DataFrame, cols: list[str], power: float = 4) -> DataFrame:
     """Null to the column's median, then the power."""
-    medians = df.agg(*(F.median(c).alias(c) for c in cols)).first()
+    medians = exact_medians(df, cols)
     return df.withColumns({c: F.pow(F.coalesce(F.col(c), F.lit(float(medians[c] or 0.0))), F.lit(float(power))) for c in cols})
 
 
@@ -84,7 +85,8 @@ def score_stacking(df: DataFrame, models: list) -> DataFrame:
 
 def tune_ensemble_weights(scores: DataFrame, truth: DataFrame, grid: list[tuple[dict[str, float], float]], event: str, k: int = 20) -> DataFrame:
     """``point, recall`` of each (weights, power) of the grid, all in one job: the scaled scores
-    meet each grid point (a short list, written into the plan) and are grouped by point."""
+    meet each grid point (a short list, written into the plan) and are grouped by point. Truths are
+    sets, of 20 aids at most; a point without a hit has recall 0."""
     models = sorted({m for w, _ in grid for m in w})
     wide = stacking_dataset(scores, models)
     terms = [F.struct(F.lit(i).alias("point"), reduce(lambda a, b: a + b, (F.coalesce(F.pow(F.col(m), F.lit(float(p))), F.lit(0.0)) * float(w.get(m, 0.0)) for m in models)).alias("score")) for i, (w, p) in enumerate(grid)]
@@ -92,5 +94,7 @@ def tune_ensemble_weights(scores: DataFrame, truth: DataFrame, grid: list[tuple[
     w = Window.partitionBy("point", "session").orderBy(F.desc(F.round("score", 9)), "candidate_aid")
     best = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
     hit = truth.where(F.col("type") == event).select("session", F.explode(F.array_distinct("ground_truth")).alias("candidate_aid"))
-    gt = truth.where(F.col("type") == event).agg(F.sum(F.least(F.size("ground_truth"), F.lit(20)))).first()[0] or 0
-    return best.join(hit, list(PAIR), "left_semi").groupBy("point").agg((F.count("*") / float(max(gt, 1))).alias("recall"))
+    gt = truth.where(F.col("type") == event).agg(F.sum(F.least(F.size(F.array_distinct("ground_truth")), F.lit(20)))).first()[0] or 0
+    hits = best.join(hit, list(PAIR), "left_semi").groupBy("point").agg(F.count("*").alias("hits"))
+    points = wide.sparkSession.range(len(grid)).select(F.col("id").cast("int").alias("point"))
+    return points.join(hits, "point", "left").select("point", (F.coalesce("hits", F.lit(0)) / float(max(gt, 1))).alias("recall"))

@@ -177,14 +177,15 @@ def session_representation(rows: DataFrame, prepared: DataFrame) -> DataFrame:
 
 
 def covisit_weights(represented: DataFrame, clicks: DataFrame, carts_orders: DataFrame, buy2buy: DataFrame) -> DataFrame:
-    """weight of (representative, candidate) in each table, 12 columns, null if absent. Distinct
-    pairs are looked up once in one tagged table and come back by pair."""
+    """weight of (representative, candidate) in each table, 12 columns, null if absent. The narrow
+    (session, candidate, representative) rows are looked up once in one tagged table; what is found
+    comes back by (session, candidate) in a single join."""
     wide = _tagged(clicks, carts_orders, buy2buy).groupBy("aid_x", "aid_y").agg(*(F.max(F.when(F.col("tab") == n, F.col("wgt"))).alias(n) for n in TABLES))
-    out = represented
-    for r in REPRESENTATIVES:
-        side = wide.select(F.col("aid_x").alias(f"{r}_in_session_aid"), F.col("aid_y").alias("candidate_aid"), *(F.col(n).alias(f"{n}_weight_{r}") for n in TABLES))
-        out = out.join(side, [f"{r}_in_session_aid", "candidate_aid"], "left")
-    return out
+    reps = F.explode(F.array(*(F.struct(F.lit(r).alias("rep"), F.col(f"{r}_in_session_aid").alias("aid_x")) for r in REPRESENTATIVES))).alias("x")
+    asked = represented.select("session", F.col("candidate_aid").alias("aid_y"), reps).select("session", "aid_y", "x.*").where("aid_x is not null")
+    found = asked.join(wide, ["aid_x", "aid_y"]).groupBy("session", F.col("aid_y").alias("candidate_aid"))
+    weights = found.agg(*(F.max(F.when(F.col("rep") == r, F.col(n))).alias(f"{n}_weight_{r}") for r in REPRESENTATIVES for n in TABLES))
+    return represented.join(weights, ["session", "candidate_aid"], "left")
 
 
 def embedding_distances(represented: DataFrame, embeddings: DataFrame, representatives: tuple[str, ...] = ("last_event",), prefix: str = "word2vec") -> DataFrame:

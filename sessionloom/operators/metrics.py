@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionloom.functions.ranges import with_ranges
+
 #: Weights of the target events in the overall recall.
 EVENT_WEIGHTS = {"clicks": 0.1, "carts": 0.3, "orders": 0.6}
 
@@ -13,7 +15,7 @@ def recall_at_k(pred: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (20,),
     """M7: ``type, k, hits, gt, recall, mean_recall`` by event and a row ``overall`` for each K.
 
     ``pred``: ``session_type, labels`` (space-joined); ``truth``: ``session, type, ground_truth``.
-    Truths count ``cap`` at most for every K. ``base="truth"``: sessions without predictions
+    A truth is a set: repeated aids count once, ``cap`` at most for every K. ``base="truth"``: sessions without predictions
     count with 0 hits; ``"pred"``: only sessions in both.
     """
     parts = F.split("session_type", "_")
@@ -21,7 +23,7 @@ def recall_at_k(pred: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (20,),
     both = truth.join(lists, ["session", "type"], "left" if base == "truth" else "inner").withColumn("k", F.explode(F.array(*map(F.lit, ks))))
     hits = F.coalesce(F.size(F.array_intersect(F.slice("p", 1, F.col("k")), "ground_truth")), F.lit(0))
     hits = F.when(F.col("p").isNull(), 0).otherwise(hits)
-    rows = both.select("type", "k", hits.alias("h"), F.least(F.size("ground_truth"), F.lit(cap)).alias("g"))
+    rows = both.select("type", "k", hits.alias("h"), F.least(F.size(F.array_distinct("ground_truth")), F.lit(cap)).alias("g"))
     by = rows.groupBy("type", "k").agg(F.sum("h").alias("hits"), F.sum("g").alias("gt"), F.try_divide(F.sum("h"), F.sum("g")).alias("recall"), F.avg(F.try_divide("h", "g")).alias("mean_recall"))
     weight = F.create_map(*(F.lit(x) for kv in EVENT_WEIGHTS.items() for x in kv))[F.col("type")]
     overall = by.groupBy("k").agg(F.sum("hits").alias("hits"), F.sum("gt").alias("gt"), F.sum(weight * F.col("recall")).alias("recall"), F.sum(weight * F.col("mean_recall")).alias("mean_recall"))
@@ -29,15 +31,22 @@ def recall_at_k(pred: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (20,),
 
 
 def candidate_recall(long: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (20, 80, 140, 260), strategy_order: tuple[str, ...] = ()) -> DataFrame:
-    """M8: recall of all strategies' candidates in their order, with mean and median number of
-    distinct candidates (``n_mean, n_median``)."""
+    """M8: recall of all strategies' candidates in their order, with the mean and median number of
+    distinct candidates up to K over all truths (``n_mean, n_median``; no candidates count as 0)."""
     order = F.array_position(F.array(*map(F.lit, strategy_order)), F.col("strategy"))
     first = long.groupBy("session", "event", "candidate_aid").agg(F.min(F.struct(order.alias("o"), "rank")).alias("x"))
     place = F.row_number().over(Window.partitionBy("session", "event").orderBy("x", "candidate_aid"))
     lists = first.withColumn("r", place).groupBy("session", "event").agg(F.array_sort(F.collect_list(F.struct("r", "candidate_aid"))).alias("x"))
     pred = lists.select(F.concat_ws("_", F.col("session").cast("string"), "event").alias("session_type"), F.array_join(F.transform("x", lambda s: s["candidate_aid"].cast("string")), " ").alias("labels"))
-    sizes = lists.groupBy(F.col("event").alias("type")).agg(F.avg(F.size("x")).alias("n_mean"), F.median(F.size("x")).alias("n_median"))
-    return recall_at_k(pred, truth, ks).join(sizes, "type", "left")
+    sizes = truth.select("session", F.col("type").alias("event")).join(lists.select("session", "event", F.size("x").alias("m")), ["session", "event"], "left")
+    sizes = sizes.select(F.explode(F.array(*map(F.lit, ks))).alias("k"), F.coalesce("m", F.lit(0)).alias("m")).select("k", F.least("m", "k").alias("m"))
+    sizes = sizes.groupBy("k", "m").agg(F.count("*").alias("n"))  # K numbers at most for each K
+    w = Window.partitionBy("k").orderBy("m")
+    sizes = sizes.withColumns({"upto": F.sum("n").over(w), "total": F.sum("n").over(Window.partitionBy("k"))})
+    middle = lambda at: F.min(F.when(F.col("upto") >= at, F.col("m")))
+    half = (middle(F.floor((F.col("total") + 1) / 2)) + middle(F.floor(F.col("total") / 2) + 1)) / 2
+    sizes = sizes.groupBy("k").agg((F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("n_mean"), half.alias("n_median"))
+    return recall_at_k(pred, truth, ks).join(sizes, "k", "left").select("type", "k", "hits", "gt", "recall", "mean_recall", "n_mean", "n_median")
 
 
 def auc(scores: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -45,7 +54,7 @@ def auc(scores: DataFrame, score: str = "score", label: str = "label") -> DataFr
     summed per score, so ties count half; PR by average precision)."""
     per = scores.groupBy(F.col(score).alias("s")).agg(F.sum(F.when(F.col(label) > 0, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) > 0, 0).otherwise(1)).alias("n"))
     # Running sums in two levels: within ranges of the score, then over the ranges' totals.
-    per = per.withColumn("part", F.floor(F.col("s") * 512))
+    per = with_ranges(per, "s")
     totals = per.groupBy("part").agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"))
     up = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("part", F.coalesce(F.sum("tp").over(up), F.lit(0)).alias("p_before"), F.coalesce(F.sum("tn").over(up), F.lit(0)).alias("n_before"))

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from .events import TIE, with_position
 
-#: Vectors in a block that a task holds, whatever their total.
-BLOCK_ITEMS = 65_536
+#: Vectors in a block that a task holds, whatever their total; blocks of queries that small inputs
+#: are cut into, so that they run in parallel.
+BLOCK_ITEMS, BLOCK_QUERIES = 65_536, 16_384
+LEAST_BLOCKS, SMALL_BLOCK = 16, 64
 
 
 def query_items(prepared: DataFrame, tie: tuple[str, ...] = TIE) -> DataFrame:
@@ -64,14 +66,18 @@ def _nearest(n: int, metric: str):
     return run
 
 
-def knn_by_vector(queries: DataFrame, embeddings: DataFrame, n: int, metric: str = "euclidean", query_blocks: int = 16) -> DataFrame:
+def knn_by_vector(queries: DataFrame, embeddings: DataFrame, n: int, metric: str = "euclidean") -> DataFrame:
     """``query, aid, distance, rank``: the exact n nearest items of each row of ``queries (query, vector)``.
 
-    Items are dealt into blocks of bounded size and queries into ``query_blocks``; each pair of
-    blocks is a task that returns its n nearest, merged by a window for each query. ``metric``:
-    euclidean, or cosine (angular order). Ties go by aid; ranks from 0.
+    Items and queries are dealt into blocks of bounded size, their numbers counted in one job; each
+    pair of blocks is a task that returns its n nearest, merged by a window for each query.
+    ``metric``: euclidean, or cosine (angular order). Ties go by aid; ranks from 0.
     """
-    blocks = max(1, -(-embeddings.count() // BLOCK_ITEMS))
+    kinds = embeddings.select(F.lit(0).alias("k")).unionByName(queries.select(F.lit(1).alias("k"))).groupBy("k").count()
+    counts = dict(kinds.collect())  # two rows
+    blocks = max(1, -(-counts.get(0, 0) // BLOCK_ITEMS))
+    asked = counts.get(1, 0)
+    query_blocks = max(1, -(-asked // BLOCK_QUERIES), min(LEAST_BLOCKS, -(-asked // SMALL_BLOCK)))
     items = embeddings.where("vector is not null").select(F.col("aid").cast("long").alias("id"), F.col("vector").cast("array<double>"), F.lit(False).alias("is_query"))
     asks = queries.where("vector is not null").select(F.col("query").cast("long").alias("id"), F.col("vector").cast("array<double>"), F.lit(True).alias("is_query"))
     items = items.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))

@@ -31,12 +31,47 @@ def training_frame(combined: DataFrame, event: str, folds: list[int], pos_weight
 
 
 def train_ranker(df: DataFrame, algo: str = "classifier", params: dict | None = None):
-    """M2: gradient-boosted trees on ``features, label, weight`` (pointwise)."""
-    from pyspark.ml.classification import GBTClassifier
+    """M2: a model on ``features, label, weight``.
+
+    ``classifier`` and ``regressor``: gradient-boosted trees on single rows. ``ranker``: a pairwise
+    objective within sessions (``session_pairs``), a logistic regression on differences of features
+    without an intercept, so that its score orders the rows of a session. Other names are an error.
+    """
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.regression import GBTRegressor
 
-    kind = GBTClassifier if algo == "classifier" else GBTRegressor
-    return kind(featuresCol="features", labelCol="label", weightCol="weight", **({"maxIter": 20, "maxDepth": 4, "seed": 1} | (params or {}))).fit(df)
+    if algo == "ranker":
+        model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", fitIntercept=False, **({"maxIter": 50, "regParam": 1e-3} | (params or {})))
+        return model.fit(session_pairs(df))
+    kinds = {"classifier": GBTClassifier, "regressor": GBTRegressor}
+    if algo not in kinds:
+        raise ValueError(f"unknown algo {algo!r}: classifier, regressor or ranker")
+    return kinds[algo](featuresCol="features", labelCol="label", weightCol="weight", **({"maxIter": 20, "maxDepth": 4, "seed": 1} | (params or {}))).fit(df)
+
+
+def session_pairs(df: DataFrame, seed: int = 0) -> DataFrame:
+    """``features`` (differences), ``label``, ``weight`` of pairs of a positive and a negative of one
+    session. Each negative meets one positive, dealt by a hash, and each pair stands for itself
+    or, turned round, for its opposite: as many pairs as negatives, never all of a session's."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    key = [c for c in ("event", "session") if c in df.columns]
+    rows = df.select(*key, "candidate_aid", "label", "weight", vector_to_array("features").alias("x"), stable_hash(*key, "candidate_aid", seed=seed).alias("h"))
+    counted = rows.withColumn("positives", F.sum(F.when(F.col("label") > 0, 1).otherwise(0)).over(Window.partitionBy(*key))).where("positives > 0")
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("h", "candidate_aid")) - 1
+    positive = counted.where("label > 0").withColumn("slot", place).select(*key, "slot", F.col("x").alias("up"), F.col("weight").alias("pair_weight"))
+    negative = counted.where("label <= 0").withColumn("slot", F.pmod(F.col("h"), F.col("positives")))
+    pairs = negative.join(positive, [*key, "slot"])
+    turned = F.pmod(F.shiftright("h", 20), F.lit(2))
+    difference = F.zip_with("up", "x", lambda a, b: a - b)
+    signed = F.when(turned == 0, difference).otherwise(F.transform(difference, lambda d: -d))
+    return pairs.select(array_to_vector(signed).alias("features"), (1 - turned).cast("double").alias("label"), F.col("pair_weight").alias("weight"))
+
+
+def model_importances(models: list, columns: list[str]) -> list[tuple[str, int, float]]:
+    """``(feature, fold, importance)`` of boosted trees, for ``importance_summary``: as many rows as
+    features times models."""
+    return [(c, i, float(x)) for i, m in enumerate(models) for c, x in zip(columns, m.featureImportances.toArray(), strict=True)]
 
 
 def group_folds(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
@@ -46,14 +81,17 @@ def group_folds(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
 
 
 def score(df: DataFrame, models: list, decimals: int | None = 3) -> DataFrame:
-    """M4: ``session, candidate_aid, label, score``: mean of the models' predictions."""
+    """M4: ``session, candidate_aid, label, score``: mean of the models' predictions (of a pairwise
+    ranker its margin: a probability of a single row would run into 1 and tie)."""
+    from pyspark.ml.classification import LogisticRegressionModel
     from pyspark.ml.functions import vector_to_array
 
     names = []
     for i, m in enumerate(models):
+        pairwise = isinstance(m, LogisticRegressionModel) and not m.getFitIntercept()
         df = m.transform(df)
-        probability = "probability" in df.columns
-        df = df.withColumn(f"score_{i}", vector_to_array("probability")[1] if probability else F.col("prediction")).drop("probability", "rawPrediction", "prediction")
+        source = "rawPrediction" if pairwise else "probability" if "probability" in df.columns else None
+        df = df.withColumn(f"score_{i}", vector_to_array(source)[1] if source else F.col("prediction")).drop("probability", "rawPrediction", "prediction")
         names.append(f"score_{i}")
     mean = reduce(lambda a, b: a + b, map(F.col, names)) / len(names)
     return df.select("session", "candidate_aid", "label", (F.round(mean, decimals) if decimals is not None else mean).alias("score"))

@@ -27,8 +27,18 @@ def events_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").cast("long").alias("session"), F.col("l_partkey").cast("int").alias("aid"), ts.cast("long").alias("ts"), kind.alias("type"))
 
 
-def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("int").alias("aid"), F.col("embedding").alias("vector"))
+#: Three item tables: the given vectors, and their first and second halves.
+SLICES = {"word2vec": (1, 64), "fasttext": (1, 32), "matrix_fact": (33, 64)}
+
+
+def embeddings(spark: SparkSession, sf_dir: str, table: str = "word2vec") -> DataFrame:
+    lo, hi = SLICES[table]
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("int").alias("aid"), F.slice("embedding", lo, hi - lo + 1).alias("vector"))
+
+
+def embeddings_sql(table: str = "word2vec") -> str:
+    lo, hi = SLICES[table]
+    return f"SELECT CAST(vec_id AS INTEGER) AS aid, CAST(embedding[{lo}:{hi}] AS DOUBLE[]) AS v FROM embeddings"
 
 
 def covisit_tables(e: DataFrame) -> dict[str, DataFrame]:
@@ -72,6 +82,14 @@ def _covisit(src: str, types: str, window: int, top: int) -> str:
     """
 
 
+def _history(weight: str) -> str:
+    return f"""
+        SELECT session, aid, count(*) OVER (PARTITION BY session) AS m, score, first_pos, last_pos FROM (
+            SELECT session, aid, round(sum((CASE WHEN n = 1 THEN 1.0 ELSE pow(2.0, 0.1 + 0.9 * (pos - 1) / (n - 1)) - 1 END) * {weight}), 9) AS score,
+                min(pos) AS first_pos, max(pos) AS last_pos FROM posf GROUP BY ALL)
+    """
+
+
 def _hash(text: str) -> str:
     return f"CAST(('0x' || substr(md5({text}), 1, 15)) AS BIGINT)"
 
@@ -93,23 +111,21 @@ CTES: dict[str, str] = {
     "cut": f"SELECT *, 1 + {_hash('session || chr(95) || 7')} % (n - 1) AS cutoff FROM posb WHERE n > 1",
     "ef": "SELECT session, aid, ts, type FROM cut WHERE pos <= cutoff",
     "posf": "SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, type, aid) AS pos, count(*) OVER (PARTITION BY session) AS n FROM ef",
+    "prepf": _prepared("posf"),
     "truth": "SELECT session, CASE type WHEN 0 THEN 'clicks' WHEN 1 THEN 'carts' ELSE 'orders' END AS type, list(aid ORDER BY pos) AS ground_truth FROM cut WHERE pos > cutoff GROUP BY ALL",
     "uniq": "SELECT *, row_number() OVER (PARTITION BY session ORDER BY last_pos DESC) - 1 AS recent_rank FROM (SELECT session, aid, max(pos) AS last_pos FROM posf GROUP BY ALL)",
     "cv_clicks": _covisit("ef", "(0, 1, 2)", 86_400, 20),
     "cv_carts_orders": _covisit("ef", "(1, 2)", 86_400, 15),
     "cv_buy2buy": _covisit("ef", "(1, 2)", 14 * 86_400, 15),
-    "past_all": """
-        SELECT session, aid, count(*) OVER (PARTITION BY session) AS m, score, first_pos, last_pos FROM (
-            SELECT session, aid, round(sum((CASE WHEN n = 1 THEN 1.0 ELSE pow(2.0, 0.1 + 0.9 * (pos - 1) / (n - 1)) - 1 END) * CASE type WHEN 1 THEN 9.0 ELSE 0.5 END), 9) AS score,
-                min(pos) AS first_pos, max(pos) AS last_pos FROM posf GROUP BY ALL)
-    """,
+    "past_all": _history("CASE type WHEN 0 THEN 1.0 WHEN 1 THEN 6.0 ELSE 3.0 END"),
+    "past_rerank": _history("CASE type WHEN 1 THEN 9.0 ELSE 0.5 END"),
     "past": """
         SELECT session, aid AS candidate_aid, rank FROM (
             SELECT *, row_number() OVER (PARTITION BY session ORDER BY CASE WHEN m >= 20 THEN -score ELSE -last_pos END, CASE WHEN m >= 20 THEN first_pos ELSE 0 END) - 1 AS rank FROM past_all) WHERE rank < 20
     """,
     "past_more": """
         SELECT session, aid AS candidate_aid, rank FROM (
-            SELECT *, row_number() OVER (PARTITION BY session ORDER BY CASE WHEN m > 20 THEN -score ELSE -last_pos END, CASE WHEN m > 20 THEN first_pos ELSE 0 END) - 1 AS rank FROM past_all) WHERE rank < 20
+            SELECT *, row_number() OVER (PARTITION BY session ORDER BY CASE WHEN m > 20 THEN -score ELSE -last_pos END, CASE WHEN m > 20 THEN first_pos ELSE 0 END) - 1 AS rank FROM past_rerank) WHERE rank < 20
     """,
 }
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.functions.exprs import ts_parts
+from sessionloom.functions.exprs import stable_hash, ts_parts
 from sessionloom.operators import candidates, covisit, ensemble, events, features, metrics, neighbours, popular, ranking
+from sessionloom.sources import tables
+from sessionloom.sources.scratch import new_folder, stored
 
-from .fixtures import covisit_tables, embeddings, events_a, events_b, split, with_ctes
+from .fixtures import covisit_tables, embeddings, embeddings_sql, events_a, events_b, split, with_ctes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,6 +93,20 @@ def _(spark, d):
     return ts_parts(events_a(spark, d))
 
 
+@register("preprocess_ts", "session long, aid int, ts long, type int, hour int, date string, datehour string", """
+    SELECT *, ((ts + 7200) // 3600) % 24 AS hour, strftime(make_timestamp((ts + 7200) * 1000000), '%Y-%m-%d') AS date, strftime(make_timestamp((ts + 7200) * 1000000), '%Y-%m-%d %H:00:00') AS datehour FROM ea""")
+def _(spark, d):
+    return events.preprocess_ts(events_a(spark, d))
+
+
+@register("click_subsample", "session long, aid int, ts long, event string, fold int", f"""
+    SELECT * FROM (SELECT session, aid, ts, {NAME} AS event, CAST(('0x' || substr(md5(session || '_0'), 1, 15)) AS BIGINT) % 30 AS fold FROM ea) WHERE event <> 'clicks' OR fold <= 6""")
+def _(spark, d):
+    e = events_a(spark, d)
+    dealt = e.join(events.assign_stratified_folds(e, 30).select("session", "fold"), "session").withColumn("event", events.type_name())
+    return events.click_subsample(dealt)
+
+
 PREPARED = "session long, aid int, ts long, type int, pos long, action_num_reverse_chrono int, duration_second long, oneday_session int, hour int, weekday int, log_recency_score double, type_weighted_log_recency_score double, log_duration_second double, type_weighted_log_duration_second double"
 
 
@@ -115,24 +132,30 @@ for _mode, _flag in (("reference", "coalesce(lead(ts) OVER w - ts, ts - lag(ts)
 
 # Popularity.
 
-for _key in (None, "date", "datehour", "hour"):
-    _k = f", {_key}" if _key else ""
-    _expr = {None: "", "date": ", strftime(make_timestamp((ts + 7200) * 1000000), '%Y-%m-%d') AS date", "datehour": ", strftime(make_timestamp((ts + 7200) * 1000000), '%Y-%m-%d %H:00:00') AS datehour", "hour": ", ((ts + 7200) // 3600) % 24 AS hour"}[_key]
+_KEYS = {None: "", "date": ", strftime(make_timestamp((ts + 7200) * 1000000), '%Y-%m-%d') AS date", "datehour": ", strftime(make_timestamp((ts + 7200) * 1000000), '%Y-%m-%d %H:00:00') AS datehour", "hour": ", ((ts + 7200) // 3600) % 24 AS hour"}
+
+
+def _popular_sql(key: str | None, src: str = "ea") -> str:
+    k = f", {key}" if key else ""
+    return f"""
+        SELECT event{k}, list(aid ORDER BY r) AS labels, list(r ORDER BY r) AS ranks FROM (
+            SELECT *, row_number() OVER (PARTITION BY event{k} ORDER BY cnt DESC, aid) AS r FROM (
+                SELECT aid{k}, event, cnt FROM (SELECT aid{k}, count(*) FILTER (type = 0) AS clicks, count(*) FILTER (type = 1) AS carts, count(*) FILTER (type = 2) AS orders FROM (SELECT aid, type{_KEYS[key]} FROM {src}) GROUP BY ALL)
+                UNPIVOT (cnt FOR event IN (clicks, carts, orders)))) WHERE r <= 20 GROUP BY ALL"""
+
 
-    @register(f"popular_{_key or 'week'}", f"event string{_k + (' int' if _key == 'hour' else ' string') if _key else ''}, labels list, ranks list", f"""
-        SELECT event{_k}, list(aid ORDER BY r) AS labels, list(r ORDER BY r) AS ranks FROM (
-            SELECT *, row_number() OVER (PARTITION BY event{_k} ORDER BY cnt DESC, aid) AS r FROM (
-                SELECT aid{_k}, event, cnt FROM (SELECT aid{_k}, count(*) FILTER (type = 0) AS clicks, count(*) FILTER (type = 1) AS carts, count(*) FILTER (type = 2) AS orders FROM (SELECT aid, type{_expr} FROM ea) GROUP BY ALL)
-                UNPIVOT (cnt FOR event IN (clicks, carts, orders)))) WHERE r <= 20 GROUP BY ALL""")
+for _key in _KEYS:
+
+    @register(f"popular_{_key or 'week'}", f"event string{(f', {_key}' + (' int' if _key == 'hour' else ' string')) if _key else ''}, labels list, ranks list", _popular_sql(_key))
     def _(spark, d, key=_key):
         return popular.popular(events_a(spark, d), key)
 
-
-@register("attach_popular_date", "event string, n long, first_aid long")
-def _(spark, d):
-    e = events_a(spark, d)
-    got = popular.attach_popular(e, popular.popular(e, "date"), "date")
-    return got.groupBy("event").agg(F.count("*").alias("n"), F.sum(F.col("labels")[0]).alias("first_aid"))
+    @register(f"attach_popular_{_key or 'week'}", "session long, event string, labels list, ranks list", f"""
+        SELECT l.session, v.event, p.labels, p.ranks FROM (SELECT session{_KEYS[_key]} FROM (SELECT session, max(ts) AS ts FROM ea GROUP BY session)) l CROSS JOIN (VALUES ('clicks'), ('carts'), ('orders')) AS v(event)
+        LEFT JOIN ({_popular_sql(_key)}) p ON p.event = v.event{f' AND p.{_key} = l.{_key}' if _key else ''}""")
+    def _(spark, d, key=_key):
+        e = events_a(spark, d)
+        return popular.attach_popular(e, popular.popular(e, key), key)
 
 
 # History and co-visitation.
@@ -150,6 +173,11 @@ def _(spark, d):
     return covisit.past_aids(split(events_b(spark, d))[0])
 
 
+@register("past_aids_rerank", CAND, "SELECT * FROM past_more")
+def _(spark, d):
+    return covisit.past_aids(split(events_b(spark, d))[0], type_weights=events.RERANK_WEIGHTS, inclusive=False)
+
+
 for _t in ("clicks", "carts_orders", "buy2buy"):
 
     @register(f"covisitation_{_t}", "aid_x int, aid_y int, wgt double", f"SELECT * FROM cv_{_t}")
@@ -193,9 +221,28 @@ def _(spark, d):
     return covisit.covisit_orders(e, t["carts_orders"], t["buy2buy"])
 
 
+def _suggest_sql(event: str, n: int = 100) -> str:
+    parts = {"clicks": ["clicks"], "carts": ["clicks", "carts_orders"], "orders": ["carts_orders", "buy2buy"]}[event]
+    start, kinds = (0.1, "(-1)") if event == "clicks" else (0.5, "(0, 1)" if event == "carts" else "(1, 2)")
+    neighbours_ = lambda t: f"(SELECT *, row_number() OVER (PARTITION BY aid_x ORDER BY wgt DESC, aid_y) - 1 AS nb FROM cv_{t})"
+    chosen = f"EXISTS (SELECT 1 FROM ef WHERE type IN {kinds} AND ef.session = s.session AND ef.aid = s.aid)"
+    hits = " UNION ALL ".join(f"SELECT s.session, c.aid_y AS aid, ({i} * 1000000 + s.recent_rank) * 1000 + c.nb AS met FROM few s JOIN {neighbours_(t)} c ON s.aid = c.aid_x" + (f" WHERE {chosen}" if t == "buy2buy" else "") for i, t in enumerate(parts))
+    return f"""
+        WITH um AS (SELECT *, count(*) OVER (PARTITION BY session) AS m FROM uniq), few AS (SELECT * FROM um WHERE m < 20), many AS (SELECT * FROM um WHERE m >= 20),
+        listed AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY hits DESC, met, aid) AS place FROM (SELECT session, aid, count(*) AS hits, min(met) AS met FROM ({hits}) GROUP BY ALL)),
+        top AS (SELECT aid, row_number() OVER (ORDER BY cnt DESC, aid) AS place FROM (SELECT aid, count(*) FILTER (type = {dict(clicks=0, carts=1, orders=2)[event]}) AS cnt FROM ef GROUP BY aid) QUALIFY place <= 20),
+        own AS (SELECT session, aid, sum((pow(2.0, {start} + {1 - start} * (pos - 1) / (n - 1)) - 1) * CASE type WHEN 0 THEN 1.0 WHEN 1 THEN 6.0 ELSE 3.0 END) AS w, min(pos) AS first_pos FROM posf WHERE session IN (SELECT session FROM many) GROUP BY ALL),
+        bonus AS (SELECT s.session, c.aid_y AS aid, count(*) * 0.1 AS b, min(s.recent_rank * 1000 + c.nb) AS met FROM many s JOIN {neighbours_(parts[-1])} c ON s.aid = c.aid_x WHERE {chosen} GROUP BY ALL),
+        reranked AS (SELECT session, aid, row_number() OVER (PARTITION BY session ORDER BY round(coalesce(w, 0) + coalesce(b, 0)::DOUBLE, 9) DESC, first_pos NULLS LAST, met, aid) AS place FROM own FULL JOIN bonus USING (session, aid)),
+        rows_ AS (SELECT session, aid, recent_rank AS k FROM few UNION ALL SELECT session, aid, place FROM reranked
+            UNION ALL SELECT session, aid, 1000000 + place FROM listed p WHERE place <= {n} AND NOT EXISTS (SELECT 1 FROM uniq u WHERE u.session = p.session AND u.aid = p.aid)
+            UNION ALL SELECT session, top.aid, 2000000 + place FROM (SELECT DISTINCT session FROM few) CROSS JOIN top)
+        SELECT session, aid AS candidate_aid, rank FROM (SELECT session, aid, row_number() OVER (PARTITION BY session ORDER BY min(k), aid) - 1 AS rank FROM rows_ GROUP BY session, aid) WHERE rank < {n}"""
+
+
 for _e in ("clicks", "carts", "orders"):
 
-    @register(f"suggest_with_backfill_{_e}", CAND)
+    @register(f"suggest_with_backfill_{_e}", CAND, _suggest_sql(_e))
     def _(spark, d, event=_e):
         e = split(events_b(spark, d))[0]
         return covisit.suggest_with_backfill(e, event, covisit_tables(e), popular.popular(e))
@@ -206,44 +253,63 @@ for _e in ("clicks", "carts", "orders"):
 _BEST = {"last_aid": "pos", "max_recency_aid": "lr", "max_weighted_recency_aid": "wr", "max_duration_aid": "ld", "max_weighted_duration_aid": "wd"}
 
 
-@register("query_items", "session long, " + ", ".join(f"{c} int" for c in _BEST), f"""
+_ITEMS = f"""
     SELECT session, {', '.join(f'arg_max(aid, row({m}, aid)) AS {c}' for c, m in _BEST.items())} FROM (
         SELECT session, aid, max(pos) AS pos, round(sum(log_recency_score), 9) AS lr, round(sum(type_weighted_log_recency_score), 9) AS wr, round(sum(log_duration_second), 9) AS ld, round(sum(type_weighted_log_duration_second), 9) AS wd
-        FROM prepa GROUP BY ALL) GROUP BY session""")
+        FROM prepa GROUP BY ALL) GROUP BY session"""
+
+
+@register("query_items", "session long, " + ", ".join(f"{c} int" for c in _BEST), _ITEMS)
 def _(spark, d):
     return neighbours.query_items(events.prepare_events(events_a(spark, d)))
 
 
-def _knn_sql(metric: str, n: int) -> str:
+def _near_sql(asked: str, table: str, metric: str, drop_self: bool) -> str:
+    """``query, aid, rank`` of all items for ``asked (query, v)``."""
     dist = "list_distance(q.v, e.v)" if metric == "euclidean" else "1 - list_cosine_similarity(q.v, e.v)"
-    return f"""
-        WITH emb AS (SELECT CAST(vec_id AS INTEGER) AS aid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-        lastaid AS (SELECT session, arg_max(aid, pos) AS aid FROM posa GROUP BY session),
-        near AS (SELECT query, aid, row_number() OVER (PARTITION BY query ORDER BY distance, aid) - 1 AS rank FROM (
-            SELECT q.aid AS query, e.aid, round({dist}, 9) AS distance FROM (SELECT * FROM emb WHERE aid IN (SELECT aid FROM lastaid)) q, emb e WHERE e.aid <> q.aid))
-        SELECT session, near.aid AS candidate_aid, rank FROM lastaid JOIN near ON lastaid.aid = query WHERE rank < {n}"""
+    return f"""SELECT query, aid, row_number() OVER (PARTITION BY query ORDER BY distance, aid) - 1 AS rank FROM (
+        SELECT q.query, e.aid, round({dist}, 9) AS distance FROM ({asked}) q, ({embeddings_sql(table)}) e {'WHERE e.aid <> q.query' if drop_self else ''})"""
+
+
+def _knn_sql(queries: str, n: int, metric: str = "euclidean", table: str = "word2vec", drop_self: bool = True) -> str:
+    """``session, candidate_aid, rank`` for ``queries (session, aid)``."""
+    asked = f"SELECT aid AS query, v FROM ({embeddings_sql(table)}) WHERE aid IN (SELECT aid FROM ({queries}))"
+    return f"SELECT s.session, near.aid AS candidate_aid, near.rank FROM ({queries}) s JOIN ({_near_sql(asked, table, metric, drop_self)}) near ON s.aid = near.query WHERE near.rank < {n}"
 
 
-for _metric, _n in (("euclidean", 20), ("cosine", 10)):
+for _name, _aid, _n, _metric, _table in (
+    ("euclidean", "last_aid", 20, "euclidean", "word2vec"),
+    ("cosine", "last_aid", 10, "cosine", "word2vec"),
+    ("max_weighted_recency", "max_weighted_recency_aid", 30, "euclidean", "word2vec"),
+    ("max_weighted_duration", "max_weighted_duration_aid", 30, "euclidean", "word2vec"),
+    ("max_duration", "max_duration_aid", 30, "cosine", "word2vec"),
+    ("fasttext", "last_aid", 20, "cosine", "fasttext"),
+    ("matrix_fact", "last_aid", 10, "euclidean", "matrix_fact"),
+):
 
-    @register(f"knn_{_metric}", CAND, _knn_sql(_metric, _n))
-    def _(spark, d, metric=_metric, n=_n):
-        q = neighbours.query_items(events.prepare_events(events_a(spark, d))).select("session", F.col("last_aid").alias("aid"))
-        return neighbours.knn_by_item(q, embeddings(spark, d), n, metric)
+    @register(f"knn_{_name}", CAND, _knn_sql(f"SELECT session, {_aid} AS aid FROM ({_ITEMS})", _n, _metric, _table))
+    def _(spark, d, aid=_aid, n=_n, metric=_metric, table=_table):
+        q = neighbours.query_items(events.prepare_events(events_a(spark, d))).select("session", F.col(aid).alias("aid"))
+        return neighbours.knn_by_item(q, embeddings(spark, d, table), n, metric)
 
 
-@register("knn_last_carted", CAND)
+@register("knn_last_carted", CAND, _knn_sql("SELECT session, coalesce(arg_max(aid, pos) FILTER (type = 1), arg_max(aid, pos)) AS aid FROM posa GROUP BY session", 20, drop_self=False))
 def _(spark, d):
     return neighbours.knn_by_item(neighbours.last_carted_query(events_a(spark, d)), embeddings(spark, d), 20, drop_self=False)
 
 
-@register("knn_mean_cart_vector", "query long, aid long, rank int")
+_MEANS = f"""SELECT session AS query, list(x ORDER BY i) AS v FROM (SELECT session, i, avg(v[i]) AS x FROM (SELECT c.session, e.v, unnest(range(1, len(e.v) + 1)) AS i FROM (
+        SELECT session, aid, row_number() OVER (PARTITION BY session ORDER BY pos DESC) AS r FROM (SELECT *, max(CASE WHEN type = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY session) AS has FROM posa) WHERE type = 1 OR (has = 0 AND pos = n)) c
+    JOIN ({embeddings_sql()}) e USING (aid) WHERE r <= 3) GROUP BY ALL) GROUP BY session"""
+
+
+@register("knn_mean_cart_vector", "query long, aid long, rank int", f"SELECT * FROM ({_near_sql(_MEANS, 'word2vec', 'euclidean', False)}) WHERE rank < 20")
 def _(spark, d):
     e = embeddings(spark, d)
     return neighbours.knn_by_vector(neighbours.mean_cart_vector(events_a(spark, d), e), e, 20)
 
 
-@register("knn_budget", CAND)
+@register("knn_budget", CAND, f"SELECT k.* FROM ({_knn_sql('SELECT session, arg_max(aid, pos) AS aid FROM posa GROUP BY session', 40)}) k JOIN (SELECT session, least(count(DISTINCT aid), 20) AS used FROM posa GROUP BY session) USING (session) WHERE rank < 40 - used")
 def _(spark, d):
     return neighbours.knn_budget(events_a(spark, d), embeddings(spark, d), 40)
 
@@ -296,18 +362,55 @@ def _(spark, d):
     return candidates.combine_ranks(_rows(spark, d)[2], ["past_aids", "covisit"], ["past_aids", "covisit"])
 
 
-@register("downsampled_negatives", ROWS)
+@register("candidates_long", "session long, event string, strategy string, candidate_aid int, rank int", "SELECT session, event, 'past_aids' AS strategy, candidate_aid, rank FROM past, (VALUES ('clicks'), ('carts'), ('orders')) AS t(event)")
+def _(spark, d):
+    past = covisit.past_aids(split(events_b(spark, d))[0]).groupBy("session").agg(F.array_sort(F.collect_list(F.struct("rank", "candidate_aid"))).alias("x"))
+    past = past.withColumn("event", F.explode(F.array(*map(F.lit, ("clicks", "carts", "orders")))))
+    lists = past.select(F.concat_ws("_", F.col("session").cast("string"), "event").alias("session"), F.transform("x", lambda s: s["candidate_aid"]).alias("labels"), F.transform("x", lambda s: s["rank"]).alias("ranks"))
+    return candidates.candidates_long(lists, "past_aids")
+
+
+_HASHED = f"SELECT *, CAST(('0x' || substr(md5(event || '_' || session || '_' || candidate_aid || '_3'), 1, 15)) AS BIGINT) AS h FROM ({_ROWS})"
+
+
+@register("downsampled_negatives", ROWS, f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, event, session, candidate_aid) AS r, sum(label) OVER () AS p FROM ({_HASHED})) WHERE label = 1 OR r <= 10 * p")
 def _(spark, d):
     return candidates.downsample_negatives(_rows(spark, d)[2], ratio=10, seed=3, exact=True)
 
 
-@register("negatives_per_session", ROWS)
+@register("downsampled_by_hash", ROWS, f"SELECT * FROM (SELECT *, sum(label) OVER () AS p, sum(1 - label) OVER () AS q FROM ({_HASHED})) WHERE label = 1 OR h / 1152921504606846976.0::DOUBLE < 10 * p / greatest(q, 1)::DOUBLE")
+def _(spark, d):
+    return candidates.downsample_negatives(_rows(spark, d)[2], ratio=10, seed=3)
+
+
+_PER_SESSION = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event, session, label ORDER BY h, candidate_aid) AS r, sum(label) OVER (PARTITION BY event, session) AS p FROM ({_HASHED})) WHERE label = 1 OR r <= 2 * p"
+
+
+@register("negatives_per_session", ROWS, _PER_SESSION)
 def _(spark, d):
     _, truth, rows = _rows(spark, d)
     return candidates.sample_negatives_per_session(rows, 2, seed=3)
 
 
-@register("candidate_recall", "type string, k int, hits long, gt long, recall double, mean_recall double, n_mean double, n_median double")
+@register("negatives_with_all_truth", "event string, session long, candidate_aid int, rank_past_aids int, label int", f"""
+    SELECT event, session, candidate_aid, rank_past_aids, label FROM ({_PER_SESSION}) UNION ALL
+    SELECT t.event, t.session, t.aid, -1, 1 FROM (SELECT DISTINCT session, type AS event, unnest(ground_truth) AS aid FROM truth) t WHERE NOT EXISTS (SELECT 1 FROM ({_ROWS}) r WHERE r.event = t.event AND r.session = t.session AND r.candidate_aid = t.aid)""")
+def _(spark, d):
+    _, truth, rows = _rows(spark, d)
+    return candidates.sample_negatives_per_session(rows, 2, seed=3, include_all_truth=truth).fillna(-1, ["rank_past_aids"])
+
+
+_OVERALL = "SELECT 'overall' AS type, k, sum(hits) AS hits, sum(gt) AS gt, sum(recall * w) AS recall, sum(mean_recall * w) AS mean_recall FROM (SELECT *, CASE type WHEN 'clicks' THEN 0.1 WHEN 'carts' THEN 0.3 ELSE 0.6 END AS w FROM by_event) GROUP BY k"
+
+
+@register("candidate_recall", "type string, k int, hits long, gt long, recall double, mean_recall double, n_mean double, n_median double", f"""
+    WITH firsts AS (SELECT session, event, candidate_aid, min(CASE strategy WHEN 'past_aids' THEN 1 ELSE 2 END * 100000 + rank) AS x FROM ({_LONG}) GROUP BY ALL),
+    lists AS (SELECT session, event, list(candidate_aid ORDER BY x, candidate_aid) AS aids FROM firsts GROUP BY ALL),
+    hit AS (SELECT t.type, k.k, len(list_intersect(coalesce(l.aids, [])[1:k.k], t.ground_truth)) AS h, least(len(list_distinct(t.ground_truth)), 20) AS g, least(len(coalesce(l.aids, [])), k.k) AS m
+        FROM truth t LEFT JOIN lists l ON l.session = t.session AND l.event = t.type CROSS JOIN (VALUES (20), (80), (140), (260)) AS k(k)),
+    by_event AS (SELECT type, k, sum(h) AS hits, sum(g) AS gt, sum(h) / sum(g) AS recall, avg(h / g) AS mean_recall FROM hit GROUP BY ALL),
+    sizes AS (SELECT k, avg(m) AS n_mean, median(m) AS n_median FROM hit GROUP BY k)
+    SELECT * FROM (SELECT * FROM by_event UNION ALL {_OVERALL}) JOIN sizes USING (k)""")
 def _(spark, d):
     _, truth, long = _long(spark, d)
     return metrics.candidate_recall(long, truth, strategy_order=("past_aids", "covisit"))
@@ -315,14 +418,13 @@ def _(spark, d):
 
 # Recall of the history: the flagship.
 
-_RECALL_ROWS = """SELECT t.type, k.k, len(list_intersect(list_distinct(coalesce(p.aids, [])[1:k.k]), t.ground_truth)) AS h, least(len(t.ground_truth), 20) AS g
+_RECALL_ROWS = """SELECT t.type, k.k, len(list_intersect(list_distinct(coalesce(p.aids, [])[1:k.k]), t.ground_truth)) AS h, least(len(list_distinct(t.ground_truth)), 20) AS g
     FROM truth t LEFT JOIN (SELECT session, list(candidate_aid ORDER BY rank) AS aids FROM past GROUP BY session) p USING (session), (VALUES (10), (20)) AS k(k)"""
 _BY = f"SELECT type, k, sum(h) AS hits, sum(g) AS gt, sum(h) / sum(g) AS recall, avg(h / g) AS mean_recall FROM ({_RECALL_ROWS}) GROUP BY ALL"
 
 
 @register("recall_past_aids", "type string, k int, hits long, gt long, recall double, mean_recall double", f"""
-    WITH by_event AS ({_BY}) SELECT * FROM by_event UNION ALL
-    SELECT 'overall', k, sum(hits), sum(gt), sum(recall * w), sum(mean_recall * w) FROM (SELECT *, CASE type WHEN 'clicks' THEN 0.1 WHEN 'carts' THEN 0.3 ELSE 0.6 END AS w FROM by_event) GROUP BY k""")
+    WITH by_event AS ({_BY}) SELECT * FROM by_event UNION ALL {_OVERALL}""")
 def _(spark, d):
     e, truth = split(events_b(spark, d))
     past = covisit.past_aids(e).withColumn("score", -F.col("rank"))
@@ -412,6 +514,13 @@ _feature_query("item_weekday_features", "aid int, weekday int, itemXweekday_all_
     SELECT aid, weekday, all_n AS itemXweekday_all_events_count, cart AS itemXweekday_cart_count, ord AS itemXweekday_order_count, {_div('cart', 'click')} AS itemXweekday_click_to_cart_cvr, {_div('ord', 'cart')} AS itemXweekday_cart_to_order_cvr,
         {_div('click', 'sum(click) OVER (PARTITION BY aid)')} AS itemXweekday_frac_click_all_click, {_div('cart', 'sum(cart) OVER (PARTITION BY aid)')} AS itemXweekday_frac_cart_all_cart, {_div('cart', 'sum(cart) OVER (PARTITION BY weekday)')} AS itemXweekday_frac_cart_all_weekday_cart FROM ({_TIME.format(k='weekday')})""")
 
+for _k, _extra in (("hour", ("cart", "order")), ("weekday", ("order",))):
+    _sql_name = {"click": "click", "cart": "cart", "order": "ord"}
+    _p = f"itemX{_k}"
+    _wide = {f"{_p}_all_events_count": ("long", "all_n"), **{f"{_p}_{a}_count": ("long", x) for a, x in _sql_name.items()}, **{f"{_p}_frac_{a}_all_{a}": ("double", _div(_sql_name[a], f"sum({_sql_name[a]}) OVER (PARTITION BY aid)")) for a in ("click", *_extra)}}
+    _wide |= {f"{_p}_frac_{a}_all_hour_{a}": ("double", _div(_sql_name[a], f"sum({_sql_name[a]}) OVER (PARTITION BY hour)")) for a in _extra} if _k == "hour" else {}
+    _feature_query(f"item_{_k}_features_wide", f"aid int, {_k} int, " + ", ".join(f"{c} {t}" for c, (t, _) in _wide.items()), f"item_{_k}_wide", f"SELECT aid, {_k}, {', '.join(f'{x} AS {c}' for c, (_, x) in _wide.items())} FROM ({_TIME.format(k=_k)})")
+
 _SI = {
     "sesXaid_all_events_count": ("long", "all_n"),
     **{f"sesXaid_{a}_count": ("long", f"n_{a}") for a in _N.values()},
@@ -429,11 +538,27 @@ _SI = {
     **{f"sesXaid_frac_{a}_all_{a}_dur_sec": ("double", _div(f"d_{a}", f"sum(d_{a}) OVER s")) for a in ("click", "cart")},
     **{f"sesXaid_frac_{a}_of_own_events": ("double", _div(f"n_{a}", "all_n")) for a in _N.values()},
 }
-_feature_query("session_item_features", "session long, candidate_aid int, " + ", ".join(f"{c} {t}" for c, (t, _) in _SI.items()), "session_item", f"""
-    SELECT session, aid AS candidate_aid, {', '.join(f'{x} AS {c}' for c, (_, x) in _SI.items())} FROM (
+_SI_WIDE = _SI | {
+    "sesXaid_log_duration": ("double", "ldur"),
+    "sesXaid_type_weighted_log_duration": ("double", "wdur"),
+    "sesXaid_frac_order_all_order": ("double", _div("n_order", "sum(n_order) OVER s")),
+    "sesXaid_frac_order_all_order_dur_sec": ("double", _div("d_order", "sum(d_order) OVER s")),
+    "sesXaid_frac_log_duration_to_all": ("double", _div("ldur", "sum(ldur) OVER s")),
+    "sesXaid_frac_type_weighted_log_duration_to_all": ("double", _div("wdur", "sum(wdur) OVER s")),
+}
+
+
+def _session_item_sql(cols: dict[str, tuple[str, str]], src: str) -> str:
+    return f"""
+    SELECT session, aid AS candidate_aid, {', '.join(f'{x} AS {c}' for c, (_, x) in cols.items())} FROM (
         SELECT session, aid, count(*) AS all_n, {', '.join(f'count(*) FILTER (type = {t}) AS n_{a}, coalesce(sum(duration_second) FILTER (type = {t}), 0) AS d_{a}' for t, a in _N.items())}, sum(duration_second) AS d_all,
-            count(DISTINCT type) AS types, sum(log_recency_score) AS lr, sum(type_weighted_log_recency_score) AS wr, min(action_num_reverse_chrono) AS rev, arg_max(type, pos) AS last_type, avg((last_ts - ts) / 60.0) AS mins
-        FROM (SELECT *, max(ts) OVER (PARTITION BY session) AS last_ts FROM prepa) GROUP BY ALL) WINDOW s AS (PARTITION BY session)""")
+            count(DISTINCT type) AS types, sum(log_recency_score) AS lr, sum(type_weighted_log_recency_score) AS wr, min(action_num_reverse_chrono) AS rev, arg_max(type, pos) AS last_type, avg((last_ts - ts) / 60.0) AS mins,
+            log2(1 + sum(log_duration_second)) AS ldur, log2(1 + sum(type_weighted_log_duration_second)) AS wdur
+        FROM (SELECT *, max(ts) OVER (PARTITION BY session) AS last_ts FROM {src}) GROUP BY ALL) WINDOW s AS (PARTITION BY session)"""
+
+
+for _name, _cols in (("session_item", _SI), ("session_item_wide", _SI_WIDE)):
+    _feature_query(_name.replace("item", "item_features"), "session long, candidate_aid int, " + ", ".join(f"{c} {t}" for c, (t, _) in _cols.items()), _name, _session_item_sql(_cols, "prepa"))
 
 
 _F7 = {t: f"coalesce(sum(times) FILTER (tab = '{t}'), 0)" for t in ("clicks", "carts_orders", "buy2buy")}
@@ -457,34 +582,133 @@ def _represented(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, dic
     return features.session_representation(rows, prepared), prepared, covisit_tables(e)
 
 
-@register("covisit_weights", "session long, candidate_aid int, clicks_weight_last_event double, carts_orders_weight_last_event double, buy2buy_weight_max_recency_event double, clicks_weight_max_duration_event double")
+_REP_BEST = dict(zip(features.REPRESENTATIVES, ("pos", "lr", "wr", "ds"), strict=True))
+_REPS = f"""SELECT session, {', '.join(f'arg_max(aid, row({m}, aid)) AS {r}_in_session_aid' for r, m in _REP_BEST.items())} FROM (
+    SELECT session, aid, max(pos) AS pos, round(sum(log_recency_score), 9) AS lr, round(sum(type_weighted_log_recency_score), 9) AS wr, sum(duration_second) AS ds FROM prepf GROUP BY ALL) GROUP BY session"""
+_REPRESENTED = f"""SELECT p.session, p.candidate_aid, p.rank AS rank_past_aids, CASE WHEN t.aid IS NULL THEN 0 ELSE 1 END AS label, {', '.join(f'{r}_in_session_aid' for r in _REP_BEST)}
+    FROM past p JOIN ({_REPS}) r ON r.session = p.session LEFT JOIN (SELECT DISTINCT session, unnest(ground_truth) AS aid FROM truth WHERE type = 'orders') t ON t.session = p.session AND t.aid = p.candidate_aid"""
+
+
+@register("session_representation", "session long, candidate_aid int, " + ", ".join(f"{r}_in_session_aid int" for r in _REP_BEST), _REPRESENTED)
+def _(spark, d):
+    return _represented(spark, d)[0]
+
+
+_WEIGHTS = [f"{t}_weight_{r}" for r in _REP_BEST for t in _F7]
+_WEIGHTED = f"""SELECT p.*, {', '.join(f'{r}.{t} AS {t}_weight_{r}' for r in _REP_BEST for t in _F7)} FROM ({_REPRESENTED}) p {' '.join(f'LEFT JOIN pairs {r} ON {r}.aid_x = p.{r}_in_session_aid AND {r}.aid_y = p.candidate_aid' for r in _REP_BEST)}"""
+_PAIR_TABLE = f"WITH pairs AS (SELECT aid_x, aid_y, {', '.join(f'max(wgt) FILTER (tab = {chr(39)}{t}{chr(39)}) AS {t}' for t in _F7)} FROM ({_TAGGED}) GROUP BY ALL)"
+
+
+@register("covisit_weights", "session long, candidate_aid int, " + ", ".join(f"{c} double" for c in _WEIGHTS), f"{_PAIR_TABLE} {_WEIGHTED}")
 def _(spark, d):
     rows, _, tables = _represented(spark, d)
     return features.covisit_weights(rows, **tables)
 
 
-_PAIRS = """SELECT p.session, p.candidate_aid, l.aid AS x FROM past p JOIN (SELECT session, arg_max(aid, pos) AS aid FROM posf GROUP BY session) l USING (session)"""
+def _filled(t: str) -> list[str]:
+    return [f"coalesce({t}_weight_{r}, 0)" for r in _REP_BEST]
+
+
+_STATS = {t: {f"{t}_weight_mean": f"({' + '.join(_filled(t))}) / 4", f"{t}_weight_max": f"greatest({', '.join(_filled(t))})", f"{t}_weight_min": f"least({', '.join(_filled(t))})", f"{t}_weight_max_min_diff": f"greatest({', '.join(_filled(t))}) - least({', '.join(_filled(t))})"} for t in _F7}
 
 
-@register("embedding_distances", "session long, candidate_aid int, word2vec_last_event_cosine_distance double, word2vec_last_event_euclidean_distance double", f"""
-    SELECT session, candidate_aid, CASE WHEN a.v IS NULL OR b.v IS NULL THEN NULL ELSE round(list_cosine_similarity(a.v, b.v), 3) END AS word2vec_last_event_cosine_distance,
-        CASE WHEN a.v IS NULL AND b.v IS NULL THEN NULL WHEN a.v IS NULL THEN round(sqrt(list_dot_product(b.v, b.v)), 3) WHEN b.v IS NULL THEN round(sqrt(list_dot_product(a.v, a.v)), 3) ELSE round(list_distance(a.v, b.v), 3) END AS word2vec_last_event_euclidean_distance
-    FROM ({_PAIRS}) LEFT JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) a ON a.vec_id = x LEFT JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) b ON b.vec_id = candidate_aid""")
+@register("weight_stats", "session long, candidate_aid int, " + ", ".join(f"{c} double" for t in _STATS.values() for c in t), f"{_PAIR_TABLE} SELECT session, candidate_aid, {', '.join(f'{x} AS {c}' for t in _STATS.values() for c, x in t.items())} FROM ({_WEIGHTED})")
 def _(spark, d):
-    return features.embedding_distances(_represented(spark, d)[0], embeddings(spark, d))
+    rows, _, tables = _represented(spark, d)
+    rows = features.covisit_weights(rows, **tables)
+    for t in tables:
+        rows = features.weight_stats(rows, t)
+    return rows
 
 
-@register("rank_score", "session long, candidate_aid int, log_rank_past_aids_score double, frac_log_rank_past_aids_score_to_all double", """
-    SELECT *, s / sum(s) OVER (PARTITION BY session) AS frac_log_rank_past_aids_score_to_all, s AS log_rank_past_aids_score FROM (
-        SELECT session, candidate_aid, CASE WHEN max(rank) OVER w = 1 THEN 1.0 ELSE pow(2.0, 0.1 + 0.9 * CASE WHEN max(rank) OVER w = 1 THEN 0 ELSE (max(rank) OVER w - rank) / (max(rank) OVER w - 1)::DOUBLE END) - 1 END AS s
-        FROM past WINDOW w AS (PARTITION BY session))""")
+def _distance_sql(rows: str, reps: tuple[str, ...], table: str) -> str:
+    cols = ", ".join(
+        f"CASE WHEN a_{r}.v IS NULL OR b.v IS NULL THEN NULL ELSE round(list_cosine_similarity(a_{r}.v, b.v), 3) END AS {table}_{r}_cosine_distance, "
+        f"CASE WHEN a_{r}.v IS NULL AND b.v IS NULL THEN NULL WHEN a_{r}.v IS NULL THEN round(sqrt(list_dot_product(b.v, b.v)), 3) WHEN b.v IS NULL THEN round(sqrt(list_dot_product(a_{r}.v, a_{r}.v)), 3) ELSE round(list_distance(a_{r}.v, b.v), 3) END AS {table}_{r}_euclidean_distance"
+        for r in reps
+    )
+    return f"SELECT p.*, {cols} FROM ({rows}) p LEFT JOIN ({embeddings_sql(table)}) b ON b.aid = p.candidate_aid {' '.join(f'LEFT JOIN ({embeddings_sql(table)}) a_{r} ON a_{r}.aid = p.{r}_in_session_aid' for r in reps)}"
+
+
+for _name, _table, _reps in (("embedding_distances", "word2vec", ("last_event",)), ("fasttext_distances", "fasttext", tuple(_REP_BEST)), ("matrix_fact_distances", "matrix_fact", tuple(_REP_BEST))):
+
+    @register(_name, "session long, candidate_aid int, " + ", ".join(f"{_table}_{r}_{m}_distance double" for r in _reps for m in ("cosine", "euclidean")), _distance_sql(_REPRESENTED, _reps, _table))
+    def _(spark, d, table=_table, reps=_reps):
+        return features.embedding_distances(_represented(spark, d)[0], embeddings(spark, d, table), reps, table)
+
+
+_RANK_SCORE = "CASE WHEN max(rank) OVER w = 1 THEN 1.0 ELSE pow(2.0, 0.1 + 0.9 * CASE WHEN max(rank) OVER w = 1 THEN 0 ELSE (max(rank) OVER w - rank) / (max(rank) OVER w - 1)::DOUBLE END) - 1 END"
+
+
+@register("rank_score", "session long, candidate_aid int, log_rank_past_aids_score double, frac_log_rank_past_aids_score_to_all double", f"""
+    SELECT *, s / sum(s) OVER (PARTITION BY session) AS frac_log_rank_past_aids_score_to_all, s AS log_rank_past_aids_score FROM (SELECT session, candidate_aid, {_RANK_SCORE} AS s FROM past WINDOW w AS (PARTITION BY session))""")
 def _(spark, d):
     return features.rank_score(_represented(spark, d)[0], "rank_past_aids")
 
 
-@register("combined_features", "session long, candidate_aid int, label int, sess_all_events_count long, sesXaid_all_events_count long, sesXaid_action_num_reverse_chrono int, item_all_events_count long, itemXhour_click_count long, itemXweekday_cart_count long, clicks_weight_mean double, clicks_weight_max_min_diff double, word2vec_last_event_cosine_distance double, sessXitem_abs_diff_hour_order int, rank_past_aids_mean_diff double, log_rank_past_aids_score double, rank_past_aids_min_sess_aid_dcount int")
+@register("relative_diff", "session long, candidate_aid int, rank_past_aids_mean_diff double, rank_past_aids_relative_mean_diff double, label_mean_diff double, label_relative_mean_diff double", f"""
+    SELECT session, candidate_aid, rank_past_aids - avg(rank_past_aids) OVER s AS rank_past_aids_mean_diff, {_div('rank_past_aids - avg(rank_past_aids) OVER s', 'avg(rank_past_aids) OVER s')} AS rank_past_aids_relative_mean_diff,
+        label - avg(label) OVER s AS label_mean_diff, {_div('label - avg(label) OVER s', 'avg(label) OVER s')} AS label_relative_mean_diff FROM ({_REPRESENTED}) WINDOW s AS (PARTITION BY session)""")
+def _(spark, d):
+    return features.relative_diff(_represented(spark, d)[0], ["rank_past_aids", "label"])
+
+
+_SESS = f"SELECT session, count(DISTINCT aid) AS sess_aid_dcount, {', '.join(f'{x} AS {c}' for c, (_, x) in _SESSION.items())} FROM prepf GROUP BY session"
+_TIME_DIFF = lambda u, a: f"coalesce(CAST(floor(abs(sess_{u} - item_avg_{u}_{a})) AS INTEGER), 99)"
+_TIME_DIFFS = {f"sessXitem_abs_diff_{u}_{a}": _TIME_DIFF(u, a) for a in _N.values() for u in ("hour", "weekday")}
+
+
+@register("session_item_time_diffs", "session long, candidate_aid int, " + ", ".join(f"{c} int" for c in _TIME_DIFFS), f"SELECT session, candidate_aid, {', '.join(f'{x} AS {c}' for c, x in _TIME_DIFFS.items())} FROM past JOIN ({_SESS}) USING (session) LEFT JOIN ({_grouped('aid int', 'prepf', _ITEM_WIDE)[1]}) i ON i.aid = candidate_aid")
 def _(spark, d):
-    rows, prepared, tables = _represented(spark, d)
+    rows, prepared, _ = _represented(spark, d)
+    out = rows.join(features.session_features(prepared), "session").join(features.item_features(prepared, wide=True).withColumnRenamed("aid", "candidate_aid"), "candidate_aid", "left")
+    return features.session_item_time_diffs(out, wide=True)
+
+
+@register("past_rank_or_minus_one", "session long, candidate_aid int, rank_past_aids int, rank_past_aids_min_sess_aid_dcount int", f"""
+    SELECT r.session, r.candidate_aid, r.rank_past_aids, CASE WHEN r.rank_past_aids < sess_aid_dcount THEN r.rank_past_aids ELSE -1 END AS rank_past_aids_min_sess_aid_dcount FROM ({_ROWS}) r JOIN ({_SESS}) USING (session) WHERE r.event = 'orders'""")
+def _(spark, d):
+    e, _, rows = _rows(spark, d)
+    session = features.session_features(events.prepare_events(e)).select("session", "sess_aid_dcount")
+    return features.past_rank_or_minus_one(rows.where("event = 'orders'").join(session, "session"))
+
+
+#: Column of the combined table -> (type, SQL); the tables' fill rules are part of it.
+_COMBINED = {
+    "label": ("int", "p.label"),
+    "sess_all_events_count": ("long", "s.sess_all_events_count"),
+    **{c: ("long", f"coalesce(si.{c}, 0)") for c in ("sesXaid_all_events_count", "sesXaid_cart_count")},
+    "sesXaid_action_num_reverse_chrono": ("int", "coalesce(si.sesXaid_action_num_reverse_chrono, 500)"),
+    "sesXaid_mins_from_last_event": ("double", "coalesce(si.sesXaid_mins_from_last_event, 9999)"),
+    "sesXaid_mins_from_last_event_log1p": ("double", "coalesce(ln(1 + si.sesXaid_mins_from_last_event), 99)"),
+    "sesXaid_frac_click_all_click_dur_sec": ("double", "coalesce(si.sesXaid_frac_click_all_click_dur_sec, 99999)"),
+    "sesXaid_frac_click_all_click": ("double", "coalesce(si.sesXaid_frac_click_all_click, 0)"),
+    "item_all_events_count": ("long", "coalesce(i.item_all_events_count, 0)"),
+    "itemXhour_click_count": ("long", "coalesce(h.click, 0)"),
+    "itemXweekday_cart_count": ("long", "coalesce(w.cart, 0)"),
+    **{c: ("double", x) for c, x in _STATS["clicks"].items()},
+    "word2vec_last_event_cosine_distance": ("double", "coalesce(p.word2vec_last_event_cosine_distance, 0)"),
+    "sessXitem_abs_diff_hour_order": ("int", _TIME_DIFF("hour", "order")),
+    "sessXitem_abs_diff_weekday_order": ("int", _TIME_DIFF("weekday", "order")),
+    "rank_past_aids_mean_diff": ("double", "p.rank_past_aids - avg(p.rank_past_aids) OVER (PARTITION BY p.session)"),
+    "log_rank_past_aids_score": ("double", _RANK_SCORE.replace("rank", "p.rank_past_aids")),
+    "rank_past_aids_min_sess_aid_dcount": ("int", "CASE WHEN p.rank_past_aids < s.sess_aid_dcount THEN p.rank_past_aids ELSE -1 END"),
+}
+
+
+def _combined_sql(represented: str) -> str:
+    weighted = f"""SELECT p.*, {', '.join(f'{r}.{t} AS {t}_weight_{r}' for r in _REP_BEST for t in _F7)} FROM ({_distance_sql(represented, ('last_event',), 'word2vec')}) p {' '.join(f'LEFT JOIN pairs {r} ON {r}.aid_x = p.{r}_in_session_aid AND {r}.aid_y = p.candidate_aid' for r in _REP_BEST)}"""
+    return f"""{_PAIR_TABLE} SELECT p.session, p.candidate_aid, {', '.join(f'{x} AS {c}' for c, (_, x) in _COMBINED.items())}
+        FROM ({weighted}) p JOIN ({_SESS}) s ON s.session = p.session LEFT JOIN ({_session_item_sql(_SI, 'prepf')}) si ON si.session = p.session AND si.candidate_aid = p.candidate_aid
+        LEFT JOIN ({_grouped('aid int', 'prepf', _ITEM)[1]}) i ON i.aid = p.candidate_aid
+        LEFT JOIN ({_TIME.format(k='hour').replace('prepa', 'prepf')}) h ON h.aid = p.candidate_aid AND h.hour = s.sess_hour LEFT JOIN ({_TIME.format(k='weekday').replace('prepa', 'prepf')}) w ON w.aid = p.candidate_aid AND w.weekday = s.sess_weekday
+        WINDOW w AS (PARTITION BY p.session)"""
+
+
+COMBINED = "session long, candidate_aid int, " + ", ".join(f"{c} {t}" for c, (t, _) in _COMBINED.items())
+
+
+def _combine(spark: SparkSession, d: str, rows: DataFrame, prepared: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     out = features.combine_features(
         rows,
         features.session_features(prepared),
@@ -499,22 +723,83 @@ def _(spark, d):
     return features.past_rank_or_minus_one(out)
 
 
+@register("combined_features", COMBINED, _combined_sql(_REPRESENTED))
+def _(spark, d):
+    return _combine(spark, d, *_represented(spark, d))
+
+
+_REPRESENTED_ROWS = f"SELECT r.*, {', '.join(f'{r}_in_session_aid' for r in _REP_BEST)} FROM ({_ROWS}) r JOIN ({_REPS}) USING (session) WHERE r.event = 'orders'"
+
+
+@register("combined_features_new_items", COMBINED, _combined_sql(_REPRESENTED_ROWS))
+def _(spark, d):
+    """Candidates that the session hasn't seen too, so that every fill rule is met."""
+    e, _, rows = _rows(spark, d)
+    prepared = events.prepare_events(e)
+    rows = features.session_representation(rows.where("event = 'orders'").drop("event"), prepared)
+    return _combine(spark, d, rows, prepared, covisit_tables(e))
+
+
 def _combos(spark: SparkSession, d: str) -> DataFrame:
     rows, prepared, _ = _represented(spark, d)
     return features.category_combos(rows.withColumnRenamed("rank_past_aids", "rank_combined"), features.session_features(prepared))
 
 
-@register("category_combos", "session long, candidate_aid int, label int, rank_x_last_type string, rank_x_hour string, rank_x_weekday string, rank_x_weekday_x_hour string, rank_x_aid_dcount string")
+_BINS = "CASE WHEN sess_aid_dcount <= 4 THEN CAST(sess_aid_dcount AS VARCHAR) WHEN sess_aid_dcount <= 8 THEN '5_8' WHEN sess_aid_dcount <= 12 THEN '9_12' WHEN sess_aid_dcount <= 15 THEN '13_15' WHEN sess_aid_dcount <= 20 THEN '16_20' WHEN sess_aid_dcount <= 30 THEN '21_30' ELSE '>30' END"
+_COMBO = {"rank_x_last_type": "sess_last_type_in_session", "rank_x_hour": "sess_hour", "rank_x_weekday": "sess_weekday", "rank_x_weekday_x_hour": "sess_weekday || '_' || sess_hour", "rank_x_aid_dcount": _BINS}
+_COMBOS = f"SELECT session, candidate_aid, label, {', '.join(f'rank_past_aids || {chr(39)}_{chr(39)} || {x} AS {c}' for c, x in _COMBO.items())} FROM ({_REPRESENTED}) JOIN ({_SESS}) USING (session)"
+
+
+@register("category_combos", "session long, candidate_aid int, label int, " + ", ".join(f"{c} string" for c in _COMBO), _COMBOS)
 def _(spark, d):
     return _combos(spark, d)
 
 
-@register("target_encoding", "session long, candidate_aid int, rank_x_last_type_te double")
+_FOLDED = "SELECT *, CAST(('0x' || substr(md5(session || '_' || max(label) OVER (PARTITION BY session) || '_0'), 1, 15)) AS BIGINT) % {k} AS fold FROM ({rows})"
+
+
+@register("group_folds", "session long, candidate_aid int, label int, fold int", _FOLDED.format(k=5, rows=_COMBOS))
+def _(spark, d):
+    return ranking.group_folds(_combos(spark, d), 5)
+
+
+@register("target_encoding", "session long, candidate_aid int, rank_x_last_type_te double", f"""
+    WITH r AS ({_FOLDED.format(k=5, rows=_COMBOS)}), f AS (SELECT rank_x_last_type AS key, fold, sum(label) AS s, count(*) AS m FROM r GROUP BY ALL),
+    o AS (SELECT key, fold, sum(s) OVER (PARTITION BY key) - s AS s, sum(m) OVER (PARTITION BY key) - m AS m FROM f)
+    SELECT r.session, r.candidate_aid, CASE WHEN o.m > 0 THEN o.s / o.m::DOUBLE ELSE (SELECT avg(label) FROM r) END AS rank_x_last_type_te FROM r JOIN o ON o.key = r.rank_x_last_type AND o.fold = r.fold""")
 def _(spark, d):
     rows = ranking.group_folds(_combos(spark, d), 5)
     return features.apply_target_encoding(rows, features.target_encoding(rows, "rank_x_last_type", "fold"), "rank_x_last_type", "fold")
 
 
+@register("target_encoding_unseen", "session long, candidate_aid int, rank_x_hour_te double", f"""
+    WITH r AS ({_FOLDED.format(k=2, rows=_COMBOS)}), e AS (SELECT rank_x_hour AS key, (sum(label) + 20 * (SELECT avg(label) FROM r WHERE fold = 0)) / (count(*) + 20)::DOUBLE AS x FROM r WHERE fold = 0 GROUP BY ALL)
+    SELECT r.session, r.candidate_aid, coalesce(e.x, (SELECT avg(label) FROM r WHERE fold = 0)) AS rank_x_hour_te FROM r LEFT JOIN e ON e.key = r.rank_x_hour WHERE r.fold = 1""")
+def _(spark, d):
+    """Learned from one half, with smoothing, and applied to the other."""
+    rows = ranking.group_folds(_combos(spark, d), 2)
+    return features.apply_target_encoding(rows.where("fold = 1"), features.target_encoding(rows.where("fold = 0"), "rank_x_hour", smoothing=20), "rank_x_hour")
+
+
+@register("one_ranker_dataset", "session long, candidate_aid int, label int, rank_past_aids int, rank_covisit int, retrieval_covisit int", f"""
+    SELECT session, candidate_aid, max(label * CASE event WHEN 'clicks' THEN 1 WHEN 'carts' THEN 2 ELSE 3 END) AS label, max(rank_past_aids) AS rank_past_aids, max(rank_covisit) AS rank_covisit, max(retrieval_covisit) AS retrieval_covisit FROM ({_ROWS}) GROUP BY ALL""")
+def _(spark, d):
+    rows = _rows(spark, d)[2]
+    return features.one_ranker_dataset(*(rows.where(F.col("event") == e).drop("event") for e in ("clicks", "carts", "orders")))
+
+
+@register("training_frame", "session long, candidate_aid int, label int, weight double, x0 double, x1 double, x2 double, x3 double", f"""
+    SELECT session, candidate_aid, label, CASE WHEN label = 1 THEN 10.0 ELSE 1.0 END AS weight, retrieval_past_aids AS x0, retrieval_covisit AS x1, rank_past_aids AS x2, rank_covisit AS x3 FROM (
+        SELECT *, sum(label) OVER () AS p, sum(1 - label) OVER () AS q FROM ({_HASHED}) WHERE event = 'orders' AND CAST(('0x' || substr(md5(session || '_0'), 1, 15)) AS BIGINT) % 4 IN (1, 2))
+    WHERE label = 1 OR h / 1152921504606846976.0::DOUBLE < 5 * p / greatest(q, 1)::DOUBLE""")
+def _(spark, d):
+    from pyspark.ml.functions import vector_to_array
+
+    rows = _rows(spark, d)[2].withColumn("fold", F.pmod(stable_hash("session"), F.lit(4)).cast("int"))
+    frame = ranking.training_frame(rows, "orders", [1, 2], ratio=5, seed=3).withColumn("x", vector_to_array("features"))
+    return frame.select("session", "candidate_aid", "label", "weight", *(F.col("x")[i].alias(f"x{i}") for i in range(4)))
+
+
 # Scores, blends, exploration.
 
 MODELS = (1, 2, 3)
@@ -550,27 +835,48 @@ def _(spark, d):
     return ensemble.ensemble_mean(_scores(spark, d), 10)
 
 
-@register("ensemble_vote", "session_type string, labels string")
+_VOTES = "SELECT session, candidate_aid, round(sum(CASE model WHEN 'm1' THEN 1.0 WHEN 'm2' THEN 0.8 ELSE 0.5 END::DOUBLE), 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY model, session ORDER BY score DESC, candidate_aid) AS r FROM (" + _SCORES + ")) WHERE r <= 10 GROUP BY ALL"
+
+
+@register("ensemble_vote", "session_type string, labels string", f"SELECT session || '_orders' AS session_type, string_agg(candidate_aid, ' ' ORDER BY r) AS labels FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY score DESC, candidate_aid) AS r FROM ({_VOTES})) WHERE r <= 10 GROUP BY session")
 def _(spark, d):
     s = _scores(spark, d)
     subs = [ranking.top_k(s.where(F.col("model") == m), 10, "orders").withColumn("model", F.lit(m)) for m in ("m1", "m2", "m3")]
     return ensemble.ensemble_vote(ranking.make_submission(*subs), {"m1": 1.0, "m2": 0.8, "m3": 0.5}, 10)
 
 
+_WIDE = f"SELECT session, candidate_aid, max(label) AS label, {', '.join(f'max(score) FILTER (model = {chr(39)}m{i}{chr(39)}) AS m{i}' for i in MODELS)} FROM ({_SCALED}) GROUP BY ALL"
+
+
 @register("stacking_dataset", "session long, candidate_aid int, label int, m1 double, m2 double, m3 double", f"SELECT session, candidate_aid, max(label) AS label, {', '.join(f'max(score) FILTER (model = {chr(39)}m{i}{chr(39)}) AS m{i}' for i in MODELS)} FROM ({_SCALED}) GROUP BY ALL")
 def _(spark, d):
     return ensemble.stacking_dataset(_scores(spark, d), ["m1", "m2", "m3"])
 
 
-@register("stack_preprocess", "session long, candidate_aid int, label int, m1 double, m2 double, m3 double")
+def _some_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The scores, of which each model lacks some rows."""
+    return _scores(spark, d).where((F.col("session") + F.col("candidate_aid")) % 3 != F.substring("model", 2, 1).cast("int") - 1)
+
+
+_GAPS = _WIDE.replace(_SCORES, f"SELECT * FROM ({_SCORES}) WHERE (session + candidate_aid) % 3 <> CAST(model[2:] AS INTEGER) - 1")
+
+
+@register("stack_preprocess", "session long, candidate_aid int, label int, m1 double, m2 double, m3 double", f"WITH wide AS ({_GAPS}) SELECT session, candidate_aid, label, {', '.join(f'pow(coalesce(m{i}, (SELECT median(m{i}) FROM wide)), 4) AS m{i}' for i in MODELS)} FROM wide")
 def _(spark, d):
-    return ensemble.stack_preprocess(ensemble.stacking_dataset(_scores(spark, d), ["m1", "m2", "m3"]), ["m1", "m2", "m3"])
+    return ensemble.stack_preprocess(ensemble.stacking_dataset(_some_scores(spark, d), ["m1", "m2", "m3"]), ["m1", "m2", "m3"])
+
+
+_POINTS = ", ".join(f"({i}, {a}, {p})" for i, (a, p) in enumerate((a, p) for a in (0.25, 0.5, 0.75) for p in (1, 2)))
 
 
-@register("tune_ensemble_weights", "point int, recall double")
+@register("tune_ensemble_weights", "point int, recall double", f"""
+    WITH best AS (SELECT point, session, candidate_aid, row_number() OVER (PARTITION BY point, session ORDER BY score DESC, candidate_aid) AS r FROM (
+        SELECT g.point, session, candidate_aid, round(pow(m1, g.p) * g.a + pow(m2, g.p) * (1 - g.a), 9) AS score FROM ({_WIDE.replace(', (VALUES (1), (2), (3)) AS v(m)', ', (VALUES (1), (2)) AS v(m)')}) CROSS JOIN (VALUES {_POINTS}) AS g(point, a, p))),
+    t AS (SELECT session, ground_truth FROM truth WHERE type = 'orders'), hit AS (SELECT DISTINCT session, unnest(ground_truth) AS candidate_aid FROM t)
+    SELECT point, count(hit.session) / (SELECT sum(least(len(list_distinct(ground_truth)), 20)) FROM t) AS recall FROM best LEFT JOIN hit USING (session, candidate_aid) WHERE r <= 5 GROUP BY point""")
 def _(spark, d):
     grid = [({"m1": a, "m2": 1 - a}, p) for a in (0.25, 0.5, 0.75) for p in (1, 2)]
-    return ensemble.tune_ensemble_weights(_scores(spark, d), split(events_b(spark, d))[1], grid, "orders")
+    return ensemble.tune_ensemble_weights(_scores(spark, d).where("model in ('m1', 'm2')"), split(events_b(spark, d))[1], grid, "orders", 5)
 
 
 @register("auc", "roc_auc double, pr_auc double", f"""
@@ -585,14 +891,22 @@ def _(spark, d):
     return metrics.point_biserial(ensemble.stacking_dataset(_scores(spark, d), ["m1", "m2", "m3"]), cols=["m1", "m2", "m3"])
 
 
-@register("feature_histograms", "feature string, group string, bin int, n long, density double")
+@register("feature_histograms", "feature string, kind string, bin int, n long, density double", f"""
+    WITH v AS (SELECT label, unnest([{{'feature': 'm1', 'v': m1}}, {{'feature': 'm2', 'v': m2}}], recursive := true) FROM ({_WIDE})), e AS (SELECT feature, min(v) AS lo, max(v) AS hi FROM v GROUP BY feature),
+    b AS (SELECT feature, CAST(label AS VARCHAR) AS kind, least(CAST(floor((v - lo) * 50 / (hi - lo)) AS INTEGER), 49) AS bin, lo, hi, count(*) AS n FROM v JOIN e USING (feature) GROUP BY ALL)
+    SELECT feature, kind, bin, n, n / sum(n) OVER (PARTITION BY feature, kind) / ((hi - lo) / 50) AS density FROM b""")
 def _(spark, d):
-    return metrics.feature_histograms(ensemble.stacking_dataset(_scores(spark, d), ["m1", "m2", "m3"]), ["m1", "m2"])
+    return metrics.feature_histograms(ensemble.stacking_dataset(_scores(spark, d), ["m1", "m2", "m3"]), ["m1", "m2"]).withColumnRenamed("group", "kind")
 
 
-@register("importance_summary", "feature string, min double, median double, max double, std double")
+@register("importance_summary", "feature string, min double, median double, max double, std double", f"""
+    SELECT feature, min(x) AS min, median(x) AS median, max(x) AS max, stddev_samp(x) AS std FROM (
+        SELECT fold, unnest([{{'feature': 'm1', 'x': abs(corr(m1, label))}}, {{'feature': 'm2', 'x': abs(corr(m2, label))}}, {{'feature': 'm3', 'x': abs(corr(m3, label))}}], recursive := true) FROM ({_FOLDED.format(k=5, rows=_WIDE)}) GROUP BY fold) GROUP BY feature""")
 def _(spark, d):
-    return ranking.importance_summary(_scores(spark, d).select(F.col("model").alias("feature"), F.col("score").alias("importance")))
+    """Importance of a score in each fold: its correlation with the label."""
+    folds = ranking.group_folds(ensemble.stacking_dataset(_scores(spark, d), ["m1", "m2", "m3"]), 5)
+    parts = [metrics.point_biserial(folds.where(F.col("fold") == i), cols=["m1", "m2", "m3"]) for i in range(5)]
+    return ranking.importance_summary(reduce(DataFrame.unionByName, parts).select("feature", F.abs("r").alias("importance")))
 
 
 @register("active_sessions", "session long, candidate_aid int, label int", "SELECT session, candidate_aid, label FROM (SELECT *, sum(label) OVER (PARTITION BY session) AS h FROM (" + _SCORES + ") WHERE model = 'm1') WHERE h > 1")
@@ -600,7 +914,110 @@ def _(spark, d):
     return ranking.active_sessions(_scores(spark, d).where("model = 'm1'"), 1)
 
 
-@register("one_ranker_dataset", "session long, candidate_aid int, label int, rank_past_aids int")
+# Models: no SQL; tests hold them against known answers.
+
+
+def _frame(spark: SparkSession, d: str) -> DataFrame:
+    rows = _rows(spark, d)[2].withColumn("fold", F.pmod(stable_hash("session"), F.lit(4)).cast("int"))
+    return ranking.training_frame(rows, "orders", [0, 1, 2, 3], ratio=5, seed=3)
+
+
+for _algo, _params in (("classifier", {"maxIter": 3}), ("regressor", {"maxIter": 3}), ("ranker", {})):
+
+    @register(f"scores_of_{_algo}", "session long, candidate_aid int, label int, score double")
+    def _(spark, d, algo=_algo, params=_params):
+        frame = stored(_frame(spark, d), "frame")
+        models = [ranking.train_ranker(frame.where(F.col("fold") % 2 == f), algo, params) for f in (0, 1)]
+        return ranking.score(frame, models)
+
+
+@register("stacking_scores", "session long, candidate_aid int, label int, score double")
+def _(spark, d):
+    wide = stored(ensemble.stack_preprocess(ensemble.stacking_dataset(_some_scores(spark, d), ["m1", "m2", "m3"]), ["m1", "m2", "m3"]), "stack")
+    return ensemble.score_stacking(wide, ensemble.train_stacking(wide, ["m1", "m2", "m3"]))
+
+
+@register("tuned_model", "depth int, auc double")
+def _(spark, d):
+    frame = stored(_frame(spark, d).drop("fold"), "frame")
+    depths = [1, 2]
+    model = ranking.tune_model(frame, [{"maxDepth": x, "maxIter": 2} for x in depths], folds=2)
+    return spark.createDataFrame(list(zip(depths, map(float, model.avgMetrics), strict=True)), "depth int, auc double")
+
+
+@register("embedding_pca", "aid int, pc0 double, pc1 double")
+def _(spark, d):
+    return metrics.embedding_pca(embeddings(spark, d)).select("aid", F.col("pc")[0].alias("pc0"), F.col("pc")[1].alias("pc1"))
+
+
+for _name, _train in (("item_embeddings", neighbours.train_item_embeddings), ("item_factors", neighbours.train_factors)):
+
+    @register(_name, "aid int, dims int")
+    def _(spark, d, train=_train):
+        return train(events_a(spark, d), 8).select("aid", F.size("vector").alias("dims"))
+
+
+# Sources and sinks: write to the shared folder, read back.
+
+
+@register("events_reread", EVENT, "SELECT * FROM ea")
+def _(spark, d):
+    path = new_folder(spark, "events")
+    events_a(spark, d).write.parquet(path)
+    return tables.read_events(spark, path)
+
+
+@register("covisitation_shards", "aid_x int, aid_y int, wgt double", "SELECT * FROM cv_clicks")
+def _(spark, d):
+    table = stored(covisit_tables(split(events_b(spark, d))[0])["clicks"], "covisit")
+    paths = [new_folder(spark, f"shard{i}") for i in range(2)]
+    for i, path in enumerate(paths):
+        table.where(F.col("aid_x") % 2 == i).write.parquet(path)
+    return tables.read_covisitation(spark, *paths)
+
+
+@register("embeddings_reread", "aid int, n int, total double", f"SELECT aid, len(v) AS n, list_sum(v) AS total FROM ({embeddings_sql()})")
+def _(spark, d):
+    path = new_folder(spark, "vectors")
+    embeddings(spark, d).write.parquet(path)
+    return tables.read_embeddings(spark, path).select("aid", F.size("vector").alias("n"), F.aggregate("vector", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@register("chunks_reread", "session long, aid int, event string, fold int", f"SELECT session, aid, {NAME} AS event, CAST(('0x' || substr(md5(session || '_0'), 1, 15)) AS BIGINT) % 30 AS fold FROM ea")
+def _(spark, d):
+    path = new_folder(spark, "chunks")
+    e = events_a(spark, d)
+    tables.write_chunks(e.join(events.assign_stratified_folds(e, 30).select("session", "fold"), "session").withColumn("event", events.type_name()), path)
+    return spark.read.parquet(path)
+
+
+@register("submission_reread", "session_type string, labels string", "SELECT session || '_' || event AS session_type, string_agg(candidate_aid, ' ' ORDER BY rank) AS labels FROM past, (VALUES ('clicks'), ('carts'), ('orders')) AS t(event) GROUP BY ALL")
+def _(spark, d):
+    path = new_folder(spark, "submission")
+    past = covisit.past_aids(split(events_b(spark, d))[0]).withColumn("score", -F.col("rank"))
+    tables.write_submission(ranking.make_submission(*(ranking.top_k(past, 20, e) for e in ("clicks", "carts", "orders"))), path)
+    return spark.read.schema("session_type string, labels string").option("header", True).csv(path)
+
+
+@register("labels_reread", "session long, type string, ground_truth list", "SELECT * FROM truth")
+def _(spark, d):
+    path = new_folder(spark, "labels")
+    tables.write_labels(split(events_b(spark, d))[1], path)
+    return tables.read_labels(spark, path)
+
+
+@register("metrics_reread", "type string, k int, hits long, gt long, recall double", f"SELECT type, k, sum(h) AS hits, sum(g) AS gt, sum(h) / sum(g) AS recall FROM ({_RECALL_ROWS}) GROUP BY ALL")
+def _(spark, d):
+    path = new_folder(spark, "metrics")
+    e, truth = split(events_b(spark, d))
+    past = covisit.past_aids(e).withColumn("score", -F.col("rank"))
+    pred = ranking.make_submission(*(ranking.top_k(past, 20, event) for event in ("clicks", "carts", "orders")))
+    tables.write_metrics(metrics.recall_at_k(pred, truth, (10, 20)), path)
+    return spark.read.schema("type string, k int, hits long, gt long, recall double").json(path).where("type <> 'overall'")
+
+
+@register("narrowed", "session int, pos int, rounded double, whole int", "SELECT session, pos, CAST(round((ts % 1000) / 7.0::DOUBLE, 3) AS FLOAT) AS rounded, CAST(trunc((ts % 1000) / 7.0::DOUBLE) AS INTEGER) AS whole FROM posa")
 def _(spark, d):
-    rows = _represented(spark, d)[0].select("session", "candidate_aid", "label", "rank_past_aids")
-    return features.one_ranker_dataset(rows, rows, rows)
+    p = events.with_position(events_a(spark, d)).select("session", "pos", (F.col("ts") % 1000 / 7.0).alias("x"))
+    rounded, whole = tables.round3(p).withColumnRenamed("x", "rounded"), tables.floats_to_int(p).withColumnRenamed("x", "whole")
+    return tables.downcast(rounded.join(whole, ["session", "pos"]))

@@ -28,8 +28,9 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_chunks(df: DataFrame, path: str, by: tuple[str, ...] = ("event", "fold")) -> None:
-    """Parquet in a folder for each event and fold; rows are dealt by these first."""
-    df.repartition(*by).write.partitionBy(*by).mode("overwrite").parquet(path)
+    """Parquet in a folder for each event and fold; rows are dealt by these first, and Spark
+    splits those of a large fold over several tasks."""
+    df.hint("rebalance", *by).write.partitionBy(*by).mode("overwrite").parquet(path)
 
 
 def write_submission(df: DataFrame, path: str) -> None:

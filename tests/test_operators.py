@@ -131,6 +131,79 @@ def test_recall_edges(spark):
     assert {r["type"]: r["gt"] for r in metrics.recall_at_k(pred, truth, base="pred").collect()}["clicks"] == 21
 
 
+def test_recall_takes_truth_as_a_set(spark):
+    truth = spark.createDataFrame([(1, "clicks", [5, 5, 5, 6]), (2, "clicks", [7, 7])], "session long, type string, ground_truth array<int>")
+    pred = spark.createDataFrame([("1_clicks", "5 9"), ("2_clicks", "8")], "session_type string, labels string")
+    got = {r["type"]: r for r in metrics.recall_at_k(pred, truth).collect()}["clicks"]
+    assert (got["hits"], got["gt"], got["recall"], got["mean_recall"]) == (1, 3, 1 / 3, 0.25)
+    long = spark.createDataFrame([(1, "clicks", "a", 5, 0), (1, "clicks", "b", 5, 0), (1, "clicks", "b", 9, 1)], "session long, event string, strategy string, candidate_aid int, rank int")
+    got = {(r["type"], r["k"]): r for r in metrics.candidate_recall(long, truth, (1, 20), ("a", "b")).collect()}
+    assert got["clicks", 20]["gt"] == 3 and (got["clicks", 1]["n_mean"], got["clicks", 20]["n_mean"], got["clicks", 20]["n_median"]) == (0.5, 1.0, 1.0)
+    scores = spark.createDataFrame([(m, 1, a, 0, s) for m, a, s in (("a", 5, 1.0), ("a", 9, 0.0), ("b", 5, 0.0), ("b", 9, 1.0))], "model string, session long, candidate_aid int, label int, score double")
+    points = ensemble.tune_ensemble_weights(scores, truth, [({"a": 1.0, "b": 0.0}, 1), ({"a": 0.0, "b": 1.0}, 1)], "clicks", 1)
+    assert dict(points.collect()) == {0: 1 / 3, 1: 0.0}  # a point without a hit stays
+
+
+def test_backfill_of_few_and_many(spark):
+    few = [(1, 10, 0, 0), (1, 11, 1, 1)]
+    many = [(2, 100 + i, i, 1 if i == 3 else 0) for i in range(20)]
+    e = spark.createDataFrame(few + many, EVENT)
+    table = spark.createDataFrame([(11, 12, 5.0), (10, 12, 5.0), (10, 13, 9.0), (103, 500, 1.0), (100, 501, 1.0)], "aid_x int, aid_y int, wgt float")
+    top = spark.createDataFrame([(x, [12, 77]) for x in ("clicks", "carts", "orders")], "event string, labels array<int>")
+    tables_ = dict.fromkeys(("clicks", "carts_orders", "buy2buy"), table)
+
+    def listed(event, session, **kw):
+        return [r["candidate_aid"] for r in covisit.suggest_with_backfill(e, event, tables_, top, **kw).where(f"session = {session}").orderBy("rank").collect()]
+
+    assert listed("clicks", 1) == [11, 10, 12, 13, 77]
+    assert listed("clicks", 1, dedup=False) == [11, 10, 12, 13, 12, 77]
+    assert listed("clicks", 1, n=3) == [11, 10, 12]
+    assert set(listed("clicks", 2)) == {100 + i for i in range(20)}  # many: no popular aids
+    carts = listed("carts", 2)
+    assert carts[0] == 103 and set(carts) == {100 + i for i in range(20)} | {500, 501}  # light aids' neighbours join
+    assert set(listed("orders", 2)) == {100 + i for i in range(20)} | {500}
+
+
+def test_exact_medians(spark):
+    import statistics
+
+    from sessionloom.functions.ranges import exact_medians
+
+    xs = [(float(i * i % 997), i % 7, None if i % 3 else float(-i)) for i in range(1500)]
+    df = spark.createDataFrame(xs, "a double, b int, c double").withColumn("d", F.lit(None).cast("double"))
+    want = [statistics.median(x for x in col if x is not None) for col in zip(*xs, strict=True)]
+    assert exact_medians(df, ["a", "b", "c", "d"]) == {"a": want[0], "b": want[1], "c": want[2], "d": None}
+    assert exact_medians(df.limit(0), ["a"]) == {"a": None}
+
+
+def test_auc_of_any_scale(spark):
+    rows = [(float(i) * 1e6, int(i % 3 == 0)) for i in range(300)] + [(5.0, 1), (5.0, 0)]
+    got = metrics.auc(spark.createDataFrame(rows, "score double, label int")).first()
+    pos, neg = [s for s, x in rows if x], [s for s, x in rows if not x]
+    assert abs(got["roc_auc"] - sum((p > q) + (p == q) / 2 for p in pos for q in neg) / len(pos) / len(neg)) < 1e-12
+
+
+def test_pairwise_ranker(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = [(s, a, int(a == s % 6), 1.0, float(s * 100 + (a == s % 6)), float(a)) for s in range(60) for a in range(6)]  # the level of a session says nothing
+    df = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(spark.createDataFrame(rows, "session long, candidate_aid int, label int, weight double, x double, y double"))
+    assert ranking.session_pairs(df).count() == 300
+    top = ranking.top_k(ranking.score(df, [ranking.train_ranker(df, "ranker")], None), 1, "orders").collect()
+    assert {r["session_type"]: r["labels"] for r in top} == {f"{s}_orders": str(s % 6) for s in range(60)}
+    with pytest.raises(ValueError, match="unknown algo"):
+        ranking.train_ranker(df, "listwise")
+
+
+def test_importances_of_trees(spark):
+    df = spark.range(200).select(F.col("id").alias("session"), F.lit(1).alias("candidate_aid"), (F.col("id") % 4 == 0).cast("int").alias("label"), F.lit("orders").alias("event"), (F.col("id") % 2).cast("int").alias("fold"), (F.col("id") % 4).cast("double").alias("f1"), F.lit(1.0).alias("f2"))
+    frame = ranking.training_frame(df, "orders", [0, 1])
+    models = [ranking.train_ranker(frame.where(F.col("fold") == f), params={"maxIter": 2}) for f in (0,)]
+    rows = spark.createDataFrame(ranking.model_importances(models, ranking.feature_columns(df)), "feature string, fold int, importance double")
+    got = {r["feature"]: r["max"] for r in ranking.importance_summary(rows).collect()}
+    assert got == {"f1": 1.0, "f2": 0.0}
+
+
 def test_out_of_fold_encoding(spark):
     df = spark.createDataFrame([("x", 0, 1), ("x", 1, 0), ("x", 1, 1), ("y", 0, 1)], "k string, fold int, label int")
     enc = features.target_encoding(df, "k", "fold")

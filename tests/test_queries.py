@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -21,7 +22,7 @@ def db():
 
 def rows(df):
     df = df[sorted(df.columns)]
-    return sorted(tuple("null" if v is None or v != v else f"{v:.5f}" if isinstance(v, float) else str(v) for v in r) for r in df.astype(object).itertuples(index=False))
+    return sorted(tuple("null" if v is None or v is pd.NA or v != v else f"{v:.5f}" if isinstance(v, float) else str(v) for v in r) for r in df.astype(object).itertuples(index=False))
 
 
 @pytest.mark.skipif(not SF.exists(), reason="no test data")
