@@ -102,7 +102,7 @@ def _send(groups: int, window: int, anchor: int):
             source = np.empty(len(o), np.int64)
             source[o] = o[head]
             older = doc[of[source]] < doc[of]
-            send = ~older & ((source == np.arange(len(source))) | (of[source] != of))  # a document's own repeats go once
+            send = ~older  # a document's own repeats too: a smaller document elsewhere may have the edge
             c = np.flatnonzero(older)
             parts: list[tuple[int, bytes]] = []
             if len(c):
