@@ -2,13 +2,17 @@
 
 Writing: one record per page; a page whose payload of at least 100 bytes equals that of a page
 with a smaller id becomes a revisit record that refers to it. Spark's text writer puts the
-records into files: its line separator is the record terminator, CRLF CRLF.
-
-Reading: files hold a bounded number of records; a task finds the record magic anywhere in its
-files and reads the header there, which gives a candidate record and the offset of its successor.
-Magic inside payloads makes candidates too. Pointer jumping from offset 0 of each file then keeps the
-reachable ones: in each round the reached set grows by the candidates that lie 2^r records
-further, and every pointer doubles its length.
+records into files: its line separator is the record terminator, CRLF CRLF. Pages are written by
+size class, each with its own number of records for a file, so that files are bounded in records
+and in bytes without a shuffle of the pages.
+
+Reading: a task finds the record magic anywhere in its files and reads the header there, which
+gives a candidate record and the offset of its successor. A candidate must end within the file,
+with the record terminator, where the file ends too or where another magic stands; only then is
+its payload hashed. Magic inside payloads makes candidates too. Pointer jumping from offset 0 of
+each file then keeps the reachable ones: in each round the reached set grows by the candidates
+that lie 2^r records further, and every pointer doubles its length. The joins are never
+broadcast: candidates grow with the pages.
 """
 
 from __future__ import annotations
@@ -27,8 +31,10 @@ from .common import shared_folder, stored
 LEAST_REVISIT = 100
 MAGIC = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
-#: Records of a file at most, and bytes of a header at most.
-FILE_RECORDS, HEADER = 4096, 1 << 16
+#: Records and bytes of pages of a file at most (a page of more bytes has a file of its own).
+FILE_RECORDS, FILE_BYTES = 4096, 256 << 20
+#: Pages up to so many bytes are one size class; each further class doubles it.
+SMALL_PAGE = 1 << 16
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 
 
@@ -63,46 +69,54 @@ def record_text(r: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, out: str) -> None:
-    """Write the pages' records to files in the folder ``out`` (a file per task)."""
-    record_text(with_records(pages)).write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(out)
+    """Write the pages' records to files in folders of ``out``, one for each size class."""
+    records = with_records(pages)
+    size = F.octet_length("html").cast("double")
+    of = lambda c: F.greatest(F.ceil(F.log2(F.greatest(c, F.lit(1.0)) / SMALL_PAGE)), F.lit(0)).cast("int")
+    classes = sorted(r[0] for r in pages.where("html is not null").select(of(size).alias("k")).union(pages.sparkSession.range(1).select(F.lit(0).alias("k"))).distinct().collect())  # 16 at most: a string has under 2^31 bytes
+    for k in classes:
+        part = record_text(records.where(of(F.col("bytes").cast("double")) == k))
+        part.write.option("lineSep", END).option("maxRecordsPerFile", max(1, min(FILE_RECORDS, FILE_BYTES // (SMALL_PAGE << k)))).text(f"{out}/size={k}")
 
 
 _FIELD = re.compile(rb"([A-Za-z-]+):[ \t]*([^\r\n]*)\r\n")
-_LENGTH = re.compile(rb"[0-9]+")
+_LENGTH, _ID = re.compile(rb"0*([0-9]{1,18})"), re.compile(rb"-?0*[0-9]{1,19}")
 
 
 def parse_header(data: bytes, at: int) -> tuple[dict[bytes, bytes], int] | None:
-    """Fields of the header that starts at ``at`` and the offset of its block; None if it is none."""
-    end = data.find(b"\r\n\r\n", at, at + HEADER)
-    if end < 0:
-        return None
+    """Fields of the header that starts at ``at`` and the offset of its block; None if there is no
+    header or its length doesn't fit 64 bits. It ends at the first empty line; any other line that
+    is no field (such as another magic) breaks it off, so headers of a text never overlap."""
     fields, pos = {}, at + len(MAGIC)
-    while pos < end + 2:
-        m = _FIELD.match(data, pos)
-        if not m:
-            return None
+    while m := _FIELD.match(data, pos):
         fields[m[1].lower()] = m[2]
         pos = m.end()
-    return (fields, end + 4) if _LENGTH.fullmatch(fields.get(b"content-length", b"")) else None
+    whole = data.startswith(b"\r\n", pos) and _LENGTH.fullmatch(fields.get(b"content-length", b""))
+    return (fields, pos + 2) if whole else None
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of a file: magic that is followed by a header. ``next`` is where the successor starts."""
+    """Candidates of a file. ``next`` is where the successor starts."""
+    end = END.encode()
     for b in batches:
-        for path, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+        for file, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             data = data.as_py() or b""
             rows, at = [], data.find(MAGIC)
             while at >= 0:
                 if got := parse_header(data, at):
                     fields, block = got
-                    rows.append((path, at, block + int(fields[b"content-length"]) + len(END), block, fields, data))
+                    after = block + int(fields[b"content-length"]) + len(END)
+                    if after <= len(data) and data.startswith(end, after - len(END)) and (after == len(data) or data.startswith(MAGIC, after)):
+                        rows.append((file, at, after, block, fields, data))
                 at = data.find(MAGIC, at + 1)
             yield from _rows(rows)
 
 
 def _page(uri: bytes) -> int | None:
+    """The id at the end of a record's URI; None if there is none or it doesn't fit 64 bits."""
     tail = uri.strip(b"<>").rpartition(b":")[2]
-    return int(tail) if re.fullmatch(rb"-?[0-9]+", tail) else None
+    page = int(tail) if _ID.fullmatch(tail) else None
+    return page if page is not None and -(2**63) <= page < 2**63 else None
 
 
 def _rows(rows: list) -> Iterator[pa.RecordBatch]:
@@ -111,8 +125,8 @@ def _rows(rows: list) -> Iterator[pa.RecordBatch]:
     out: list[list] = [[] for _ in CANDIDATES]
     for path, at, after, block, fields, data in rows:
         kind = fields.get(b"warc-type", b"").decode("latin-1")
-        split = data.find(b"\r\n\r\n", block)
-        length = re.search(rb"content-length:[ \t]*([0-9]+)", data[block:split].lower()) if split >= 0 else None
+        split = data.find(b"\r\n\r\n", block, after)
+        length = re.search(rb"content-length:[ \t]*0*([0-9]{1,18})(?![0-9])", data[block:split].lower()) if split >= 0 else None
         payload = data[split + 4 : after - len(END)] if split >= 0 else b""
         digest = fields.get(b"warc-payload-digest", b"").rpartition(b":")[2].decode("latin-1")
         if kind == "response":
@@ -124,8 +138,8 @@ def _rows(rows: list) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, CANDIDATES.values(), strict=True)], names=list(CANDIDATES))
 
 
-CANDIDATES = {"file": pa.string(), "at": pa.int64(), "next": pa.int64(), "page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
-SCHEMA = "file string, at long, next long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+CANDIDATES = {"file": pa.int64(), "at": pa.int64(), "next": pa.int64(), "page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
+SCHEMA = "file long, at long, next long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def reachable(links: DataFrame) -> DataFrame:
@@ -135,23 +149,25 @@ def reachable(links: DataFrame) -> DataFrame:
     number of rounds is the logarithm of the longest file's records. Files are bounded, so a
     chain is; all joins are on (file, offset).
     """
-    nodes = links.select("file", "at")
-    jump = links.select("file", "at", "next")
-    reached = jump.where("at = 0").select("file", "at")
+    key = ["file", "at"]
+    nodes = links.select(*key).hint("merge")
+    jump = links.select(*key, "next")
+    reached = jump.where("at = 0").select(*key)
     while True:
-        more = stored(reached.join(jump, ["file", "at"]).select("file", F.col("next").alias("at")).join(nodes, ["file", "at"], "left_semi"), "warc-more")
+        more = reached.join(jump.hint("merge"), key).select("file", F.col("next").alias("at"))
+        more = stored(more.join(nodes, key, "left_semi"), "warc-more")
         if more.isEmpty():
             return reached
         reached = stored(reached.unionByName(more), "warc-reached")
         ahead = jump.select("file", F.col("at").alias("next"), F.col("next").alias("further"))
-        jump = stored(jump.join(ahead, ["file", "next"]).select("file", "at", F.col("further").alias("next")), "warc-jump")
+        jump = stored(jump.join(ahead.hint("merge"), ["file", "next"]).select(*key, F.col("further").alias("next")), "warc-jump")
 
 
 def read_archives(spark: SparkSession, out: str) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of every real record."""
-    files = spark.read.format("binaryFile").load(out).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(out).select(F.xxhash64("path").alias("file"), "content")
     found = stored(files.mapInArrow(_candidates, SCHEMA), "warc-candidates")
-    real = found.join(reachable(found), ["file", "at"], "left_semi")
+    real = found.join(reachable(found).hint("merge"), ["file", "at"], "left_semi")
     return real.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -161,7 +177,9 @@ def archive_table(pages: DataFrame) -> DataFrame:
     One row per row of ``pages (page_id, html, ...)``. Null html is an empty payload; payloads
     under 100 bytes are never revisits; rows that share page_id and payload are all responses if
     that id is the payload's smallest; a null page_id is written as ``none``, read back as null,
-    and never referred to before others. Empty tables and extra columns are fine.
+    and never referred to before others. Page text may hold anything, whole records or headers
+    with numbers of any length too. A page over FILE_BYTES has a file of its own. Empty tables and
+    extra columns are fine.
     """
     spark = pages.sparkSession
     out = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
