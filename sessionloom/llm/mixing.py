@@ -2,10 +2,12 @@
 
 Every document of a source starts with the same number of copies r = target / source size,
 which is cut into whole copies and a fraction. Fractions are paired: mass, counted in words,
-moves at random from one document to the other until one is whole; a pair's words stay the
-same and each document's expected copies stay r. What is left of a block of documents is one
-fraction; the blocks' residuals meet in further blocks, level by level, until one is left per
-source. It is rounded at random, so that a source misses its target by less than one document.
+moves at random from one side to the other until one is whole; a pair's words stay the same and
+each document's expected copies stay r. Within a block a document's partner is all smaller
+documents together, so that the large ones, which a single partner could not settle, become whole
+first; what they cannot take is paired one by one. What is left of a block is one small fraction;
+the blocks' residuals meet in further blocks, level by level, until one is left per source. It is
+rounded at random, so that a source misses its target by less than one document.
 """
 
 from __future__ import annotations
@@ -15,10 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, free_name, stored
 
 #: Documents or residuals that one task rounds together.
 BLOCK = 1024
+#: Row numbers that one row spells out.
+STEP = 10_000
 MOST_COPIES = 3
 #: The repeating weights of the sources.
 WEIGHTS = (1, 2, 3)
@@ -83,20 +87,28 @@ def pivot(mass: list[float], size: list[float], draws: list[float]) -> tuple[lis
     return out, keep
 
 
-def settle_large(mass: np.ndarray, size: np.ndarray, u: np.ndarray, share: float = 0.02) -> None:
-    """Pair each document that holds a good share of the words (sizes descend) with all after it
-    together: it becomes whole, and they take or give its words evenly, if they can."""
-    for i in range(len(mass) - 1):
-        rest, a = slice(i + 1, None), mass[i]
-        if size[i] < share * size[rest].sum():
-            break
-        down, up = float((size[rest] * mass[rest]).sum()), float((size[rest] * (1 - mass[rest])).sum())
-        if not 1e-12 < a < 1 - 1e-12 or a * size[i] > up or (1 - a) * size[i] > down:
+def settle(mass: np.ndarray, size: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Pair each document (sizes descend) with all after it together: it becomes whole, and they
+    take or give its words evenly, if they can; if not, it keeps its mass. Returns the masses.
+
+    What was taken from or given to the later ones is scale * mass + shift for each of them.
+    """
+    out, scale, shift = np.empty(len(mass)), 1.0, 0.0
+    later = (size.sum() - np.cumsum(size)).tolist()
+    later_mass = ((size * mass).sum() - np.cumsum(size * mass)).tolist()
+    for i, (m, s, x) in enumerate(zip(mass.tolist(), size.tolist(), u.tolist(), strict=True)):
+        out[i] = a = scale * m + shift
+        down = scale * later_mass[i] + shift * later[i]
+        up = later[i] - down
+        if i == len(mass) - 1 or not 1e-12 < a < 1 - 1e-12 or a * s > up or (1 - a) * s > down:
             continue
-        if u[i] < a:
-            mass[i], mass[rest] = 1.0, mass[rest] * (1 - (1 - a) * size[i] / down)
+        if x < a:
+            out[i], part = 1.0, 1 - (1 - a) * s / down
+            scale, shift = scale * part, shift * part
         else:
-            mass[i], mass[rest] = 0.0, mass[rest] + (1 - mass[rest]) * (a * size[i] / up)
+            out[i], part = 0.0, a * s / up
+            scale, shift = scale * (1 - part), shift * (1 - part) + part
+    return np.clip(out, 0.0, 1.0)
 
 
 def _round_block(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -104,8 +116,8 @@ def _round_block(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["size", "draw", "doc", "row"], ascending=[False, True, True, True], kind="stable", na_position="last", ignore_index=True)
     seeds = pdf["draw"].to_numpy(np.int64).view(np.uint64) + pdf["row"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     u = _uniform(seeds + np.uint64(pdf["level"].iloc[0]) * np.uint64(0xD1B54A32D192ED03))
-    start, size = pdf["mass"].to_numpy(copy=True), pdf["size"].to_numpy(np.float64)
-    settle_large(start, size, u)
+    size = pdf["size"].to_numpy(np.float64)
+    start = settle(pdf["mass"].to_numpy(np.float64), size, u)
     mass, keep = pivot(start.tolist(), size.tolist(), _uniform(seeds + np.uint64(1)).tolist())
     if keep >= 0 and pdf["n_blocks"].iloc[0] == 1:  # the last residual of its source
         mass[keep] = float(u[0] < mass[keep])
@@ -119,23 +131,35 @@ COLUMNS = ["source", "doc", "size", "source_size", "target", "whole", "row", "dr
 SCHEMA = "source string, doc string, size long, source_size long, target double, whole long, row long, draw long, mass double, open boolean"
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 17, block: int = BLOCK) -> DataFrame:
-    """``doc_id, source, size, row, source_size, target, copies, taken`` for each row of ``docs``.
+def _size():
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
-    Null text has size 0; a document without words takes 0 words and no copies beyond the whole
-    part of its rate; a null source is a source of its own, the last in order; an empty table
-    gives an empty result. Rows alike in doc_id, source and size are numbered 0, 1, ... in
-    ``row`` (which of them gets which number doesn't matter: they are equal here), so reruns
-    agree whatever the partitions are. Extra columns are ignored.
+
+def _draw(seed: int):
+    """The random number of a row, which stands for its doc_id, source and text as well."""
+    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "source", "text")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 17, block: int = BLOCK) -> DataFrame:
+    """``doc_id, source, size, row, draw, source_size, target, copies, taken`` for each row of ``docs``.
+
+    Null and empty texts have size 0; a document without words takes 0 words and no copies beyond
+    the whole part of its rate; a null source is a source of its own, the last in order; long texts
+    are one document like others; an empty table gives an empty result. Rows alike in doc_id,
+    source and text are numbered 0, 1, ... in ``row`` (which of them gets which number doesn't
+    matter: they are equal here), so reruns agree whatever the partitions are. Extra columns are
+    ignored.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    alike = docs.select(F.col("doc_id").cast("string").alias("doc"), "source", size.alias("size")).groupBy("doc", "source", "size").agg(F.count("*").alias("n"))
-    sizes = stored(alike.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).drop("n"), "mix-sizes")
+    alike = docs.select(F.col("doc_id").cast("string").alias("doc"), "source", _size().alias("size"), _draw(seed).alias("draw")).groupBy("doc", "source", "size", "draw").agg(F.count("*").alias("n"))
+    # Numbers of rows alike come in steps of STEP, so that no row holds an array of all of them.
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    steps = alike.withColumn("step", upto(F.ceil(F.col("n") / STEP))).withColumn("before", F.col("step") * STEP)
+    rows = steps.withColumn("i", upto(F.least(F.col("n") - F.col("before"), F.lit(STEP)))).withColumn("row", F.col("before") + F.col("i"))
+    sizes = stored(rows.select("doc", "source", "size", "draw", "row"), "mix-sizes")
     targets = stored(source_targets(sizes, weights), "mix-targets").withColumnRenamed("source", "of")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = sizes.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     rows = rows.withColumn("whole", F.least(F.floor(rate + 1e-12), F.lit(MOST_COPIES)).cast("long")).withColumn("mass", F.greatest(rate - F.col("whole"), F.lit(0.0)))
-    rows = rows.withColumn("draw", F.xxhash64(F.lit(seed), "doc", "source", "size"))
     pairs = (F.col("size") > 0) & (F.col("mass") > 1e-12)
     done = rows.where(~pairs).select(*COLUMNS[:-1], F.lit(0.0).alias("mass"))
     todo, level = rows.where(pairs), 0
@@ -150,14 +174,15 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int =
         counts = stored(left.groupBy("source").agg(F.count("*").alias("n_docs")), "mix-left").withColumnRenamed("source", "of")
         todo, level = left.join(counts, F.col("source").eqNullSafe(F.col("of"))).drop("of"), level + 1
     copies = F.col("whole") + F.col("mass").cast("long")
-    return done.select(F.col("doc").cast("long").alias("doc_id"), "source", "size", "row", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return done.select(F.col("doc").cast("long").alias("doc_id"), "source", "size", "row", "draw", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 17) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it (columns unchanged)."""
-    mix = stored(mix_sources(docs, weights, seed), "mix").where("copies > 0").select(F.col("doc_id").alias("m_doc"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), F.col("row").alias("m_row"), F.col("copies").alias("m_copies"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    numbered = docs.withColumn("m_size_", size).withColumn("m_row_", F.row_number().over(Window.partitionBy("doc_id", "source", "m_size_").orderBy(F.xxhash64("text"))) - 1)
-    same = F.col("doc_id").eqNullSafe(F.col("m_doc")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("m_size_") == F.col("m_size")) & (F.col("m_row_") == F.col("m_row"))
-    out = numbered.join(mix, same).withColumn("m_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m_copies"))))
-    return out.select(*docs.columns)
+    """``docs`` with each row as often as the mix takes it: columns, their order and names unchanged,
+    whatever these are. Of rows alike in doc_id, source and text, any may be the one that is taken
+    more often. Rows without words stay as often as the whole part of their source's rate says."""
+    draw, row, times, copy = (free_name(docs, f"mix_{x}") for x in ("draw", "row", "copies", "copy"))
+    mix = stored(mix_sources(docs, weights, seed), "mix").where("copies > 0").select(F.col("draw").alias(draw), F.col("row").cast("int").alias(row), F.col("copies").alias(times))
+    numbered = docs.withColumn(draw, _draw(seed)).withColumn(row, F.row_number().over(Window.partitionBy(draw).orderBy(draw)) - 1)
+    out = numbered.join(mix, [draw, row]).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
