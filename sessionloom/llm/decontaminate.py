@@ -8,8 +8,10 @@ bounds over a passage, taken for many passages at once, leave few (passage, bloc
 block-max WAND runs in those. Hits are verified: of the item's question and of its answer (its
 last sentence), enough five-word shingles must occur in the document.
 
-Items are broadcast in indexes of at most INDEX_ITEMS items; a larger benchmark takes several,
-one pass over the documents each.
+Document frequencies, the average length and the passage size come from the whole benchmark,
+counted in Spark. Items are broadcast in indexes of at most INDEX_ITEMS items, which bounds what a
+task holds; a larger benchmark takes several, one pass over the documents each, with the same
+scores and hits as one index would give.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import free_name, slices, stored
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, SHINGLE = 0.65, 0.8, 5
@@ -56,6 +58,22 @@ def word_shingles(words: list[str], k: int = SHINGLE) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} if words else set()
 
 
+@dataclass
+class Stats:
+    """Of a benchmark: items with words, their average length, half a passage, items with a word (of
+    the words that are asked for)."""
+
+    items: int
+    average: float
+    half: int
+    df: dict[str, int]
+
+    @classmethod
+    def of(cls, words: list[list[str]]) -> Stats:
+        full = [w for w in words if w]
+        return cls(len(full), sum(map(len, full)) / max(len(full), 1) or 1.0, max([HALF, *map(len, full)]), Counter(w for ws in full for w in set(ws)))
+
+
 @dataclass
 class Index:
     """Inverted index of items: for each term, item numbers, impacts and block bounds."""
@@ -67,18 +85,18 @@ class Index:
     half: int = HALF
 
     @classmethod
-    def build(cls, items: list[tuple[int, str]]) -> Index:
+    def build(cls, items: list[tuple[int, str]], stats: Stats | None = None) -> Index:
+        """Index of ``items``; ``stats``: of the benchmark that they belong to (None: they are all of it)."""
         out = cls(items)
         words = [normal_words(t) for _, t in items]
-        out.half = max([HALF, *map(len, words)])
-        average = sum(map(len, words)) / max(len(words), 1) or 1.0
-        df = Counter(w for ws in words for w in set(ws))
+        stats = stats or Stats.of(words)
+        out.half = stats.half
         lists: dict[str, list[tuple[int, float]]] = {}
         for i, ws in enumerate(words):
             impact = {}
             for w, tf in Counter(ws).items():
-                idf = math.log(1 + (len(words) - df[w] + 0.5) / (df[w] + 0.5))
-                impact[w] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ws) / average))
+                idf = math.log(1 + (stats.items - stats.df[w] + 0.5) / (stats.df[w] + 0.5))
+                impact[w] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ws) / stats.average))
             full = sum(impact.values())
             for w, x in impact.items():
                 lists.setdefault(w, []).append((i, x / full))
@@ -212,31 +230,58 @@ def _find(shared, threshold: float, overlap: float):
     return run
 
 
+def _with_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        words = [normal_words(t) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(w) for w in words], pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.string()))], names=[*b.schema.names, "n_words", "words"])
+
+
+def _indexes(benchmark: DataFrame, index_items: int) -> Iterator[Index]:
+    """Indexes of ``index_items`` items at most, all with the statistics of the whole benchmark."""
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text")
+    items = items.mapInArrow(_with_words, "item_id long, text string, n_words long, words array<string>").where("n_words > 0")
+    items = stored(items.withColumn("item", F.monotonically_increasing_id()), "leak-items")
+    got = items.agg(F.count("*").alias("n"), F.avg("n_words").alias("mean"), F.max("n_words").alias("most")).first()
+    words = items.select("item", F.explode("words").alias("word"))
+    counted = words.join(words.groupBy("word").agg(F.count("*").alias("df")), "word").groupBy("item").agg(F.collect_list(F.struct("word", "df")).alias("counted"))
+    ready = stored(items.drop("words").join(counted, "item").select("item_id", "text", "counted"), "leak-counted")
+    held: list[tuple[int, str]] = []
+    df: dict[str, int] = {}
+    for r in ready.orderBy("item_id", "text").toLocalIterator():  # an index of items at a time
+        held.append((r["item_id"], r["text"]))
+        df.update((w, n) for w, n in r["counted"])
+        if len(held) == index_items:
+            yield Index.build(held, Stats(got["n"], got["mean"], max(HALF, got["most"]), df))
+            held, df = [], {}
+    if held:
+        yield Index.build(held, Stats(got["n"], got["mean"], max(HALF, got["most"]), df))
+
+
+def _row_key():
+    return F.xxhash64("doc_id", "text")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, index_items: int = INDEX_ITEMS) -> DataFrame:
     """``row_id, doc_id, item_id, score, question_overlap, answer_overlap`` of every verified leak.
 
-    ``row_id`` is xxhash64(doc_id, text). Items without words and rows with null text match
-    nothing; a null item_id or doc_id stays null in the result; items that occur twice are both
-    reported; repeated document rows give repeated results; an empty benchmark gives an empty
-    result. Extra columns are ignored.
+    ``row_id`` is xxhash64(doc_id, text). Items without words and rows with null or empty text
+    match nothing; long texts are searched whole, passage by passage; a null item_id or doc_id
+    stays null in the result; items that occur twice are both reported; repeated document rows give
+    repeated results; an empty benchmark or document table gives an empty result. Extra columns are
+    ignored.
     """
     spark = docs.sparkSession
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_id"), F.col("doc_id").cast("long"), "text")
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").toLocalIterator()
-    out, held = spark.createDataFrame([], HITS), []
-
-    def with_index(out: DataFrame) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Index.build(held))
-        return out.unionByName(keyed.mapInArrow(_find(shared, threshold, overlap), HITS))
-
-    for r in items:
-        held.append((r["item_id"], r["text"]))
-        if len(held) == index_items:
-            out, held = with_index(out), []
-    return with_index(out) if held else out
+    keyed = docs.select(_row_key().alias("row_id"), F.col("doc_id").cast("long"), "text")
+    out = spark.createDataFrame([], HITS)
+    for index in _indexes(benchmark, index_items):
+        shared = spark.sparkContext.broadcast(index)
+        out = out.unionByName(keyed.mapInArrow(_find(shared, threshold, overlap), HITS))
+    return out
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that hold a test item (columns unchanged)."""
-    leaks = find_leaks(docs, benchmark).select("row_id").distinct()
-    return docs.withColumn("row_id", F.xxhash64("doc_id", "text")).join(leaks, "row_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows that hold a test item: columns, their order and names unchanged,
+    whatever these are. Rows with null or empty text stay; equal rows go or stay together."""
+    key = free_name(docs, "leak_key")
+    leaks = find_leaks(docs, benchmark).select(F.col("row_id").alias(key)).distinct()
+    return docs.withColumn(key, _row_key()).join(leaks, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
