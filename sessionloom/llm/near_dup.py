@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import WordCodes, components, discard, slices, stored, window_codes, word_codes
+from .common import WordCodes, components, discard, free_name, slices, stored, window_codes, word_codes
 
 REGISTERS, BAND, BANDS = 512, 6, 42
 EMPTY = 0xFF
@@ -93,7 +93,7 @@ def _sketch(k: int):
                 n_sh.append(len(s))
                 digest.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
                 sig.append(registers(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n_sh, pa.int64()), pa.array(digest, pa.string()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n_sh, pa.int64()), pa.array(digest, pa.string()), pa.array(sig, pa.binary())], names=["doc_id", "row_key", "n_shingles", "digest", "sig"])
 
     return run
 
@@ -151,22 +151,29 @@ def near_duplicates(docs: DataFrame, k: int = 4, similarity: tuple[int, int] = (
     Words are lower-cased in A-Z. Two documents are linked if ``similarity[1] * |A and B| >=
     similarity[0] * |A or B|`` for their sets of k-word shingles (fewer words: the whole
     sequence as one). Documents without words or text, and rows with a null doc_id, are linked
-    with nothing (component_id = doc_id). Rows that share a doc_id are judged each by its own
-    text. An empty table gives an empty result; extra columns are ignored.
+    with nothing (component_id = doc_id). Texts of any length are compared whole; repeated rows give
+    repeated rows. Rows that share a doc_id are judged each by its own text. An empty table gives an empty result; extra columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sketch = stored(docs.mapInArrow(_sketch(k), "doc_id long, n_shingles long, digest string, sig binary"), "near-sketch")
+    judged = _judged(docs, k, similarity)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "doc_id"))
+    return judged.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+
+
+def _judged(docs: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
+    """``doc_id, row_key, n_shingles, component, of_class`` of each row: its key (xxhash64 of doc_id
+    and text), its component (null: linked with nothing) and the component's smallest doc_id."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row_key"))
+    sketch = stored(docs.mapInArrow(_sketch(k), "doc_id long, row_key long, n_shingles long, digest string, sig binary"), "near-sketch")
     known = sketch.where("digest is not null and doc_id is not null")
     classes = known.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"))
     classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "near-classes")
-    links = _search(docs, classes, k, similarity)
+    links = _search(docs.drop("row_key"), classes, k, similarity)
     parts = components(links, "near").withColumnRenamed("node", "cls")
     of = classes.select("digest", "cls", "rep").join(parts, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = of.groupBy("component").agg(F.min("rep").alias("of_class"))
-    of = stored(of.join(least, "component").select("digest", "of_class"), "near-of")
-    joined = sketch.join(of, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    of = stored(of.join(least, "component").select("digest", "component", "of_class"), "near-of")
+    rows = sketch.select("doc_id", "row_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+    return rows.join(of, "digest", "left").drop("digest")
 
 
 def _ordered(x: str, y: str) -> tuple:
@@ -265,14 +272,15 @@ def _exact(docs: DataFrame, likely: DataFrame, classes: DataFrame, k: int, simil
 
 def keep_one(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that with the smallest doc_id (of
-    rows that share it, one). Rows without words, and rows with a null doc_id, all stay."""
-    found = near_duplicates(docs, k, similarity)
-    linked = stored(found.where("n_shingles > 0 and doc_id is not null").select("doc_id", "component_id").distinct(), "near-groups")
-    gone = linked.groupBy("doc_id").agg(F.max((F.col("component_id") == F.col("doc_id")).cast("int")).alias("first")).where("first = 0")
-    key = ["doc_id", F.xxhash64("text").alias("text_hash")]
-    twice = docs.where("doc_id is not null").select(*key).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    rest = docs.join(gone.select("doc_id"), "doc_id", "left_anti")
-    single = rest.join(twice, "doc_id", "left_anti")
-    again = rest.join(twice, "doc_id", "left_semi")
-    again = again.dropDuplicates(["doc_id", "text"])
-    return single.unionByName(again).select(*docs.columns)
+    rows that share it, the one with the least hash of its text; of equal rows, one). Columns, their
+    order and names unchanged, whatever these are. Rows without words or text, and rows with a null
+    doc_id, all stay; long texts are compared whole; an empty table stays empty."""
+    key = free_name(docs, "near_key")
+    judged = stored(_judged(docs, k, similarity).where("component is not null").select("doc_id", "row_key", "component"), "near-judged")
+    first = judged.groupBy("component").agg(F.min(F.struct("doc_id", "row_key")).alias("x")).select("component", F.col("x.row_key").alias("first_key"))
+    rows = judged.groupBy("component", "row_key").agg(F.count("*").alias("n"))
+    rows = stored(rows.join(first, "component").select(F.col("row_key").alias(key), (F.col("row_key") == F.col("first_key")).alias("first"), "n"), "near-keys")
+    rest = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(rows.where("not first").select(key), key, "left_anti")
+    twice = rows.where("first and n > 1").select(key)
+    out = rest.join(twice, key, "left_anti").unionByName(rest.join(twice, key, "left_semi").dropDuplicates([key]))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
