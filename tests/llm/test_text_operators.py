@@ -96,6 +96,29 @@ def test_secret_rows(spark, docs, empty, corpus):
     assert secret_scan.scan_secrets(empty).count() == 0
 
 
+def test_secret_base_digest(spark):
+    """Base spans of all kinds in one text: counts and digest by plain regular expressions."""
+    rng = random.Random(2)
+    texts = []
+    for i in range(40):
+        parts = [sentence(rng, 4), f"Password = 'hunter{i}22'", "AKIA" + "Z9" * rng.randint(5, 12), sentence(rng, 3), "0f" * rng.randint(8, 20), f"api_key:{'q' * rng.randint(1, 9)}", "é tokenx=abc123 token=AKIA" + "Q7" * 10]
+        rng.shuffle(parts)
+        texts.append(" ".join(parts))
+    texts += [None, "", "secret=" + "a" * 40]
+    patterns = (("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|passwd|secret|token|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6), ("access", "AKIA[A-Z0-9]+", 20), ("hex", "[0-9a-f]+", 24))
+    got = {r["doc_id"]: r for r in secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        found = []
+        for order, (kind, pattern, least) in enumerate(patterns):
+            for m in re.finditer(pattern, t or ""):
+                if len(m[2] if kind == "assign" else m[0]) >= least:
+                    found.append((m.start(), order, f"{kind}:{m.start()}:{m.end()}"))
+        spans = [x[2] for x in sorted(found)]
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(s.startswith(k) for s in spans) for k in ("assign", "access", "hex")]
+        assert set(spans) <= set(got[i]["spans"].split(","))
+
+
 # Substring dedup.
 
 
@@ -122,6 +145,25 @@ def test_substring_dedup_brute_force(docs, empty, corpus):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 2, 7, 32])
+def test_substring_dedup_any_layout(spark, parts):
+    """Documents that repeat a passage within themselves, in whichever task their smaller copies are."""
+    rng = random.Random(6)
+    passages = [sentence(rng, n) for n in (13, 14, 20, 45)]
+    texts = [" ".join([sentence(rng, rng.randint(0, 9)), p, sentence(rng, 3), p, p]) for p in passages for _ in range(4)]
+    texts += [sentence(rng, 12), passages[0], (passages[1] + " ") * 9]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+    first = {}
+    for i, t in rows:
+        w = words(t)
+        for j in range(len(w) - 12):
+            first[tuple(w[j : j + 13])] = min(first.get(tuple(w[j : j + 13]), i), i)
+    gone = {i: {x for j in range(len(words(t)) - 12) if first[tuple(words(t)[j : j + 13])] < i for x in range(j, j + 13)} for i, t in rows}
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {i: len(g) for i, g in gone.items()}
+
+
 # Near duplicates.
 
 
@@ -183,6 +225,16 @@ def test_large_group_without_base(spark):
     assert got == dict(enumerate(root))
 
 
+def test_keep_one_judges_rows_that_share_a_doc_id(spark):
+    rng = random.Random(3)
+    base, other = sentence(rng, 60), sentence(rng, 50)
+    near = base + " end"
+    rows = [(1, base, 7), (5, near, 8), (5, other, 9), (6, other, 1), (6, other, 2), (None, base, 3), (8, None, 4), (8, "", 5)]
+    got = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, near_key int")).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([(1, base), (5, other), (None, base), (8, None), (8, "")])
+    assert got[0].asDict().keys() == {"doc_id", "text", "near_key"}
+
+
 # Embeddings.
 
 
@@ -220,6 +272,23 @@ def test_vectors_brute_force(spark):
     assert embedding_dup.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_in_blocks(spark):
+    """Two dense groups of near vectors, far over a block, and a recall of all links at the threshold."""
+    rng = np.random.default_rng(3)
+    vecs = [c + rng.normal(size=24) * 0.02 for c in rng.normal(size=(2, 24)) for _ in range(60)]
+    for _ in range(60):  # pairs at a cosine of 0.981
+        a = rng.normal(size=24)
+        b = rng.normal(size=24)
+        a, b = a / np.linalg.norm(a), b - a * (a @ b) / (a @ a)
+        vecs += [a, 0.981 * a + math.sqrt(1 - 0.981**2) * b / np.linalg.norm(b)]
+    unit = np.array(vecs) / np.linalg.norm(vecs, axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.98) & ~np.eye(len(vecs), dtype=bool)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>, label int")
+    for block in (7, 2048):
+        got = {r["vec_id"]: r["n_links"] for r in embedding_dup.near_duplicate_vectors(df, block=block).collect()}
+        assert got == dict(enumerate(linked.sum(1).tolist()))
+
+
 # WARC.
 
 
@@ -242,6 +311,20 @@ def test_warc_round_trip_and_magic_inside(spark, tmp_path):
     assert warc.archive_table(df.limit(0)).count() == 0
 
 
+def test_warc_numbers_of_any_length(spark):
+    heads = [f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:{page}>\r\nContent-Length: {n}\r\n\r\nab\r\n\r\n" for kind in ("response", "revisit") for n in ("9" * 20, "1" * 5000, "2", "0" * 30 + "2") for page in ("7", "9" * 20, "-" + "8" * 5000)]
+    rows = [(i, h * 3) for i, h in enumerate(heads)] + [(100, "".join(heads)), (101, "HTTP/1.1 200 OK\r\nContent-Length: " + "9" * 30 + "\r\n\r\n"), (2**63 - 1, "x"), (-(2**63), "y"), (102, "WARC/1.1\r\n" * 500 + "X: 1\r\n" * 9000)]
+    got = {r["page_id"]: r["payload_digest"] for r in warc.archive_table(spark.createDataFrame(rows, "page_id long, html string")).collect()}
+    assert got == {i: hashlib.sha256(h.encode()).hexdigest() for i, h in rows}
+
+
+def test_warc_large_pages(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 18)
+    rows = [(i, chr(97 + i % 26) * (1 << (i % 20)) + str(i)) for i in range(60)] + [(60, None)]
+    got = {r["page_id"]: r["payload_bytes"] for r in warc.archive_table(spark.createDataFrame(rows, "page_id long, html string").repartition(1)).collect()}
+    assert got == {i: len(t or "") for i, t in rows}
+
+
 # Mixing.
 
 
@@ -289,6 +372,28 @@ def test_mixing_hits_targets(spark):
     assert all(abs(taken[s] - target[s]) <= 60 for s in target)
 
 
+def test_settle_keeps_mass():
+    rng = np.random.default_rng(1)
+    size = np.sort(rng.integers(1, 500, 300))[::-1].astype(float)
+    mass = rng.random(300)
+    out = mixing.settle(mass, size, rng.random(300))
+    assert abs(out @ size - mass @ size) < 1e-6
+    assert ((out > 1e-9) & (out < 1 - 1e-9)).sum() <= 3
+
+
+def test_mixing_clashing_names_and_equal_rows(spark):
+    rows = [(1, "a b c", "s", 5, 6, 7)] * 25 + [(None, f"w{i} x", None, 5, 6, 7) for i in range(30)] + [(2, None, "s", 1, 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, m_doc int, mix_draw int, copies int")
+    mix = mixing.mix_sources(df).collect()
+    assert len(mix) == len(rows) and len({(r["draw"], r["row"]) for r in mix}) == len(rows)
+    got = mixing.mixed_documents(df)
+    assert got.columns == df.columns
+    want = Counter()
+    for r in mix:
+        want[r["doc_id"], r["size"]] += r["copies"]
+    assert Counter((r["doc_id"], len((r["text"] or "").split())) for r in got.collect()) == +want
+
+
 def test_pivot_keeps_mass():
     rng = np.random.default_rng(0)
     mass, size = rng.random(200).tolist(), rng.integers(1, 50, 200).astype(float).tolist()
@@ -349,36 +454,73 @@ def test_base_score_brute_force(docs, empty, corpus):
 
 
 def test_context_tree_is_a_distribution(spark):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(["abracadabra", "abra cadabra", "banana", ""])], "doc_id long, text string")
-    codes = np.concatenate([context_tree.byte_grams([t])[0] for t in ("abracadabra", "banana")])
-    n = Counter(codes.tolist())
-    grams = spark.createDataFrame([(int(k), v) for k, v in n.items()], "code long, n long")
-    nodes = context_tree.context_tree(grams).toPandas()
-    key = context_tree.node_key(0, nodes["ctx"].to_numpy(), nodes["m"].to_numpy()) | (nodes["d"].to_numpy(np.int64) << 56)
-    nodes = nodes.assign(key=key).sort_values("key")
-    m = context_tree.Model(nodes["key"].to_numpy(np.int64), ((nodes.n1 + 0.5) / (nodes.n0 + nodes.n1 + 1)).to_numpy(), (1 / (1 + np.exp(-nodes.log_beta))).to_numpy())
-    for context in (0x616272, 0, 0x7A7A7A):
-        assert abs((10 ** m.log10_p((context << 8) + np.arange(256))).sum() - 1) < 1e-9
-    assert df.count() == 4
-
-
-def test_context_tree_scores_whole_tree(docs, corpus, monkeypatch):
-    """Scores don't depend on the size of the caches, and agree with the tree held in memory."""
-    train = [t for i, t, *_ in corpus if zlib.crc32((str(i) if i is not None else "").encode()) % 7 != 2]
-
-    def grams(t):
-        codes, starts, lengths = context_tree.byte_grams([t])
-        return codes[starts[0] : starts[0] + lengths[0]]
-
-    n = Counter(c for t in train for c in grams(t).tolist())
-    nodes = context_tree.context_tree(docs.sparkSession.createDataFrame(list(n.items()), "code long, n long")).toPandas()
-    nodes = nodes.assign(key=context_tree.node_key(0, nodes["ctx"].to_numpy(), nodes["m"].to_numpy()) | (nodes["d"].to_numpy(np.int64) << 56)).sort_values("key")
-    model = context_tree.Model(nodes["key"].to_numpy(np.int64), ((nodes.n1 + 0.5) / (nodes.n0 + nodes.n1 + 1)).to_numpy(), (1 / (1 + np.exp(-nodes.log_beta))).to_numpy())
-    want = Counter((i, round(float(model.log10_p(grams(t)).sum()), 4)) for i, t, *_ in corpus)
-    for most in (context_tree.GRAMS, 40):
+    """After seen and unseen contexts, the probabilities of all 256 bytes sum to one."""
+    n = Counter(c for t in ("abracadabra", "banana") for c in context_tree.byte_grams([t])[0].tolist())
+    contexts = (0x6162726163, 0, 0x7A7A7A7A7A, 0x7A7A6E616E)
+    rows = n | {c << 8 | byte: n[c << 8 | byte] for c in contexts for byte in range(256)}
+    got = {r["code"]: r["log_p"] for r in context_tree.gram_table(spark.createDataFrame(list(rows.items()), "code long, n long")).collect()}
+    assert got.keys() == rows.keys()
+    for c in contexts:
+        assert abs(sum(10 ** got[c << 8 | byte] for byte in range(256)) - 1) < 1e-9
+
+
+def brute_force_ctw(train, texts, depth):
+    """log10 P of each text by the definition: counts of every context in plain dictionaries."""
+    counts, children = {}, {}
+
+    def decisions(t):
+        data = bytes(depth) + (t or "").encode() + b"\0"
+        for i in range(depth, len(data)):
+            m = 1
+            for shift in range(7, -1, -1):
+                bit = data[i] >> shift & 1
+                yield [(data[i - d : i], m) for d in range(depth + 1)], bit
+                m = m << 1 | bit
+
+    for t in train:
+        for nodes, bit in decisions(t):
+            for d, node in enumerate(nodes):
+                counts.setdefault((d, node), [0, 0])[bit] += 1
+                if d:
+                    children.setdefault((d - 1, nodes[d - 1]), set()).add((d, node))
+
+    def kt(n0, n1):
+        return math.lgamma(n0 + 0.5) + math.lgamma(n1 + 0.5) - math.log(math.pi) - math.lgamma(n0 + n1 + 1)
+
+    weighted, own = {}, {}
+    for node in sorted(counts, key=lambda x: -x[0]):
+        pe, below = kt(*counts[node]), sum(weighted[c] for c in children.get(node, ()))
+        if node[0] == depth:
+            weighted[node], own[node] = pe, 1.0
+        else:
+            hi = max(pe, below)
+            weighted[node] = hi + math.log((math.exp(pe - hi) + math.exp(below - hi)) / 2)
+            own[node] = 1 / (1 + math.exp(min(below - pe, 700)))
+    out = []
+    for t in texts:
+        total = 0.0
+        for nodes, bit in decisions(t):
+            q = 0.5
+            known = [(d, n) for d, n in enumerate(nodes) if (d, n) in counts]
+            for i, node in enumerate(reversed(known)):
+                n0, n1 = counts[node]
+                p1 = (n1 + 0.5) / (n0 + n1 + 1)
+                q = p1 if i == 0 else own[node] * p1 + (1 - own[node]) * q
+            total += math.log10(q if bit else 1 - q)
+        out.append(total)
+    return out
+
+
+def test_scores_equal_brute_force_ctw(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = [sentence(rng, rng.randint(0, 25)) for _ in range(40)] + [None, "", "abracadabra é ü 漢字 abracadabra", "z" * 60]
+    rows = list(enumerate(texts))
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    want = brute_force_ctw(train, texts, context_tree.DEPTH)
+    for most in (context_tree.GRAMS, 40):  # the size of the cache changes no result
         monkeypatch.setattr(context_tree, "GRAMS", most)
-        got = context_tree.score_documents(docs, context_tree.in_training()).collect()
-        assert Counter((r["doc_id"], round(r["score"], 4)) for r in got) == want
+        got = {r["doc_id"]: r["score"] for r in context_tree.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), context_tree.in_training()).collect()}
+        assert all(abs(got[i] - want[i]) < 1e-6 * max(1, -want[i]) for i, _ in rows)
 
 
 # Decontamination.
@@ -406,10 +548,16 @@ def test_leaks(spark, docs, empty):
     planted = [(900 + i, f"{sentence(rng, 70)} {t.upper()} {sentence(rng, 90)}", "s", 1, 2, 3) for i, t in items]
     half = [(950, sentence(rng, 40) + " " + " ".join(items[3][1].split()[:6]), "s", 1, 2, 3)]
     both = docs.unionByName(spark.createDataFrame([*planted, *half], DOCS))
-    for step in (2000, 4):
+    scores = []
+    for step in (2000, 4, 1):
         got = decontaminate.find_leaks(both, bench, index_items=step).collect()
         pairs = {(r["doc_id"], r["item_id"]) for r in got if r["item_id"] is not None}
         assert pairs == {(900 + i, i) for i, _ in items}
+        scores.append(sorted((r["doc_id"], r["item_id"] or -1, round(r["score"], 9)) for r in got))
+    assert scores[0] == scores[1] == scores[2]
+    named = both.withColumnsRenamed({"row": "row_id", "n": "leak_key"})
+    left = decontaminate.clean_documents(named, bench)
+    assert left.columns == named.columns and {r["row_id"] for r in left.collect()} == {1}
     assert decontaminate.clean_documents(both, bench).count() == both.count() - len(items)
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
