@@ -50,7 +50,8 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: SQL expresses neither the classifier nor the random rounding; tests compare with brute force.
+#: SQL expresses neither the classifier nor the random rounding; tests hold each stage against cases
+#: planted in its input, the mix against its operator and the token files against the tokenizer.
 ORACLE_SQL = None
 
 
