@@ -1,12 +1,9 @@
-"""Helpers shared by the text operators: stored tables, Arrow batches, word codes, components."""
+"""Helpers shared by the text operators: Arrow batches, word codes, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +12,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionloom.sources.scratch import new_folder, shared_folder, stored
+
+__all__ = ["new_folder", "shared_folder", "stored"]
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words kept in a worker's cache; beyond that it starts afresh, so its memory is bounded.
 CACHE_WORDS = 250_000
@@ -22,25 +22,6 @@ CACHE_WORDS = 250_000
 STEP_BYTES = 2_000_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see (``spark.checkpoint.dir``)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        top = Path("/tmp/checkpoints")
-        top.mkdir(exist_ok=True)
-        folder = Path(tempfile.mkdtemp(dir=top)).as_uri()
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def discard(df: DataFrame) -> None:
     """Delete a table that ``stored`` wrote, once nothing reads it any more."""
     spark = df.sparkSession

@@ -164,8 +164,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs (doc_id, text, ...)``: counts, digest and spans of its secrets.
 
-    Null text counts as empty (no spans); a null doc_id stays null; repeated rows give repeated
-    rows; other columns are ignored; an empty table gives an empty result. Offsets are code
+    Null and empty texts have no spans; texts of any length are scanned whole; a null doc_id stays
+    null; repeated rows give repeated rows; base spans win over added ones at the same place; other columns are ignored; an empty table gives an empty result. Offsets are code
     points, ends exclusive; all spans are sorted by start, base kinds before added ones.
     """
     return docs.select("doc_id", "text").mapInArrow(_scan, SCHEMA)

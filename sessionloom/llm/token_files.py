@@ -235,7 +235,13 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
 
 
 def token_table(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
-    """Write ``docs`` to a new folder in the shared place and read the files back."""
+    """``doc_id, start, n_tokens, ids_crc32`` of each row of ``docs (doc_id, text, ...)``, from token
+    files that are written to a new folder in the shared place and read back.
+
+    Null and empty texts have the end id alone; texts of any length are encoded whole; rows with a
+    null doc_id come first; repeated rows, and rows that share a doc_id, are documents of their own,
+    in the order of their texts' hashes; extra columns are ignored; an empty table gives an empty result.
+    """
     spark = docs.sparkSession
     out = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, tokenizer_path, out, end_id)
