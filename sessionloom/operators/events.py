@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,9 +38,11 @@ def sample_sessions(events: DataFrame, frac: float, seed: int = 0) -> DataFrame:
     return events.where(hash_fraction("session", seed=seed) < frac)
 
 
-def random_cutoff_split(events: DataFrame, seed: int = 0, tie: tuple[str, ...] = TIE) -> tuple[DataFrame, DataFrame]:
-    """(features, labels): the first 1..n-1 events of each session of n > 1, and the rest."""
+def random_cutoff_split(events: DataFrame, seed: int = 0, tie: tuple[str, ...] = TIE, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """(features, labels): the first 1..n-1 events of each session of n > 1, and the rest.
+    ``keep`` may store the positions that both halves are cut from (``scratch.stored``)."""
     cut = with_position(events, tie).where("n > 1").withColumn("cutoff", 1 + F.pmod(stable_hash("session", seed=seed), F.col("n") - 1))
+    cut = keep(cut)
     return cut.where("pos <= cutoff").select(*events.columns), cut.where("pos > cutoff").select(*events.columns)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.operators import covisit, events
+from sessionloom.sources.scratch import stored
 
 
 def events_a(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ def covisit_tables(e: DataFrame) -> dict[str, DataFrame]:
 
 
 def split(e: DataFrame) -> tuple[DataFrame, DataFrame]:
-    features, labels = events.random_cutoff_split(e, seed=7)
+    features, labels = events.random_cutoff_split(e, seed=7, keep=lambda df: stored(df, "split"))
     return features, events.ground_truth(labels)
 
 

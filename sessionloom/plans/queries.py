@@ -320,7 +320,6 @@ def _(spark, d):
 def _long(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(session events, truth, long candidates of history and co-visits for the three events)."""
     e, truth = split(events_b(spark, d))
-    e = stored(e, "events")
     t = covisit_tables(e)
     names = F.explode(F.array(*map(F.lit, ("clicks", "carts", "orders")))).alias("event")
     part = lambda df, s: df.select("session", names, F.lit(s).alias("strategy"), "candidate_aid", "rank")
@@ -576,7 +575,6 @@ def _(spark, d):
 
 def _represented(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
     e, truth = split(events_b(spark, d))
-    e = stored(e, "events")
     rows = covisit.past_aids(e).select("session", "candidate_aid", F.col("rank").alias("rank_past_aids"))
     hits = truth.where("type = 'orders'").select("session", F.explode("ground_truth").alias("candidate_aid")).distinct().withColumn("label", F.lit(1))
     rows = rows.join(hits, ["session", "candidate_aid"], "left").fillna(0, ["label"])
