@@ -7,18 +7,22 @@ training text (log P_w = log(P_e / 2 + prod P_w(children) / 2), bottom-up), and
 probability mixes the estimates of all depths along its context. Texts end with a zero byte and
 start after DEPTH zero bytes, so the probabilities of all texts sum to one.
 
-Counts cover all training documents, and the whole tree stays in Spark. Grams of the scored texts
-that training lacks are in it with a count of 0: they add no evidence, and a decision's mix ends
-at the last node with a count. Each node's mixed probability comes from its parent's, level by
-level, and eight nodes give the log10 probability of a byte gram, once for every distinct gram.
-The most frequent words and grams are broadcast as a cache of fixed size; the others are looked
-up by a join, so the size of the cache changes no result.
+Counts cover all training documents, and the whole tree is used. Grams of the scored texts that
+training lacks are in it with a count of 0: they add no evidence, and a decision's mix ends at the
+last node with a count. The tree is cut at depth SPLIT: everything below one context of SPLIT
+bytes is a subtree of at most 2^24 grams, which a task holds as arrays (a task's subtrees come
+one after another); the nodes from SPLIT up are tables, grouped level by level. Bottom-up, the
+subtrees give the nodes of depth SPLIT; top-down, each node's mixed probability comes from its
+parent's, the subtrees are worked out once more, and eight nodes give the log10 probability of a
+byte gram, once for every distinct gram. The most frequent words and grams are broadcast as a
+cache of fixed size; the others are looked up by a join, so the size of the cache changes no result.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,10 +34,11 @@ from pyspark.sql.types import DoubleType
 
 from .common import WordCodes, crc_mod, shuffle_partitions, slices, stored, word_codes
 
-DEPTH = 4
+#: Bytes of context, and of the contexts whose subtrees a task holds.
+DEPTH, SPLIT = 5, 3
 #: Entries of the broadcast caches at most (16 bytes each).
 WORDS, GRAMS = 500_000, 1_500_000
-COUNT_BYTES = 12_000_000
+COUNT_BYTES = 6_000_000
 CACHE_BITS = 22
 WORD_KIND, GRAM_KIND = 0, 1
 END_WORD = np.uint64(xxhash.xxh3_64_intdigest(b"", seed=1))
@@ -70,9 +75,13 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, n = np.unique(word_codes(train, cache, True)[0], return_counts=True)
         codes, starts, lengths = byte_grams(texts)
         codes = codes[_real(codes, starts)]
-        grams, at, m = np.unique(codes, return_inverse=True, return_counts=True)
-        if not chosen.all():
-            m = np.bincount(at[np.repeat(chosen, lengths)], minlength=len(grams))
+        if chosen.all():
+            grams, m = np.unique(codes, return_counts=True)
+        else:
+            seen, times = np.unique(codes[np.repeat(chosen, lengths)], return_counts=True)
+            grams = np.unique(codes)
+            m = np.zeros(len(grams), np.int64)
+            m[np.searchsorted(grams, seen)] = times
         ends = [END_WORD] if train else []
         kind = np.concatenate([np.full(len(words) + len(ends), WORD_KIND), np.full(len(grams), GRAM_KIND)]).astype(np.int32)
         code = np.concatenate([words, np.array(ends, np.uint64), grams]).view(np.int64)
@@ -86,53 +95,166 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return series - sum(np.log(x + i) for i in range(8))
 
 
+def _log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """Log of the Krichevsky-Trofimov probability of n0 zeros and n1 ones."""
+    a, b = n0.astype(float), n1.astype(float)
+    return _lgamma(a + 0.5) + _lgamma(b + 0.5) - np.log(np.pi) - _lgamma(a + b + 1)
+
+
 @F.pandas_udf(DoubleType())
 def log_kt(n0: pd.Series, n1: pd.Series) -> pd.Series:
-    """Log of the Krichevsky-Trofimov probability of n0 zeros and n1 ones."""
-    a, b = n0.to_numpy(float), n1.to_numpy(float)
-    return pd.Series(_lgamma(a + 0.5) + _lgamma(b + 0.5) - np.log(np.pi) - _lgamma(a + b + 1))
-
-
-def _levels(grams: DataFrame, depth: int) -> list[DataFrame]:
-    """Node tables by depth, 0 first, each stored. ``has``: bit 0 and 1 are set if the decision's
-    zero and one occur (as counts may be 0); only in the deepest level."""
-    byte, bit = F.col("code").bitwiseAND(255), F.explode(F.sequence(F.lit(0), F.lit(7)))
-    bits = grams.select(F.shiftright("code", 8).alias("ctx"), byte.cast("int").alias("byte"), "n", bit.alias("i"))
-    m = F.expr("shiftleft(1, i) | shiftright(byte, 8 - i)")
-    one = F.expr("shiftright(byte, 7 - i) & 1")
-    level = bits.groupBy("ctx", m.alias("m")).agg(F.sum(F.when(one == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(one == 1, F.col("n")).otherwise(0)).alias("n1"), F.bit_or(one + 1).alias("has"))
-    level = level.withColumn("log_pe", log_kt("n0", "n1")).withColumn("log_pw", F.col("log_pe")).withColumn("log_beta", F.lit(0.0))
-    levels = []
-    for d in range(depth, -1, -1):
+    return pd.Series(_log_kt(n0.to_numpy(), n1.to_numpy()))
+
+
+def turned(codes: np.ndarray, depth: int) -> np.ndarray:
+    """Codes of ``depth`` bytes and a last one with the ``depth`` bytes in the opposite order: the
+    byte just before comes first, so that grams which share a context stand together when sorted."""
+    codes = codes.astype(np.uint64)
+    out = codes & np.uint64(255)
+    for j in range(1, depth + 1):
+        out |= ((codes >> np.uint64(8 * j)) & np.uint64(255)) << np.uint64(8 * (depth + 1 - j))
+    return out
+
+
+@dataclass
+class _Nodes:
+    """Nodes of one depth and number of decided bits, by ``key`` = (turned context, decision)."""
+
+    key: np.ndarray
+    n0: np.ndarray
+    n1: np.ndarray
+    log_pw: np.ndarray
+    log_beta: np.ndarray
+    of_row: np.ndarray  # the node of each row of this depth's (context, byte) rows
+
+
+def _subtree(grams: np.ndarray, n: np.ndarray, depth: int, top: int) -> dict[int, list[_Nodes]]:
+    """Nodes of the depths ``top`` .. ``depth``, bottom-up, from sorted turned grams."""
+    levels: dict[int, list[_Nodes]] = {}
+    rows, counts = grams, n
+    for d in range(depth, top - 1, -1):
+        if d < depth:  # (context, byte) rows of this depth, sorted again: a byte is left out of the middle
+            shorter = (rows >> np.uint64(16) << np.uint64(8)) | (rows & np.uint64(255))
+            rows, at = np.unique(shorter, return_inverse=True)
+            counts = np.bincount(at, counts, len(rows)).astype(np.int64)
+        context, byte = rows >> np.uint64(8) << np.uint64(8), (rows & np.uint64(255)).astype(np.int64)
+        level = []
+        for i in range(8):
+            m, bit = (1 << i) | (byte >> (8 - i)), (byte >> (7 - i)) & 1
+            key = context | m.astype(np.uint64)
+            new = np.append(True, key[1:] != key[:-1])
+            starts = np.flatnonzero(new)
+            key = key[starts]
+            n0, n1 = np.add.reduceat(counts * (1 - bit), starts), np.add.reduceat(counts * bit, starts)
+            log_pe = _log_kt(n0, n1)
+            if d == depth:
+                log_pw, log_beta = log_pe, np.zeros(len(key))
+            else:
+                child = levels[d + 1][i]
+                parent = (child.key >> np.uint64(16) << np.uint64(8)) | (child.key & np.uint64(255))
+                below = np.bincount(np.searchsorted(key, parent), child.log_pw, len(key))
+                log_beta = log_pe - below
+                log_pw = np.maximum(log_pe, below) + np.log1p(np.exp(-np.abs(log_beta))) - np.log(2.0)
+            level.append(_Nodes(key, n0, n1, log_pw, log_beta, np.cumsum(new) - 1))
+        levels[d] = level
+    return levels
+
+
+def _descend(nodes: _Nodes, acc: np.ndarray, rest: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the nodes hand to their children (acc, rest) and their mixed probability of a one, from
+    what their parents handed to each of them: the sum of the estimates so far, each times its
+    weight, the weight that is left, and the parent's mix. The last node with a count gets all that
+    is left."""
+    known = (nodes.n0 + nodes.n1) > 0
+    p1 = (nodes.n1 + 0.5) / (nodes.n0 + nodes.n1 + 1)
+    own = 1 / (1 + np.exp(-np.clip(nodes.log_beta, -700, 700)))
+    mixed = np.where(known, acc + rest * p1, q)
+    return np.where(known, acc + rest * own * p1, q), np.where(known, rest * (1 - own), 0.0), mixed
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of whole groups (equal first columns, which come sorted), some at a time."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last group may go on in the next batch
+        held = [c[cut:] for c in cols]
+        if cut:
+            yield [c[:cut] for c in cols]
+    if held is not None:
+        yield held
+
+
+def _rise(depth: int, split: int):
+    """Nodes of depth ``split`` from the grams below each of their contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, code, n in _groups(batches):
+            rows = turned(code, depth)
+            order = np.argsort(rows)
+            for x in _subtree(rows[order], n[order], depth, split)[split]:
+                ctx = turned(x.key >> np.uint64(8) << np.uint64(8), split) >> np.uint64(8)
+                yield pa.RecordBatch.from_arrays([pa.array(ctx.view(np.int64)), pa.array((x.key & np.uint64(255)).astype(np.int32)), pa.array(x.n0), pa.array(x.n1), pa.array(x.log_pw), pa.array(x.log_beta)], names=["ctx", "m", "n0", "n1", "log_pw", "log_beta"])
+
+    return run
+
+
+def _fall(depth: int, split: int):
+    """log10 P of each gram; rows are grams (m null) and, of the same context, its nodes of depth ``split``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for top, m, code, n, acc, rest, q in _groups(batches):
+            node = np.isfinite(m)
+            gram = ~node
+            if not gram.any():
+                continue
+            rows = turned(code[gram], depth)
+            order = np.argsort(rows)
+            levels = _subtree(rows[order], n[gram][order].astype(np.int64), depth, split)
+            heads = (turned(top[node].astype(np.uint64) << np.uint64(8), split) >> np.uint64(8) << np.uint64(8)) | m[node].astype(np.uint64)
+            o = np.argsort(heads)
+            total = np.zeros(len(rows))
+            for i in range(8):
+                key, handed = heads[o], [x[node][o] for x in (acc, rest, q)]
+                for d in range(split + 1, depth + 1):
+                    x = levels[d][i]
+                    parent = np.searchsorted(key, (x.key >> np.uint64(16) << np.uint64(8)) | (x.key & np.uint64(255)))
+                    key, handed = x.key, list(_descend(x, *(h[parent] for h in handed)))
+                one = handed[2][levels[depth][i].of_row]
+                bit = (rows[order] >> np.uint64(7 - i)) & np.uint64(1)
+                with np.errstate(divide="ignore"):
+                    total += np.log10(np.where(bit == 1, one, 1 - one))
+            yield pa.RecordBatch.from_arrays([pa.array(code[gram][order].astype(np.int64)), pa.array(n[gram][order].astype(np.int64)), pa.array(total)], names=["code", "n", "log_p"])
+
+    return run
+
+
+NODES = "ctx long, m int, n0 long, n1 long, log_pw double, log_beta double"
+
+
+def _levels(deepest: DataFrame, split: int) -> list[DataFrame]:
+    """Node tables by depth, 0 first, from that of depth ``split``, each stored."""
+    levels, level = [], deepest
+    for d in range(split, -1, -1):
         level = stored(level, f"tree-{d}")
         levels.append(level)
         if d:
             up = level.groupBy(F.col("ctx").bitwiseAND((1 << (8 * (d - 1))) - 1).alias("ctx"), "m").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log_pw").alias("below"))
             up = up.withColumn("log_pe", log_kt("n0", "n1")).withColumn("log_beta", F.col("log_pe") - F.col("below"))
             both = F.greatest("log_pe", "below") + F.log1p(F.exp(-F.abs(F.col("log_beta")))) - F.log(F.lit(2.0))
-            level = up.withColumn("log_pw", both).drop("below")
+            level = up.withColumn("log_pw", both).select("ctx", "m", "n0", "n1", "log_pw", "log_beta")
     return levels[::-1]
 
 
-def context_tree(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``d, ctx, m, n0, n1, log_beta`` of all nodes from ``code, n``: depth, context, decision
-    (a 1 and the bits decided before), counts, log of own evidence over the children's."""
-    out = None
-    for d, x in reversed(list(enumerate(_levels(grams, depth)))):
-        x = x.select(F.lit(d).alias("d"), "ctx", "m", "n0", "n1", "log_beta")
-        out = x if out is None else out.unionByName(x)
-    return out
-
-
-def _mixed(levels: list[DataFrame]) -> DataFrame:
-    """The deepest level with ``q``, each decision's mixed probability of a one.
-
-    Along a context the mix is the sum of the depths' estimates, each times its own weight and
-    the rests of the depths above; the last node with a count gets all that is left. ``acc`` and
-    ``rest`` are what a node hands to its children (at most 256 for each, so no key is hot).
-    """
+def _handed(levels: list[DataFrame]) -> DataFrame:
+    """``ctx, m, acc, rest, q`` of the deepest level: as ``_descend``, by joins from level to level (a
+    node has 256 children at most, so no key is hot)."""
     odds = F.greatest(F.least(F.col("log_beta"), F.lit(700.0)), F.lit(-700.0))
-    own, rest = 1 / (1 + F.exp(-odds)), 1 / (1 + F.exp(odds))
+    own, left = 1 / (1 + F.exp(-odds)), 1 / (1 + F.exp(odds))
     n = F.col("n0") + F.col("n1")
     p1 = (F.col("n1") + 0.5) / (n + 1)
     above = None
@@ -145,52 +267,23 @@ def _mixed(levels: list[DataFrame]) -> DataFrame:
             level = level.join(F.broadcast(above) if d <= 2 else above, ["up", "m"])  # 256 x 255 rows at most above depth 2
         known = n > 0
         above = level.select(
-            "ctx", "m", "n0", "n1", *(["has"] if d == len(levels) - 1 else []),
-            F.when(known, F.col("up_acc") + F.col("up_rest") * p1).otherwise(F.col("up_q")).alias("q"),
+            "ctx", "m",
             F.when(known, F.col("up_acc") + F.col("up_rest") * own * p1).otherwise(F.col("up_q")).alias("acc"),
-            F.when(known, F.col("up_rest") * rest).otherwise(0.0).alias("rest"),
+            F.when(known, F.col("up_rest") * left).otherwise(0.0).alias("rest"),
+            F.when(known, F.col("up_acc") + F.col("up_rest") * p1).otherwise(F.col("up_q")).alias("q"),
         )
-    return above.select("ctx", "m", "n0", "n1", "has", "q")
-
-
-def _gram_logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """log10 P of each gram from the decisions of its context; rows come sorted by context and decision."""
-
-    def logs(ctx, m, n0, n1, has, q):
-        key = (ctx << 8) | m
-        with np.errstate(divide="ignore"):
-            step = np.log10(np.stack([1 - q, q]))
-        total = np.zeros(len(m))
-        for i in range(1, 8):
-            at = np.flatnonzero((m >> i) == 1)
-            up = np.searchsorted(key, (ctx[at] << 8) | (m[at] >> 1))
-            total[at] = total[up] + step[m[at] & 1, up]
-        cols = []
-        for bit, n in enumerate((n0, n1)):
-            at = np.flatnonzero((m >= 128) & ((has >> bit) & 1 == 1))
-            cols.append((((ctx[at] << 8) | ((m[at] << 1 | bit) & 255)), n[at], total[at] + step[bit, at]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)], names=["code", "n", "log_p"])
-
-    left = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        cols = [b.column(i).to_numpy() for i in range(6)]
-        cols[1], cols[4] = cols[1].astype(np.int64), cols[4].astype(np.int64)
-        if left is not None:
-            cols = [np.concatenate(x) for x in zip(left, cols, strict=True)]
-        cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last context may go on in the next batch
-        left = [c[cut:] for c in cols]
-        if cut:
-            yield logs(*(c[:cut] for c in cols))
-    if left is not None:
-        yield logs(*left)
+    return above
 
 
-def gram_table(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
+def gram_table(grams: DataFrame, depth: int = DEPTH, split: int = SPLIT) -> DataFrame:
     """``code, n, log_p``: log10 P(last byte | bytes before) of all grams of ``code, n``."""
-    nodes = _mixed(_levels(grams, depth)).repartition(shuffle_partitions(grams.sparkSession), "ctx").sortWithinPartitions("ctx", "m")
-    return nodes.mapInArrow(_gram_logs, "code long, n long, log_p double")
+    parts = shuffle_partitions(grams.sparkSession)
+    rows = grams.select(F.shiftright("code", 8).bitwiseAND((1 << (8 * split)) - 1).alias("top"), "code", "n")
+    deepest = rows.repartition(parts, "top").sortWithinPartitions("top").mapInArrow(_rise(depth, split), NODES)
+    handed = _handed(_levels(deepest, split)).select(F.col("ctx").alias("top"), F.col("m").cast("double").alias("m"), F.lit(0).cast("long").alias("code"), F.lit(0).cast("long").alias("n"), "acc", "rest", "q")
+    nothing = F.lit(None).cast("double")
+    both = rows.select("top", nothing.alias("m"), "code", "n", *(nothing.alias(c) for c in ("acc", "rest", "q"))).unionByName(handed)
+    return both.repartition(parts, "top").sortWithinPartitions("top").mapInArrow(_fall(depth, split), "code long, n long, log_p double")
 
 
 def _frequent(df: DataFrame, n: str, most: int) -> int:
@@ -200,41 +293,6 @@ def _frequent(df: DataFrame, n: str, most: int) -> int:
     return next((1 << p for p in powers if got[p] <= most), 1 << 40)
 
 
-def node_key(d: int, ctx: np.ndarray, m: np.ndarray) -> np.ndarray:
-    return (np.int64(d) << np.int64(56)) | (ctx.astype(np.int64) << np.int64(8)) | m.astype(np.int64)
-
-
-class Model:
-    """A whole node table in memory: sorted keys, KT estimates of a one, weights of the own
-    estimate. The tables in Spark must agree with it."""
-
-    def __init__(self, keys: np.ndarray, p1: np.ndarray, own: np.ndarray, depth: int = DEPTH):
-        self.keys, self.p1, self.own, self.depth = keys, p1, own, depth
-
-    def log10_p(self, codes: np.ndarray) -> np.ndarray:
-        """log10 P(last byte | bytes before) of distinct grams."""
-        out = np.zeros(len(codes))
-        codes = codes.astype(np.int64)
-        byte = codes & 255
-        for i in range(8):
-            m, bit = (1 << i) | (byte >> (8 - i)), (byte >> (7 - i)) & 1
-            found, known = [], np.ones(len(codes), bool)
-            for d in range(self.depth + 1):
-                key = node_key(d, (codes >> 8) & ((1 << (8 * d)) - 1), m)
-                at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
-                known = known & (self.keys[at] == key) if len(self.keys) else np.zeros(len(codes), bool)
-                found.append((known, at))
-            q, have = np.full(len(codes), 0.5), np.zeros(len(codes), bool)
-            for known, at in reversed(found):
-                if not len(self.keys):
-                    break
-                w = np.where(have, self.own[at], 1.0)
-                q = np.where(known, w * self.p1[at] + (1 - w) * q, q)
-                have |= known
-            out += np.log10(np.where(bit == 1, q, 1 - q))
-        return out
-
-
 class Cache:
     """log10 probabilities of frequent grams: sorted codes, before them a table with one slot a hash."""
 
@@ -318,7 +376,7 @@ def score_documents(docs: DataFrame, training) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` for each row of ``docs``.
 
     ``training``: a condition on ``docs``; counts come from the rows for which it is true. Null
-    text counts as empty (one token, the end); repeated rows give repeated rows; without training
+    and empty texts have one token, the end; long texts are scored whole; repeated rows give repeated rows; without training
     rows every decision has probability 1/2. Extra columns are ignored. ``bits_per_byte`` is the
     code length by the model over the bytes and the end.
     """
