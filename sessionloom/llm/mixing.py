@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionloom.functions.ranges import with_ranges
+
 from .common import WORD, free_name, stored
 
 #: Documents or residuals that one task rounds together.
@@ -32,26 +34,40 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     """``source, source_size, target, n_docs`` from ``source, size``.
 
     Resharing an excess by weight until no target is above its cap ends at
-    target = min(cap, level * weight) with one level for all; sorted by cap / weight, the level
-    is found with running sums. The table has one row per source; only these rows meet in one
-    task (a source costs about 50 bytes).
+    target = min(cap, level * weight) with one level for all. Weights repeat along the sources in
+    order, null last: their ranks are those within the sort's partitions and the partitions'
+    offsets. The level is found in two steps, by ranges of cap / weight (some 200 rows) and within
+    the one range that it falls in, so that no task holds all sources.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("double")
-    per = per.withColumn("weight", weight).withColumn("cap", F.col("source_size").cast("double") * most)
-    # Sources with cap/weight up to the level are full; the rest share what is left by weight.
-    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    total = F.sum("source_size").over(everything).cast("double")
-    left = total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    weights_left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    per = per.withColumn("level", left / weights_left)
-    # The first source that isn't full fixes the level; later rows, where full caps were taken off in vain, give less.
-    level = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything)
-    per = per.withColumn("target", F.least("cap", F.coalesce(level, F.lit(float(most))) * F.col("weight")))
-    return per.select("source", "source_size", "target", "n_docs")
+    per = stored(per.orderBy(F.col("source").asc_nulls_last()).withColumn("id", F.monotonically_increasing_id()), "mix-sources")
+    part, within = F.shiftright("id", 33).alias("of"), F.col("id").bitwiseAND((1 << 33) - 1)
+    counts = per.groupBy(part).agg(F.count("*").alias("m"))  # a row for each of the sort's partitions
+    counts = counts.select("of", F.coalesce(F.sum("m").over(Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    per = per.withColumn("of", F.shiftright("id", 33)).join(F.broadcast(counts), "of")
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("before") + within) % len(weights) + 1).cast("int")).cast("double")
+    per = per.withColumn("weight", weight).withColumn("cap", F.col("source_size").cast("double") * most).withColumn("ratio", F.col("cap") / F.col("weight"))
+    per = stored(with_ranges(per, "ratio").select("source", "source_size", "n_docs", "weight", "cap", "ratio", "part"), "mix-weights")
+    level = _level(per)
+    return per.select("source", "source_size", F.least("cap", F.lit(level) * F.col("weight")).alias("target"), "n_docs")
+
+
+def _level(per: DataFrame) -> float:
+    """The level at which the sum of min(cap, level * weight) is the sum of all sizes. Sources with a
+    ratio up to it are full; the rest share what is left by weight."""
+    ranges = per.groupBy("part").agg(F.sum("cap").alias("cap"), F.sum("weight").alias("weight"), F.max("ratio").alias("most"), F.sum("source_size").alias("size")).orderBy("part").collect()
+    total, full, free = float(sum(r["size"] for r in ranges)), 0.0, sum(r["weight"] for r in ranges)
+    for r in ranges:
+        if full + r["cap"] + r["most"] * (free - r["weight"]) >= total:
+            w = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+            rows = per.where(F.col("part") == r["part"])
+            before = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0.0))
+            rows = rows.withColumn("level", (F.lit(total - full) - before("cap")) / (F.lit(free) - before("weight")))
+            # The first source that isn't full fixes the level; later rows, where full caps were taken off in vain, give less.
+            found = rows.where(F.col("level") * F.col("weight") <= F.col("cap")).agg(F.max("level")).first()[0]
+            return found if found is not None else r["most"]
+        full, free = full + r["cap"], free - r["weight"]
+    return max((r["most"] for r in ranges), default=0.0)
 
 
 def _uniform(seed: np.ndarray) -> np.ndarray:
@@ -182,7 +198,13 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: i
     whatever these are. Of rows alike in doc_id, source and text, any may be the one that is taken
     more often. Rows without words stay as often as the whole part of their source's rate says."""
     draw, row, times, copy = (free_name(docs, f"mix_{x}") for x in ("draw", "row", "copies", "copy"))
-    mix = stored(mix_sources(docs, weights, seed), "mix").where("copies > 0").select(F.col("draw").alias(draw), F.col("row").cast("int").alias(row), F.col("copies").alias(times))
-    numbered = docs.withColumn(draw, _draw(seed)).withColumn(row, F.row_number().over(Window.partitionBy(draw).orderBy(draw)) - 1)
-    out = numbered.join(mix, [draw, row]).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    mix = stored(mix_sources(docs, weights, seed), "mix").select(F.col("draw").alias(draw), F.col("row").cast("int").alias(row), F.col("copies").alias(times))
+    # Only rows alike need numbers; the others meet their copies in one join by ``draw``.
+    alike = mix.where(F.col(row) > 0).select(draw).distinct()
+    keyed = docs.withColumn(draw, _draw(seed))
+    one = keyed.join(mix.join(alike, draw, "left_anti").where(F.col(times) > 0).select(draw, times), draw)
+    some = keyed.join(alike, draw, "left_semi").withColumn(row, F.row_number().over(Window.partitionBy(draw).orderBy(draw)) - 1)
+    some = some.join(mix.join(alike, draw, "left_semi").where(F.col(times) > 0), [draw, row])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    out = one.select(*columns, times).unionByName(some.select(*columns, times))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*columns)
