@@ -241,12 +241,26 @@ def _compare(similarity: tuple[int, int]):
 
 
 def _next_pairs(now: DataFrame, classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Likely pairs of one key that are in different components."""
-    parts = now.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "n")
-    rows = now.join(parts, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), F.col("mine").alias("side"), "cls", "size", "comp")
-    return rows.join(classes.select("cls", "sig"), "cls").groupBy("key", "lo", "hi").applyInPandas(_compare(similarity), "a long, b long, n_a long, n_b long").distinct()
+    """Likely pairs of one key that are in different components.
+
+    Members of a key's largest component (major) are never compared with each other: blocks of the
+    others meet each other (hi from 0) and the major's blocks (hi from -1 down), so a large group
+    that is one component already costs only its leftovers times its members.
+    """
+    comps = now.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    parts = comps.groupBy("key").agg(F.sum("n").alias("n"), F.max_by("comp", F.struct("n", "comp")).alias("major"), F.max("n").alias("n_major")).where("n > n_major")
+    blocks = {"few": F.ceil((F.col("n") - F.col("n_major")) / BLOCK), "many": F.ceil(F.col("n_major") / BLOCK)}
+    rows = now.join(parts, "key").withColumns({k: b.cast("int") for k, b in blocks.items()})
+    mine = lambda c: F.pmod(F.xxhash64("cls"), c).cast("int")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    place = lambda df, lo, hi, side: df.select("key", lo.alias("lo"), hi.alias("hi"), side.alias("side"), "cls", "size", "comp")
+    few = rows.where("comp <> major").withColumn("mine", mine("few"))
+    many = rows.where("comp = major").withColumn("mine", mine("many"))
+    among = place(few.withColumn("other", upto("few")), F.least("mine", "other"), F.greatest("mine", "other"), F.col("mine"))
+    hosts = place(few.withColumn("other", upto("many")), F.col("mine"), -1 - F.col("other"), F.lit(0))
+    guests = place(many.withColumn("other", upto("few")), F.col("other"), -1 - F.col("mine"), F.lit(1))
+    dealt = among.unionByName(hosts).unionByName(guests)
+    return dealt.join(classes.select("cls", "sig"), "cls").groupBy("key", "lo", "hi").applyInPandas(_compare(similarity), "a long, b long, n_a long, n_b long").distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
@@ -280,7 +294,9 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 100
     first = judged.groupBy("component").agg(F.min(F.struct("doc_id", "row_key")).alias("x")).select("component", F.col("x.row_key").alias("first_key"))
     rows = judged.groupBy("component", "row_key").agg(F.count("*").alias("n"))
     rows = stored(rows.join(first, "component").select(F.col("row_key").alias(key), (F.col("row_key") == F.col("first_key")).alias("first"), "n"), "near-keys")
-    rest = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(rows.where("not first").select(key), key, "left_anti")
-    twice = rows.where("first and n > 1").select(key)
-    out = rest.join(twice, key, "left_anti").unionByName(rest.join(twice, key, "left_semi").dropDuplicates([key]))
+    again = free_name(docs, "near_again")
+    # One join by key decides on all rows; only keys of equal rows are grouped after it.
+    decided = rows.where("not first or n > 1").select(key, F.when(F.col("first"), 1).otherwise(0).alias(again))
+    judged_docs = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(decided, key, "left")
+    out = judged_docs.where(F.col(again).isNull()).unionByName(judged_docs.where(F.col(again) == 1).dropDuplicates([key]))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
