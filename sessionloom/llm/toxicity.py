@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, slices, stored
 
-#: Bounds of what training looks at and keeps: labelled rows (the first by a hash), features.
-TRAIN_ROWS, FEATURES = 20_000, 5_000
+#: Labelled documents that training looks at (the first by a hash): bounds the features too.
+TRAIN_ROWS = 20_000
 LEAST_DOCS, LEAST_ODDS = 4, 8.0
 PREFIXES = (4, 5, 6)
 #: Letters of a word at most: longer tokens are several words, glued by signs or by nothing.
@@ -229,30 +229,30 @@ def evidence(words: set[str], weights: dict[str, float]) -> tuple[float, int]:
 
 
 class _Scorer(_Restorer):
-    """token -> weight of its restored word."""
+    """token -> its restored words that have a weight, with it."""
 
     def __init__(self, lm: np.ndarray, weights: dict[str, float]):
         super().__init__(lm)
         self.weights = weights
 
-    def __missing__(self, token: str) -> float:
+    def __missing__(self, token: str) -> tuple[tuple[str, float], ...]:
         if len(self) >= CACHE:
             self.clear()
-        words = set(restore_token(token, self.lm).split())
-        weight = self[token] = evidence(words, self.weights)[0]
-        return weight
+        got = self[token] = self.weighed(restore_token(token, self.lm).split())
+        return got
+
+    def weighed(self, words: list[str]) -> tuple[tuple[str, float], ...]:
+        return tuple((x, w) for x in words if (w := evidence({x}, self.weights)[0]) > 0)
 
     def of(self, text: str | None) -> tuple[float, int, int]:
         """Evidence, number of words with evidence, number of distinct tokens."""
         text = text or ""
         tokens = set(text.split())
-        hits = [(t, w) for t, w in zip(tokens, map(self.__getitem__, tokens), strict=True) if w > 0]
         best: dict[str, float] = {}  # a word counts once
-        for t, _ in hits:
-            best |= {x: w for x in restore_token(t, self.lm).split() if (w := evidence({x}, self.weights)[0]) > 0}
-        for word in self.run_words(text):
-            if word not in best and (w := evidence({word}, self.weights)[0]) > 0:
-                best[word] = w
+        for got in map(self.__getitem__, tokens):
+            if got:
+                best.update(got)
+        best.update(self.weighed(list(self.run_words(text))))
         return sum(best.values()), len(best), len(tokens)
 
 
@@ -289,20 +289,22 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
 
     The character model covers all documents. The classifier sees at most ``rows`` labelled
     documents whose crc32(doc_id) mod 5 isn't 0, the first by a hash of the doc_id; with no such
-    rows nothing is toxic. A doc_id labelled more than once is toxic if any row says so.
+    rows nothing is toxic. A doc_id labelled more than once is toxic if any row says so; of rows that
+    share a doc_id the least text counts.
     """
     lm = language_model(docs)
     wanted = labels.where("doc_id is not null and toxic is not null").where(crc_mod("doc_id", 5) != 0)
     wanted = wanted.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.when(F.col("toxic") != 0, 1).otherwise(0)).alias("toxic"))
     sample = stored(wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "toxic-sample")  # at most `rows` small rows: safe to broadcast
-    known = stored(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text"), "toxic-train")
+    known = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id")
+    known = stored(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).drop("doc_id"), "toxic-train")
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     if not n_toxic or not n_clean:
         return lm, {}, np.array([-4.0, 0.0, 0.0, 0.0])
     counts = known.mapInArrow(_learn(lm), "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     odds = (F.col("t") + 0.5) / (n_toxic + 1) / ((F.col("c") + 0.5) / (n_clean + 1))
-    top = counts.withColumn("odds", odds).where((F.col("t") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc(F.col("t") * F.log("odds")), "feature").limit(FEATURES)
+    top = counts.withColumn("odds", odds).where((F.col("t") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS))
     weights = {r["feature"]: math.log(r["odds"]) for r in top.collect()}
     got = known.select("toxic", "text").mapInArrow(_evaluate(lm, weights), "key long, total double, hits long, tokens long").toPandas().sort_values(["key", "total", "hits", "tokens"])
     x = _inputs(got["total"].to_numpy(float), got["hits"].to_numpy(float), got["tokens"].to_numpy(float))
@@ -323,7 +325,8 @@ def _score(lm: np.ndarray, weights: dict[str, float], logistic: np.ndarray):
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, text, held_out, score, predicted, n_toxic_words`` for each row of ``docs``.
 
-    Null and empty texts get the score of a text without evidence; a null doc_id counts as the
+    Null and empty texts get the score of a text without evidence; texts of any length are read
+    whole; a null doc_id counts as the
     empty id for the fold; repeated rows give repeated rows; extra columns are ignored; empty
     tables give an empty result.
     """
@@ -333,12 +336,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose score is 0.5 or more (columns unchanged)."""
+    """``docs`` without the rows whose score is 0.5 or more: columns, their order and names unchanged,
+    whatever these are. Rows with null or empty text stay, as do all where there are no labels; equal
+    rows go or stay together; an empty table stays empty."""
     model = train(docs, labels)
-    schema = docs.schema
-    cols = ["doc_id", "text", *(c for c in docs.columns if c not in ("doc_id", "text"))]
-    scored = docs.select(*cols).mapInArrow(_keep(*model), docs.select(*cols).schema)
-    return scored.select(*schema.names)
+    rows = docs.select("doc_id", "text", *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")))
+    return rows.mapInArrow(_keep(*model), rows.schema).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def _keep(lm: np.ndarray, weights: dict[str, float], logistic: np.ndarray):
