@@ -6,13 +6,15 @@ the same one; an unbranched stretch of the graph is cut into the same paths in e
 that runs through it, so a path travels as one record: anchor, source coordinates, and a hash
 for each of its edges. Paths meet at their anchor: a shuffle brings all paths with equal anchors
 together, equal edges are matched there, and each gets its source, the smallest document with
-that edge. Runs of matched edges whose sources run on in step are compacted again, and a last
-join by document merges all runs and removes the words that they cover.
-
-An edge is identified by its anchor's 64-bit hash and 32 bits of its own, and the order of a run
-in the source must be that of the document. Copies of an edge within one batch of documents are
-settled there: only the smallest document's path is sent on, which bounds what a passage that
-occurs in very many documents sends to one task.
+that edge. Matched paths are compacted by source coordinates: those of a document that follow each
+other, in the document and in one source, become one long repeated span (a window over the
+document's paths, in the partitions of the join that follows). That join by document brings spans
+and texts together and removes the words that the spans cover.
+
+Edges are told apart by 96 bits: the anchor's 64-bit hash and 32 bits of their own. Copies of an
+edge within one batch of documents are settled there: only the smallest document's path is sent
+on, which bounds what a passage that occurs in very many documents sends to one task. The number
+of groups of anchors follows the bytes of the input, so that a group stays of a size.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordCodes, mixed, shuffle_partitions, slices, window_codes, word_codes
@@ -32,8 +34,9 @@ from .common import WordCodes, mixed, shuffle_partitions, slices, window_codes,
 WINDOW, ANCHOR = 13, 5
 #: Bytes of text whose edges are matched within the task before they are sent on.
 BATCH_BYTES = 6_000_000
-#: Groups of anchors for each shuffle partition.
-GROUPS = 4
+#: Bytes of text for each group of anchors (a task expands a group to about twenty times as much).
+GROUP_BYTES = 8_000_000
+SPREAD = np.uint64(0xA0761D6478BD642F)
 
 
 def smallest_anchor(codes: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,10 +101,12 @@ def _send(groups: int, window: int, anchor: int):
             where, low, edge, of = where[at], low[at], edge[at], of[at]
             pos = (at - (ends - sizes)[of]).astype(np.uint32)
             # Equal edges of this batch: documents ascend, so the first is the source of the rest.
-            o, head = first_of(edge ^ low)
+            short = edge.astype(np.uint32)
+            with np.errstate(over="ignore"):
+                o, head = first_of(mixed(low + short.astype(np.uint64) * SPREAD))
             source = np.empty(len(o), np.int64)
             source[o] = o[head]
-            older = doc[of[source]] < doc[of]
+            older = (doc[of[source]] < doc[of]) & (low[source] == low) & (short[source] == short)
             send = ~older  # a document's own repeats too: a smaller document elsewhere may have the edge
             c = np.flatnonzero(older)
             parts: list[tuple[int, bytes]] = []
@@ -115,10 +120,9 @@ def _send(groups: int, window: int, anchor: int):
             p = s[first]
             group = (low[p] % np.uint64(groups)).astype(np.int64)
             o = np.argsort(group, kind="stable")
-            cuts = np.searchsorted(group[o], np.arange(groups + 1))
-            short = edge.astype(np.uint32)
-            for g in np.flatnonzero(np.diff(cuts)):
-                m = o[cuts[g] : cuts[g + 1]]
+            present, starts = np.unique(group[o], return_index=True)
+            for g, lo, hi in zip(present, starts, np.append(starts[1:], len(o)), strict=True):
+                m = o[lo:hi]
                 pm, nm = p[m], n[m]
                 docs, of_doc = np.unique(of[pm], return_index=True)
                 per_doc = np.diff(np.append(of_doc, len(pm))).astype(np.uint32)
@@ -163,7 +167,7 @@ def _match(table: pa.Table) -> pa.Table:
         row, doc, low, pos = (np.repeat(x[o], n) for x in (row, doc, low, pos))
         pos = pos.astype(np.int64) + step
         with np.errstate(over="ignore"):
-            o, head = first_of(mixed(low + edge.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
+            o, head = first_of(mixed(low + edge.astype(np.uint64) * SPREAD))
         source = np.empty(len(o), np.int64)
         source[o] = o[head]
         c = np.flatnonzero((doc[source] < doc) & (low[source] == low) & (edge[source] == edge))
@@ -174,14 +178,25 @@ def _match(table: pa.Table) -> pa.Table:
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``row, pos, n, src, src_pos``: n windows from word ``pos`` of the document with key ``row``
-    (xxhash64 of its doc_id and text) equal those from word ``src_pos`` of document ``src``,
-    whose doc_id is smaller. Runs may overlap; together they cover every such window."""
+    (xxhash64 of its doc_id and text) equal those from word ``src_pos`` of document ``src``, whose
+    doc_id is smaller: matched paths, none overlapping another, that cover every such window."""
     keyed = docs.where("doc_id is not null and text is not null").select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long"), "text")
-    groups = GROUPS * shuffle_partitions(docs.sparkSession)
+    size = keyed.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    groups = max(shuffle_partitions(docs.sparkSession), -(-size // GROUP_BYTES))
     sent = keyed.mapInArrow(_send(groups, window, anchor), "bucket int, message binary")
     return sent.groupBy("bucket").applyInArrow(_match, CLAIM)
 
 
+def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """The same as long spans: paths that follow each other in the document and in the source are one."""
+    path = Window.partitionBy("row").orderBy("pos")
+    end, src_end = F.lag(F.col("pos") + F.col("n")).over(path), F.lag(F.col("src_pos") + F.col("n")).over(path)
+    follows = (end == F.col("pos")) & (src_end == F.col("src_pos")) & (F.lag("src").over(path) == F.col("src"))
+    cut = repeated_runs(docs, window, anchor).withColumn("starts", F.when(follows, 0).otherwise(1))
+    spans = cut.withColumn("span", F.sum("starts").over(path)).groupBy("row", "span")
+    return spans.agg(F.min("pos").alias("pos"), F.sum("n").alias("n"), F.min("src").alias("src"), F.min("src_pos").alias("src_pos")).drop("span")
+
+
 def _remove(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -213,11 +228,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
 
     A word goes if a window of ``window`` words over it also starts in a document with a smaller
     doc_id; windows are judged on the input. ``kept``: the other words joined by one space;
-    ``spans``: word offsets start, end, start, end, ... of what went. Null text counts as empty.
-    A row with a null doc_id keeps all its words and is no source. Rows that share a doc_id
-    don't count for each other. Empty tables and extra columns are fine.
+    ``spans``: word offsets start, end, start, end, ... of what went (``repeated_spans`` has the
+    sources). Null and empty texts have no words; texts of any length are judged whole. A row with a
+    null doc_id keeps all its words and is no source. Rows that share a doc_id don't count for each
+    other. Empty tables and extra columns are fine.
     """
-    claims = repeated_runs(docs, window, anchor).groupBy("row").agg(F.collect_list("pos").alias("pos"), F.collect_list("n").alias("n"))
+    claims = repeated_spans(docs, window, anchor).groupBy("row").agg(F.collect_list("pos").alias("pos"), F.collect_list("n").alias("n"))
     keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row"))
     joined = keyed.join(claims, "row", "left").select("doc_id", "text", "pos", "n")
     return joined.mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<long>")
