@@ -139,3 +139,25 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         was = now
     roots = e.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def finite_vector(column: str):
+    """Whether an array column is neither null nor holds a null or non-finite entry."""
+    values = F.col(column).cast("array<double>")
+    return F.coalesce(F.forall(values, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))), F.lit(False))
+
+
+def integer_vector(column: str):
+    """floor(256 * c) of each entry, as longs."""
+    return F.transform(F.col(column).cast("array<double>"), lambda c: F.floor(c * 256).cast("long"))
+
+
+def matrix(lists: pa.Array, dims: int) -> np.ndarray:
+    """Rows of a list<long> column, filled up with zeros to ``dims`` entries."""
+    sizes = np.asarray(pc.list_value_length(lists))
+    flat = lists.flatten().to_numpy()
+    if (sizes == dims).all():
+        return flat.reshape(-1, dims)
+    out = np.zeros((len(sizes), dims), flat.dtype)
+    out[np.arange(dims)[None, :] < sizes[:, None]] = flat
+    return out

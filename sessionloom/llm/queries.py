@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import context_tree, decontaminate, embedding_dup, mixing, near_dup, secret_scan, substring_dedup, token_files, toxicity, warc
+from . import context_tree, decontaminate, embedding_dup, hard_negatives, mixing, near_dup, quality, secret_scan, substring_dedup, token_files, toxicity, warc, whitening
 from .common import crc_mod, read
 
 
@@ -58,7 +59,25 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_substring_dedup, op4_toxicity, op5_warc, op6_near_duplicates, op7_context_tree, op8_embedding_duplicates, op9_token_files, op10_source_mixing)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.labelled_vectors(read(spark, sf_dir, "embeddings"))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", "n_passages")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+_OPERATORS = (
+    op1_secret_scan, op2_decontamination, op3_substring_dedup, op4_toxicity, op5_warc, op6_near_duplicates, op7_context_tree,
+    op8_embedding_duplicates, op9_token_files, op10_source_mixing, op11_hard_negatives, op12_quality, op13_whitening,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -69,4 +88,25 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN first < page_id THEN first END AS refers_to
         FROM f
     """,
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+            FROM embeddings
+            WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        s AS (
+            SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_inner_product(a.x, r.x) AS BIGINT) AS score
+            FROM v a JOIN v r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id
+        ),
+        p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER w <= 5
+    """,
 }
