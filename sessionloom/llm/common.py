@@ -157,7 +157,7 @@ def matrix(lists: pa.Array, dims: int) -> np.ndarray:
     sizes = np.asarray(pc.list_value_length(lists))
     flat = lists.flatten().to_numpy()
     if (sizes == dims).all():
-        return flat.reshape(-1, dims)
+        return flat.reshape(len(sizes), dims)
     out = np.zeros((len(sizes), dims), flat.dtype)
     out[np.arange(dims)[None, :] < sizes[:, None]] = flat
     return out

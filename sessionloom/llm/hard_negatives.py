@@ -28,7 +28,8 @@ CELLS = 1 << 21
 LEAST_ROWS = 4096
 #: Depth of the first read of all lists; each next read doubles it.
 DEPTH = 64
-NO_BOUND = 1 << 62
+#: Beyond any score.
+NO_BOUND = 1 << 200
 
 
 class Lists:
@@ -169,7 +170,8 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, positives: int = 5, negat
     share a vec_id, the one with the smallest label, then vector, takes part alone. Shorter vectors
     are read as if zeros followed. An anchor without positives, or a positive without negatives,
     gives no row; an empty table gives an empty result; extra columns are ignored. Products are
-    exact; those beyond 64 bits are returned as the largest or smallest long. Each row travels once
+    exact; those beyond 64 bits are returned as the largest or smallest long, and positives with such a
+    score have no negatives. Each row travels once
     for each batch of anchors, each anchor once for each group of rows.
     """
     spark = rows.sparkSession

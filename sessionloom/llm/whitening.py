@@ -197,10 +197,11 @@ class Whitening:
 
 def fit_whitening(vectors: DataFrame, components: int = COMPONENTS) -> Whitening | None:
     """Whitening of the distinct vectors of ``vectors (x array<long>)``; None where there are none."""
-    fit = stored(vectors.select("x").distinct(), "whiten-fit")
-    dims = fit.agg(F.max(F.size("x")).alias("d")).first()["d"]
+    dims = vectors.agg(F.max(F.size("x")).alias("d")).first()["d"]
     if dims is None:
         return None
+    filled = F.concat("x", F.array_repeat(F.lit(0).cast("long"), dims - F.size("x")))  # vectors that differ in trailing zeros are equal
+    fit = stored(vectors.select(F.when(F.size("x") < dims, filled).otherwise(F.col("x")).alias("x")).distinct(), "whiten-fit")
     cells = _gathered(fit, _sums(dims))
     n, sums = cells[-1, 0], [cells.get((i, -1), 0) for i in range(dims)]
     centre = [(2 * s + n) // (2 * n) for s in sums]
