@@ -12,8 +12,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,7 +68,7 @@ def high_windows(s: str, window: int, bits: float) -> list[tuple[int, int]]:
     """Merged spans of the windows of ``s`` whose Shannon entropy is at least ``bits``."""
     if len(s) < window:
         return []
-    nlog = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
+    nlog = [0.0] + [c * math.log2(c) for c in range(1, window + 2)]  # one more is in before one goes out
     most = window * (math.log2(window) - bits) + 1e-9  # entropy >= bits: sum of c*log2(c) <= most
     counts: dict[str, int] = {}
     total, spans = 0.0, []
@@ -99,17 +101,35 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def _allowed(s: str) -> list[tuple[int, int]]:
-    """Where the allow-list matches in a candidate, in order."""
+    """Where the allow-list matches in a candidate."""
     out = [m.span() for p in ALLOW for m in p.finditer(s)]
     if PLACEHOLDER.search(s):
         out += [m.span() for m in PARTS.finditer(s) if PLACEHOLDER.search(m.group())]
-    return sorted(out)
+    return out
+
+
+class Spans:
+    """Spans by start, with the furthest end up to each: what touches a place is found by bisection."""
+
+    def __init__(self, spans: list[tuple]):
+        self.spans = sorted(spans)
+        self.starts = [x[0] for x in self.spans]
+        self.ends = list(accumulate((x[1] for x in self.spans), max))
 
+    def hold(self, a: int, b: int) -> bool:
+        """Whether one of them holds all of a .. b."""
+        n = bisect_right(self.starts, a)
+        return n > 0 and self.ends[n - 1] >= b
 
-def _rest(s: str, a: int, b: int, allowed: list[tuple[int, int]]) -> str:
+    def touching(self, a: int, b: int) -> list[tuple]:
+        """Those that may overlap a .. b, in order."""
+        return self.spans[bisect_right(self.ends, a) : bisect_left(self.starts, b)]
+
+
+def _rest(s: str, a: int, b: int, allowed: Spans) -> str:
     """``s[a:b]`` without the allowed places."""
     out = []
-    for x, y in allowed:
+    for x, y in allowed.touching(a, b):
         if a < y and x < b:
             out.append(s[a:x] if x > a else "")
             a = max(a, min(y, b))
@@ -117,23 +137,29 @@ def _rest(s: str, a: int, b: int, allowed: list[tuple[int, int]]) -> str:
 
 
 def entropy_spans(text: str) -> list[tuple[int, int, str]]:
-    """Spans that the entropy windows find, first class first; a span inside another is dropped."""
+    """Spans that the entropy windows find, first class first; a span inside another is dropped.
+
+    Spans of one class don't overlap, nor do those of two candidates, so a span is only compared
+    with the earlier classes' spans of its own candidate.
+    """
     out: list[tuple[int, int, str]] = []
     for cand in CANDIDATE.finditer(text):
         s = cand.group()
         if not _DIGIT.search(s):
             continue
-        allowed = _allowed(s)
+        allowed, own = Spans(_allowed(s)), []
         for kind in CLASSES:
+            before, found = Spans(own), []
             for run in kind.run.finditer(s):
                 for a, b in high_windows(run.group(), kind.window, kind.bits):
                     a, b = run.start() + a, run.start() + b
                     rest = _rest(s, a, b, allowed)
                     if len(rest) < kind.window and 2 * len(rest) <= b - a:
                         continue
-                    a, b = cand.start() + a, cand.start() + b
-                    if all(p.search(rest) for p in kind.needs) and not any(x[0] <= a and b <= x[1] for x in out):
-                        out.append((a, b, kind.name))
+                    if all(p.search(rest) for p in kind.needs) and not before.hold(a, b):
+                        found.append((a, b, kind.name))
+            own += found
+        out += [(cand.start() + a, cand.start() + b, name) for a, b, name in own]
     return out
 
 
@@ -141,7 +167,8 @@ def scan_text(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[
     """Base spans, and the spans that the method adds (none inside a base span)."""
     text = text or ""
     base = base_spans(text)
-    return base, [x for x in entropy_spans(text) if not any(y[0] <= x[0] and x[1] <= y[1] for y in base)]
+    covered = Spans(base)
+    return base, [x for x in entropy_spans(text) if not covered.hold(x[0], x[1])]
 
 
 def _join(spans: list[tuple[int, int, str]]) -> str:

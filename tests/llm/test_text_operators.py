@@ -69,6 +69,15 @@ def test_secret_base_spans_and_entropy():
     assert [text[2]for text in secret_scan.scan_text(f"use {key} now")[1]] == ["entropy_base64"]
 
 
+def test_secrets_of_a_long_text_take_linear_time():
+    """1.3 MB of digests, apart and in one candidate, and a window of one character over and over."""
+    for sep in (" ", "/", "-" + "a" * 30 + "-"):
+        text = sep.join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(20_000))
+        base, added = secret_scan.scan_text(text)
+        assert len(base) >= 20_000 and all(b - a >= 20 for a, b, _ in added)
+    assert secret_scan.scan_text("x" * 40 + "1" * 40)[1] == []
+
+
 def test_allowed_strings_spare_only_themselves():
     for before, key in (("store/2024-05-01/", "aB3dE5fG7hI9jK1lM3nO5pQ7rS9"), ("//cdn/example/v1/", "Zx9Kq2Lm8Pw4Rt6Yb1Nc3Vd5"), ("run=550e8400-e29b-41d4-a716-446655440000/", "Zx9Kq2Lm8Pw4Rt6Yb1Nc3Vd5")):
         text = before + key
