@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,3 +63,36 @@ def ts_parts(df: DataFrame, ts: str = "ts", offset_hours: int = UTC_OFFSET_HOURS
             "datetime": F.concat(day, F.lit(" "), clock),
         }
     )
+
+
+def _half_gamma_ratio(a: Column) -> Column:
+    """gamma(a + 1/2) / gamma(a): its asymptotic series (fixed coefficients) at a + 30, brought down
+    step by step."""
+    z = a + 30
+    series = F.sqrt(z) * (1 - 1 / (8 * z) + 1 / (128 * z**2) + 5 / (1024 * z**3) - 21 / (32768 * z**4) - 399 / (262144 * z**5))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(29)), series, lambda acc, i: acc * (a + i) / (a + i + 0.5))
+
+
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """The continued fraction of the incomplete beta function, from its far end; some multiple of
+    sqrt(a + b) terms are enough for x below (a + 1) / (a + b + 2)."""
+
+    def term(acc: Column, j: Column) -> Column:
+        m = F.floor(j / 2)
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return 1 + F.when(j % 2 == 0, even).otherwise(odd) / acc
+
+    terms = F.sequence((F.lit(60) + 2 * F.ceil(5 * F.sqrt(a + b))).cast("int"), F.lit(1), F.lit(-1))
+    return 1 / F.aggregate(terms, F.lit(1.0), term)
+
+
+def correlation_p_value(r: Column, n: Column) -> Column:
+    """Two-sided p-value of a correlation ``r`` of ``n`` pairs under independence: the regularised
+    incomplete beta function I(1 - r^2; (n - 2) / 2, 1 / 2). Null for n < 3 or a null r."""
+    a, half, x = (n - 2).cast("double") / 2, F.lit(0.5), 1 - r * r
+    front = F.exp(a * F.log1p(-(r * r))) * F.abs(r) * _half_gamma_ratio(a) / math.sqrt(math.pi)
+    low = front / a * _beta_fraction(a, half, x)
+    high = 1 - front / half * _beta_fraction(half, a, r * r)
+    p = F.when(F.abs(r) >= 1, 0.0).when(r == 0, 1.0).when(x < (a + 1) / (a + 2.5), low).otherwise(high)
+    return F.when((n > 2) & r.isNotNull() & ~F.isnan(r), p)

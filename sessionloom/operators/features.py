@@ -191,7 +191,8 @@ def covisit_weights(represented: DataFrame, clicks: DataFrame, carts_orders: Dat
 def embedding_distances(represented: DataFrame, embeddings: DataFrame, representatives: tuple[str, ...] = ("last_event",), prefix: str = "word2vec") -> DataFrame:
     """Cosine similarity (the column keeps its historical name, *_cosine_distance) and
     euclidean distance of candidate and representative, 3 decimals. An item without a vector is a
-    zero vector: cosine null. Distinct pairs get their vectors; the wide rows never carry any."""
+    zero vector: cosine null. Distinct pairs get their vectors; the wide rows never carry any.
+    (session, candidate_aid) is a key of the rows."""
     reps = [f"{r}_in_session_aid" for r in representatives]
     pairs = represented.select(F.explode(F.array(*map(F.col, reps))).alias("x"), F.col("candidate_aid").alias("y")).where("x is not null").distinct()
     vec = embeddings.select("aid", F.col("vector").cast("array<double>").alias("v"))
@@ -202,11 +203,13 @@ def embedding_distances(represented: DataFrame, embeddings: DataFrame, represent
     dot = lambda a, b: total(F.zip_with(a, b, lambda p, q: p * q))
     norm = F.sqrt(dot(vx, vx)) * F.sqrt(dot(vy, vy))
     both = both.select("x", "y", F.round(F.try_divide(dot(vx, vy), norm), 3).alias("cos"), F.round(F.sqrt(total(F.zip_with(vx, vy, lambda p, q: (p - q) * (p - q)))), 3).alias("euc"))
-    out = represented
-    for r, c in zip(representatives, reps, strict=True):
-        side = both.select(F.col("x").alias(c), F.col("y").alias("candidate_aid"), F.col("cos").alias(f"{prefix}_{r}_cosine_distance"), F.col("euc").alias(f"{prefix}_{r}_euclidean_distance"))
-        out = out.join(side, [c, "candidate_aid"], "left")
-    return out
+    # Distances go back to (session, candidate) in one narrow grouping; the wide rows are joined once.
+    asked = represented.select("session", "candidate_aid", F.explode(F.array(*(F.struct(F.lit(r).alias("rep"), F.col(c).alias("x")) for r, c in zip(representatives, reps, strict=True)))).alias("q"))
+    asked = asked.select("session", F.col("candidate_aid").alias("y"), "q.*").where("x is not null")
+    found = asked.join(both, ["x", "y"]).groupBy("session", F.col("y").alias("candidate_aid"))
+    names = [(r, kind, f"{prefix}_{r}_{name}_distance") for r in representatives for kind, name in (("cos", "cosine"), ("euc", "euclidean"))]
+    wide = found.agg(*(F.max(F.when(F.col("rep") == r, F.col(kind))).alias(name) for r, kind, name in names))
+    return represented.join(wide, ["session", "candidate_aid"], "left")
 
 
 def rank_score(rows: DataFrame, rank_col: str, key: tuple[str, ...] = ("session",)) -> DataFrame:

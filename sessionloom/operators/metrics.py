@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionloom.functions.exprs import correlation_p_value
 from sessionloom.functions.ranges import with_ranges
+from sessionloom.sources.scratch import stored
 
 #: Weights of the target events in the overall recall.
 EVENT_WEIGHTS = {"clicks": 0.1, "carts": 0.3, "orders": 0.6}
@@ -53,8 +55,9 @@ def auc(scores: DataFrame, score: str = "score", label: str = "label") -> DataFr
     """M9: ``roc_auc, pr_auc`` exactly, from cumulative counts over distinct scores (positives first
     summed per score, so ties count half; PR by average precision)."""
     per = scores.groupBy(F.col(score).alias("s")).agg(F.sum(F.when(F.col(label) > 0, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) > 0, 0).otherwise(1)).alias("n"))
-    # Running sums in two levels: within ranges of the score, then over the ranges' totals.
-    per = with_ranges(per, "s")
+    # Running sums in two levels: within ranges of the score, then over the ranges' totals. The counts
+    # are read three times, the scores behind them once.
+    per = with_ranges(stored(per, "auc-counts"), "s")
     totals = per.groupBy("part").agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"))
     up = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("part", F.coalesce(F.sum("tp").over(up), F.lit(0)).alias("p_before"), F.coalesce(F.sum("tn").over(up), F.lit(0)).alias("n_before"))
@@ -67,12 +70,13 @@ def auc(scores: DataFrame, score: str = "score", label: str = "label") -> DataFr
 
 
 def point_biserial(df: DataFrame, label: str = "label", cols: list[str] | None = None) -> DataFrame:
-    """``feature, r, t, n`` of each numeric column with the 0/1 label, one pass for all."""
+    """``feature, r, t, n, p`` of each numeric column with the 0/1 label, one pass for all; ``p``:
+    two-sided p-value of r."""
     cols = cols or [c for c, t in df.dtypes if c != label and t in ("int", "bigint", "double", "float")]
     stats = df.agg(*(F.struct(F.corr(F.col(c).cast("double"), F.col(label).cast("double")).alias("r"), F.count_if(F.col(c).isNotNull() & F.col(label).isNotNull()).alias("n")).alias(c) for c in cols))
     long = stats.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`.r").alias("r"), F.col(f"`{c}`.n").alias("n")) for c in cols))).alias("x")).select("x.*")
     t = F.col("r") * F.sqrt(F.try_divide((F.col("n") - 2).cast("double"), 1 - F.col("r") * F.col("r")))
-    return long.select("feature", "r", t.alias("t"), "n")
+    return long.select("feature", "r", t.alias("t"), "n", correlation_p_value(F.col("r"), F.col("n")).alias("p"))
 
 
 def feature_histograms(df: DataFrame, cols: list[str], by: str = "label", bins: int = 50, log: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions.exprs import stable_hash
 
+from .boosting import train_boosted
 from .candidates import downsample_negatives
 
 KEYS = ("session", "candidate_aid", "label", "event", "fold", "weight")
@@ -35,8 +36,12 @@ def train_ranker(df: DataFrame, algo: str = "classifier", params: dict | None =
 
     ``classifier`` and ``regressor``: gradient-boosted trees on single rows. ``ranker``: a pairwise
     objective within sessions (``session_pairs``), a logistic regression on differences of features
-    without an intercept, so that its score orders the rows of a session. Other names are an error.
+    without an intercept, so that its score orders the rows of a session. ``listwise``: trees
+    boosted on a listwise loss of the session (``boosting.train_boosted``), with early stopping on
+    NDCG or MAP if ``params`` has a ``validation`` frame. Other names are an error.
     """
+    if algo == "listwise":
+        return train_boosted(df, **(params or {}))
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.regression import GBTRegressor
 
@@ -45,7 +50,7 @@ def train_ranker(df: DataFrame, algo: str = "classifier", params: dict | None =
         return model.fit(session_pairs(df))
     kinds = {"classifier": GBTClassifier, "regressor": GBTRegressor}
     if algo not in kinds:
-        raise ValueError(f"unknown algo {algo!r}: classifier, regressor or ranker")
+        raise ValueError(f"unknown algo {algo!r}: classifier, regressor, ranker or listwise")
     return kinds[algo](featuresCol="features", labelCol="label", weightCol="weight", **({"maxIter": 20, "maxDepth": 4, "seed": 1} | (params or {}))).fit(df)
 
 
@@ -80,6 +85,30 @@ def group_folds(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return df.withColumn("fold", F.pmod(stable_hash("session", has.cast("string"), seed=seed), F.lit(k)).cast("int"))
 
 
+def balanced_folds(df: DataFrame, k: int, seed: int = 0, key: tuple[str, ...] = ("session",)) -> DataFrame:
+    """M3: ``fold``, evenly: sessions are ordered by positives, then rows (most first), then a hash,
+    and dealt to the folds forth and back, so that folds differ by one session at most, in positives
+    by one session's, and in rows by one session's for each number of positives.
+
+    The order is found in two levels: places within (positives, rows, range of the hash), then
+    running sums over those classes, so that no task orders all sessions.
+    """
+    h = stable_hash(*key, seed=seed)
+    each = df.groupBy(*key).agg(F.sum(F.when(F.col("label") > 0, 1).otherwise(0)).alias("_p"), F.count("*").alias("_n"))
+    each = each.withColumn("_h", h).withColumn("_part", F.shiftright("_h", 50))
+    order = [F.desc("_p"), F.desc("_n"), "_part"]
+    sizes = each.groupBy("_p", "_n", "_part").agg(F.count("*").alias("_m"))
+    # Running sums over (positives, rows) first, a row each; then within each of them.
+    classes = sizes.groupBy("_p", "_n").agg(F.sum("_m").alias("_m"))
+    earlier = lambda w: F.coalesce(F.sum("_m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    classes = classes.select("_p", "_n", earlier(Window.orderBy(*order[:2])).alias("_before"))
+    sizes = sizes.select("_p", "_n", "_part", earlier(Window.partitionBy("_p", "_n").orderBy("_part")).alias("_within")).join(classes, ["_p", "_n"])
+    place = F.row_number().over(Window.partitionBy("_p", "_n", "_part").orderBy("_h", *key)) - 1
+    turn = F.pmod(F.col("_place") + F.col("_within") + F.col("_before"), F.lit(2 * k))
+    folds = each.withColumn("_place", place).join(sizes, ["_p", "_n", "_part"]).select(*key, F.least(turn, F.lit(2 * k - 1) - turn).cast("int").alias("fold"))
+    return df.join(folds, list(key))
+
+
 def score(df: DataFrame, models: list, decimals: int | None = 3) -> DataFrame:
     """M4: ``session, candidate_aid, label, score``: mean of the models' predictions (of a pairwise
     ranker its margin: a probability of a single row would run into 1 and tie)."""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.functions.exprs import stable_hash, ts_parts
-from sessionloom.operators import candidates, covisit, ensemble, events, features, metrics, neighbours, popular, ranking
+from sessionloom.operators import boosting, candidates, covisit, ensemble, events, features, metrics, neighbours, popular, ranking
 from sessionloom.sources import tables
 from sessionloom.sources.scratch import new_folder, stored
 
@@ -573,13 +573,20 @@ def _(spark, d):
     return features.session_covisit_counts(e, **covisit_tables(e))
 
 
-def _represented(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+def _history_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Labelled history candidates, and the events they come from."""
     e, truth = split(events_b(spark, d))
     rows = covisit.past_aids(e).select("session", "candidate_aid", F.col("rank").alias("rank_past_aids"))
     hits = truth.where("type = 'orders'").select("session", F.explode("ground_truth").alias("candidate_aid")).distinct().withColumn("label", F.lit(1))
-    rows = rows.join(hits, ["session", "candidate_aid"], "left").fillna(0, ["label"])
+    return rows.join(hits, ["session", "candidate_aid"], "left").fillna(0, ["label"]), e
+
+
+def _represented(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """The same with their sessions' representatives, prepared events and co-visitation tables, each
+    computed once however often it is used."""
+    rows, e = _history_rows(spark, d)
     prepared = stored(events.prepare_events(e), "prepared")
-    return features.session_representation(rows, prepared), prepared, covisit_tables(e)
+    return stored(features.session_representation(rows, prepared), "represented"), prepared, covisit_tables(e)
 
 
 _REP_BEST = dict(zip(features.REPRESENTATIVES, ("pos", "lr", "wr", "ds"), strict=True))
@@ -763,6 +770,14 @@ def _(spark, d):
     return ranking.group_folds(_combos(spark, d), 5)
 
 
+@register("balanced_folds", "session long, candidate_aid int, label int, fold int", f"""
+    WITH r AS ({_COMBOS}), s AS (SELECT session, sum(label) AS p, count(*) AS n, CAST(('0x' || substr(md5(session || '_0'), 1, 15)) AS BIGINT) AS h FROM r GROUP BY session),
+    o AS (SELECT session, (row_number() OVER (ORDER BY p DESC, n DESC, h, session) - 1) % 10 AS turn FROM s)
+    SELECT r.session, r.candidate_aid, r.label, least(turn, 9 - turn) AS fold FROM r JOIN o USING (session)""")
+def _(spark, d):
+    return ranking.balanced_folds(stored(_combos(spark, d), "combos"), 5)
+
+
 @register("target_encoding", "session long, candidate_aid int, rank_x_last_type_te double", f"""
     WITH r AS ({_FOLDED.format(k=5, rows=_COMBOS)}), f AS (SELECT rank_x_last_type AS key, fold, sum(label) AS s, count(*) AS m FROM r GROUP BY ALL),
     o AS (SELECT key, fold, sum(s) OVER (PARTITION BY key) - s AS s, sum(m) OVER (PARTITION BY key) - m AS m FROM f)
@@ -807,7 +822,7 @@ MODELS = (1, 2, 3)
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
     """Three deterministic stand-ins for models' scores of the history candidates."""
-    rows, _, _ = _represented(spark, d)
+    rows, _ = _history_rows(spark, d)
     parts = F.explode(F.array(*map(F.lit, MODELS))).alias("m")
     s = F.pmod(F.col("session") * 31 + F.col("candidate_aid") * 17 * F.col("m") + F.col("label") * 97, F.lit(1000)) / 1000
     return rows.select("session", "candidate_aid", "label", parts).select(F.concat(F.lit("m"), F.col("m").cast("string")).alias("model"), "session", "candidate_aid", "label", s.alias("score"))
@@ -886,11 +901,31 @@ def _(spark, d):
     return metrics.auc(_scores(spark, d).where("model = 'm1'"))
 
 
+@register("ranking_metrics", "model string, ndcg double, map double, sessions long", f"""
+    WITH o AS (SELECT *, row_number() OVER (PARTITION BY model, session ORDER BY score DESC, candidate_aid) AS place, row_number() OVER (PARTITION BY model, session ORDER BY label DESC, candidate_aid) AS best FROM ({_SCORES})),
+    c AS (SELECT *, sum(label) OVER (PARTITION BY model, session ORDER BY place) AS found FROM o),
+    s AS (SELECT model, session, coalesce(sum(label / log2(place + 1)) FILTER (place <= 20), 0) AS dcg, sum(label / log2(best + 1)) FILTER (best <= 20) AS ideal,
+        coalesce(sum(label * found / place::DOUBLE) FILTER (place <= 20), 0) AS precision, least(sum(label), 20) AS hits FROM c GROUP BY ALL HAVING sum(label) > 0)
+    SELECT model, avg(dcg / ideal) AS ndcg, avg(precision / hits) AS map, count(*) AS sessions FROM s GROUP BY model""")
+def _(spark, d):
+    return boosting.ranking_metrics(stored(_scores(spark, d), "scores"), 20, by=("model",))
+
+
 @register("point_biserial", "feature string, r double, n long", f"SELECT 'm' || i AS feature, CASE i WHEN 1 THEN r1 WHEN 2 THEN r2 ELSE r3 END AS r, n FROM (SELECT corr(m1, label) AS r1, corr(m2, label) AS r2, corr(m3, label) AS r3, count(*) AS n FROM (SELECT session, candidate_aid, max(label) AS label, {', '.join(f'max(score) FILTER (model = {chr(39)}m{i}{chr(39)}) AS m{i}' for i in MODELS)} FROM ({_SCALED}) GROUP BY ALL)), (VALUES (1), (2), (3)) AS v(i)")
 def _(spark, d):
     return metrics.point_biserial(ensemble.stacking_dataset(_scores(spark, d), ["m1", "m2", "m3"]), cols=["m1", "m2", "m3"])
 
 
+@register("point_biserial_test", "feature string, r double, t double, p double", f"""
+    WITH r AS (SELECT unnest([{{'feature': 'm1', 'r': corr(m1, label)}}, {{'feature': 'm2', 'r': corr(m2, label)}}, {{'feature': 'm3', 'r': corr(m3, label)}}], recursive := true), count(*) AS n FROM ({_WIDE})),
+    t AS (SELECT feature, r, n - 2 AS df, r * sqrt((n - 2) / (1 - r * r)) AS t FROM r),
+    -- p: the density of Student's t on both sides, integrated over the angle atan(t / sqrt(df)).
+    a AS (SELECT *, atan(abs(t) / sqrt(df)) AS lo, (pi() / 2 - atan(abs(t) / sqrt(df))) / 200000 AS step FROM t)
+    SELECT feature, r, t, 2 * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(pi()) * (SELECT sum(pow(cos(lo + (i + 0.5) * step), df - 1)) FROM generate_series(0, 199999) AS g(i)) * step AS p FROM a""")
+def _(spark, d):
+    return metrics.point_biserial(ensemble.stacking_dataset(_scores(spark, d), ["m1", "m2", "m3"]), cols=["m1", "m2", "m3"])
+
+
 @register("feature_histograms", "feature string, kind string, bin int, n long, density double", f"""
     WITH v AS (SELECT label, unnest([{{'feature': 'm1', 'v': m1}}, {{'feature': 'm2', 'v': m2}}], recursive := true) FROM ({_WIDE})), e AS (SELECT feature, min(v) AS lo, max(v) AS hi FROM v GROUP BY feature),
     b AS (SELECT feature, CAST(label AS VARCHAR) AS kind, least(CAST(floor((v - lo) * 50 / (hi - lo)) AS INTEGER), 49) AS bin, lo, hi, count(*) AS n FROM v JOIN e USING (feature) GROUP BY ALL)
@@ -931,6 +966,29 @@ for _algo, _params in (("classifier", {"maxIter": 3}), ("regressor", {"maxIter":
         return ranking.score(frame, models)
 
 
+def _stopped(spark: SparkSession, d: str) -> list[tuple[boosting.BoostedRanker, DataFrame, DataFrame]]:
+    """Listwise rankers of two folds, each stopped early by the other fold, and their two frames."""
+    frame = stored(_frame(spark, d), "frame")
+    halves = [frame.where(F.col("fold") % 2 == f) for f in (0, 1)]
+    params = {"rounds": 4, "depth": 3, "rate": 0.3, "look_every": 2, "patience": 2}
+    return [(ranking.train_ranker(own, "listwise", params | {"validation": other}), own, other) for own, other in (halves, halves[::-1])]
+
+
+@register("scores_of_listwise", "session long, candidate_aid int, label int, score double")
+def _(spark, d):
+    """Each row is scored by the ranker of the other fold."""
+    return reduce(DataFrame.unionByName, (ranking.score(other, [model]) for model, _, other in _stopped(spark, d)))
+
+
+@register("listwise_importances", "feature string, min double, median double, max double, std double")
+def _(spark, d):
+    """Importances of the trained rankers over their folds."""
+    trained = _stopped(spark, d)
+    columns = ranking.feature_columns(trained[0][1].drop("features"))
+    rows = ranking.model_importances([m for m, _, _ in trained], columns)
+    return ranking.importance_summary(spark.createDataFrame(rows, "feature string, fold int, importance double"))
+
+
 @register("stacking_scores", "session long, candidate_aid int, label int, score double")
 def _(spark, d):
     wide = stored(ensemble.stack_preprocess(ensemble.stacking_dataset(_some_scores(spark, d), ["m1", "m2", "m3"]), ["m1", "m2", "m3"]), "stack")
