@@ -29,8 +29,6 @@ from .common import crc_mod, slices, stored
 TRAIN_ROWS = 20_000
 LEAST_DOCS, LEAST_ODDS = 4, 8.0
 PREFIXES = (4, 5, 6)
-#: Letters of a word at most: longer tokens are several words, glued by signs or by nothing.
-LONGEST = 48
 #: Doubled letters with a less likely trigram (log P) about them are decoded.
 UNLIKELY = -5.5
 CACHE = 250_000
@@ -154,8 +152,8 @@ def _odd_double(word: str, lm: np.ndarray) -> bool:
 
 
 def restore_token(token: str, lm: np.ndarray) -> str:
-    """A lower-case word for a token, several with spaces between for a long one; empty if there
-    is none in it. A character more than twice in a row says no more than twice."""
+    """The lower-case words behind a token of any length, with spaces between; empty if there are
+    none in it. A character more than twice in a row says no more than twice."""
     low = token.lower()
     core = low.strip("\"'.,;:!?()[]{}<>#%&*=|~`$^_-/\\+")
     short = STRETCHED.sub(r"\1\1", core)
@@ -164,7 +162,7 @@ def restore_token(token: str, lm: np.ndarray) -> str:
     whole = STRETCHED.sub(r"\1\1", low).strip("\"',;:?()[]{}<>#%&*=~`^_-/\\.") if not core or not core.isalpha() else short
     if not any(c.isalpha() for c in whole):
         return ""
-    return viterbi(GLUE.sub(" ", whole) if len(whole) > LONGEST else whole, lm)
+    return viterbi(GLUE.sub(" ", whole), lm)  # a separator is a word bound or nothing
 
 
 def restore_text(text: str | None, lm: np.ndarray) -> list[str]:

@@ -609,6 +609,63 @@ def test_restores_long_and_doubled_tokens(letters):
         assert word in toxicity.restore_token(token, letters).split(), (token, toxicity.restore_token(token, letters))
 
 
+def test_separators_in_tokens_of_any_length(letters):
+    """39 and 49 characters, and more, read alike: a separator is a word bound or nothing."""
+    for times in (1, 4, 5, 40):
+        got = toxicity.restore_token("i.d.i.o.t." * times, letters).split()
+        assert len(got) == times and set(got) == {"idiot"}, (times, got)
+
+
+def brute_readings(token):
+    """All readings of a token with their channel costs."""
+    out, before = [((), 0.0)], ""
+    for ch in token:
+        if ch in " \t":
+            ways = [(" ", 0.0), ("", toxicity.JOIN_COST if ch == " " else toxicity.CHUNK_COST)]
+        elif ch.isalpha():
+            ways = [(ch, 0.0)] + [("", toxicity.REPEAT_COST)] * (ch == before)
+        else:
+            ways = [(x, toxicity.SWAP_COST) for x in toxicity.SIGNS.get(ch, "")]
+            if ch in toxicity.DROPPED or not ways or ch == before:
+                ways.append(("", toxicity.DROP_COST))
+        out, before = [((*word, x) if x else word, cost + c) for word, cost in out for x, c in ways], ch
+    return out
+
+
+def likelihood(word, cost, lm):
+    """log P of a reading per letter, its word bounds and the channel's costs included."""
+    p, q, score = toxicity.BOUND, toxicity.BOUND, -cost
+    for x in word:
+        if x == " " and q == toxicity.BOUND:
+            continue
+        c = toxicity.BOUND if x == " " else toxicity._letter(x)
+        score, p, q = score + lm[p][q][c], q, c
+    n = sum(x != " " for x in word)
+    return (score + (lm[p][q][toxicity.BOUND] if q != toxicity.BOUND else 0.0)) / (n + 1) if n else -math.inf
+
+
+def test_decoder_equals_all_readings(letters):
+    """The decoded word is the likeliest of all readings that end in its letters (Viterbi keeps the
+    best reading for each last two letters, and ends are compared by likelihood per letter)."""
+    rng = random.Random(9)
+    for _ in range(300):
+        token = "".join(rng.choice("idiotstup1034!.-  \t$@|") for _ in range(rng.randint(1, 9)))
+        ends: dict = {}
+        for word, cost in brute_readings(token):
+            p, q, score = toxicity.BOUND, toxicity.BOUND, -cost
+            for x in word:
+                if x == " " and q == toxicity.BOUND:
+                    continue
+                c = toxicity.BOUND if x == " " else toxicity._letter(x)
+                score, p, q = score + letters[p][q][c], q, c
+            if (p, q) not in ends or score > ends[p, q][0] + 1e-12:
+                ends[p, q] = (score, word, cost)
+        best = max(likelihood(word, cost, letters) for _, word, cost in ends.values())
+        got = toxicity.viterbi(token, letters)
+        costs = [likelihood(word, cost, letters) for word, cost in brute_readings(token) if " ".join("".join(word).split()) == " ".join(got.split())]
+        assert costs and (max(costs) >= best - 1e-9 or best == -math.inf), (token, got)
+
+
 def test_toxicity_held_out(spark, empty):
     rng = random.Random(8)
     rows, labels = [], []
