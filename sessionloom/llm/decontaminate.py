@@ -8,9 +8,10 @@ bounds over a passage, taken for many passages at once, leave few (passage, bloc
 block-max WAND runs in those. Hits are verified: of the item's question and of its answer (its
 last sentence), enough five-word shingles must occur in the document.
 
-Document frequencies, the average length and the passage size come from the whole benchmark,
-counted in Spark. Items are broadcast in indexes of at most INDEX_ITEMS items, which bounds what a
-task holds; a larger benchmark takes several, one pass over the documents each, with the same
+Passages have a fixed size; an item of more than half a passage is indexed by parts of that size, any
+of which retrieves it. Document frequencies and the average length come from the whole benchmark's
+parts, counted in Spark. They are broadcast in indexes of about INDEX_ITEMS parts, which bounds what
+a task holds; a larger benchmark takes several, one pass over the documents each, with the same
 scores and hits as one index would give.
 """
 
@@ -33,7 +34,8 @@ K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, SHINGLE = 0.65, 0.8, 5
 BLOCK_ITEMS = 4
 INDEX_ITEMS = 2_000
-#: Words of half a passage at least; a passage is two halves, so it holds any item of half its length.
+#: Words of half a passage. A passage is two halves, so it holds any stretch of half its length; an
+#: item of more words is retrieved by its parts of so many words at most, and verified whole.
 HALF = 64
 CACHE = 250_000
 _NOT_WORD = re.compile(r"[\W_]+")
@@ -58,49 +60,54 @@ def word_shingles(words: list[str], k: int = SHINGLE) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} if words else set()
 
 
+def item_parts(text: str | None) -> list[list[str]]:
+    """An item's words in parts of HALF words at most, of about equal size."""
+    words = normal_words(text)
+    n = -(-len(words) // HALF)
+    return [words[i * len(words) // n : (i + 1) * len(words) // n] for i in range(n)]
+
+
 @dataclass
 class Stats:
-    """Of a benchmark: items with words, their average length, half a passage, items with a word (of
-    the words that are asked for)."""
+    """Of a benchmark's parts: how many there are, their average length, parts with a word (of the
+    words that are asked for)."""
 
-    items: int
+    parts: int
     average: float
-    half: int
     df: dict[str, int]
 
     @classmethod
-    def of(cls, words: list[list[str]]) -> Stats:
-        full = [w for w in words if w]
-        return cls(len(full), sum(map(len, full)) / max(len(full), 1) or 1.0, max([HALF, *map(len, full)]), Counter(w for ws in full for w in set(ws)))
+    def of(cls, parts: list[list[str]]) -> Stats:
+        return cls(len(parts), sum(map(len, parts)) / max(len(parts), 1) or 1.0, Counter(w for ws in parts for w in set(ws)))
 
 
 @dataclass
 class Index:
-    """Inverted index of items: for each term, item numbers, impacts and block bounds."""
+    """Inverted index of items' parts: for each term, numbers of parts, impacts and block bounds;
+    ``owner`` has each part's item."""
 
     items: list[tuple[int, str]]
+    owner: list[int] = field(default_factory=list)
     terms: dict[str, int] = field(default_factory=dict)
     postings: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     block_max: np.ndarray = field(default_factory=lambda: np.zeros((1, 0), np.float32))
-    half: int = HALF
 
     @classmethod
     def build(cls, items: list[tuple[int, str]], stats: Stats | None = None) -> Index:
         """Index of ``items``; ``stats``: of the benchmark that they belong to (None: they are all of it)."""
-        out = cls(items)
-        words = [normal_words(t) for _, t in items]
+        split = [item_parts(t) for _, t in items]
+        out, words = cls(items, [i for i, parts in enumerate(split) for _ in parts]), [ws for parts in split for ws in parts]
         stats = stats or Stats.of(words)
-        out.half = stats.half
         lists: dict[str, list[tuple[int, float]]] = {}
         for i, ws in enumerate(words):
             impact = {}
             for w, tf in Counter(ws).items():
-                idf = math.log(1 + (stats.items - stats.df[w] + 0.5) / (stats.df[w] + 0.5))
+                idf = math.log(1 + (stats.parts - stats.df[w] + 0.5) / (stats.df[w] + 0.5))
                 impact[w] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ws) / stats.average))
             full = sum(impact.values())
             for w, x in impact.items():
                 lists.setdefault(w, []).append((i, x / full))
-        blocks = -(-len(items) // BLOCK_ITEMS)
+        blocks = -(-len(words) // BLOCK_ITEMS)
         out.block_max = np.zeros((len(lists) + 1, blocks), np.float32)  # the last row: words of no item
         for n, (w, got) in enumerate(lists.items()):
             out.terms[w] = n
@@ -110,7 +117,7 @@ class Index:
         return out
 
     def block_max_wand(self, terms: list[int], block: int, threshold: float) -> list[tuple[int, float]]:
-        """All items of a block whose score for these distinct terms is at least the threshold."""
+        """All parts of a block whose score for these distinct terms is at least the threshold."""
         lo, hi = block * BLOCK_ITEMS, (block + 1) * BLOCK_ITEMS
         cursors = []
         for t in terms:
@@ -161,8 +168,8 @@ class _Terms(dict):
 
 
 def search(texts: list[str | None], index: Index, terms: _Terms, threshold: float = THRESHOLD) -> list[tuple[int, int, float]]:
-    """(text, item, best passage score) of all hits."""
-    none, half = len(index.terms), index.half
+    """(text, item, best passage score of the item or of a part of it) of all hits."""
+    none, half = len(index.terms), HALF
     tokens, passages, text_of = [], [], []
     for i, t in enumerate(texts):
         raw = (t or "").split()
@@ -186,8 +193,8 @@ def search(texts: list[str | None], index: Index, terms: _Terms, threshold: floa
         bounds = np.add.reduceat(index.block_max[token[part[0] : part[-1]]], part[:-1] - part[0])
         for h, block in zip(*np.nonzero(bounds >= threshold - 1e-3), strict=True):
             own = token[part[h] : part[h + 1]]
-            for item, score in index.block_max_wand(own[index.block_max[own, block] > 0].tolist(), int(block), threshold):
-                key = (text_of[int(passage[part[h]])], item)
+            for found, score in index.block_max_wand(own[index.block_max[own, block] > 0].tolist(), int(block), threshold):
+                key = (text_of[int(passage[part[h]])], index.owner[found])
                 best[key] = max(best.get(key, 0.0), score)
     return [(t, i, s) for (t, i), s in sorted(best.items())]
 
@@ -232,29 +239,33 @@ def _find(shared, threshold: float, overlap: float):
 
 def _with_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        words = [normal_words(t) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(w) for w in words], pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.string()))], names=[*b.schema.names, "n_words", "words"])
+        split = [item_parts(t) for t in b.column(1).to_pylist()]
+        cols = [pa.array([len(p) for p in split], pa.int64()), pa.array([sum(map(len, p)) for p in split], pa.int64()), pa.array([[w for ws in p for w in sorted(set(ws))] for p in split], pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, "parts", "n_words", "words"])
 
 
 def _indexes(benchmark: DataFrame, index_items: int) -> Iterator[Index]:
-    """Indexes of ``index_items`` items at most, all with the statistics of the whole benchmark."""
+    """Indexes of ``index_items`` parts at most (but for the last item's), all with the statistics of
+    the whole benchmark."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text")
-    items = items.mapInArrow(_with_words, "item_id long, text string, n_words long, words array<string>").where("n_words > 0")
+    items = items.mapInArrow(_with_words, "item_id long, text string, parts long, n_words long, words array<string>").where("n_words > 0")
     items = stored(items.withColumn("item", F.monotonically_increasing_id()), "leak-items")
-    got = items.agg(F.count("*").alias("n"), F.avg("n_words").alias("mean"), F.max("n_words").alias("most")).first()
-    words = items.select("item", F.explode("words").alias("word"))
-    counted = words.join(words.groupBy("word").agg(F.count("*").alias("df")), "word").groupBy("item").agg(F.collect_list(F.struct("word", "df")).alias("counted"))
-    ready = stored(items.drop("words").join(counted, "item").select("item_id", "text", "counted"), "leak-counted")
+    n, total = items.agg(F.sum("parts"), F.sum("n_words")).first()
+    words = items.select("item", F.explode("words").alias("word"))  # a word once for each part
+    counted = words.distinct().join(words.groupBy("word").agg(F.count("*").alias("df")), "word").groupBy("item").agg(F.collect_list(F.struct("word", "df")).alias("counted"))
+    ready = stored(items.drop("words").join(counted, "item").select("item_id", "text", "parts", "counted"), "leak-counted")
     held: list[tuple[int, str]] = []
     df: dict[str, int] = {}
+    parts = 0
     for r in ready.orderBy("item_id", "text").toLocalIterator():  # an index of items at a time
         held.append((r["item_id"], r["text"]))
-        df.update((w, n) for w, n in r["counted"])
-        if len(held) == index_items:
-            yield Index.build(held, Stats(got["n"], got["mean"], max(HALF, got["most"]), df))
-            held, df = [], {}
+        df.update((w, times) for w, times in r["counted"])
+        parts += r["parts"]
+        if parts >= index_items:
+            yield Index.build(held, Stats(n, total / n, df))
+            held, df, parts = [], {}, 0
     if held:
-        yield Index.build(held, Stats(got["n"], got["mean"], max(HALF, got["most"]), df))
+        yield Index.build(held, Stats(n, total / n, df))
 
 
 def _row_key():

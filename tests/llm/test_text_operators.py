@@ -571,6 +571,22 @@ def test_leaks(spark, docs, empty):
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_long_items_are_found_by_parts_and_change_nothing_else(spark):
+    """Hits of the other items stay when an item of 3,000 words joins; the long one is found where
+    enough of its shingles occur, though no passage holds it."""
+    rng = random.Random(11)
+    items = [(i, f"what is item {i} {sentence(rng, 12)}".replace(".", "") + f". Answer {i}x " + sentence(rng, 4).replace(".", "")) for i in range(9)]
+    long_item = " ".join(f"{rng.choice(WORDS)}{rng.randint(0, 500)}" for _ in range(3000)).replace(".", "")
+    kept = long_item.split()
+    rows = [(i, f"{sentence(rng, 70)} {t} {sentence(rng, 90)}", "s", 1, 2, 3) for i, t in items]
+    rows += [(100, f"{sentence(rng, 500)} {long_item} {sentence(rng, 100)}", "s", 1, 2, 3), (101, " ".join(kept[:2700]), "s", 1, 2, 3), (102, " ".join(kept[:1500]), "s", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, DOCS)
+    find = lambda bench: {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert find(items) == {(i, i) for i, _ in items}
+    assert find([*items, (500, long_item)]) == {(i, i) for i, _ in items} | {(100, 500), (101, 500)}
+    assert [len(p) for p in decontaminate.item_parts(" ".join(map(str, range(130))))] == [43, 43, 44] and decontaminate.item_parts(None) == []
+
+
 # Toxicity.
 
 
