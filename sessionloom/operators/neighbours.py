@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionloom.sources.scratch import stored
+
 from .events import TIE, with_position
+from .vector_index import BLOCK_ITEMS, BLOCK_QUERIES, nearest, prepared, scores, search
 
-#: Vectors in a block that a task holds, whatever their total; blocks of queries that small inputs
-#: are cut into, so that they run in parallel.
-BLOCK_ITEMS, BLOCK_QUERIES = 65_536, 16_384
+#: Blocks of queries that small inputs are cut into, so that they run in parallel.
 LEAST_BLOCKS, SMALL_BLOCK = 16, 64
 
 
@@ -40,23 +39,14 @@ def _nearest(n: int, metric: str):
     def run(table: pa.Table) -> pa.Table:
         kind = np.asarray(table.column("is_query"))
         ids = np.asarray(table.column("id"))
-        vec = np.stack(table.column("vector").to_numpy(zero_copy_only=False)).astype(np.float64)
+        vec = prepared(np.stack(table.column("vector").to_numpy(zero_copy_only=False)).astype(np.float64), metric)
         items, queries = np.flatnonzero(~kind), np.flatnonzero(kind)
-        if metric == "cosine":
-            norm = np.sqrt((vec**2).sum(1, keepdims=True))
-            vec = np.divide(vec, norm, out=np.zeros_like(vec), where=norm > 0)
         out_q, out_a, out_s = [], [], []
         x = vec[items]
-        square = (x**2).sum(1)
         for lo in range(0, len(queries), 256):
-            q = vec[queries[lo : lo + 256]]
-            dot = q @ x.T
-            score = 1 - dot if metric == "cosine" else np.sqrt(np.maximum((q**2).sum(1)[:, None] + square - 2 * dot, 0))
-            score = np.round(score, 9)
+            score = scores(vec[queries[lo : lo + 256]], x, metric)
             for i, row in enumerate(score):
-                cut = np.partition(row, n - 1)[n - 1] if len(row) > n else np.inf
-                near = np.flatnonzero(row <= cut)
-                near = near[np.lexsort((ids[items[near]], row[near]))][:n]
+                near = nearest(row, ids[items], n)
                 out_q.append(np.full(len(near), ids[queries[lo + i]]))
                 out_a.append(ids[items[near]])
                 out_s.append(row[near])
@@ -66,24 +56,24 @@ def _nearest(n: int, metric: str):
     return run
 
 
-def knn_by_vector(queries: DataFrame, embeddings: DataFrame, n: int, metric: str = "euclidean") -> DataFrame:
+def knn_by_vector(queries: DataFrame, embeddings: DataFrame, n: int, metric: str = "euclidean", block_items: int = BLOCK_ITEMS) -> DataFrame:
     """``query, aid, distance, rank``: the exact n nearest items of each row of ``queries (query, vector)``.
 
-    Items and queries are dealt into blocks of bounded size, their numbers counted in one job; each
-    pair of blocks is a task that returns its n nearest, merged by a window for each query.
-    ``metric``: euclidean, or cosine (angular order). Ties go by aid; ranks from 0.
+    Items that fit a block are compared with all queries, block of queries by block; more items are
+    filed in cells, of which a query visits those that may hold one of its n nearest
+    (``vector_index``), with the same result. ``metric``: euclidean, or cosine (angular order).
+    Ties go by aid; ranks from 0.
     """
-    kinds = embeddings.select(F.lit(0).alias("k")).unionByName(queries.select(F.lit(1).alias("k"))).groupBy("k").count()
-    counts = dict(kinds.collect())  # two rows
-    blocks = max(1, -(-counts.get(0, 0) // BLOCK_ITEMS))
-    asked = counts.get(1, 0)
-    query_blocks = max(1, -(-asked // BLOCK_QUERIES), min(LEAST_BLOCKS, -(-asked // SMALL_BLOCK)))
-    items = embeddings.where("vector is not null").select(F.col("aid").cast("long").alias("id"), F.col("vector").cast("array<double>"), F.lit(False).alias("is_query"))
-    asks = queries.where("vector is not null").select(F.col("query").cast("long").alias("id"), F.col("vector").cast("array<double>"), F.lit(True).alias("is_query"))
-    items = items.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    asks = asks.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    both = items.select("id", "vector", "is_query", "b", "q").unionByName(asks.select("id", "vector", "is_query", "b", "q"))
-    near = both.groupBy("b", "q").applyInArrow(_nearest(n, metric), "query long, aid long, distance double")
+    items = embeddings.where("vector is not null").select(F.col("aid").cast("long").alias("id"), F.col("vector").cast("array<double>"))
+    asks = stored(queries.where("vector is not null").select(F.col("query").cast("long").alias("id"), F.col("vector").cast("array<double>")), "knn-queries")
+    if items.count() > block_items:
+        near = search(asks, items, n, metric, block_items=block_items).where("query is not null")
+    else:
+        asked = asks.count()
+        blocks = max(1, -(-asked // BLOCK_QUERIES), min(LEAST_BLOCKS, -(-asked // SMALL_BLOCK)))
+        left = items.select("id", "vector", F.lit(False).alias("is_query"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+        right = asks.select("id", "vector", F.lit(True).alias("is_query"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
+        near = left.unionByName(right).groupBy("b").applyInArrow(_nearest(n, metric), "query long, aid long, distance double")
     w = Window.partitionBy("query").orderBy("distance", "aid")
     return near.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < n)
 
