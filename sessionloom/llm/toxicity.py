@@ -44,7 +44,7 @@ _SHORT = r"(?:\w(?:[.\-_*]\w)+|\S{1,3})[.,;:!?\"')\]]*(?!\S)"
 #: Two or more short tokens one after another, with any blanks between.
 SHORT_RUN = re.compile(rf"(?<!\S){_SHORT}(?:\s+{_SHORT})+")
 TRAILING = re.compile(r"(?<=\w)[.,;:!?\"')\]]+$")
-DOUBLED, STRETCHED = re.compile(r"([^\W\d_])\1"), re.compile(r"(.)\1{2,}")
+DOUBLED, STRETCHED, TWICE = re.compile(r"([^\W\d_])\1"), re.compile(r"(.)\1{2,}"), re.compile(r"(.)\1")
 GLUE = re.compile(r"[.\-_*~`,:;/\\^=&?#%]+")
 
 
@@ -156,6 +156,8 @@ def restore_token(token: str, lm: np.ndarray) -> str:
     none in it. A character more than twice in a row says no more than twice."""
     low = token.lower()
     core = low.strip("\"'.,;:!?()[]{}<>#%&*=|~`$^_-/\\+")
+    if core.isalpha() and not TWICE.search(core):
+        return core
     short = STRETCHED.sub(r"\1\1", core)
     if core.isalpha() and short == core and not _odd_double(core, lm):
         return core
@@ -232,6 +234,8 @@ class _Scorer(_Restorer):
     def __init__(self, lm: np.ndarray, weights: dict[str, float]):
         super().__init__(lm)
         self.weights = weights
+        #: First four letters of the features: no other word has a weight.
+        self.heads = {f.rstrip("*")[: PREFIXES[0]] for f in weights}
 
     def __missing__(self, token: str) -> tuple[tuple[str, float], ...]:
         if len(self) >= CACHE:
@@ -240,7 +244,8 @@ class _Scorer(_Restorer):
         return got
 
     def weighed(self, words: list[str]) -> tuple[tuple[str, float], ...]:
-        return tuple((x, w) for x in words if (w := evidence({x}, self.weights)[0]) > 0)
+        heads, n = self.heads, PREFIXES[0]
+        return tuple((x, w) for x in words if x[:n] in heads and (w := evidence({x}, self.weights)[0]) > 0)
 
     def of(self, text: str | None) -> tuple[float, int, int]:
         """Evidence, number of words with evidence, number of distinct tokens."""
