@@ -115,20 +115,31 @@ def _(spark, d):
     return events.prepare_events(events_a(spark, d))
 
 
+@register("prepare_events_segments", PREPARED, "SELECT * FROM prepb")
+def _(spark, d):
+    """Sessions of more than 80 events are scanned in segments."""
+    return events.prepare_events(events_b(spark, d), long_session=80)
+
+
 @register("prepare_events_orders", PREPARED, "SELECT * FROM prepb")
 def _(spark, d):
     return events.prepare_events(events_b(spark, d))
 
 
 for _mode, _flag in (("reference", "coalesce(lead(ts) OVER w - ts, ts - lag(ts) OVER w)"), ("gap", "ts - lag(ts) OVER w")):
-
-    @register(f"real_sessions_{_mode}", "session long, aid int, ts long, real_session string, real_session_size long", f"""
+    _real = f"""
         SELECT *, count(*) OVER (PARTITION BY real_session) AS real_session_size FROM (
             SELECT session, aid, ts, session || '_' || sum(opens) OVER (PARTITION BY session ORDER BY ts, type, aid ROWS UNBOUNDED PRECEDING) AS real_session
-            FROM (SELECT *, CASE WHEN {_flag} > 7200 THEN 1 ELSE 0 END AS opens FROM ea WINDOW w AS (PARTITION BY session ORDER BY ts, type, aid)))""")
+            FROM (SELECT *, CASE WHEN {_flag} > 7200 THEN 1 ELSE 0 END AS opens FROM ea WINDOW w AS (PARTITION BY session ORDER BY ts, type, aid)))"""
+
+    @register(f"real_sessions_{_mode}", "session long, aid int, ts long, real_session string, real_session_size long", _real)
     def _(spark, d, mode=_mode):
         return events.real_sessions(events_a(spark, d), boundary=mode)
 
+    @register(f"real_sessions_segments_{_mode}", "session long, aid int, ts long, real_session string, real_session_size long", _real)
+    def _(spark, d, mode=_mode):
+        return events.real_sessions(events_a(spark, d), boundary=mode, long_session=20)
+
 
 # Popularity.
 
