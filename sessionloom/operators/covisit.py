@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions.exprs import recency_weight, type_weight
 
+from sessionloom.sources.scratch import stored
+
 from .events import PREPARED_WEIGHTS, RERANK_WEIGHTS, TIE, session_order, with_position
 
 
@@ -130,15 +134,76 @@ def suggest_with_backfill(events: DataFrame, event: str, tables: dict[str, DataF
     return rows.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < n).select("session", "candidate_aid", "rank")
 
 
+@dataclass(frozen=True)
+class CovisitRules:
+    """What makes a co-visit: types of events, distance in time, events of a session that count,
+    weights of aid_y's type, and the order of a session's events."""
+
+    types: tuple[int, ...] = (0, 1, 2)
+    window_s: int = 86_400
+    last: int = 30
+    weights: tuple[tuple[int, float], ...] = ((0, 1.0), (1, 6.0), (2, 3.0))
+    tie: tuple[str, ...] = TIE
+
+
+def session_tails(events: DataFrame, rules: CovisitRules) -> DataFrame:
+    """The last events of each session that count (columns of the order, ``session`` and ``aid``)."""
+    order = session_order(rules.tie)
+    w = Window.partitionBy("session").orderBy(*map(F.desc, order))
+    recent = events.where(F.col("type").isin(*rules.types)).withColumn("r", F.row_number().over(w)).where(F.col("r") <= rules.last)
+    return recent.select("session", *dict.fromkeys(["aid", "type", *order]))
+
+
+def pair_sums(tails: DataFrame, rules: CovisitRules) -> DataFrame:
+    """``aid_x, aid_y, wgt`` of all pairs of the tails: once per session, with the weight of aid_y's type."""
+    x = tails.select("session", F.col("aid").alias("aid_x"), F.col("ts").alias("ts_x"))
+    y = tails.select("session", F.col("aid").alias("aid_y"), F.col("ts").alias("ts_y"), type_weight(dict(rules.weights)).alias("w"))
+    pairs = x.join(y, "session").where((F.col("aid_x") != F.col("aid_y")) & (F.abs(F.col("ts_x") - F.col("ts_y")) <= rules.window_s))
+    once = pairs.groupBy("session", "aid_x", "aid_y").agg(F.max("w").alias("w"))
+    return once.groupBy("aid_x", "aid_y").agg(F.sum("w").alias("wgt"))
+
+
+def top_neighbours(sums: DataFrame, top_n: int) -> DataFrame:
+    """Each aid_x's ``top_n`` aids by weight, numbered from 0 in ``nb``."""
+    return numbered(sums).where(F.col("nb") < top_n).select("aid_x", "aid_y", F.col("wgt").cast("float").alias("wgt"), "nb")
+
+
+@dataclass(frozen=True)
+class CovisitState:
+    """What a table of co-visits keeps to take new events: session tails and pair sums, both stored
+    tables. Weights are whole numbers in doubles, so adding and taking off is exact."""
+
+    tails: DataFrame
+    sums: DataFrame
+    rules: CovisitRules
+
+
+def covisit_state(events: DataFrame, rules: CovisitRules = CovisitRules()) -> CovisitState:
+    tails = stored(session_tails(events, rules), "covisit-tails")
+    return CovisitState(tails, stored(pair_sums(tails, rules), "covisit-sums"), rules)
+
+
+def merge_covisitation(state: CovisitState, events: DataFrame) -> CovisitState:
+    """U1, day by day: the state with new ``events``, equal to the one built from all events at once.
+
+    Only sessions with new events are paired again: the pairs of their old tails are taken off the
+    sums, those of their new tails added. New events may be older than known ones. Events that come
+    twice count twice; a day without events changes nothing.
+    """
+    rules = state.rules
+    new = events.where(F.col("type").isin(*rules.types)).select(*state.tails.columns)
+    changed = new.select("session").distinct()
+    before = stored(state.tails.join(changed, "session", "left_semi"), "covisit-before")
+    after = stored(session_tails(before.unionByName(new), rules), "covisit-after")
+    delta = pair_sums(after, rules).unionByName(pair_sums(before, rules).withColumn("wgt", -F.col("wgt")))
+    sums = state.sums.unionByName(delta.select(*state.sums.columns)).groupBy("aid_x", "aid_y").agg(F.sum("wgt").alias("wgt")).where("wgt <> 0")
+    tails = state.tails.join(changed, "session", "left_anti").unionByName(after)
+    return CovisitState(stored(tails, "covisit-tails"), stored(sums, "covisit-sums"), rules)
+
+
 def build_covisitation(events: DataFrame, types: tuple[int, ...] = (0, 1, 2), window_s: int = 86_400, top_n: int = 20, weights: dict[int, float] | None = None, last: int = 30, tie: tuple[str, ...] = TIE) -> DataFrame:
     """``aid_x, aid_y, wgt, nb``: aids within ``window_s`` of each other among a session's last
     events (``last`` of them, so a session adds at most last^2 pairs); a pair counts once per session
     with the type weight of aid_y, and each aid_x keeps its ``top_n``, numbered from 0 in ``nb``."""
-    w = Window.partitionBy("session").orderBy(*(F.desc(c) for c in session_order(tie)))
-    recent = events.where(F.col("type").isin(*types)).withColumn("r", F.row_number().over(w)).where(F.col("r") <= last)
-    x = recent.select("session", F.col("aid").alias("aid_x"), F.col("ts").alias("ts_x"))
-    y = recent.select("session", F.col("aid").alias("aid_y"), F.col("ts").alias("ts_y"), type_weight(weights or {0: 1.0, 1: 6.0, 2: 3.0}).alias("w"))
-    pairs = x.join(y, "session").where((F.col("aid_x") != F.col("aid_y")) & (F.abs(F.col("ts_x") - F.col("ts_y")) <= window_s))
-    once = pairs.groupBy("session", "aid_x", "aid_y").agg(F.max("w").alias("w"))
-    sums = once.groupBy("aid_x", "aid_y").agg(F.sum("w").alias("wgt"))
-    return numbered(sums).where(F.col("nb") < top_n).select("aid_x", "aid_y", F.col("wgt").cast("float").alias("wgt"), "nb")
+    rules = CovisitRules(types, window_s, last, tuple((weights or {0: 1.0, 1: 6.0, 2: 3.0}).items()), tie)
+    return top_neighbours(pair_sums(session_tails(events, rules), rules), top_n)

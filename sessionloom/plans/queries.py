@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.functions.exprs import stable_hash, ts_parts
-from sessionloom.operators import boosting, candidates, covisit, ensemble, events, features, metrics, neighbours, popular, ranking
+from sessionloom.operators import boosting, candidates, covisit, ensemble, events, factors, features, metrics, neighbours, popular, ranking
 from sessionloom.sources import tables
 from sessionloom.sources.scratch import new_folder, stored
 
@@ -196,6 +196,17 @@ for _t in ("clicks", "carts_orders", "buy2buy"):
         return covisit_tables(split(events_b(spark, d))[0])[t]
 
 
+@register("covisitation_merged", "aid_x int, aid_y int, wgt double", "SELECT * FROM cv_clicks")
+def _(spark, d):
+    """The same table, from a state that takes the events year by year, the late ones first."""
+    e = split(events_b(spark, d))[0]
+    year = F.year(F.timestamp_seconds("ts"))
+    state = covisit.covisit_state(e.where(year >= 2000))
+    for rest in (e.where(year < 1997), e.where((year >= 1997) & (year < 2000))):
+        state = covisit.merge_covisitation(state, rest)
+    return covisit.top_neighbours(state.sums, 20)
+
+
 def _covisit_sql(parts: list[tuple[str, str]]) -> str:
     hits = " UNION ALL ".join(
         f"SELECT s.session, c.aid_y AS candidate_aid, ({i} * 1000000 + s.recent_rank) * 1000 + c.nb AS met FROM ({src}) s JOIN (SELECT *, row_number() OVER (PARTITION BY aid_x ORDER BY wgt DESC, aid_y) - 1 AS nb FROM cv_{t}) c ON s.aid = c.aid_x" for i, (src, t) in enumerate(parts)
@@ -1026,6 +1037,12 @@ for _name, _train in (("item_embeddings", neighbours.train_item_embeddings), ("i
         return train(events_a(spark, d), 8).select("aid", F.size("vector").alias("dims"))
 
 
+@register("covisit_factors", "aid int, f0 double, f1 double, f2 double, f3 double")
+def _(spark, d):
+    got = factors.covisit_factors(stored(covisit.build_covisitation(events_a(spark, d)), "covisit"), 4, iterations=4)
+    return got.select("aid", *(F.col("vector")[i].alias(f"f{i}") for i in range(4)))
+
+
 # Sources and sinks: write to the shared folder, read back.
 
 
