@@ -8,9 +8,10 @@ and in bytes without a shuffle of the pages.
 
 Reading: a task finds the record magic anywhere in its files and reads the header there, which
 gives a candidate record and the offset of its successor. A candidate must end within the file,
-with the record terminator, where the file ends too or where another magic stands; only then is
-its payload hashed. Magic inside payloads makes candidates too. Pointer jumping from offset 0 of
-each file then keeps the reachable ones: in each round the reached set grows by the candidates
+with the record terminator, where the file ends too or where another magic stands. Magic inside
+payloads makes candidates too. Pointer jumping from offset 0 of
+each file then keeps the reachable ones, and candidates that overlapped are hashed only after that,
+so each byte is hashed once at most: in each round the reached set grows by the candidates
 that lie 2^r records further, and every pointer doubles its length. The joins are never
 broadcast: candidates grow with the pages.
 """
@@ -107,9 +108,20 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     fields, block = got
                     after = block + int(fields[b"content-length"]) + len(END)
                     if after <= len(data) and data.startswith(end, after - len(END)) and (after == len(data) or data.startswith(MAGIC, after)):
-                        rows.append((file, at, after, block, fields, data))
+                        rows.append((at, after, block, fields))
                 at = data.find(MAGIC, at + 1)
-            yield from _rows(rows)
+            yield from _rows(file, data, rows)
+
+
+def overlapping(spans: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Groups of spans, sorted by start, that overlap in a chain: (first, end of the group, its reach)."""
+    out: list[tuple[int, int, int]] = []
+    for i, (at, after) in enumerate(spans):
+        if out and at < out[-1][2]:
+            out[-1] = (out[-1][0], i + 1, max(out[-1][2], after))
+        else:
+            out.append((i, i + 1, after))
+    return out
 
 
 def _page(uri: bytes) -> int | None:
@@ -119,27 +131,52 @@ def _page(uri: bytes) -> int | None:
     return page if page is not None and -(2**63) <= page < 2**63 else None
 
 
-def _rows(rows: list) -> Iterator[pa.RecordBatch]:
+def _rows(file: int, data: bytes, rows: list) -> Iterator[pa.RecordBatch]:
+    """The file's candidates, and the bytes of places where several overlap, as rows of their own.
+
+    A candidate that no other overlaps is hashed here. Of those that overlap at most some are real,
+    so they wait until that is known: their payload is ``start`` bytes into the ``region``.
+    """
     if not rows:
         return
     out: list[list] = [[] for _ in CANDIDATES]
-    for path, at, after, block, fields, data in rows:
-        kind = fields.get(b"warc-type", b"").decode("latin-1")
-        split = data.find(b"\r\n\r\n", block, after)
-        length = re.search(rb"content-length:[ \t]*0*([0-9]{1,18})(?![0-9])", data[block:split].lower()) if split >= 0 else None
-        payload = data[split + 4 : after - len(END)] if split >= 0 else b""
-        digest = fields.get(b"warc-payload-digest", b"").rpartition(b":")[2].decode("latin-1")
-        if kind == "response":
-            n, digest, refers = len(payload), hashlib.sha256(payload).hexdigest(), None
-        else:
-            n, refers = int(length[1]) if length else None, _page(fields.get(b"warc-refers-to", b""))
-        for col, v in zip(out, (path, at, after, _page(fields.get(b"warc-record-id", b"")), n, digest, kind, refers), strict=True):
-            col.append(v)
+    for lo, hi, reach in overlapping([(at, after) for at, after, *_ in rows]):
+        region = rows[lo][0] if hi - lo > 1 else None
+        for at, after, block, fields in rows[lo:hi]:
+            kind = fields.get(b"warc-type", b"").decode("latin-1")
+            split = data.find(b"\r\n\r\n", block, after)
+            length = re.search(rb"content-length:[ \t]*0*([0-9]{1,18})(?![0-9])", data[block:split].lower()) if split >= 0 else None
+            payload, ends = (split + 4, after - len(END)) if split >= 0 else (0, 0)
+            digest, refers, start = fields.get(b"warc-payload-digest", b"").rpartition(b":")[2].decode("latin-1"), None, None
+            if kind == "response":
+                n = max(ends - payload, 0)
+                digest, start = (hashlib.sha256(data[payload:ends]).hexdigest(), None) if region is None else (None, payload - region if n else 0)
+            else:
+                n, refers = int(length[1]) if length else None, _page(fields.get(b"warc-refers-to", b""))
+            for col, v in zip(out, (file, at, after, _page(fields.get(b"warc-record-id", b"")), n, digest, kind, refers, region, start, None), strict=True):
+                col.append(v)
+        if region is not None:
+            for col, v in zip(out, (file, region, reach, None, None, None, REGION, None, region, None, data[region:reach]), strict=True):
+                col.append(v)
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, CANDIDATES.values(), strict=True)], names=list(CANDIDATES))
 
 
-CANDIDATES = {"file": pa.int64(), "at": pa.int64(), "next": pa.int64(), "page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
-SCHEMA = "file long, at long, next long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+#: The kind of a row that is no candidate but the bytes of several.
+REGION = " region"
+CANDIDATES = {
+    "file": pa.int64(), "at": pa.int64(), "next": pa.int64(), "page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(),
+    "record_type": pa.string(), "refers_to": pa.int64(), "region": pa.int64(), "start": pa.int64(), "bytes": pa.binary(),
+}
+SCHEMA = "file long, at long, next long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, region long, start long, bytes binary"
+
+
+def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``file, at, digest`` of the records that turned out to be real, from ``file, bytes, real``."""
+    for b in batches:
+        for file, data, real in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            view = memoryview(data.as_buffer())
+            rows = [(r["at"], hashlib.sha256(view[r["start"] : r["start"] + r["n"]]).hexdigest()) for r in real]
+            yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows])], names=["file", "at", "digest"])
 
 
 def reachable(links: DataFrame) -> DataFrame:
@@ -166,9 +203,19 @@ def reachable(links: DataFrame) -> DataFrame:
 def read_archives(spark: SparkSession, out: str) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of every real record."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(out).select(F.xxhash64("path").alias("file"), "content")
-    found = stored(files.mapInArrow(_candidates, SCHEMA), "warc-candidates")
+    every = stored(files.mapInArrow(_candidates, SCHEMA), "warc-candidates")
+    found = every.where(F.col("record_type") != REGION).drop("bytes")
     real = found.join(reachable(found).hint("merge"), ["file", "at"], "left_semi")
-    return real.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    out = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    if every.where(F.col("record_type") == REGION).isEmpty():
+        return real.select(*out)
+    # Real records among overlapping candidates: a list for each region, of FILE_RECORDS at most.
+    real = stored(real, "warc-real")
+    waiting = real.where("region is not null and payload_digest is null").groupBy("file", "region").agg(F.collect_list(F.struct("at", "start", F.col("payload_bytes").alias("n"))).alias("real"))
+    regions = every.where(F.col("record_type") == REGION).select("file", "region", "bytes")
+    hashed = regions.join(waiting.hint("merge"), ["file", "region"]).select("file", "bytes", "real").mapInArrow(_hash, "file long, at long, digest string")
+    whole = real.join(hashed.hint("merge"), ["file", "at"], "left").withColumn("payload_digest", F.coalesce("payload_digest", "digest"))
+    return whole.select(*out)
 
 
 def archive_table(pages: DataFrame) -> DataFrame:

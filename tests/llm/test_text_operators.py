@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -327,6 +328,25 @@ def test_warc_numbers_of_any_length(spark):
     assert got == {i: hashlib.sha256(h.encode()).hexdigest() for i, h in rows}
 
 
+def test_nested_headers_take_linear_time(spark):
+    """A page of 4,000 headers that all end where the record ends, with small whole records between."""
+    tiny = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 2\r\n\r\nok\r\n\r\n"
+    html, parts = "tail " * 20, []
+    for i in range(4000):
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {len(html)}\r\n\r\n"
+        html = (tiny if i % 2 else "") + head + html
+    parts = [(1, html), (2, "x" * 200), (3, html), (4, "y" + html), (5, None)]
+    took = time.process_time()
+    starts = [m.start() for m in re.finditer("WARC/1.1", html)]
+    assert len(starts) == 6000
+    assert warc.overlapping([(0, 5), (1, 3), (4, 9), (9, 10), (12, 13)]) == [(0, 3, 9), (3, 4, 10), (4, 5, 13)]
+    got = {r["page_id"]: r for r in warc.archive_table(spark.createDataFrame(parts, "page_id long, html string")).collect()}
+    assert time.process_time() - took < 60 and set(got) == {1, 2, 3, 4, 5}
+    for i, t in parts:
+        assert got[i]["payload_digest"] == hashlib.sha256((t or "").encode()).hexdigest() and got[i]["payload_bytes"] == len((t or "").encode())
+    assert got[3]["refers_to"] == 1 and got[4]["record_type"] == "response"
+
+
 def test_warc_large_pages(spark, monkeypatch):
     monkeypatch.setattr(warc, "FILE_BYTES", 1 << 18)
     rows = [(i, chr(97 + i % 26) * (1 << (i % 20)) + str(i)) for i in range(60)] + [(60, None)]
