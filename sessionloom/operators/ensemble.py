@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions.exprs import safe_div
+from sessionloom.functions.parzen import propose
 from sessionloom.functions.ranges import exact_medians
+from sessionloom.sources.scratch import stored
 
 from .ranking import group_folds, top_k
 
@@ -88,7 +91,11 @@ def tune_ensemble_weights(scores: DataFrame, truth: DataFrame, grid: list[tuple[
     meet each grid point (a short list, written into the plan) and are grouped by point. Truths are
     sets, of 20 aids at most; a point without a hit has recall 0."""
     models = sorted({m for w, _ in grid for m in w})
-    wide = stacking_dataset(scores, models)
+    return _recalls(stacking_dataset(scores, models), truth, models, grid, event, k)
+
+
+def _recalls(wide: DataFrame, truth: DataFrame, models: list[str], grid: list[tuple[dict[str, float], float]], event: str, k: int) -> DataFrame:
+    """``point, recall`` of the grid's points on scaled scores, a column for each model."""
     terms = [F.struct(F.lit(i).alias("point"), reduce(lambda a, b: a + b, (F.coalesce(F.pow(F.col(m), F.lit(float(p))), F.lit(0.0)) * float(w.get(m, 0.0)) for m in models)).alias("score")) for i, (w, p) in enumerate(grid)]
     rows = wide.select(*PAIR, F.explode(F.array(*terms)).alias("x")).select(*PAIR, "x.*")
     w = Window.partitionBy("point", "session").orderBy(F.desc(F.round("score", 9)), "candidate_aid")
@@ -98,3 +105,24 @@ def tune_ensemble_weights(scores: DataFrame, truth: DataFrame, grid: list[tuple[
     hits = best.join(hit, list(PAIR), "left_semi").groupBy("point").agg(F.count("*").alias("hits"))
     points = wide.sparkSession.range(len(grid)).select(F.col("id").cast("int").alias("point"))
     return points.join(hits, "point", "left").select("point", (F.coalesce("hits", F.lit(0)) / float(max(gt, 1))).alias("recall"))
+
+
+def search_ensemble_weights(scores: DataFrame, truth: DataFrame, models: list[str], event: str, trials: int = 64, batch: int = 8, powers: tuple[float, float] = (0.5, 8.0), k: int = 20, seed: int = 0) -> DataFrame:
+    """M16, sequentially: ``trial, <a weight for each model>, power, recall`` of ``trials`` points.
+
+    Weights are searched in 0 .. 1 and the power on a log scale between ``powers``. Points come in
+    batches from Parzen estimators over the trials before (``functions.parzen``), and a batch is
+    one Spark job over scaled scores that are stored once. The same seed gives the same trials;
+    without truths every recall is 0.
+    """
+    wide = stored(stacking_dataset(scores, models), "search-scores")
+    rng, dims = np.random.default_rng(seed), len(models) + 1
+    points, values = np.zeros((0, dims)), np.zeros(0)
+    low, high = np.log(powers[0]), np.log(powers[1])
+    while len(points) < trials:
+        new = propose(points, values, min(batch, trials - len(points)), dims, rng)
+        grid = [(dict(zip(models, map(float, p[:-1]), strict=True)), float(np.exp(low + p[-1] * (high - low)))) for p in new]
+        got = {r["point"]: r["recall"] for r in _recalls(wide, truth, models, grid, event, k).collect()}  # a row for each point
+        points, values = np.concatenate([points, new]), np.append(values, [got[i] for i in range(len(new))])
+    rows = [(i, *map(float, p[:-1]), float(np.exp(low + p[-1] * (high - low))), float(v)) for i, (p, v) in enumerate(zip(points, values, strict=True))]
+    return wide.sparkSession.createDataFrame(rows, "trial int, " + ", ".join(f"`{m}` double" for m in models) + ", power double, recall double")

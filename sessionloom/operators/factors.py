@@ -43,10 +43,10 @@ def _mixed(vectors: DataFrame, m: np.ndarray) -> DataFrame:
     return vectors.select("i", *(mix(c).alias(n) for c, n in zip(m.T, _names(m.shape[1]), strict=True)))
 
 
-def _orthonormal(vectors: DataFrame, k: int) -> tuple[DataFrame, int]:
-    """An orthonormal block of the same span, by two rounds over Gram matrices; directions that the
-    matrix hasn't got fall away."""
-    for _ in range(2):
+def _orthonormal(vectors: DataFrame, k: int, rounds: int = 2) -> tuple[DataFrame, int]:
+    """An orthonormal block of the same span, by rounds over Gram matrices (one is enough between
+    products, two at the end); directions that the matrix hasn't got fall away."""
+    for _ in range(rounds):
         values, turn = np.linalg.eigh(_gram(vectors, k))
         sound = values > 1e-13 * max(values.max(initial=0.0), 1e-300)
         if not sound.any():
@@ -68,9 +68,9 @@ def sparse_svd(entries: DataFrame, k: int, iterations: int = ITERATIONS, oversam
     unit = lambda n: (F.pmod(F.xxhash64("i", F.lit(n), F.lit(seed)), F.lit(1 << 20)) - (1 << 19)) / float(1 << 19)
     start = entries.select(F.col("j").alias("i")).distinct().select("i", *(unit(n).alias(v) for n, v in enumerate(_names(wide))))
     basis, wide = _orthonormal(stored(_times(entries, start, wide, False), "factor-product"), wide)
-    for _ in range(iterations if wide else 0):
-        back, wide = _orthonormal(stored(_times(entries, basis, wide, True), "factor-product"), wide)
-        basis, wide = _orthonormal(stored(_times(entries, back, wide, False), "factor-product"), wide)
+    for n in range(iterations if wide else 0):
+        back, wide = _orthonormal(stored(_times(entries, basis, wide, True), "factor-product"), wide, 1)
+        basis, wide = _orthonormal(stored(_times(entries, back, wide, False), "factor-product"), wide, 2 if n == iterations - 1 else 1)
     if not wide:
         none = entries.select("i", F.lit(0.0).alias("v0")).limit(0)
         return [], none, none

@@ -916,6 +916,11 @@ def _(spark, d):
     return ensemble.tune_ensemble_weights(_scores(spark, d).where("model in ('m1', 'm2')"), split(events_b(spark, d))[1], grid, "orders", 5)
 
 
+@register("searched_ensemble_weights", "trial int, m1 double, m2 double, power double, recall double")
+def _(spark, d):
+    return ensemble.search_ensemble_weights(_scores(spark, d).where("model in ('m1', 'm2')"), split(events_b(spark, d))[1], ["m1", "m2"], "orders", trials=12, batch=6, k=5)
+
+
 @register("auc", "roc_auc double, pr_auc double", f"""
     SELECT sum(n * (pc - p / 2.0)) / (sum(p) * sum(n)) AS roc_auc, sum(p * pc / (pc + nc)::DOUBLE) / sum(p) AS pr_auc FROM (
         SELECT *, sum(p) OVER w AS pc, sum(n) OVER w AS nc FROM (SELECT score, sum(label) AS p, sum(1 - label) AS n FROM ({_SCORES}) WHERE model = 'm1' GROUP BY score) WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))""")
@@ -1039,7 +1044,7 @@ for _name, _train in (("item_embeddings", neighbours.train_item_embeddings), ("i
 
 @register("covisit_factors", "aid int, f0 double, f1 double, f2 double, f3 double")
 def _(spark, d):
-    got = factors.covisit_factors(stored(covisit.build_covisitation(events_a(spark, d)), "covisit"), 4, iterations=4)
+    got = factors.covisit_factors(stored(covisit.build_covisitation(events_a(spark, d)), "covisit"), 4, iterations=2)
     return got.select("aid", *(F.col("vector")[i].alias(f"f{i}") for i in range(4)))
 
 
