@@ -18,27 +18,36 @@ SHINGLE, SIMILARITY = 5, (80, 100)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.5; each row is judged by its own text."""
+    """Documents whose toxicity score is below 0.5; each row is judged by its own whole text, however
+    long. Rows with null or empty text stay, as do all rows where nothing is labelled; a null doc_id
+    is never a training row; equal rows go or stay together; an empty table stays empty."""
     return toxicity.keep_clean(docs, read(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each group of near-duplicates."""
+    """One document (the smallest doc_id) of each group of near-duplicates, by all shingles of whole
+    texts. Rows without words (null, empty, blanks) or with a null doc_id all stay; of equal rows one
+    stays; rows that share a doc_id are judged by their own texts; an empty table stays empty."""
     return near_dup.keep_one(docs, SHINGLE, SIMILARITY)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item in any passage of their whole text. Rows with null or
+    empty text stay, as do all where the benchmark is empty; equal rows go or stay together."""
     return decontaminate.clean_documents(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it: up to three times, or never. Rows without
+    words stay as often as the whole part of their source's rate says; a null source is a source of
+    its own, the last; of equal rows any may be taken more often; an empty table stays empty."""
     return mixing.mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mix: doc_id, start, n_tokens, ids_crc32 as read back from them."""
+    """Token files of the mix: doc_id, start, n_tokens, ids_crc32 as read back from them. A null or
+    empty text is its end id alone; repeated rows are written once each; texts of any length are
+    encoded whole."""
     return token_files.token_table(docs, tokenizer_path())
 
 

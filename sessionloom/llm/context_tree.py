@@ -376,8 +376,10 @@ def score_documents(docs: DataFrame, training) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` for each row of ``docs``.
 
     ``training``: a condition on ``docs``; counts come from the rows for which it is true. Null
-    and empty texts have one token, the end; long texts are scored whole; repeated rows give repeated rows; without training
-    rows every decision has probability 1/2. Extra columns are ignored. ``bits_per_byte`` is the
+    and empty texts have one token, the end; long texts are scored whole; repeated rows give repeated rows; a
+    null doc_id stays null, and its row trains if ``training`` is true of it; without training
+    rows every decision has probability 1/2; an empty table gives an empty result. Extra columns are
+    ignored. ``bits_per_byte`` is the
     code length by the model over the bytes and the end.
     """
     spark = docs.sparkSession

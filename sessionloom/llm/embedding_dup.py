@@ -230,7 +230,8 @@ def near_duplicate_vectors(rows: DataFrame, cosine: float = 0.98, block: int = B
     Vectors are compared when their labels are equal and not null and their lengths are equal.
     Null, empty or zero vectors and those with null or non-finite components, and rows with a
     null vec_id, link with nothing (n_links 0, component_id = vec_id). Equal vectors are linked
-    with each other; extra columns are ignored; an empty table gives an empty result.
+    with each other; rows that repeat a vec_id are vectors of their own under one name, with a row each;
+    extra columns are ignored; an empty table gives an empty result.
     """
     kind = "array<float>" if dict(rows.dtypes)["embedding"] == "array<float>" else "array<double>"  # floats travel as such
     rows = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind), F.col("label").cast("long"))
