@@ -36,11 +36,11 @@ def train_ranker(df: DataFrame, algo: str = "classifier", params: dict | None =
 
     ``classifier`` and ``regressor``: gradient-boosted trees on single rows. ``ranker``: a pairwise
     objective within sessions (``session_pairs``), a logistic regression on differences of features
-    without an intercept, so that its score orders the rows of a session. ``listwise``: trees
+    without an intercept, so that its score orders the rows of a session. ``boosted``: trees
     boosted on a listwise loss of the session (``boosting.train_boosted``), with early stopping on
     NDCG or MAP if ``params`` has a ``validation`` frame. Other names are an error.
     """
-    if algo == "listwise":
+    if algo == "boosted":
         return train_boosted(df, **(params or {}))
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.regression import GBTRegressor
@@ -50,7 +50,7 @@ def train_ranker(df: DataFrame, algo: str = "classifier", params: dict | None =
         return model.fit(session_pairs(df))
     kinds = {"classifier": GBTClassifier, "regressor": GBTRegressor}
     if algo not in kinds:
-        raise ValueError(f"unknown algo {algo!r}: classifier, regressor, ranker or listwise")
+        raise ValueError(f"unknown algo {algo!r}: classifier, regressor, ranker or boosted")
     return kinds[algo](featuresCol="features", labelCol="label", weightCol="weight", **({"maxIter": 20, "maxDepth": 4, "seed": 1} | (params or {}))).fit(df)
 
 

@@ -998,7 +998,7 @@ def _stopped(spark: SparkSession, d: str) -> list[tuple[boosting.BoostedRanker,
     frame = stored(_frame(spark, d), "frame")
     halves = [frame.where(F.col("fold") % 2 == f) for f in (0, 1)]
     params = {"rounds": 4, "depth": 3, "rate": 0.3, "look_every": 2, "patience": 2}
-    return [(ranking.train_ranker(own, "listwise", params | {"validation": other}), own, other) for own, other in (halves, halves[::-1])]
+    return [(ranking.train_ranker(own, "boosted", params | {"validation": other}), own, other) for own, other in (halves, halves[::-1])]
 
 
 @register("scores_of_listwise", "session long, candidate_aid int, label int, score double")
