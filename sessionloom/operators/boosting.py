@@ -292,44 +292,61 @@ def _prefix_scores(model: BoostedRanker, first: int, rounds: list[int]):
     return run
 
 
-def train_boosted(
-    df: DataFrame, rounds: int = 50, depth: int = 4, rate: float = 0.1, l2: float = 1.0, least_rows: int = 20, bins: int = BINS,
-    validation: DataFrame | None = None, metric: str = "ndcg", k: int = 20, patience: int = 10, look_every: int = 5,
-    part_rows: int = PART_ROWS, keys: tuple[str, ...] | None = None,
-) -> BoostedRanker:
-    """M2: a listwise ranker from ``session, candidate_aid, label, weight, features``.
+@dataclass
+class Prepared:
+    """Training rows, packed, and held-out rows, binned, that any number of models may be trained on."""
 
-    With ``validation`` (same columns) both metrics are taken every ``look_every`` rounds, for all
-    rounds since in one job; training ends when ``metric`` (ndcg or map, at ``k``) hasn't risen for
-    ``patience`` rounds, and the trees after its best round are dropped. Sessions without positives
-    teach nothing; without any, or without rows, the model has no trees and scores 0. Null
-    candidate_aids and features are an error of the caller; NaN features go to the lowest bin.
-    """
+    bounds: list[list[float]]
+    packed: DataFrame
+    held: DataFrame | None
+    empty: bool
+    split_sessions: bool
+
+    def model(self, rate: float) -> BoostedRanker:
+        return BoostedRanker(self.bounds, rate, gains=np.zeros(len(self.bounds)))
+
+
+def prepare_boosting(df: DataFrame, validation: DataFrame | None = None, bins: int = BINS, part_rows: int = PART_ROWS, keys: tuple[str, ...] | None = None) -> Prepared:
+    """Bins and packs ``session, candidate_aid, label, weight, features`` once, for ``boost``."""
     from pyspark.ml.functions import vector_to_array
 
     keys = keys or tuple(c for c in ("event", "session") if c in df.columns)
     flat = lambda d: d.select(*keys, "candidate_aid", F.col("label").cast("double").alias("label"), (F.col("weight") if "weight" in d.columns else F.lit(1.0)).cast("double").alias("weight"), vector_to_array("features").alias("x"))
     rows = flat(df)
-    model = BoostedRanker(feature_bounds(rows, bins), rate)
-    model.gains = np.zeros(len(model.bounds))
+    model = BoostedRanker(feature_bounds(rows, bins), 1.0)
     packed = stored(pack(rows, model, keys, part_rows), "boost-packed")
     if packed.isEmpty():
-        return model
-    split_sessions = not packed.where("parts > 1").isEmpty()
+        return Prepared(model.bounds, packed, None, True, False)
     held = None
     if validation is not None:
         held = flat(validation).select(F.to_json(F.struct(*keys)).alias("key"), F.col("candidate_aid").cast("long"), "label", "x")
         held = stored(held.mapInArrow(_binned(model), "key string, candidate_aid long, label double, bins binary"), "boost-held")
-    since, looked, best = 0, 0, (-np.inf, 0)
-    for r in range(1, rounds + 1):
+    return Prepared(model.bounds, packed, held, False, not packed.where("parts > 1").isEmpty())
+
+
+def boost(
+    ready: Prepared, model: BoostedRanker, rounds: int, depth: int = 4, l2: float = 1.0, least_rows: int = 20,
+    metric: str = "ndcg", k: int = 20, patience: int = 10, look_every: int = 5,
+) -> tuple[float, int]:
+    """Adds trees to ``model`` until it has ``rounds``, or its metric hasn't risen for ``patience``
+    rounds. Going on later adds the trees that going on at once adds. Returns the best value so far
+    and its number of trees (-inf and 0 without held-out rows)."""
+    best = max([(-np.inf, 0), *((x[metric], -x["round"]) for x in model.history)])
+    if ready.empty or (model.history and len(model.trees) + best[1] >= patience):
+        return best[0], -best[1]
+    packed, since = ready.packed, len(model.trees)
+    if since:
+        packed = stored(packed.mapInArrow(_with_margins(model, 0), _PACKED), "boost-packed")
+    looked = since
+    for r in range(since + 1, rounds + 1):
         if r - 1 - since == WRITE_EVERY:
             packed = stored(packed.mapInArrow(_with_margins(model, since), _PACKED), "boost-packed")
             since = r - 1
-        tree = _grow(packed, model, since, depth, l2, least_rows, split_sessions)
+        tree = _grow(packed, model, since, depth, l2, least_rows, ready.split_sessions)
         model.trees.append(tree)
-        if held is not None and (r - looked == look_every or r == rounds):
+        if ready.held is not None and (r - looked == look_every or r == rounds):
             wanted = list(range(looked + 1, r + 1))
-            scores = held.mapInArrow(_prefix_scores(model, looked, wanted), "round int, key string, candidate_aid long, label double, score double")
+            scores = ready.held.mapInArrow(_prefix_scores(model, looked, wanted), "round int, key string, candidate_aid long, label double, score double")
             got = ranking_metrics(scores.withColumn("score", F.round("score", 9)), k, ("key",), ("round",)).orderBy("round").collect()
             model.history += [{"round": x["round"], "ndcg": x["ndcg"], "map": x["map"]} for x in got]
             looked = r
@@ -338,6 +355,25 @@ def train_boosted(
                 break
         if tree.feature[0] < 0 and not tree.value.any():
             break
-    if held is not None and model.history:
-        model.trees = model.trees[: -best[1]]
+    return best[0], -best[1]
+
+
+def train_boosted(
+    df: DataFrame, rounds: int = 50, depth: int = 4, rate: float = 0.1, l2: float = 1.0, least_rows: int = 20, bins: int = BINS,
+    validation: DataFrame | None = None, metric: str = "ndcg", k: int = 20, patience: int = 10, look_every: int = 5,
+    part_rows: int = PART_ROWS, keys: tuple[str, ...] | None = None,
+) -> BoostedRanker:
+    """M2: a listwise ranker from ``session, candidate_aid, label, weight, features``.
+
+    With ``validation`` (same columns) both metrics are taken every ``look_every`` rounds, for all
+    rounds since in one job; training ends when ``metric`` (ndcg or map, at ``k``) hasn't risen for
+    ``patience`` rounds, and the trees after its best round are dropped. Sessions without positives
+    teach nothing; without any, or without rows, the model has no trees and scores 0. Null
+    candidate_aids and features are an error of the caller; NaN features go to the lowest bin.
+    """
+    ready = prepare_boosting(df, validation, bins, part_rows, keys)
+    model = ready.model(rate)
+    _, n = boost(ready, model, rounds, depth, l2, least_rows, metric, k, patience, look_every)
+    if model.history:
+        model.trees = model.trees[:n]
     return model

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.functions.exprs import stable_hash, ts_parts
-from sessionloom.operators import boosting, candidates, covisit, ensemble, events, factors, features, metrics, neighbours, popular, ranking
+from sessionloom.operators import boosting, candidates, covisit, ensemble, events, factors, features, metrics, neighbours, popular, ranking, search
 from sessionloom.sources import tables
 from sessionloom.sources.scratch import new_folder, stored
 
@@ -1030,6 +1030,13 @@ def _(spark, d):
     return spark.createDataFrame(list(zip(depths, map(float, model.avgMetrics), strict=True)), "depth int, auc double")
 
 
+@register("searched_ranker", "trial int, rate double, depth double, rounds int, best_round int, value double")
+def _(spark, d):
+    """Trials of the listwise ranker's step and depth; the better of every two goes on."""
+    frame = stored(_frame(spark, d).drop("fold"), "frame")
+    return search.search_model(frame, {"rate": (0.05, 0.5, "log"), "depth": (2, 4, "int")}, trials=4, batch=4, rounds=2, eta=2).table(spark)
+
+
 @register("embedding_pca", "aid int, pc0 double, pc1 double")
 def _(spark, d):
     return metrics.embedding_pca(embeddings(spark, d)).select("aid", F.col("pc")[0].alias("pc0"), F.col("pc")[1].alias("pc1"))
