@@ -25,7 +25,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256", "spans")
+    cut = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", "kept_sha256", F.array_join(F.col("spans").cast("array<string>"), ",").alias("spans"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +80,19 @@ _OPERATORS = (
 )
 QUERIES = {f.__name__: f for f in _OPERATORS}
 ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        w AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 11), lambda i: {'i': i, 'words': array_to_string(ws[i:i + 12], ' ')})) AS x FROM d),
+        f AS (SELECT doc_id, x.i AS i, min(doc_id) OVER (PARTITION BY x.words) AS first FROM w),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS pos FROM f WHERE first < doc_id),
+        words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM d),
+        k AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY pos) AS kept FROM words w ANTI JOIN gone g ON w.doc_id = g.doc_id AND w.pos = g.pos GROUP BY w.doc_id),
+        runs AS (SELECT doc_id, min(pos) - 1 AS s, max(pos) AS e FROM (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM gone) GROUP BY doc_id, run),
+        r AS (SELECT doc_id, sum(e - s) AS n, flatten(list([s, e] ORDER BY s)) AS spans FROM runs GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256, coalesce(array_to_string(spans, ','), '') AS spans
+        FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id
+    """,
     "op5_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
