@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -993,6 +994,24 @@ for _algo, _params in (("classifier", {"maxIter": 3}), ("regressor", {"maxIter":
         return ranking.score(frame, models)
 
 
+def _fixed_trees(bounds: list[list[float]], *trees: tuple[list[int], list[int], list[float]]) -> boosting.BoostedRanker:
+    return boosting.BoostedRanker(bounds, 0.5, [boosting.Tree(np.array(f), np.array(c), np.array(v)) for f, c, v in trees])
+
+
+@register("scores_of_given_trees", "session long, candidate_aid int, label int, score double", f"""
+    SELECT session, candidate_aid, label, round((
+        0.5 * CASE WHEN rank_past_aids <= 5 THEN CASE WHEN retrieval_covisit <= 0.5 THEN 0.4 ELSE 0.8 END ELSE -0.6 END
+        + 0.5 * (CASE WHEN rank_covisit <= 3 THEN 0.3 ELSE -0.1 END + CASE WHEN retrieval_past_aids <= 0.5 THEN -0.2 ELSE 0.2 END)) / 2, 3)::DOUBLE AS score
+    FROM ({_ROWS}) WHERE event = 'orders'""")
+def _(spark, d):
+    """All candidate rows of orders by the mean of two listwise rankers with trees that are given."""
+    frame = ranking.training_frame(_rows(spark, d)[2].withColumn("fold", F.lit(0)), "orders", [0])
+    bounds = [[0.5], [0.5], [2.0, 5.0], [3.0]]  # of retrieval_past_aids, retrieval_covisit, rank_past_aids, rank_covisit
+    first = _fixed_trees(bounds, ([2, 1, -1, -1, -1, -1, -1], [1, 0, 0, 0, 0, 0, 0], [0, 0, -0.6, 0.4, 0.8, 0, 0]))
+    second = _fixed_trees(bounds, ([3, -1, -1], [0, 0, 0], [0, 0.3, -0.1]), ([0, -1, -1], [0, 0, 0], [0, -0.2, 0.2]))
+    return ranking.score(frame, [first, second])
+
+
 def _stopped(spark: SparkSession, d: str) -> list[tuple[boosting.BoostedRanker, DataFrame, DataFrame]]:
     """Listwise rankers of two folds, each stopped early by the other fold, and their two frames."""
     frame = stored(_frame(spark, d), "frame")
