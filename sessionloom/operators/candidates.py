@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions.exprs import hash_fraction, stable_hash
+from sessionloom.sources.scratch import stored
 
 
 def candidates_long(lists: DataFrame, strategy: str) -> DataFrame:
@@ -44,7 +45,9 @@ def drop_zero_hit_sessions(rows: DataFrame) -> DataFrame:
 
 def downsample_negatives(rows: DataFrame, ratio: float = 10, seed: int = 0, exact: bool = False) -> DataFrame:
     """All positives and ``ratio`` negatives for each: by default by a hash threshold (right in
-    expectation); ``exact`` takes the first by hash, found in two levels."""
+    expectation); ``exact`` takes the first by hash, found in two levels. The rows are written once
+    and read for the counts and the choice."""
+    rows = stored(rows, "rows-to-sample")
     key = ["event", "session", "candidate_aid"] if "event" in rows.columns else ["session", "candidate_aid"]
     pos, neg = rows.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
     if not exact:
