@@ -20,7 +20,6 @@ cache of fixed size; the others are looked up by a join, so the size of the cach
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +37,8 @@ from .common import WordCodes, crc_mod, shuffle_partitions, slices, stored, word
 DEPTH, SPLIT = 5, 3
 #: Entries of the broadcast caches at most (16 bytes each).
 WORDS, GRAMS = 500_000, 1_500_000
-COUNT_BYTES = 6_000_000
+#: Bytes of text that one step counts and scores (a worker holds about 20 and 60 times as much).
+COUNT_BYTES, SCORE_BYTES = 6_000_000, 500_000
 CACHE_BITS = 22
 WORD_KIND, GRAM_KIND = 0, 1
 END_WORD = np.uint64(xxhash.xxh3_64_intdigest(b"", seed=1))
@@ -49,10 +49,11 @@ def byte_grams(texts: list[str | None], depth: int = DEPTH) -> tuple[np.ndarray,
     bytes before it, as one integer; the places of each text in ``codes``."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     pad = bytes(depth)
-    data = np.frombuffer(b"".join(pad + x + b"\0" for x in raw), np.uint8).astype(np.uint64)
+    data = np.frombuffer(b"".join(pad + x + b"\0" for x in raw), np.uint8)
     codes = np.zeros(len(data), np.uint64)
-    for j in range(depth, -1, -1):
-        codes[j:] |= data[: len(data) - j] << np.uint64(8 * j)
+    for j in range(depth, -1, -1):  # in place: eight bytes a byte of text, no more
+        codes <<= np.uint64(8)
+        codes[j:] |= data[: len(data) - j]
     lengths = np.array([len(x) + 1 for x in raw], np.int64)
     starts = np.cumsum(lengths + depth) - lengths
     return codes, starts, lengths
@@ -66,6 +67,19 @@ def _real(codes: np.ndarray, starts: np.ndarray, depth: int = DEPTH) -> np.ndarr
     return real
 
 
+def _grams_of(texts: list[str | None]) -> np.ndarray:
+    """The grams of all bytes and ends of the texts."""
+    codes, starts, _ = byte_grams(texts)
+    return codes[_real(codes, starts)]
+
+
+def _counts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct codes, how often each occurs); sorts ``codes`` in place."""
+    codes.sort()
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.diff(np.append(first, len(codes)))
+
+
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Training counts of words, and of the grams of all texts (0 where training lacks one)."""
     cache = WordCodes()
@@ -73,13 +87,10 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, chosen = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False)
         train = [t for t, x in zip(texts, chosen, strict=True) if x]
         words, n = np.unique(word_codes(train, cache, True)[0], return_counts=True)
-        codes, starts, lengths = byte_grams(texts)
-        codes = codes[_real(codes, starts)]
-        if chosen.all():
-            grams, m = np.unique(codes, return_counts=True)
-        else:
-            seen, times = np.unique(codes[np.repeat(chosen, lengths)], return_counts=True)
-            grams = np.unique(codes)
+        grams, m = _counts(_grams_of(train))
+        if len(train) < len(texts):
+            others = _counts(_grams_of([t for t, x in zip(texts, chosen, strict=True) if not x]))[0]
+            seen, times, grams = grams, m, np.union1d(grams, others)
             m = np.zeros(len(grams), np.int64)
             m[np.searchsorted(grams, seen)] = times
         ends = [END_WORD] if train else []
@@ -293,44 +304,40 @@ def _frequent(df: DataFrame, n: str, most: int) -> int:
     return next((1 << p for p in powers if got[p] <= most), 1 << 40)
 
 
+@dataclass(frozen=True)
 class Cache:
-    """log10 probabilities of frequent grams: sorted codes, before them a table with one slot a hash."""
+    """log10 probabilities of frequent grams: sorted codes and, before them, a table with one slot a
+    hash that names a place in them. The driver makes it, workers look into the broadcast arrays and
+    keep nothing beside them."""
 
-    def __init__(self, codes: np.ndarray, n: np.ndarray, logs: np.ndarray):
+    codes: np.ndarray
+    logs: np.ndarray
+    slots: np.ndarray  # -1: no gram has this hash
+
+    @classmethod
+    def of(cls, codes: np.ndarray, n: np.ndarray, logs: np.ndarray) -> Cache:
         order = np.argsort(codes)
-        self.codes, self.logs = codes[order], logs[order]
-        self.seen, self.value = np.full(1 << CACHE_BITS, np.iinfo(np.uint64).max), np.zeros(1 << CACHE_BITS)
+        codes, logs, n = codes[order], logs[order], n[order]
+        slots = np.full(1 << CACHE_BITS, -1, np.int32)
         order = np.argsort(n, kind="stable")  # the most frequent gram of a slot stays
-        s = self._slots(codes[order])
-        self.seen[s] = codes[order]
-        at = np.flatnonzero(self.seen != np.iinfo(np.uint64).max)
-        self.value[at] = self.logs[np.searchsorted(self.codes, self.seen[at])]
+        slots[cls.hashes(codes[order])] = order
+        return cls(codes, logs, slots)
 
-    def _slots(self, codes: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def hashes(codes: np.ndarray) -> np.ndarray:
         return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CACHE_BITS)
 
     def look(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(values, which codes have one)."""
-        slots = self._slots(codes)
-        value, hit = self.value[slots], self.seen[slots] == codes
-        miss = np.flatnonzero(~hit)
-        if len(miss) and len(self.codes):
-            at = np.minimum(np.searchsorted(self.codes, codes[miss]), len(self.codes) - 1)
-            hit[miss] = self.codes[at] == codes[miss]
-            value[miss] = self.logs[at]
-        return np.where(hit, value, 0.0), hit
-
-
-_caches: dict[str, Cache] = {}
-
-
-def _cache(shared) -> Cache:
-    """The gram cache of a broadcast, built once in a worker."""
-    v = shared.value
-    if v["id"] not in _caches:
-        _caches.clear()
-        _caches[v["id"]] = Cache(v["grams"], v["times"], v["gram_logs"])
-    return _caches[v["id"]]
+        if not len(self.codes):
+            return np.zeros(len(codes)), np.zeros(len(codes), bool)
+        at = self.slots[self.hashes(codes)]
+        hit = (self.codes[at] == codes) & (at >= 0)
+        # An empty slot means that no gram of the cache has this hash.
+        miss = np.flatnonzero(~hit & (at >= 0))
+        at[miss] = np.minimum(np.searchsorted(self.codes, codes[miss]), len(self.codes) - 1)
+        hit[miss] = self.codes[at[miss]] == codes[miss]
+        return np.where(hit, self.logs[at], 0.0), hit
 
 
 SCORED = "doc_id long, n_tokens long, hits long, log_sum double, score double, bytes long, rare array<long>, rare_grams array<long>"
@@ -342,9 +349,9 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, cache = _cache(shared), WordCodes()
-        table, logs = shared.value["words"], shared.value["logs"]
-        for b in slices(batches):
+        cache = WordCodes()
+        known, table, logs = (shared.value[x] for x in ("grams", "words", "logs"))
+        for b in slices(batches, step=SCORE_BYTES):
             texts = b.column(1).to_pylist()
             words, sizes = word_codes(texts, cache, True)
             n = sizes + 1
@@ -393,9 +400,8 @@ def score_documents(docs: DataFrame, training) -> DataFrame:
     near = table.where(F.col("n") >= _frequent(table, "n", GRAMS)).toArrow()  # GRAMS rows at most
     codes = top["code"].to_numpy().view(np.uint64)
     order = np.argsort(codes)
-    shared = spark.sparkContext.broadcast(
-        {"id": uuid.uuid4().hex, "words": codes[order], "logs": np.log10(top["n"].to_numpy()[order] + 1.0), "grams": near["code"].to_numpy().view(np.uint64), "times": near["n"].to_numpy(), "gram_logs": near["log_p"].to_numpy()}
-    )
+    known = Cache.of(near["code"].to_numpy().view(np.uint64), near["n"].to_numpy(), near["log_p"].to_numpy())
+    shared = spark.sparkContext.broadcast({"words": codes[order], "logs": np.log10(top["n"].to_numpy()[order] + 1.0), "grams": known})
     rows = docs.select("doc_id", "text").mapInArrow(_score(shared), SCORED).withColumn("row", F.monotonically_increasing_id())
     rows = stored(rows, "lm-rows")
     seldom = words.where(F.col("n") < often)
