@@ -127,3 +127,32 @@ def test_events_share_a_list(spark):
     got = ranking.top_k(scores, 2, EVENTS)
     assert sorted(map(tuple, got.collect())) == sorted((f"1_{e}", "3 2") for e in EVENTS)
     assert "Union" not in plan(got)
+
+
+def shuffles(df) -> list[str]:
+    return [x for x in plan(df).split("== Initial Plan ==")[0].splitlines() if "Exchange" in x]
+
+
+def test_backfill_meets_in_one_shuffle(spark):
+    """Hits, history and popular aids met in shuffles of their own, and both kinds of sessions had a join
+    of sources with lists each."""
+    _, _, e, t = hand_made(spark)
+    top = spark.createDataFrame([(x, [3, 70]) for x in EVENTS], "event string, labels array<int>")
+    tables = dict.fromkeys(("clicks", "carts_orders", "buy2buy"), t)
+    for event in EVENTS:
+        got = covisit.suggest_with_backfill(e, event, tables, top, parts=6)
+        text = plan(got).split("== Initial Plan ==")[0]
+        assert text.count("MapInArrow") == 1 and text.count("Join") == 1
+        assert sum("hashpartitioning(session" in x and ", 6)" in x for x in shuffles(got)) == 2
+        assert sum("candidate_aid" in x for x in shuffles(got)) == 0
+
+
+def test_parts_change_no_result(spark, small_batches):
+    """Also sessions of many aids, whose known aids stay among the hits."""
+    _, _, e, t = hand_made(spark)
+    e = e.withColumn("type", F.pmod(F.col("aid"), F.lit(3)).cast("int"))
+    top = spark.createDataFrame([(x, [3, 70]) for x in EVENTS], "event string, labels array<int>")
+    tables = dict.fromkeys(("clicks", "carts_orders", "buy2buy"), t)
+    for f in (lambda **kw: covisit.suggest_with_backfill(e, "orders", tables, top, **kw), lambda **kw: covisit.covisit_carts(e, t, t, **kw)):
+        got = [sorted(map(tuple, f(parts=p).collect())) for p in (None, 1, 5)]
+        assert got[0] and got[0] == got[1] == got[2]
