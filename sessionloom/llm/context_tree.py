@@ -37,7 +37,7 @@ from .common import WordCodes, crc_mod, shuffle_partitions, slices, stored, word
 DEPTH, SPLIT = 5, 3
 #: Entries of the broadcast caches at most (16 bytes each).
 WORDS, GRAMS = 500_000, 1_500_000
-#: Bytes of text that one step counts and scores (a worker holds about 20 and 60 times as much).
+#: Bytes of text that one step counts and scores (counting holds less than 60 times as much).
 COUNT_BYTES, SCORE_BYTES = 6_000_000, 500_000
 CACHE_BITS = 22
 WORD_KIND, GRAM_KIND = 0, 1
