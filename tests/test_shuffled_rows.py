@@ -156,3 +156,18 @@ def test_parts_change_no_result(spark, small_batches):
     for f in (lambda **kw: covisit.suggest_with_backfill(e, "orders", tables, top, **kw), lambda **kw: covisit.covisit_carts(e, t, t, **kw)):
         got = [sorted(map(tuple, f(parts=p).collect())) for p in (None, 1, 5)]
         assert got[0] and got[0] == got[1] == got[2]
+
+
+def test_one_ranker_reads_rows_once(spark):
+    """Each event's rows were made anew, with their windows and joins, in one task."""
+    from sessionloom.plans.queries import QUERIES
+
+    long, truth = lists_and_truth(spark)
+    truth = truth.where("type <> 'orders' or session % 2 = 0")
+    rows = candidates.label_candidates(candidates.candidate_rows(long, ["past", "near"]), truth)
+    want = features.one_ranker_dataset(*(rows.where(F.col("event") == e).drop("event") for e in EVENTS))
+    got = features.one_ranker_rows(rows)
+    assert {r["label"] for r in got.collect()} == {0, 1, 2, 3}
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    query = plan(QUERIES["one_ranker_dataset"](spark, "/root/testdata/sf0.001")).split("== Initial Plan ==")[0]
+    assert query.count("MapInArrow") == 1 and query.count("Generate explode(array(struct(event") == 1
