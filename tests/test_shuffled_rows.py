@@ -171,3 +171,27 @@ def test_one_ranker_reads_rows_once(spark):
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
     query = plan(QUERIES["one_ranker_dataset"](spark, "/root/testdata/sf0.001")).split("== Initial Plan ==")[0]
     assert query.count("MapInArrow") == 1 and query.count("Generate explode(array(struct(event") == 1
+
+
+def test_split_stays_by_session(spark, monkeypatch):
+    """The split log was shuffled by session for each step that read it, and co-visits once more to be ranked."""
+    from sessionloom.plans import fixtures, queries
+
+    monkeypatch.setattr(fixtures, "PART_EVENTS", 1500)
+    e, truth, parts = fixtures.split_in_parts(spark, "/root/testdata/sf0.001")
+    assert parts == 4 and not shuffles(covisit.past_aids(e)) and not shuffles(truth)
+    rows = queries._rows(spark, "/root/testdata/sf0.001")[2]
+    # Sources with their lists, then co-visits with history; the truths that label them lie there.
+    assert sum("hashpartitioning(session" in x for x in shuffles(rows)) == 2
+    assert e.count() > 0 and rows.count() > 0
+
+
+def test_stored_by_keeps_rows(spark):
+    """Also rows with a null key, and keys that some parts have none of."""
+    from sessionloom.sources import scratch
+
+    rows = [(None, 1), (None, 2), (5, 3), (5, 3), (7, 4)]
+    got = scratch.stored_by(spark.createDataFrame(rows, "session long, aid int"), "rows-by-key", "session", 6)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str)
+    assert not shuffles(got.groupBy("session").count()) and {r["session"]: r["count"] for r in got.groupBy("session").count().collect()} == {None: 2, 5: 2, 7: 1}
+    assert scratch.stored_by(spark.createDataFrame([], "session long, aid int"), "no-rows", "session", 1).count() == 0
