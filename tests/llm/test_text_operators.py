@@ -724,3 +724,13 @@ def test_toxicity_held_out(spark, empty):
     assert all(r["held_out"] == (zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 5 == 0) for r in got)
     assert toxicity.keep_clean(docs, lab).columns == docs.columns
     assert toxicity.score_toxicity(empty, lab).count() == 0 and toxicity.score_toxicity(docs, lab.limit(0)).where("predicted = 1").count() == 0
+
+
+def test_ascii_words_are_those_of_any_text():
+    """ASCII texts are cut by a pattern of their own."""
+    rng = np.random.default_rng(6)
+    signs = [*map(chr, range(128)), " ", " ", "  ", "'s", "'re", "'LL", "a", "b", "7", "\n ", "_"]
+    for _ in range(3000):
+        text = "".join(signs[i] for i in rng.integers(0, len(signs), rng.integers(0, 12)))
+        assert token_files.pre_words(text) == token_files.PRE_WORD.findall(text)
+        assert token_files.pre_words(text + "é") == token_files.PRE_WORD.findall(text + "é")
