@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from sessionloom.operators import ranking
+from sessionloom.operators import ranking, search
 from sessionloom.plans.queries import QUERIES
 
 TABLES = "/root/testdata/sf0.001"
@@ -34,6 +34,11 @@ def test_ranker_without_pairs_scores_zero(spark, rare):
     assert len(got) == QUERIES["scores_of_listwise"](spark, rare).count()
 
 
+def test_search_without_trials_has_its_columns(spark, rare):
+    got = QUERIES["searched_ranker"](spark, rare)
+    assert got.columns == ["trial", "rate", "depth", "rounds", "best_round", "value"] and got.count() == 0
+
+
 def test_ranker_of_no_rows_has_the_frames_features(spark):
     from pyspark.ml.feature import VectorAssembler
 
@@ -41,3 +46,4 @@ def test_ranker_of_no_rows_has_the_frames_features(spark):
     frame = VectorAssembler(inputCols=["x0", "x1"], outputCol="features").transform(rows)
     got = ranking.score(frame, [ranking.train_ranker(frame.where("session = 0"), "ranker")]).collect()
     assert len(got) == 3 and {r["score"] for r in got} == {0.0}
+    assert search.search_model(frame.where("session = 0"), {"rate": (0.1, 0.5, "log")}, trials=2, batch=2, rounds=2).table(spark).columns == ["trial", "rate", "rounds", "best_round", "value"]
