@@ -50,22 +50,44 @@ def shuffled_rows(df) -> int:
             total += node.metrics().apply("shuffleRecordsWritten").value()
         if name == "AdaptiveSparkPlanExec":
             plan.append(node.executedPlan())
-        elif name == "ShuffleQueryStageExec":
+        elif name.endswith("QueryStageExec"):
             plan.append(node.plan())
         else:
             plan += [node.children().apply(i) for i in range(node.children().size())]
     return total
 
 
-def test_hits_of_sessions_are_not_shuffled(log):
+def test_hits_of_sessions_are_not_shuffled(spark):
     """Sources travel with lists: as many rows as a session has aids, not as they have neighbours."""
-    tables = {t: df.cache() for t, df in apart(log).items()}
-    near = {t: [(r["aid_x"], r["aid_y"]) for r in df.collect()] for t, df in tables.items()}
-    events = log.cache().collect()
-    want = Counter((r["session"], y, t) for r in events for t in near for x, y in near[t] if x == r["aid"])
-    got = features.session_covisit_counts(log, **tables, parts=3)
+    rng = np.random.default_rng(5)
+    events = [(s, int(a), 0, 0) for s in range(60) for a in rng.integers(0, 100, 40)]
+    near = {t: [(x, int(y)) for x in range(100) for y in rng.choice(5000, 20, replace=False)] for t in RULES}
+    tables = {t: spark.createDataFrame([(*xy, 1.0) for xy in rows], "aid_x int, aid_y int, wgt float") for t, rows in near.items()}
+    lead = {t: {x: [y for z, y in near[t] if z == x] for x in range(100)} for t in near}
+    want = Counter((s, y, t) for s, a, _, _ in events for t in near for y in lead[t][a])
+    got = features.session_covisit_counts(spark.createDataFrame(events, "session long, aid int, ts long, type int"), **tables)
     rows = got.collect()
     assert {(r["session"], r["candidate_aid"], t): r[f"sess_covisit_{t}_count"] for r in rows for t in near if r[f"sess_covisit_{t}_count"]} == dict(want)
-    assert len({(s, a) for s, a, _ in want}) == len(rows)
-    own = len({(r["session"], r["aid"]) for r in events})
-    assert shuffled_rows(got) <= 4 * own + 2 * sum(map(len, near.values())) < len({(r["session"], r["aid"], y) for r in events for t in near for x, y in near[t] if x == r["aid"]})
+    pairs, own = {(s, y) for s, y, _ in want}, len({e[:2] for e in events})
+    assert len(pairs) == len(rows)
+    assert shuffled_rows(got) <= 4 * own + 2 * sum(map(len, near.values())) < len(pairs)
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["combined_features", "combined_features_new_items"])
+def test_rows_travel_twice_for_all_features(spark, name):
+    """To their sessions and to their items. Without broadcasts (at size, vectors and few other tables have
+    them) the narrow rows that look for vectors travel too; item tables move a row for an event at most."""
+    from sessionloom.plans.queries import QUERIES
+    from sessionloom.plans.fixtures import split
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = QUERIES[name](spark, SF)
+        moved, rows = shuffled_rows(got), got.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    own = split(spark, SF)[0].count()
+    assert moved <= 12 * rows + 8 * own, (moved, rows, own)
